@@ -44,3 +44,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
+    """Bound the rows of one Arrow batch, so that a Python task holds little text at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing
+from . import chat, mixing, packing, quality, telephony, training_order
 from .common import materialize, read
 
 
@@ -19,6 +19,51 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = telephony.store(telephony.payloads(read(spark, sf_dir, "documents")))
+    return telephony.decode(stored).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        F.octet_length("pcm").cast("long").alias("pcm_bytes"),
+    )
+
+
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(read(spark, sf_dir, "documents"))
+    cut = materialize(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "op6-pieces")
+    return packing.pack(cut, cut.count()).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = training_order.materialise(read(spark, sf_dir, "documents"))
+    return table.select(
+        "shard", "first_slot", "n_sequences", "stride",
+        F.octet_length("data").cast("long").alias("n_bytes"),
+        F.sha2("data", 256).alias("data_sha256"),
+        "doc_ids",
+    )
+
+
+def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit_on_labels(docs, read(spark, sf_dir, "labels"))
+    return quality.judge(docs.select("doc_id", "text"), model).select(
+        "row.doc_id",
+        *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        "quality.base_failed",
+        "quality.kept",
+        "quality.content_share",
+    )
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.sql(
         "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), "
@@ -87,8 +132,12 @@ FROM rows r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source LEFT JOIN (SEL
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_telephony": op2_telephony,
         "op4_mix_sources": op4_mix_sources,
+        "op6_pack": op6_pack,
         "op7_chat_format": op7_chat_format,
+        "op8_training_order": op8_training_order,
+        "op10_quality_lines": op10_quality_lines,
     }
 
 
