@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, telephony, training_order
+from . import chat, hyperminhash, mixing, packing, quality, telephony, training_order
 from .common import materialize, read
 
 
@@ -34,6 +34,10 @@ def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(read(spark, sf_dir, "documents"))
     cut = materialize(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "op6-pieces")
@@ -133,6 +137,7 @@ FROM rows r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source LEFT JOIN (SEL
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_telephony": op2_telephony,
+        "op3_near_duplicates": op3_near_duplicates,
         "op4_mix_sources": op4_mix_sources,
         "op6_pack": op6_pack,
         "op7_chat_format": op7_chat_format,
