@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hyperminhash, mixing, packing, quality, telephony, training_order
+from . import chat, hyperminhash, mixing, packing, paragraphs, quality, telephony, training_order
 from .common import materialize, read
 
 
@@ -38,6 +38,17 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraphs.cut(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "row.doc_id",
+        F.size("removed").cast("long").alias("n_removed"),
+        "removed",
+        F.octet_length(F.col("row.text")).cast("long").alias("n_bytes_kept"),
+        F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(read(spark, sf_dir, "documents"))
     cut = materialize(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "op6-pieces")
@@ -139,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_telephony": op2_telephony,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_mix_sources": op4_mix_sources,
+        "op5_paragraphs": op5_paragraphs,
         "op6_pack": op6_pack,
         "op7_chat_format": op7_chat_format,
         "op8_training_order": op8_training_order,
