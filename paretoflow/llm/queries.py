@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hyperminhash, mixing, packing, paragraphs, quality, telephony, training_order
+from . import chat, hyperminhash, mixing, packing, paragraphs, quality, repeats, telephony, training_order
 from .common import materialize, read
 
 
@@ -67,6 +67,10 @@ def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.fit_on_labels(docs, read(spark, sf_dir, "labels"))
@@ -154,6 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pack": op6_pack,
         "op7_chat_format": op7_chat_format,
         "op8_training_order": op8_training_order,
+        "op9_repeats": op9_repeats,
         "op10_quality_lines": op10_quality_lines,
     }
 
