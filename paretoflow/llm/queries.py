@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hyperminhash, mixing, packing, paragraphs, quality, repeats, telephony, training_order
+from . import chat, hyperminhash, mixing, packing, paragraphs, quality, repeats, scoring, telephony, training_order
 from .common import materialize, read
 
 
@@ -19,6 +19,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = telephony.store(telephony.payloads(read(spark, sf_dir, "documents")))
     return telephony.decode(stored).select(
@@ -151,6 +155,7 @@ FROM rows r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source LEFT JOIN (SEL
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_score": op1_score,
         "op2_telephony": op2_telephony,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_mix_sources": op4_mix_sources,
