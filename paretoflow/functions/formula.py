@@ -147,6 +147,10 @@ def compile_formula(text: str, lookup: Callable[[str], Column]) -> Column:
     def literal(node: Node) -> int | None:
         if node.kind == "unary" and (inner := literal(node.args[0])) is not None:
             return -inner if node.value == "-" else inner
+        if node.kind == "binary" and node.value == "^":
+            base, power = map(literal, node.args)
+            small = base is not None and power is not None and abs(base) <= MAX_EXPONENT and 0 <= power <= 10
+            return base**power if small else None
         return int(float(node.value)) if node.kind == "number" and float(node.value).is_integer() else None
 
     def build(node: Node) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from decimal import Decimal
+from decimal import Decimal, InvalidOperation
 from typing import Any
 
 import yaml
@@ -23,9 +23,10 @@ class _ExactLoader(yaml.SafeLoader):
 
 
 def _exact(loader: yaml.SafeLoader, node: yaml.ScalarNode) -> Decimal:
-    value = Decimal(loader.construct_scalar(node).replace("_", ""))
-    if not value.is_finite():
-        raise PolicyError("number is not finite")
+    try:
+        value = Decimal(loader.construct_scalar(node).replace("_", ""))
+    except InvalidOperation:  # .inf and .nan
+        raise PolicyError("number is not finite") from None
     return value
 
 
