@@ -168,7 +168,7 @@ def counted(rows: DataFrame, plan: DataFrame) -> DataFrame:
         lambda x: (F.col("r.h") > x["after"]) & (F.col("r.h") < x["bound"]) & (F.col("r.size") <= x["fits"]),
     )
     return r.join(p, F.col("p.source").eqNullSafe(F.col("r.source"))).select(
-        "r.*", "p.source_size", "p.target", (F.col("p.whole") + once_more.cast("long")).alias("copies")
+        "r.*", "p.source_size", "p.target", F.least(F.col("p.whole") + once_more.cast("long"), F.lit(MOST)).alias("copies")
     )
 
 

@@ -148,8 +148,8 @@ def _op4_sql(passes: int = 4) -> str:
         ]
     more = " UNION ALL ".join(f"SELECT rid FROM t{k}" for k in range(passes))
     return f"""WITH {', '.join(ctes)}
-SELECT r.doc_id, r.size, p.source_size, p.target, CAST(r.size * (p.whole + CASE WHEN m.rid IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS taken,
-  r.source, CAST(p.whole + CASE WHEN m.rid IS NULL THEN 0 ELSE 1 END AS BIGINT) AS copies
+SELECT r.doc_id, r.size, p.source_size, p.target, CAST(r.size * least(p.whole + CASE WHEN m.rid IS NULL THEN 0 ELSE 1 END, 3) AS BIGINT) AS taken,
+  r.source, CAST(least(p.whole + CASE WHEN m.rid IS NULL THEN 0 ELSE 1 END, 3) AS BIGINT) AS copies
 FROM rows r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source LEFT JOIN (SELECT DISTINCT rid FROM ({more})) m ON r.rid = m.rid"""
 
 
