@@ -51,18 +51,22 @@ def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def words(raw: bytes) -> np.ndarray:
     """Hashes of a text's words in order, A-Z lower-cased."""
+    return words_of_lines(raw)[0]
+
+
+def words_of_lines(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words in order, A-Z lower-cased, and the number of each word's line."""
     b = _LOWER[np.frombuffer(raw, np.uint8)]
     inside = np.zeros(len(b) + 2, np.int8)
     inside[1:-1] = ~_SPACE[b]
     edges = np.diff(inside)
-    return spans(prefix(b), np.flatnonzero(edges == 1), np.flatnonzero(edges == -1))
-
+    starts = np.flatnonzero(edges == 1)
+    line = np.searchsorted(np.flatnonzero(b == 10), starts)
+    return spans(prefix(b), starts, np.flatnonzero(edges == -1)), line
 
-def shingles(word_hashes: np.ndarray, width: int = 5) -> np.ndarray:
-    """The sorted distinct hashes of all windows of ``width`` words.
 
-    A text of fewer words has one shingle, the whole sequence; without words there is none.
-    """
+def windows(word_hashes: np.ndarray, width: int = 5) -> np.ndarray:
+    """Hashes of all windows of ``width`` words; fewer words are one window, none has none."""
     n = len(word_hashes)
     if not n:
         return word_hashes
@@ -70,11 +74,4 @@ def shingles(word_hashes: np.ndarray, width: int = 5) -> np.ndarray:
     out = np.full(n - used + 1, used, np.uint64)
     for j in range(used):
         out = mix(out * np.uint64(0xD1342543DE82EF95) + word_hashes[j : n - used + 1 + j])
-    return np.unique(out)
-
-
-def set_id(shingle_hashes: np.ndarray) -> int:
-    """A signed 64-bit hash of a sorted set."""
-    at = np.arange(1, len(shingle_hashes) + 1, dtype=np.uint64)
-    total = mix(shingle_hashes + mix(at)).sum(dtype=np.uint64) + np.uint64(len(shingle_hashes))
-    return int(mix(total.reshape(1)).view(np.int64)[0])
+    return out

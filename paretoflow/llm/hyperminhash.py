@@ -33,14 +33,19 @@ WIDTH = 5
 PERCENT = 85
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
-    """uint16: six bits of leading zeros, ten bits of mantissa."""
-    smallest = neardup.densified(shingles, REGISTERS)
+def compressed(smallest: np.ndarray) -> np.ndarray:
+    """uint16 of bucket minima: six bits of leading zeros, ten bits of mantissa."""
     fraction, exponent = np.frexp(np.maximum(smallest, 1).astype(np.float64))
     zeros = np.clip(64 - exponent, 0, 63).astype(np.uint16)
     return (zeros << MANTISSA) | ((fraction * 2 - 1) * (1 << MANTISSA)).astype(np.uint16)
 
 
+def _sketched(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    found = [hashing.windows(hashing.words(t.encode("utf-8", "surrogatepass")), width) for t in texts]
+    owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    return neardup.sketch(np.concatenate(found) if found else np.zeros(0, np.uint64), owner, len(found), REGISTERS)
+
+
 def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
     """Jaccard estimates of sketch pairs, less the expected share of accidental collisions.
 
@@ -59,14 +64,11 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [hashing.shingles(hashing.words(t.encode("utf-8", "surrogatepass")), width) for t in b["text"]]
+            _, bounds, ids, low = _sketched(list(b["text"]), width)
+            n = np.diff(bounds)
+            regs = compressed(low).astype("<u2")
             yield pd.DataFrame(
-                {
-                    "doc_id": b["doc_id"],
-                    "sid": [hashing.set_id(s) for s in sets],
-                    "n": [len(s) for s in sets],
-                    "regs": [registers(s).astype("<u2").tobytes() if len(s) else b"" for s in sets],
-                }
+                {"doc_id": b["doc_id"], "sid": ids, "n": n, "regs": [r.tobytes() if k else b"" for r, k in zip(regs, n)]}
             )
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(sketch, f"doc_id {kind}, sid long, n long, regs binary")
@@ -80,9 +82,10 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> Data
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [hashing.shingles(hashing.words(t.encode("utf-8", "surrogatepass")), width) for t in b["text"]]
-            same = np.array([hashing.set_id(s) == w for s, w in zip(found, b["w_sid"])], bool)
-            yield pd.DataFrame({"sid": b["w_sid"][same], "shingles": [s.tobytes() for s, k in zip(found, same) if k]})
+            values, bounds, ids, _ = _sketched(list(b["text"]), width)
+            wanted_ids = b["w_sid"].to_numpy()
+            same = np.flatnonzero(ids == wanted_ids)
+            yield pd.DataFrame({"sid": wanted_ids[same], "shingles": [values[bounds[k] : bounds[k + 1]].tobytes() for k in same]})
 
     return chosen.mapInPandas(sets, "sid long, shingles binary").dropDuplicates(["sid"])
 
@@ -98,7 +101,7 @@ def duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> D
     )
     members = materialize(neardup.groups(nodes, BANDS, 2 * ROWS, REGISTERS, estimate, "<u2", percent), "near-groups")
     wanted = nodes.join(members.select(F.col("node").alias("sid")), "sid").select("sid", "doc_id")
-    edges = neardup.linked(members, shingle_sets(docs, wanted, width), percent)
+    edges = neardup.linked(members, nodes, shingle_sets(docs, wanted, width), percent)
     found = components(materialize(edges, "near-links"))
     named = rows.select("doc_id", "sid", "n").join(found.withColumnRenamed("node", "sid"), "sid", "left")
     named = named.withColumn("c", F.coalesce("component", "sid"))

@@ -18,37 +18,60 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize
+from . import hashing
+from .common import materialize
 from .components import components
 
-#: Items of one verification block, and the leaders' rounds before the rest are paired.
-BLOCK = 256
-ROUNDS = 6
+#: Items, and shingles, of one verification block, and the leaders' rounds.
+BLOCK, BLOCK_SHINGLES = 1024, 400_000
+ROUNDS = 3
+#: Similarity to a leader from which a node needs no further leader.
+LEAVES = 0.55
 
 
-def densified(hashes: np.ndarray, registers: int) -> np.ndarray:
-    """One-permutation MinHash: the smallest value of each bucket; empty ones borrow by a fixed rule."""
-    second = (hashes * np.uint64(0xD1342543DE82EF95)) ^ np.uint64(0xA0761D6478BD642F)
-    value = (second ^ (second >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+def sketch(windows: np.ndarray, owner: np.ndarray, items: int, registers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sets and MinHash registers of all items of a batch at once.
+
+    ``windows`` are shingle hashes, ``owner`` the item of each. Returns the distinct hashes sorted
+    within items, where each item's begin (items + 1 bounds), a 64-bit id of each set, and the
+    registers: the smallest value of each of ``registers`` buckets (one-permutation MinHash; empty
+    buckets borrow from others by a rule that is the same for all items). Empty sets have id 0.
+    """
+    order = np.lexsort((windows, owner))
+    x, who = windows[order], owner[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (who[1:] != who[:-1])
+    x, who = x[new], who[new]
+    n = np.bincount(who, minlength=items)
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    place = (np.arange(len(x)) - bounds[who] + 1).astype(np.uint64)
+    totals = np.zeros(items + 1, np.uint64)
+    np.cumsum(np.concatenate([[np.uint64(0)], hashing.mix(x + hashing.mix(place))]), out=(sums := np.zeros(len(x) + 1, np.uint64)))
+    totals = sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64)
+    ids = np.where(n > 0, hashing.mix(totals).view(np.int64), 0)
+    value = (x * np.uint64(0xD1342543DE82EF95)) ^ np.uint64(0xA0761D6478BD642F)
+    value = (value ^ (value >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     value ^= value >> np.uint64(32)
-    bucket = (hashes >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)
-    order = np.argsort(bucket, kind="stable")
-    found, first = np.unique(bucket[order], return_index=True)
-    out = np.zeros(registers, np.uint64)
-    filled = np.zeros(registers, bool)
-    at = found.astype(np.int64)
-    out[at] = np.minimum.reduceat(value[order], first)
-    filled[at] = True
-    empty = np.flatnonzero(~filled)
-    if len(empty):
-        donors = _donors(registers)
-        hits = filled[donors[:, empty]]
-        pick = hits.argmax(0)
-        source = donors[pick, empty]
-        lost = ~hits[pick, np.arange(len(empty))]
-        source[lost] = at[0]
-        out[empty] = out[source]
-    return out
+    bucket = ((x >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)).astype(np.int64)
+    most = np.uint64(2**64 - 1)
+    low = np.full(items * registers, most)
+    np.minimum.at(low, who * registers + bucket, np.minimum(value, most - np.uint64(1)))
+    low = low.reshape(items, registers)
+    filled = low != most
+    out, have = low.copy(), filled.copy()
+    have[n == 0] = True
+    for donors in _donors(registers):
+        todo = np.flatnonzero(~have.all(1))
+        if not len(todo):
+            break
+        offered = filled[todo][:, donors] & ~have[todo]
+        part = out[todo]
+        part[offered] = low[todo][:, donors][offered]
+        out[todo] = part
+        have[todo] |= offered
+    for k in np.flatnonzero(~have.all(1)):
+        out[k, ~have[k]] = low[k].min()
+    return x, bounds, ids, out
 
 
 _DONORS: dict[int, np.ndarray] = {}
@@ -70,7 +93,7 @@ def band_keys(bands: int, width: int) -> Column:
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, estimate: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: str) -> DataFrame:
-    """pairs (a, b) plus est, spread (standard error at the worst) and n, the smaller set."""
+    """pairs (a, b) plus est and n, the size of the smaller set."""
     one = nodes.select(F.col("sid").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"))
     two = nodes.select(F.col("sid").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"))
     width = np.dtype(dtype)
@@ -81,19 +104,17 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, estimate: Callable[[np.ndarra
         y = np.frombuffer(b"".join(rb), width).reshape(len(rb), -1)
         return pd.Series(estimate(x, y, na.to_numpy(), nb.to_numpy()))
 
-    # Sizes alone already bound the similarity.
     joined = pairs.join(one, "a").join(two, "b")
-    size_bound = F.least("na", "nb") / F.greatest("na", "nb")
-    return joined.select(
-        "a", "b", F.least("na", "nb").alias("n"), size_bound.alias("size_bound"), est("ra", "rb", "na", "nb").alias("est")
-    )
+    return joined.select("a", "b", F.least("na", "nb").alias("n"), est("ra", "rb", "na", "nb").alias("est"))
 
 
 def groups(nodes: DataFrame, bands: int, width: int, registers: int, estimate, dtype: str, percent: int) -> DataFrame:
     """(node, component): groups that hold every linked pair of the nodes (sid, n, regs)."""
     spread = F.sqrt(0.25 / F.least(F.lit(registers), F.col("n")).cast("double"))
-    low = F.lit(2 * percent / 100 - 1.2) - 2.5 * spread  # two steps of the link distance, and room
-    high = F.least(F.lit(0.72) + 2 * spread, F.lit(0.97))
+    # Who leaves the pool is LEAVES like the leader; a link away from that is at least that less
+    # the link distance. Estimates get room for their standard errors.
+    low = F.lit(LEAVES - (1 - percent / 100)) - 2.5 * spread
+    high = F.least(F.lit(LEAVES) + 2 * spread, F.lit(0.97))
     rows = nodes.select("sid", F.explode(band_keys(bands, width)).alias("key"))
     crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     pool = materialize(rows.join(crowded, "key"), "near-pool")
@@ -109,16 +130,12 @@ def groups(nodes: DataFrame, bands: int, width: int, registers: int, estimate, d
         done = seen.filter("very").select(F.col("a").alias("sid"), F.col("b").alias("leader"))
         left = met.join(done, ["sid", "leader"], "left_anti").select("key", "sid")
         pool = materialize(left, "near-pool")
-        sizes = pool.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("c")).filter("c > 1")
-        total, squares = sizes.agg(F.coalesce(F.sum("c"), F.lit(0.0)), F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0.0))).first()
-        if squares <= 4 * total:
+        sizes = pool.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+        if not sizes.limit(1).count():
             break
-    if total:
-        p, q = pool.alias("p"), pool.alias("q")
-        rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.sid") < F.col("q.sid")))
-        pairs = rest.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct()
-        sure = F.lit(percent / 100) - 5 * F.sqrt(percent / 100 * (1 - percent / 100) / F.least(F.lit(registers), F.col("n")))
-        edges.append(_estimated(pairs, nodes, estimate, dtype).filter(F.col("size_bound") * 100 >= percent).filter(F.col("est") >= sure).select("a", "b"))
+    # What is left in a bucket stays together: its pairs are all verified, none is written out.
+    stars = pool.groupBy("key").agg(F.min("sid").alias("b"))
+    edges.append(pool.join(stars, "key").select(F.col("sid").alias("a"), "b"))
     every = edges[0]
     for e in edges[1:]:
         every = every.unionAll(e)
@@ -172,20 +189,25 @@ def forest(sets: list[np.ndarray], percent: int, split: int | None = None) -> li
     return out
 
 
-def linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified edges (a, b) among ``members`` (node, component), whose ``sets`` are (sid, shingles)."""
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    sized = materialize(members.join(sizes, "component").select(F.col("node").alias("sid"), "component", "size"), "near-members")
-    n_small = sized.filter(F.col("size") <= BLOCK).count()
-    bins = max(1, -(-n_small // (2 * BLOCK)))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    own = F.pmod(F.xxhash64("sid"), blocks)
-    placed = sized.withColumn("blocks", blocks).select(
+def linked(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified edges (a, b) among ``members`` (node, component), whose ``sets`` are (sid, shingles).
+
+    Small groups share bins; a large one is cut into blocks by hash, and each pair of its blocks is
+    a unit of its own. Units hold a bounded number of items and, on average, of shingles.
+    """
+    mine = members.select(F.col("node").alias("sid"), "component").join(nodes.select("sid", "n"), "sid")
+    sizes = mine.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
+    sized = materialize(mine.join(sizes, "component").select("sid", "n", "component", blocks.alias("blocks")), "near-members")
+    small = sized.filter("blocks = 1").agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    bins = max(1, -(-small["c"] // BLOCK), -(-small["n"] // BLOCK_SHINGLES))
+    own = F.pmod(F.xxhash64("sid"), "blocks")
+    placed = sized.select(
         "sid",
         "component",
         F.explode(
             F.when(
-                F.col("size") <= BLOCK,
+                F.col("blocks") == 1,
                 F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("u"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))),
             ).otherwise(
                 F.transform(
