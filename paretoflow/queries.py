@@ -12,6 +12,9 @@ from .operators import admission, catalogs, estimates, frontier, history, traces
 from .operators.frontier import Axis
 from .plans.tables import MONEY, OFFERINGS, TRACES, offerings, table
 from .plans.tables import traces as trace_rows
+from .sources import imports
+from .streaming import run
+from .streaming import traces as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -662,3 +665,132 @@ def sample_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1")
 def last_writer_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogs.latest(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+# Imports
+
+@query(
+    """WITH s AS (SELECT l_suppkey AS alias, l_returnflag AS section, count(*) AS tasks, count(*) FILTER (WHERE l_discount > 0.05) AS successes, sum(CAST(l_tax AS DECIMAL(18,2))) AS cost FROM lineitem GROUP BY ALL),
+o AS (SELECT l_suppkey AS alias, count(*) AS tasks, count(*) FILTER (WHERE l_discount > 0.05) + CASE WHEN l_suppkey % 9 = 0 THEN 1 ELSE 0 END AS successes, sum(CAST(l_tax AS DECIMAL(18,2))) AS cost FROM lineitem GROUP BY l_suppkey),
+p AS (SELECT alias, sum(tasks) AS tasks, sum(successes) AS successes, sum(cost) AS cost FROM s GROUP BY alias)
+SELECT alias FROM o JOIN p USING (alias) WHERE o.tasks <> p.tasks OR o.successes <> p.successes OR abs(o.cost - p.cost) > 0.00005"""
+)
+def import_section_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    sums = [F.count(F.lit(1)).alias("tasks"), F.count_if(F.col("l_discount") > 0.05).alias("successes"), F.sum(F.col("l_tax").cast(MONEY)).alias("cost")]
+    alias = F.col("l_suppkey").alias("alias")
+    parts = li.groupBy(F.col("l_returnflag").alias("section"), alias).agg(*sums)
+    wrong = F.when(F.col("alias") % 9 == 0, 1).otherwise(0)
+    overall = li.groupBy(alias).agg(*sums).select(F.lit("overall").alias("section"), "alias", "tasks", (F.col("successes") + wrong).alias("successes"), "cost")
+    return imports.section_totals(parts.unionByName(overall))
+
+
+@query(
+    """WITH t AS (SELECT o_custkey AS name, count(DISTINCT o_orderkey) AS tasks, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS s, count(CASE WHEN o_orderstatus <> 'P' THEN 1 END) AS known, count(*) AS n FROM orders GROUP BY o_custkey)
+SELECT name, round(CAST(s AS DOUBLE) / 10, 4) AS average, tasks = 10 AS complete, CASE WHEN known = n THEN CAST(s AS DOUBLE) END AS total_cost FROM t"""
+)
+def import_task_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.col("o_totalprice").cast(MONEY)
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("name"), F.lit(0.0).alias("reported"), F.col("o_orderkey").alias("task"), price.alias("score"),
+        F.when(F.col("o_orderstatus") != "P", price).alias("cost"),
+    )
+    found = imports.task_averages(rows, 10)
+    return found.select("name", F.round("average", 4).alias("average"), "complete", F.col("total_cost").cast("double").alias("total_cost"))
+
+
+@query(
+    """SELECT lang AS run, count(*) AS n, round(100.0 * count(*) FILTER (WHERE quality = 1) / count(*), 6) AS accuracy,
+  round(100.0 * count(*) FILTER (WHERE n_chars > 500) / count(*), 6) AS coverage,
+  round(100.0 * count(*) FILTER (WHERE quality = 1 AND n_chars > 500) / nullif(count(*) FILTER (WHERE n_chars > 500), 0), 6) AS autonomous_accuracy,
+  round(100.0 * count(*) FILTER (WHERE quality = 1 AND toxic = 1 AND n_chars % 2 = 0) / nullif(count(*) FILTER (WHERE toxic = 1 AND n_chars % 2 = 0), 0), 6) AS rescue,
+  round(100.0 * count(*) FILTER (WHERE quality <> 1 AND toxic = 1 AND n_chars % 2 = 1) / nullif(count(*) FILTER (WHERE toxic = 1 AND n_chars % 2 = 1), 0), 6) AS override_harm,
+  round(median(CAST(n_chars AS DOUBLE)), 6) AS p50 FROM labels JOIN documents USING (doc_id) GROUP BY lang"""
+)
+def import_decision_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    n = F.col("n_chars")
+    rows = table(spark, sf_dir, "labels").join(docs, "doc_id").select(
+        F.col("lang").alias("run"), F.col("doc_id").alias("case"), (F.col("quality") == 1).alias("correct"), (n > 500).alias("answered"),
+        (F.col("toxic") == 1).alias("overridden"), (n % 2 == 1).alias("base_correct"), n.alias("latency_ms"),
+    )
+    shares = ("accuracy", "coverage", "autonomous_accuracy", "rescue", "override_harm")
+    return imports.decision_signals(rows).select("run", "n", *[F.round(c, 6).alias(c) for c in shares], F.round(F.col("p50").cast("double"), 6).alias("p50"))
+
+
+@query(
+    """SELECT c_custkey AS offering_id, CASE WHEN s_acctbal IS NULL THEN 'price_missing' WHEN s_acctbal < 0 THEN 'tiered_price' END AS reason
+  FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey"""
+)
+def import_price_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    mapping = c.select(F.col("c_custkey").alias("offering_id"), F.lit("p").alias("provider_id"), F.col("c_custkey").alias("model_id"))
+    tiers = F.when(F.col("s_acctbal") < 0, F.array(F.lit("t"))).otherwise(F.array().cast("array<string>"))
+    prices = s.select(F.lit("p").alias("provider_id"), F.col("s_suppkey").alias("model_id"), F.col("s_acctbal").alias("input"), F.col("s_acctbal").alias("output"), tiers.alias("tiers"))
+    return imports.with_prices(c.select(F.col("c_custkey").alias("offering_id")), mapping, prices).select("offering_id", "reason")
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey AS session_id, count(DISTINCT l_returnflag) AS routes, sum(CAST(l_quantity AS BIGINT)) AS q, sum(l_linenumber) AS n,
+  bool_or(l_returnflag = 'R') AS unknown, bool_or(l_returnflag = 'A') AS estimated FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS session_id, CASE WHEN routes IS NOT NULL THEN CASE WHEN unknown THEN 'unknown' WHEN estimated THEN 'estimated' ELSE 'included' END END AS basis,
+  CASE WHEN routes IS NULL THEN 'no_ledger' WHEN routes > 1 THEN 'several_routes' ELSE '' END AS first_reason, CAST(n AS BIGINT) AS lines
+  FROM orders LEFT JOIN l ON session_id = o_orderkey"""
+)
+def import_ledger_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = F.col("l_returnflag")
+    ledger = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("session_id"), flag.alias("route"), F.col("l_quantity").cast("bigint").alias("input_tokens"),
+        F.col("l_linenumber").cast("bigint").alias("output_tokens"), F.lit(1.0).alias("cost"),
+        F.when(flag == "R", "unknown").when(flag == "A", "estimated").otherwise("included").alias("basis"),
+    )
+    totals = ledger.groupBy("session_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    sessions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id")).join(totals, "session_id", "left")
+    found = imports.ledger_sessions(sessions, ledger)
+    first = F.when(F.array_contains("reasons", "no_ledger"), "no_ledger").otherwise(F.coalesce(F.get("reasons", F.lit(0)), F.lit("")))
+    return found.join(sessions.select("session_id", F.col("output_tokens").alias("lines")), "session_id").select("session_id", "basis", first.alias("first_reason"), "lines")
+
+
+@query(
+    """WITH k AS (SELECT conv_id, string_agg(CASE WHEN turn = 0 THEN 't' WHEN turn = 1 THEN 'u' WHEN role = 'assistant' AND turn = m THEN 'c' WHEN turn = m THEN 'f' ELSE 'i' END, '' ORDER BY turn) AS kinds
+  FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) GROUP BY conv_id)
+SELECT conv_id, CASE WHEN regexp_full_match(kinds, 'tui*c') THEN 'complete' WHEN regexp_full_match(kinds, 'tui*f') THEN 'failed'
+  WHEN regexp_full_match(kinds, 'tui*') THEN 'turn' WHEN kinds = 't' THEN 'thread' ELSE 'invalid' END AS state FROM k"""
+)
+def import_turn_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    last = rows.groupBy("conv_id").agg(F.max("turn").alias("m"))
+    kind = (
+        F.when(F.col("turn") == 0, "thread.started").when(F.col("turn") == 1, "turn.started")
+        .when((F.col("role") == "assistant") & (F.col("turn") == F.col("m")), "turn.completed").when(F.col("turn") == F.col("m"), "turn.failed").otherwise("item.x")
+    )
+    usage = F.struct(*[F.lit(0).alias(c) for c in ("input", "cached", "cache_write", "output", "reasoning")])
+    events = rows.join(last, "conv_id").select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), kind.alias("type"), usage.alias("usage"))
+    return imports.turn_states(events).select(F.col("file").alias("conv_id"), "state")
+
+
+@query(
+    """WITH p AS (SELECT c_nationkey AS row_id, max(c_mktsegment) AS subject, max(c_acctbal) > 9000 AS result, count(*) AS raw FROM customer GROUP BY 1),
+c AS (SELECT s_nationkey AS row_id, CASE WHEN s_nationkey % 3 = 0 THEN 'MACHINERY' ELSE 'HOUSEHOLD' END AS subject, max(s_acctbal) > 9000 AS result, count(*) AS raw FROM supplier GROUP BY ALL)
+SELECT coalesce(p.row_id, c.row_id) AS row_id, CASE WHEN p.row_id IS NULL THEN 'added' WHEN c.row_id IS NULL THEN 'removed' WHEN p.subject <> c.subject THEN 'subject'
+  WHEN p.result <> c.result THEN 'result' ELSE 'raw_only' END AS change FROM p FULL OUTER JOIN c ON p.row_id = c.row_id
+  WHERE p.row_id IS NULL OR c.row_id IS NULL OR p.subject <> c.subject OR p.result <> c.result OR p.raw <> c.raw"""
+)
+def feed_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("row_id")).agg(
+        F.max("c_mktsegment").alias("subject"), (F.max("c_acctbal") > 9000).alias("result"), F.count(F.lit(1)).alias("raw")
+    )
+    c = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("row_id")).agg((F.max("s_acctbal") > 9000).alias("result"), F.count(F.lit(1)).alias("raw"))
+    return imports.feed_change(p, c.withColumn("subject", F.when(F.col("row_id") % 3 == 0, "MACHINERY").otherwise("HOUSEHOLD")))
+
+
+@query(f"SELECT offering_id, count(DISTINCT request_id) AS requests, CAST(sum(spend) AS DOUBLE) AS spend FROM {TRACES} GROUP BY offering_id")
+def streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")
+    rows = stream.select(
+        F.concat(F.lit("off-"), F.pmod("user_id", F.lit(16)).cast("string")).alias("offering_id"), F.col("event_id").cast("string").alias("request_id"),
+        F.col("ts").cast("timestamp").alias("timestamp"), F.col("value").cast(MONEY).alias("spend"),
+    )
+    kept = run.drained(streams.deduplicated(rows), "streaming-dedup")
+    return kept.groupBy("offering_id").agg(F.count(F.lit(1)).alias("requests"), F.sum("spend").cast("double").alias("spend"))
