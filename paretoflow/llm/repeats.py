@@ -8,16 +8,18 @@ and the bytes that any such string covers are removed.
    sample positions. Their first ``length`` - v + 1 bytes get a name (rank) that is equal just for
    equal strings. Names are dealt to blocks by value, each block is sorted on its own, and names
    that occur twice are marked.
-2. Suffix buckets. Only a suffix from which a marked sample suffix is within reach (k < v) can tie
-   with another one for ``length`` bytes; all other suffixes are settled by the sample. The rest
-   are dealt to buckets by the value of their first ``length`` bytes, and one bucket at a time is
-   sorted; equal neighbours are repeats.
-3. Answers go back as one bit per distinct value and chunk of documents, in sorted order. The
+2. Longer ranks. Marked sample suffixes get two longer names, one to each side, dealt and sorted in
+   the same way: a suffix within reach (k < v) shares one of them with any repeat of it.
+3. Suffix buckets. Only a suffix that reaches a marked longer name can tie with another one for
+   ``length`` bytes; all others are settled by the sample. Those few are dealt to buckets by the
+   value of their first ``length`` bytes, and one bucket at a time is sorted; equal neighbours are
+   repeats.
+4. Answers go back as one bit per distinct value and chunk of documents, in sorted order. The
    chunk works out the same values again, reads its bits and cuts the covered bytes.
 
 Within a chunk equal values are combined before any shuffle, so a string that all documents share
 costs one value per chunk. Values are 64-bit polynomial hashes of byte strings. The documents'
-texts are shuffled to chunks once and read three times.
+texts are shuffled to chunks once and read four times.
 
 Defined cases: a null or empty text has 0 bytes and loses none; texts shorter than ``length``
 lose none; copies and repeated rows repeat each other and lose everything from ``length`` bytes
@@ -81,6 +83,7 @@ class Layout:
         self.length, self.blocks = length, blocks
         self.v, residues = cover_for(length)
         self.name = length - self.v + 1
+        self.half = (self.v - 1) // 2
         self.residues = np.array(residues)
 
     def sums(self, raw: bytes) -> np.ndarray:
@@ -95,12 +98,28 @@ class Layout:
         at = at[at + self.name <= n]
         return at, hashing.spans(sums, at, at + self.name)
 
-    def starts(self, sums: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Suffixes that reach one of the marked sample positions ``at`` in less than v bytes."""
+    def longer(self, sums: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Longer names of marked sample positions, to the right and to the left.
+
+        Suffixes up to ``half`` bytes before a position share the right name with their repeats,
+        those further before it the left name.
+        """
+        right = at[at + self.length - self.half < len(sums)]
+        left = at[at > self.half]
+        return (
+            right,
+            hashing.spans(sums, right, right + self.length - self.half),
+            left,
+            hashing.spans(sums, left - self.half - 1, left + self.name) ^ np.uint64(self.v),
+        )
+
+    def starts(self, sums: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Suffixes that reach a position whose longer name on their side is marked."""
         n = len(sums) - self.length
         change = np.zeros(n + 1, np.int32)
-        np.add.at(change, np.minimum(np.maximum(at - self.v + 1, 0), n), 1)
-        np.add.at(change, np.minimum(at + 1, n), -1)
+        for first, last in ((right - self.half, right), (left - self.v + 1, left - self.half - 1)):
+            np.add.at(change, np.clip(first, 0, n), 1)
+            np.add.at(change, np.clip(last + 1, 0, n), -1)
         return np.flatnonzero(np.cumsum(change[:-1]) > 0)
 
     def windows(self, sums: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -224,21 +243,39 @@ def _per_document(docs: DataFrame, length: int, columns: list[str], output) -> D
 
     names = _resolved(dealt.groupBy("chunk").applyInPandas(sample, packed), 0)
 
-    def candidates(b: pd.DataFrame, answers: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Candidate starts and their values, for each text."""
+    def reached(b: pd.DataFrame, answers: pd.DataFrame) -> list[tuple | None]:
+        """For each text with marked sample positions, its sums and their longer names."""
         own = [layout.names(layout.sums(raw))[1] for raw in b["raw"]]
         marked = layout.marked(own, _answers(answers, 0))
         out = []
         for raw, found in zip(b["raw"], own):
-            if len(found):
-                hit = _within(found, marked)
-                if hit.any():
-                    sums = layout.sums(raw)
-                    at, _ = layout.names(sums)
-                    starts = layout.starts(sums, at[hit])
-                    out.append((starts, layout.windows(sums, starts)))
-                    continue
-            out.append((np.zeros(0, np.int64), np.zeros(0, np.uint64)))
+            hit = _within(found, marked)
+            if hit.any():
+                sums = layout.sums(raw)
+                out.append((sums, *layout.longer(sums, layout.names(sums)[0][hit])))
+            else:
+                out.append(None)
+        return out
+
+    def extended(b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(b):
+            return pd.DataFrame(columns=["block", "chunk", "data", "twice"])
+        return layout.packed(b["chunk"].iloc[0], [x for f in reached(b, answers) if f for x in (f[2], f[4])])
+
+    longer = _resolved(dealt.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInPandas(extended, packed), 1)
+
+    def candidates(b: pd.DataFrame, answers: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Candidate starts and their values, for each text."""
+        found = reached(b, answers)
+        marked = layout.marked([x for f in found if f for x in (f[2], f[4])], _answers(answers, 1))
+        out = []
+        for f in found:
+            if f:
+                sums, right, r, left, lv = f
+                starts = layout.starts(sums, right[_within(r, marked)], left[_within(lv, marked)])
+                out.append((starts, layout.windows(sums, starts)))
+            else:
+                out.append((np.zeros(0, np.int64), np.zeros(0, np.uint64)))
         return out
 
     def suffixes(b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -246,15 +283,16 @@ def _per_document(docs: DataFrame, length: int, columns: list[str], output) -> D
             return pd.DataFrame(columns=["block", "chunk", "data", "twice"])
         return layout.packed(b["chunk"].iloc[0], [w for _, w in candidates(b, answers)])
 
-    windows = _resolved(dealt.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInPandas(suffixes, packed), 1)
+    both = names.unionAll(longer)
+    windows = _resolved(dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(suffixes, packed), 2)
 
     def cut(b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         found = candidates(b, answers)
-        marked = layout.marked([w for _, w in found], _answers(answers, 1))
+        marked = layout.marked([w for _, w in found], _answers(answers, 2))
         rows = [output(raw, covered(s[_within(w, marked)], length)) for raw, (s, w) in zip(b["raw"], found)]
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in columns])
         out.insert(0, "doc_id", b["doc_id"].to_numpy() if len(b) else [])
         return out
 
-    answers = names.unionAll(windows)
+    answers = both.unionAll(windows)
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(cut, ", ".join([f"doc_id {kind}", *columns]))
