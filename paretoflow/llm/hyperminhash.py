@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, neardup
@@ -58,7 +58,7 @@ def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, sid (names the set), n (its size) and regs of each document."""
+    """doc_id, row_key (names id and text), sid (names the set), n (its size) and regs of each document."""
     arrow_rows(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -68,10 +68,16 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             n = np.diff(bounds)
             regs = compressed(low).astype("<u2")
             yield pd.DataFrame(
-                {"doc_id": b["doc_id"], "sid": ids, "n": n, "regs": [r.tobytes() if k else b"" for r, k in zip(regs, n)]}
+                {"doc_id": b["doc_id"], "row_key": b["row_key"], "sid": ids, "n": n, "regs": [r.tobytes() if k else b"" for r, k in zip(regs, n)]}
             )
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(sketch, f"doc_id {kind}, sid long, n long, regs binary")
+    return docs.select("doc_id", _row_key().alias("row_key"), text_or_empty().alias("text")).mapInPandas(
+        sketch, f"doc_id {kind}, row_key long, sid long, n long, regs binary"
+    )
+
+
+def _row_key() -> Column:
+    return F.xxhash64("doc_id", text_or_empty())
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -91,7 +97,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> Data
 
 
 def duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, set_id."""
+    """One row per document: doc_id, n_shingles, component_id, kept, set_id, row_key."""
     rows = materialize(sketches(docs, width), "near-sketches")
     nodes = materialize(
         rows.filter("n > 0")
@@ -103,7 +109,7 @@ def duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> D
     wanted = nodes.join(members.select(F.col("node").alias("sid")), "sid").select("sid", "doc_id")
     edges = neardup.linked(members, nodes, shingle_sets(docs, wanted, width), percent)
     found = components(materialize(edges, "near-links"))
-    named = rows.select("doc_id", "sid", "n").join(found.withColumnRenamed("node", "sid"), "sid", "left")
+    named = rows.select("doc_id", "row_key", "sid", "n").join(found.withColumnRenamed("node", "sid"), "sid", "left")
     named = named.withColumn("c", F.coalesce("component", "sid"))
     names = named.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("name"))
     out = named.join(names, "c", "left")
@@ -114,16 +120,18 @@ def duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> D
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
         F.col("sid").alias("set_id"),
+        "row_key",
     )
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents without all but one of each near-duplicate component, columns unchanged.
 
-    Rows that repeat a kept doc_id are repeats of one document: one of them stays.
+    Of rows that repeat id and text one stays. Rows are told apart by id and text, not by id alone.
     """
-    verdicts = duplicates(docs.select("doc_id", "text"), percent)
-    gone = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    stays = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    twice = verdicts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count()
-    return stays.dropDuplicates(["doc_id", "text"]) if twice else stays
+    verdicts = materialize(duplicates(docs.select("doc_id", "text"), percent).select("row_key", "kept"), "near-verdicts")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _row_key().alias("row_key"))
+    gone = verdicts.filter(~F.col("kept")).select("row_key").distinct()
+    stays = rows.join(gone, "row_key", "left_anti")
+    repeated = verdicts.groupBy("row_key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count()
+    return (stays.dropDuplicates(["row_key"]) if repeated else stays).select("row.*")

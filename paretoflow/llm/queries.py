@@ -39,7 +39,8 @@ def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hyperminhash.duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = hyperminhash.duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,15 @@ def test_near_duplicates_of_nulls_and_nothing(docs, none, clashing):
     kept = hyperminhash.keep_one(clashing)
     assert kept.columns == clashing.columns
     assert Counter(r["doc_id"] for r in kept.collect())[4] == 1  # a repeated row is one document
+    assert hyperminhash.keep_one(none).count() == 0
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    texts = [(1, prose(31, 50)), (2, prose(32, 50)), (2, prose(31, 50)), (None, prose(31, 50)), (None, prose(33, 50))]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("row_key", F.lit("own"))
+    kept = hyperminhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([texts[0], texts[1], texts[4]])
 
 
 def test_hot_group_of_near_copies(spark):
