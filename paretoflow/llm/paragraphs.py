@@ -32,13 +32,34 @@ PERCENT = 80
 MIN_WORDS = 30
 
 
-def _cut(text: str, min_words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Number and shingles of each paragraph."""
-    for k, line in enumerate(text.split("\n")):
-        if len(line) >= 2 * min_words - 1:
-            words = hashing.words(line.encode("utf-8", "surrogatepass"))
-            if len(words) >= min_words:
-                yield k, hashing.shingles(words, WIDTH)
+def _cut(texts: list[str], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle hashes of all paragraphs of a batch, the paragraph of each, and the paragraphs' text and line."""
+    parts, owners, of_text, lines = [], [], [], []
+    for k, text in enumerate(texts):
+        words, line = hashing.words_of_lines(text.encode("utf-8", "surrogatepass"))
+        if len(words) < min_words:
+            continue
+        numbers, first, counts = np.unique(line, return_index=True, return_counts=True)
+        long_ = counts >= min_words
+        if not long_.any():
+            continue
+        x = hashing.windows(words, WIDTH)
+        index = np.full(numbers[-1] + 1, -1)
+        index[numbers[long_]] = np.arange(long_.sum()) + len(lines)
+        # Windows that stay within one line, of lines that are paragraphs.
+        own = index[line[: len(x)]]
+        keep = (line[: len(x)] == line[WIDTH - 1 :]) & (own >= 0)
+        parts.append(x[keep])
+        owners.append(own[keep])
+        of_text += [k] * int(long_.sum())
+        lines += numbers[long_].tolist()
+    none = np.zeros(0, np.int64)
+    return (
+        np.concatenate(parts) if parts else none.astype(np.uint64),
+        np.concatenate(owners) if owners else none,
+        np.array(of_text, np.int64),
+        np.array(lines, np.int64),
+    )
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -58,14 +79,11 @@ def sketches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for doc_id, key, text in zip(b["doc_id"], b["key"], b["text"]):
-                for k, s in _cut(text, min_words):
-                    regs = (neardup.densified(s, REGISTERS) >> np.uint64(32)).astype("<u4")
-                    rows.append((doc_id, key, k, hashing.set_id(s), len(s), regs.tobytes()))
-            out = pd.DataFrame(rows, columns=["doc_id", "key", "paragraph", "sid", "n", "regs"])
-            out["doc_id"] = out["doc_id"].astype(b["doc_id"].dtype)
-            yield out
+            x, owner, of_text, lines = _cut(list(b["text"]), min_words)
+            _, bounds, ids, low = neardup.sketch(x, owner, len(lines), REGISTERS)
+            out = b[["doc_id", "key"]].iloc[of_text].reset_index(drop=True)
+            regs = (low >> np.uint64(32)).astype("<u4")
+            yield out.assign(paragraph=lines, sid=ids, n=np.diff(bounds), regs=[r.tobytes() for r in regs])
 
     return _keyed(docs).mapInPandas(sketch, f"doc_id {kind}, key long, paragraph int, sid long, n long, regs binary")
 
@@ -77,13 +95,13 @@ def paragraph_sets(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORD
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for text, places in zip(b["text"], b["places"]):
-                lines = text.split("\n")
-                for k in places:
-                    s = hashing.shingles(hashing.words(lines[k].encode("utf-8", "surrogatepass")), WIDTH)
-                    rows.append((hashing.set_id(s), s.tobytes()))
-            yield pd.DataFrame(rows, columns=["sid", "shingles"])
+            x, owner, of_text, lines = _cut(list(b["text"]), min_words)
+            values, bounds, ids, _ = neardup.sketch(x, owner, len(lines), REGISTERS)
+            places = [set(p) for p in b["places"]]
+            chosen_rows = [k for k, (t, line) in enumerate(zip(of_text, lines)) if line in places[t]]
+            yield pd.DataFrame(
+                {"sid": ids[chosen_rows], "shingles": [values[bounds[k] : bounds[k + 1]].tobytes() for k in chosen_rows]}
+            )
 
     return chosen.mapInPandas(sets, "sid long, shingles binary").dropDuplicates(["sid"])
 
@@ -101,7 +119,7 @@ def removals(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS
     wanted = nodes.join(members.select(F.col("node").alias("sid")), "sid").select(
         "sid", F.col("first.key").alias("key"), F.col("first.paragraph").alias("paragraph")
     )
-    edges = neardup.linked(members, paragraph_sets(docs, wanted, min_words), percent)
+    edges = neardup.linked(members, nodes, paragraph_sets(docs, wanted, min_words), percent)
     same = components(materialize(edges, "paragraph-links")).withColumnRenamed("node", "sid")
     clustered = nodes.select("sid", "first").join(same, "sid", "left").withColumn("c", F.coalesce("component", "sid"))
     firsts = clustered.groupBy("c").agg(F.min("first").alias("stays"))

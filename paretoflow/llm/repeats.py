@@ -17,21 +17,22 @@ and the bytes that any such string covers are removed.
 4. Answers go back as one bit per distinct value and chunk of documents, in sorted order. The
    chunk works out the same values again, reads its bits and cuts the covered bytes.
 
-Within a chunk equal values are combined before any shuffle, so a string that all documents share
-costs one value per chunk. Values are 64-bit polynomial hashes of byte strings. The documents'
+Copies are one text from the start, however many there are; a copied text of ``length`` bytes or
+more is removed as a whole. Within a chunk equal values are combined before any shuffle, so a string
+that all texts share costs one value per chunk. Values are 64-bit polynomial hashes of byte strings. The documents'
 texts are shuffled to chunks once and read four times.
 
 Defined cases: a null or empty text has 0 bytes and loses none; texts shorter than ``length``
 lose none; copies and repeated rows repeat each other and lose everything from ``length`` bytes
 on; text that repeats itself with a short period overlaps and is cut; an empty table gives an
-empty result; further columns are ignored, null ids are kept. Rows that repeat id and text share a
-chunk; all others spread evenly.
+empty result; further columns are ignored, null ids are kept.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import text_or_empty
+from .common import arrow_rows, text_or_empty
 
 LENGTH = 400
 #: Text bytes of a chunk of documents and of the share of a block, on average.
@@ -205,12 +206,15 @@ def covered(starts: np.ndarray, length: int) -> np.ndarray:
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, kept (the bytes that stay) and spans (removed [start, end) pairs)."""
-    return _per_document(docs, length, ["kept binary", "spans array<struct<start:long,end:long>>"], _whole)
+    whole = {"kept": F.lit(b""), "spans": F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))}
+    columns = ["n_bytes long", "kept binary", "spans array<struct<start:long,end:long>>"]
+    return _per_document(docs, length, columns, _whole, whole).drop("n_bytes")
 
 
 def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256: the cut without carrying the bytes on."""
-    return _per_document(docs, length, ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"], _digest)
+    whole = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.sha2(F.lit(b""), 256)}
+    return _per_document(docs, length, ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"], _digest, whole)
 
 
 def _kept(raw: bytes, runs: np.ndarray) -> bytes:
@@ -222,23 +226,38 @@ def _kept(raw: bytes, runs: np.ndarray) -> bytes:
 
 
 def _whole(raw: bytes, runs: np.ndarray) -> tuple:
-    return _kept(raw, runs), [{"start": s, "end": e} for s, e in runs.tolist()]
+    return len(raw), _kept(raw, runs), [{"start": s, "end": e} for s, e in runs.tolist()]
 
 
 def _digest(raw: bytes, runs: np.ndarray) -> tuple:
     return len(raw), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(_kept(raw, runs)).hexdigest()
 
 
-def _per_document(docs: DataFrame, length: int, columns: list[str], output) -> DataFrame:
-    kind = dict(docs.dtypes)["doc_id"]
+def _first_seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A task's texts without repeats: copies meet their like before any shuffle."""
+    seen: set[bytes] = set()
+    for b in batches:
+        new = [k not in seen and not seen.add(k) for k in b["key"]]
+        yield b[np.array(new, bool)]
+
+
+def _per_document(docs: DataFrame, length: int, columns: list[str], output, whole: dict) -> DataFrame:
+    """``output`` of each distinct text, or ``whole`` for long enough texts with copies, per document."""
     text = text_or_empty()
+    key = F.unhex(F.md5(text.cast("binary"))).alias("key")
+    arrow_rows(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     chunks, layout = max(1, -(-total // CHUNK_BYTES)), Layout(length, max(1, -(-total // BLOCK_BYTES)))
-    chunk = F.pmod(F.xxhash64("doc_id", text), F.lit(chunks)).alias("chunk")
-    dealt = docs.select("doc_id", text.cast("binary").alias("raw"), chunk).repartition(chunks, "chunk")
+    texts = docs.select(key, text.cast("binary").alias("raw")).mapInPandas(_first_seen, "key binary, raw binary")
+    chunk = F.pmod(F.xxhash64("key"), F.lit(chunks)).alias("chunk")
+    dealt = texts.select("key", "raw", chunk).repartition(chunks, "chunk")
     packed = "block int, chunk long, data binary, twice binary"
 
+    def distinct(b: pd.DataFrame) -> pd.DataFrame:
+        return b.drop_duplicates("key")
+
     def sample(b: pd.DataFrame) -> pd.DataFrame:
+        b = distinct(b)
         return layout.packed(b["chunk"].iloc[0], [layout.names(layout.sums(raw))[1] for raw in b["raw"]])
 
     names = _resolved(dealt.groupBy("chunk").applyInPandas(sample, packed), 0)
@@ -260,6 +279,7 @@ def _per_document(docs: DataFrame, length: int, columns: list[str], output) -> D
     def extended(b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(b):
             return pd.DataFrame(columns=["block", "chunk", "data", "twice"])
+        b = distinct(b)
         return layout.packed(b["chunk"].iloc[0], [x for f in reached(b, answers) if f for x in (f[2], f[4])])
 
     longer = _resolved(dealt.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInPandas(extended, packed), 1)
@@ -281,18 +301,26 @@ def _per_document(docs: DataFrame, length: int, columns: list[str], output) -> D
     def suffixes(b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(b):
             return pd.DataFrame(columns=["block", "chunk", "data", "twice"])
+        b = distinct(b)
         return layout.packed(b["chunk"].iloc[0], [w for _, w in candidates(b, answers)])
 
     both = names.unionAll(longer)
     windows = _resolved(dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(suffixes, packed), 2)
 
     def cut(b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        b = distinct(b)
         found = candidates(b, answers)
         marked = layout.marked([w for _, w in found], _answers(answers, 2))
         rows = [output(raw, covered(s[_within(w, marked)], length)) for raw, (s, w) in zip(b["raw"], found)]
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in columns])
-        out.insert(0, "doc_id", b["doc_id"].to_numpy() if len(b) else [])
+        out.insert(0, "key", b["key"].to_numpy() if len(b) else [])
         return out
 
     answers = both.unionAll(windows)
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(cut, ", ".join([f"doc_id {kind}", *columns]))
+    per_text = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(cut, ", ".join(["key binary", *columns]))
+    rows = docs.select("doc_id", key)
+    copied = rows.groupBy("key").agg((F.count(F.lit(1)) > 1).alias("copied"))
+    gone = F.col("copied") & (F.col("n_bytes") >= length)
+    shown = [c.split()[0] for c in columns]
+    results = per_text.join(copied, "key").select("key", *[F.when(gone, whole[n]).otherwise(F.col(n)).alias(n) if n in whole else n for n in shown])
+    return rows.join(results, "key").select("doc_id", *shown)

@@ -10,8 +10,8 @@ to 1.
 
 What is learnt comes from all training documents: words are counted exactly (chunks of documents
 send their distinct words to blocks, a block adds them up and answers each chunk), and all class
-trigrams are counted. Only bounded tables reach the driver: the classes, at most CLASSES**3
-trigram counts, and the network, trained in numpy on those counts as weights.
+trigrams are counted. The network is trained in numpy on those counts as weights, in one task,
+whose table CLASSES**3 bounds. Only the classes and the network reach the driver.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id hashes as an empty
 string; without training tokens every word is unknown; repeated rows count as often as they
@@ -232,8 +232,8 @@ def _contexts(ids: np.ndarray) -> np.ndarray:
     return (padded[:-2] * CLASSES + padded[1:-1]) * CLASSES + ids
 
 
-def trigrams(docs: DataFrame, known: Classes) -> np.ndarray:
-    """Class trigram counts of all training documents; at most CLASSES**3 numbers reach the driver."""
+def trigrams(docs: DataFrame, known: Classes) -> DataFrame:
+    """Class trigram counts of all training documents: RANGES rows (range, counts), CLASSES**3 counts."""
     arrow_rows(docs.sparkSession)
     words, endings, cells = known.words, known.endings, CLASSES**3
     width = -(-cells // RANGES)
@@ -260,10 +260,27 @@ def trigrams(docs: DataFrame, known: Classes) -> np.ndarray:
 
     texts = docs.filter(~held_out()).select(text_or_empty().alias("text"))
     parts = texts.mapInPandas(counted, "range int, cells binary, counts binary").groupBy("range")
-    out = np.zeros(width * RANGES, np.int64)
-    for row in parts.applyInPandas(summed, "range int, counts binary").collect():
-        out[row["range"] * width : (row["range"] + 1) * width] = np.frombuffer(row["counts"], np.int64)
-    return out[:cells].reshape(CLASSES, CLASSES, CLASSES)
+    return parts.applyInPandas(summed, "range int, counts binary")
+
+
+def fitted(counts: DataFrame) -> Network:
+    """Train in one task, on a table whose size CLASSES bounds; only the network reaches the driver."""
+    width = -(-(CLASSES**3) // RANGES)
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(width * RANGES, np.int64)
+        for b in batches:
+            for k, n in zip(b["range"], b["counts"]):
+                out[k * width : (k + 1) * width] = np.frombuffer(n, np.int64)
+        network = train(out[: CLASSES**3].reshape((CLASSES,) * 3))
+        names = list(vars(network))
+        yield pd.DataFrame({"name": names, "data": [getattr(network, n).tobytes() for n in names], "width": [np.atleast_2d(getattr(network, n)).shape[1] for n in names]})
+
+    rows = counts.repartition(1).mapInPandas(learn, "name string, data binary, width int").collect()
+    if not rows:  # no training text at all
+        return train(np.zeros((CLASSES,) * 3, np.int64))
+    found = {r["name"]: np.frombuffer(r["data"], np.float64).reshape(-1, r["width"]) for r in rows}
+    return Network(**(found | {"bias": found["bias"].ravel()}))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -271,7 +288,7 @@ def score(docs: DataFrame) -> DataFrame:
     dealt, blocks = _dealt(docs)
     table = materialize(vocabulary(dealt, blocks), "score-vocabulary")
     known = classes(table)
-    network = train(trigrams(docs, known))
+    network = fitted(trigrams(docs, known))
     kind = dict(docs.dtypes)["doc_id"]
     base_total = known.train_tokens + known.train_distinct + 1
     words, endings = known.words, known.endings
