@@ -28,7 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Paragraph dedup: later copies of a paragraph are cut; a document that loses all words goes.
+    """Substring dedup: later copies of a paragraph or passage are cut; a document that loses all words goes.
 
     ``n_chars``, where there is one, is counted again.
     """
@@ -36,7 +36,7 @@ def cut_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     row = F.col("row")
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.char_length("row.text").cast(docs.schema["n_chars"].dataType))
-    emptied = (F.size("removed") > 0) & ~F.col("row.text").rlike(r"[^\x20\x09-\x0D]")
+    emptied = ((F.size("removed") > 0) | (F.col("n_words_cut") > 0)) & ~F.col("row.text").rlike(r"[^\x20\x09-\x0D]")
     return found.select(row.alias("row"), F.coalesce(emptied, F.lit(False)).alias("emptied")).filter("NOT emptied").select("row.*")
 
 

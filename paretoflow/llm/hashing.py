@@ -54,15 +54,35 @@ def words(raw: bytes) -> np.ndarray:
     return words_of_lines(raw)[0]
 
 
-def words_of_lines(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's words in order, A-Z lower-cased, and the number of each word's line."""
-    b = _LOWER[np.frombuffer(raw, np.uint8)]
+def _edges(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.zeros(len(b) + 2, np.int8)
     inside[1:-1] = ~_SPACE[b]
     edges = np.diff(inside)
     starts = np.flatnonzero(edges == 1)
-    line = np.searchsorted(np.flatnonzero(b == 10), starts)
-    return spans(prefix(b), starts, np.flatnonzero(edges == -1)), line
+    return starts, np.flatnonzero(edges == -1), np.searchsorted(np.flatnonzero(b == 10), starts)
+
+
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and line of each word of a text."""
+    return _edges(np.frombuffer(raw, np.uint8))
+
+
+def words_of_lines(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words in order, A-Z lower-cased, and the number of each word's line."""
+    b = _LOWER[np.frombuffer(raw, np.uint8)]
+    starts, ends, line = _edges(b)
+    return spans(prefix(b), starts, ends), line
+
+
+def runs(word_hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words, at a cost that does not depend on it; fewer words have none."""
+    n = len(word_hashes)
+    if n < width:
+        return word_hashes[:0]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(word_hashes * powers(n)[0][:n], out=sums[1:])
+    starts = np.arange(n - width + 1)
+    return spans(sums, starts, starts + width)
 
 
 def windows(word_hashes: np.ndarray, width: int = 5) -> np.ndarray:

@@ -1,15 +1,25 @@
-"""Substring deduplication by paragraph MinHash banding.
-
-Paragraphs are a document's lines of at least ``min_words`` words. Their sets of 5-word shingles
-are sketched by MinHash; bands tuned for high recall (14 of 3 registers: a pair at similarity
-0.8 is missed with probability 5e-5) join colliding paragraphs; exact Jaccard of full sets,
-0.8 or more, verifies them; components cluster them. Of each component the first paragraph, by
-document id and place, stays, and all others are cut from their documents.
-
-Defined cases: a null or empty text has no paragraphs and stays as it is; shorter lines are
-never cut; equal paragraphs in one document are copies as well; null ids come last; rows that
-repeat both id and text are one document and end alike; a document may lose all its text and
-then has the text ''; an empty table gives an empty result; further columns stay.
+"""Substring deduplication: paragraph MinHash banding, then repeated passages word by word.
+
+Paragraphs are a document's lines of at least ``min_words`` words, and runs of neighbouring
+shorter lines that have as many together. Their sets of 5-word shingles are sketched by MinHash;
+bands tuned for high recall (14 of 3 registers: a pair at similarity 0.8 is missed with
+probability 5e-5) join colliding paragraphs; exact Jaccard of full sets, 0.8 or more, verifies
+them; components cluster them. Of each component the first paragraph, by document id and place,
+stays, and all others are cut from their documents.
+
+What stays is searched for passages: every window of ``min_words`` words that stands in another
+place as well, across lines and inside longer ones, loses its words everywhere but in the first
+place. Each window has a mark, the least hash of its runs of half as many words. Equal windows
+have equal marks, so only windows whose mark is repeated are written and grouped; no pairs are
+formed and no repeat of ``min_words`` equal words is missed. A copy inside a longer line whose
+words are changed more often than that is not found.
+
+Defined cases: a null or empty text has no paragraphs and stays as it is; shorter repeats are
+never cut; equal paragraphs and passages in one document are copies as well, but a passage that
+runs into itself ('ab ab ab ...') is one place; letters A-Z count as a-z and all white space as
+one; null ids come last; rows that repeat both id and text are one document and end alike; a
+document may lose all its text and then has the text ''; an empty table gives an empty result;
+further columns stay.
 """
 
 from __future__ import annotations
@@ -32,33 +42,40 @@ PERCENT = 80
 MIN_WORDS = 30
 
 
-def _cut(texts: list[str], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle hashes of all paragraphs of a batch, the paragraph of each, and the paragraphs' text and line."""
-    parts, owners, of_text, lines = [], [], [], []
+def _cut(texts: list[str], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle hashes of all paragraphs of a batch, the paragraph of each, and the paragraphs' text, first and last line."""
+    parts, owners, of_text, lines, ends = [], [], [], [], []
     for k, text in enumerate(texts):
         words, line = hashing.words_of_lines(text.encode("utf-8", "surrogatepass"))
         if len(words) < min_words:
             continue
-        numbers, first, counts = np.unique(line, return_index=True, return_counts=True)
+        numbers, which, counts = np.unique(line, return_inverse=True, return_counts=True)
+        # A long line is a unit, and so is a run of short lines up to a blank or long one.
         long_ = counts >= min_words
-        if not long_.any():
+        new = np.ones(len(numbers), bool)
+        new[1:] = long_[1:] | long_[:-1] | (np.diff(numbers) > 1)
+        unit = np.cumsum(new) - 1
+        chosen = np.bincount(unit, counts) >= min_words
+        if not chosen.any():
             continue
         x = hashing.windows(words, WIDTH)
-        index = np.full(numbers[-1] + 1, -1)
-        index[numbers[long_]] = np.arange(long_.sum()) + len(lines)
-        # Windows that stay within one line, of lines that are paragraphs.
-        own = index[line[: len(x)]]
-        keep = (line[: len(x)] == line[WIDTH - 1 :]) & (own >= 0)
+        index = np.where(chosen, np.cumsum(chosen) - 1 + len(lines), -1)
+        # Windows that stay within one unit, of units that are paragraphs.
+        of_word = unit[which]
+        own = index[of_word[: len(x)]]
+        keep = (of_word[: len(x)] == of_word[WIDTH - 1 :]) & (own >= 0)
         parts.append(x[keep])
         owners.append(own[keep])
-        of_text += [k] * int(long_.sum())
-        lines += numbers[long_].tolist()
+        of_text += [k] * int(chosen.sum())
+        lines += numbers[new][chosen].tolist()
+        ends += numbers[np.append(new[1:], True)][chosen].tolist()
     none = np.zeros(0, np.int64)
     return (
         np.concatenate(parts) if parts else none.astype(np.uint64),
         np.concatenate(owners) if owners else none,
         np.array(of_text, np.int64),
         np.array(lines, np.int64),
+        np.array(ends, np.int64),
     )
 
 
@@ -73,19 +90,19 @@ def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np
 
 
 def sketches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """key, doc_id, paragraph, sid, n and regs (42 registers of 32 bits) of each paragraph."""
+    """key, doc_id, paragraph (its first line), last_line, sid, n and regs (42 registers of 32 bits) of each paragraph."""
     arrow_rows(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x, owner, of_text, lines = _cut(list(b["text"]), min_words)
+            x, owner, of_text, lines, ends = _cut(list(b["text"]), min_words)
             _, bounds, ids, low = neardup.sketch(x, owner, len(lines), REGISTERS)
             out = b[["doc_id", "key"]].iloc[of_text].reset_index(drop=True)
             regs = (low >> np.uint64(32)).astype("<u4")
-            yield out.assign(paragraph=lines, sid=ids, n=np.diff(bounds), regs=[r.tobytes() for r in regs])
+            yield out.assign(paragraph=lines, last_line=ends, sid=ids, n=np.diff(bounds), regs=[r.tobytes() for r in regs])
 
-    return _keyed(docs).mapInPandas(sketch, f"doc_id {kind}, key long, paragraph int, sid long, n long, regs binary")
+    return _keyed(docs).mapInPandas(sketch, f"doc_id {kind}, key long, paragraph int, last_line int, sid long, n long, regs binary")
 
 
 def paragraph_sets(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -95,7 +112,7 @@ def paragraph_sets(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORD
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x, owner, of_text, lines = _cut(list(b["text"]), min_words)
+            x, owner, of_text, lines, _ = _cut(list(b["text"]), min_words)
             values, bounds, ids, _ = neardup.sketch(x, owner, len(lines), REGISTERS)
             places = [set(p) for p in b["places"]]
             chosen_rows = [k for k, (t, line) in enumerate(zip(of_text, lines)) if line in places[t]]
@@ -107,7 +124,7 @@ def paragraph_sets(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORD
 
 
 def removals(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, removed): the paragraphs that each document loses, for those that lose any."""
+    """(key, removed): the lines that each document loses, for those that lose any."""
     found = materialize(sketches(docs, min_words), "paragraphs")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("paragraph"), F.col("key")).alias("place")
     nodes = materialize(
@@ -124,21 +141,127 @@ def removals(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS
     clustered = nodes.select("sid", "first").join(same, "sid", "left").withColumn("c", F.coalesce("component", "sid"))
     firsts = clustered.groupBy("c").agg(F.min("first").alias("stays"))
     by_sid = clustered.join(firsts, "c").select("sid", F.col("stays.key").alias("s_key"), F.col("stays.paragraph").alias("s_paragraph"))
-    others = found.select("key", "paragraph", "sid").join(by_sid, "sid").filter(
+    others = found.select("key", "paragraph", "last_line", "sid").join(by_sid, "sid").filter(
         (F.col("key") != F.col("s_key")) | (F.col("paragraph") != F.col("s_paragraph"))
     )
     # One document's own paragraphs are gathered here: no more than its text holds.
-    return materialize(others.groupBy("key").agg(F.array_sort(F.collect_set("paragraph")).alias("removed")), "paragraph-removals")
+    gone = F.array_distinct(F.flatten(F.collect_list(F.sequence("paragraph", "last_line"))))
+    return materialize(others.groupBy("key").agg(F.array_sort(gone).alias("removed")), "paragraph-removals")
+
+
+def _windows(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Text, place, hash and mark of each window of ``width`` words of a batch, and the runs that a window's mark is chosen from."""
+    words = [hashing.words(t.encode("utf-8", "surrogatepass")) for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    x = np.concatenate(words) if words else np.zeros(0, np.uint64)
+    grams = width - (width + 1) // 2 + 1
+    if len(x) < width:
+        none = np.zeros(0, np.int64)
+        return none, none, x[:0], x[:0], grams
+    owner = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    whole, mark, have = hashing.runs(x, width), hashing.runs(x, (width + 1) // 2), 1
+    while have < grams:
+        step = min(have, grams - have)
+        mark, have = np.minimum(mark[:-step], mark[step:]), have + step
+    inside = owner[: len(whole)] == owner[width - 1 :]
+    return owner[: len(whole)][inside], place[: len(whole)][inside], whole[inside], mark[inside], grams
+
+
+def passages(keyed: DataFrame, width: int = MIN_WORDS) -> DataFrame:
+    """(key, places): where windows of ``width`` words begin that stand in an earlier place as well.
+
+    ``keyed`` has doc_id, key and text. An earlier place has a lower id, or comes first in one text.
+    """
+    arrow_rows(keyed.sparkSession)
+    kind = dict(keyed.dtypes)["doc_id"]
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            owner, place, _, marks, grams = _windows(list(b["text"]), width)
+            first = np.flatnonzero(np.append(True, (marks[1:] != marks[:-1]) | (owner[1:] != owner[:-1]))[: len(marks)])
+            length = np.diff(np.append(first, len(marks)))
+            # One run of words gives its hash to so many windows at most; more windows, more places.
+            yield pd.DataFrame(
+                {"key": b["key"].to_numpy()[owner[first]], "mark": marks[first].view(np.int64), "place": place[first], "length": length, "n": -(-length // grams)}
+            )
+
+    marks = materialize(keyed.select("key", "text").mapInPandas(mark, "key long, mark long, place int, length int, n int"), "passage-marks")
+    repeated = marks.groupBy("mark").agg(F.sum("n").alias("n")).filter("n > 1").select("mark")
+    where = marks.join(repeated, "mark").groupBy("key").agg(F.collect_set(F.struct("place", "length")).alias("runs"))
+    chosen = keyed.join(where, "key").dropDuplicates(["key"]).select("doc_id", "key", "text", F.col("runs.place").alias("place"), F.col("runs.length").alias("length"))
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            owner, place, whole, marks, _ = _windows(list(b["text"]), width)
+            begins = np.searchsorted(owner, np.arange(len(b)))
+            keep = np.zeros(len(owner) + 1, np.int64)
+            for k, (p, n) in enumerate(zip(b["place"], b["length"])):
+                np.add.at(keep, begins[k] + p, 1)
+                np.add.at(keep, begins[k] + p + n, -1)
+            rows = np.flatnonzero(np.cumsum(keep)[:-1] > 0)
+            rows = rows[np.lexsort((place[rows], whole[rows], owner[rows]))]
+            o, p, w = owner[rows], place[rows], whole[rows]
+            # A window that overlaps the one before it belongs to the same place.
+            fresh = np.ones(len(rows), bool)
+            fresh[1:] = (o[1:] != o[:-1]) | (w[1:] != w[:-1]) | (p[1:] - p[:-1] >= width)
+            start = p[fresh][np.cumsum(fresh) - 1]
+            out = b[["doc_id", "key"]].iloc[o].reset_index(drop=True)
+            yield out.assign(whole=w.view(np.int64), mark=marks[rows].view(np.int64), place=p, start=start)
+
+    found = materialize(chosen.mapInPandas(expand, f"doc_id {kind}, key long, whole long, mark long, place int, start int"), "passage-windows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("start"), F.col("key")))
+    firsts = found.groupBy("whole", "mark").agg(first.alias("stays"))
+    later = found.join(firsts, ["whole", "mark"]).filter((F.col("key") != F.col("stays.key")) | (F.col("start") != F.col("stays.start")))
+    # One document's own places: no more than its words.
+    return materialize(later.groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("places")), "passages")
+
+
+def without(text: str, places: np.ndarray, width: int) -> tuple[str, int]:
+    """The text without the windows of ``width`` words that begin at ``places``, and how many words went."""
+    raw = text.encode("utf-8", "surrogatepass")
+    starts, ends, line = hashing.word_places(raw)
+    gone = np.zeros(len(starts) + 1, np.int64)
+    gone[places] += 1
+    gone[np.asarray(places) + width] -= 1
+    inside = np.concatenate([[0], (np.cumsum(gone)[:-1] > 0).astype(np.int64), [0]])
+    edges = np.diff(inside)
+    out, at = [], 0
+    for s, e in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)):
+        # White space goes with the passage on one side only, and lines that stay are not joined.
+        heads_line = s == 0 or line[s] != line[s - 1]
+        if e == len(starts):
+            a, b = (ends[s - 1], ends[e - 1]) if s else (0, len(raw))
+        elif heads_line:
+            a, b = starts[s], starts[e]
+        else:
+            a, b = ends[s - 1], ends[e - 1]
+        out.append(raw[at:a])
+        at = b
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass"), int(inside.sum())
 
 
 def cut(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents as a struct ``row`` with the text that stays, and the list ``removed``."""
+    """The documents as a struct ``row`` with the text that stays, the list ``removed`` of lines cut whole, and ``n_words_cut`` of other words."""
     lost = removals(docs.select("doc_id", "text"), percent, min_words)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", text_or_empty()).alias("key"))
-    joined = keyed.join(lost, "key", "left")
-    lines = F.split("row.text", "\n")
+    lines = F.split("text", "\n")
     stays = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains("removed", k)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(stays)
-    return joined.select(
-        F.col("row").withField("text", text).alias("row"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed")
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(stays).alias("text")
+    left = materialize(_keyed(docs).join(lost, "key", "left").select("doc_id", "key", text), "passage-texts")
+    again = passages(left, min_words)
+
+    @F.pandas_udf("text string, n_words_cut long")
+    def shorten(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+        done = [(None, 0) if p is None else without(t, p, min_words) for t, p in zip(texts, places)]
+        return pd.DataFrame(done, columns=["text", "n_words_cut"])
+
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", text_or_empty()).alias("key"))
+    joined = keyed.join(lost, "key", "left").join(again, "key", "left")
+    joined = joined.withColumn("text", F.col("row.text")).withColumn("text", text)
+    short = shorten(F.when(F.col("places").isNotNull(), F.col("text")), F.col("places"))
+    done = joined.select("row", "removed", "text", short.alias("short"))
+    return done.select(
+        F.col("row").withField("text", F.coalesce("short.text", "text")).alias("row"),
+        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
+        F.col("short.n_words_cut").alias("n_words_cut"),
     )

@@ -130,6 +130,36 @@ def test_paragraphs(docs, none, clashing):
     assert paragraphs.cut(clashing).select("row.*").columns == clashing.columns
 
 
+def test_passages_over_lines_and_inside_lines(spark):
+    """A 60-word passage over short lines, in the middle of a long line, and twice in one document."""
+    p = prose(50, 60).split()
+    wrapped = "\n".join(" ".join(p[k : k + 12]) for k in range(0, 60, 12))
+    a, b, c, d = (prose(k, 70) for k in range(51, 55))
+    texts = {
+        1: f"{a} {' '.join(p)} {b}", 2: f"x y\n{wrapped}\nz", 3: f"{c} {' '.join(p).upper()} {d}", 4: "ab " * 300,
+        5: "\n".join([prose(55, 60), "in  between", prose(56, 40) + " " + prose(55, 60)]), 6: f"{prose(57, 200)}\n{' '.join(p[:29])} end",
+        7: wrapped,
+    }
+    df = spark.createDataFrame([*texts.items(), (None, f"{wrapped} of none")], "doc_id long, text string").repartition(2)
+    found = {r["row"]["doc_id"]: (r["row"]["text"], list(r["removed"]), r["n_words_cut"]) for r in paragraphs.cut(df).collect()}
+    assert found == {
+        1: (texts[1], [], 0), 2: ("x y\nz", [], 60), 3: (f"{c} {d}", [], 60), 4: (texts[4], [], 0),
+        5: ("\n".join([prose(55, 60), "in  between", prose(56, 40)]), [], 60), 6: (texts[6], [], 0), 7: ("", [0, 1, 2, 3, 4], 0),
+        None: ("", [0, 1, 2, 3, 4], 0),
+    }
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 1), max_size=40), min_size=1, max_size=4), st.integers(1, 9))
+def test_equal_windows_have_equal_marks(texts, width):
+    owner, place, whole, mark, grams = paragraphs._windows([" ".join(f"w{x}" for x in t) for t in texts], width)
+    assert list(zip(owner, place)) == [(k, j) for k, t in enumerate(texts) for j in range(len(t) - width + 1)]
+    shown = {}
+    for k, j, w, m in zip(owner, place, whole, mark):
+        assert shown.setdefault(tuple(texts[k][j : j + width]), (w, m)) == (w, m)
+    assert len({w for w, _ in shown.values()}) == len(shown)
+
+
 @pytest.mark.parametrize("length", [400, 90])
 def test_repeats(docs, none, length):
     raws = [(r[0], (r[1] or "").encode()) for r in rows()]
