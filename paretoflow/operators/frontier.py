@@ -156,28 +156,32 @@ def select_top(df: DataFrame, key: str, order: Sequence[Axis], count: int, provi
     return top.withColumn("place", F.row_number().over(Window.orderBy(*keys, F.col(key).asc())))
 
 
-def proximity(df: DataFrame, key: str, axes: Sequence[Axis]) -> DataFrame:
-    """Smallest relative tolerance at which each candidate stops being dominated (0 for members).
-
-    A dominator gives way once the relative gap on some axis where it is better lies within the
-    tolerance and so it is strictly better nowhere: the largest such gap over its axes. A candidate
-    is free when its strongest dominator gives way. Values are positive decimals.
+def proximity(df: DataFrame, key: str, axes: Sequence[Axis], robust: bool = False) -> DataFrame:
+    """Smallest relative tolerance at which each candidate stops being dominated (0 if none dominates at 0).
+
+    As the relative tolerance grows, another point dominates over one interval [enters, exits): from
+    its largest relative shortfall, once it counts as no worse on all axes, up to its largest
+    relative advantage, when it is strictly better on none; both less the absolute tolerance, and on
+    robust bounds where asked. The intervals connected to 0 are followed to the first gap. An axis'
+    own relative tolerance plays no part. Pairs are inherent; only the id and bounds of each enter the sweep.
     """
-    pairs = dominated_pairs(df, key, axes)
-    gaps = []
-    for x in axes:
-        a, b = F.col(f"a_{x.value}").cast("double"), F.col(f"b_{x.value}").cast("double")
-        gaps.append(F.when(F.greatest(F.abs(a), F.abs(b)) > 0, F.abs(a - b) / F.greatest(F.abs(a), F.abs(b))).otherwise(0.0))
-    worst = pairs.groupBy(key).agg(F.max(F.greatest(*gaps)).alias("epsilon"))
-    return df.join(worst, key, "left").withColumn("epsilon", F.coalesce("epsilon", F.lit(0.0)))
-
-
-def dominated_pairs(df: DataFrame, key: str, axes: Sequence[Axis]) -> DataFrame:
-    """(key, dominator, both sides' axis values) of every dominance."""
-    narrow = df.select(key, *dict.fromkeys(x.value for x in axes))
+    narrow = df.select(key, *dict.fromkeys(c for x in axes for c in (x.value, x.lower, x.upper) if c))
     a, b = narrow.alias("a"), narrow.alias("b")
-    return b.join(a, (F.col(f"a.{key}") != F.col(f"b.{key}")) & dominates("a", "b", axes)).select(
-        F.col(f"b.{key}").alias(key),
-        F.col(f"a.{key}").alias("dominator"),
-        *[F.col(f"{s}.{x.value}").alias(f"{s}_{x.value}") for s in "ab" for x in axes],
+    enters, exits = [F.lit(0.0)], [F.lit(0.0)]
+    for x in axes:
+        left, right = x.bound("a", "a", True, robust), x.bound("b", "b", False, robust)
+        scale = F.greatest(F.abs(left), F.abs(right)).cast("double")
+        advantage, allowed = right - left if x.goal == "min" else left - right, F.lit(x.epsilon_absolute).cast("decimal(18,9)")
+        for found, gap in ((enters, -advantage - allowed), (exits, advantage - allowed)):
+            found.append(F.when(scale > 0, gap.cast("double") / scale).otherwise(0.0))
+    enter, leave = F.greatest(*enters), F.greatest(*exits)
+    pairs = b.join(a, (F.col(f"a.{key}") != F.col(f"b.{key}")) & (enter < leave)).select(
+        F.col(f"b.{key}").alias(key), enter.alias("_enter"), leave.alias("_exit")
     )
+    before = Window.partitionBy(key).orderBy("_enter").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("_exit").over(before), F.lit(0.0))
+    # Ends that are equal as fractions may differ in the last bits.
+    gap = F.when(F.col("_enter") - reached > 1e-14, F.col("_enter"))
+    swept = pairs.withColumn("_gap", gap).withColumn("_gap", F.min("_gap").over(Window.partitionBy(key)))
+    worst = swept.filter(F.col("_gap").isNull() | (F.col("_enter") < F.col("_gap"))).groupBy(key).agg(F.max("_exit").alias("epsilon"))
+    return df.join(worst, key, "left").withColumn("epsilon", F.coalesce("epsilon", F.lit(0.0)))
