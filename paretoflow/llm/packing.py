@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, text_or_empty
-from .tokens import encoding, vocabulary_path
+from .tokens import encoder, vocabulary_path
 
 SIZE = 2048
 END_ID = 1
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, end
     kind = dict(docs.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoding(path).encode_ordinary
+        encode = encoder(path)
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"]):

@@ -74,6 +74,19 @@ def test_rank_file_and_tokenizer_agree():
         assert encode(text) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_packed_ids_are_those_of_the_tokenizer(spark):
+    """Added tokens inside texts have their own ids, as in a tokenizer left at its defaults."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n it's", "<|endoftext| >", "<|ENDOFTEXT|>", "plain über"]
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    ids = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in got}
+    assert ids == {k: [*t.encode(x, add_special_tokens=False).ids, packing.END_ID] for k, x in enumerate(texts)}
+    assert ids[0] == [64, 220, 50256, 275, packing.END_ID]
+
+
 def test_packing(docs, none):
     cut = packing.pieces(docs, 64)
     packed = packing.pack(cut, cut.count(), 64, group=50).collect()
