@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paretoflow.llm import hyperminhash, mixing, packing, paragraphs, quality
-from paretoflow.llm.common import materialize, read
+from paretoflow.llm.common import WORD, materialize, read
 
 #: Stages on word shingles link at a similarity of 0.8.
 PERCENT = 80
@@ -36,7 +36,7 @@ def cut_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     row = F.col("row")
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.char_length("row.text").cast(docs.schema["n_chars"].dataType))
-    emptied = ((F.size("removed") > 0) | (F.col("n_words_cut") > 0)) & ~F.col("row.text").rlike(r"[^\x20\x09-\x0D]")
+    emptied = ((F.size("removed") > 0) | (F.col("n_words_cut") > 0)) & ~F.col("row.text").rlike(WORD)
     return found.select(row.alias("row"), F.coalesce(emptied, F.lit(False)).alias("emptied")).filter("NOT emptied").select("row.*")
 
 
@@ -46,12 +46,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: pieces of at most 2048 ids with their place in a sequence.
+    """Packing: sequences of at most 2048 ids, each with its documents and its ids.
 
     Copies that the mix made are packed one by one.
     """
-    cut = materialize(packing.pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pipeline-pieces")
-    return packing.pack(cut, cut.count())
+    cut = materialize(packing.pieces(docs), "pipeline-pieces")
+    return packing.sequences(packing.pack(cut, cut.count()))
 
 
 STAGES = [

@@ -3,12 +3,13 @@
 A document's set is its distinct 5-word shingles. Its sketch has one 16-bit register per bucket:
 the leading-zero count of the bucket's smallest hash and ten bits of mantissa after them. Bands
 of compressed registers find candidates; a Jaccard estimate from equal registers, corrected for
-accidental collisions, sorts them into groups; exact intersections of full sets confirm links.
+accidental collisions, sorts them into stars of leaders; exact intersections of full sets confirm links.
 
 Defined cases: a null, empty or blank text has the empty set and is linked with nothing; fewer
 than five words are one shingle; repeated rows and copies are one node; a null doc_id belongs to
 its text's component and never names it unless no other member has an id; an empty table gives
-an empty result; further columns are ignored here and kept by :func:`keep_one`.
+an empty result; further columns are ignored here and kept by :func:`keep_one`, which tells rows
+apart by all of them (maps apart, which Spark does not hash).
 
 With 26 bands of 5 registers a pair at similarity 0.85 is missed with probability below 1e-6.
 """
@@ -19,12 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, neardup
-from .common import arrow_rows, materialize, text_or_empty
-from .components import components
+from .common import arrow_rows, materialize, release, text_or_empty
 
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
@@ -57,81 +57,82 @@ def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np
     return np.maximum(0, ((x == y).mean(1) - accidental) / (1 - accidental))
 
 
-def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, row_key (names id and text), sid (names the set), n (its size) and regs of each document."""
-    arrow_rows(docs.sparkSession)
-    kind = dict(docs.dtypes)["doc_id"]
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents as a struct ``row``, and k1 and k2, 128 bits that name the whole row."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit(7), *columns[::-1]).alias("k2"))
+
+
+def sketches(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, k1, k2, s1 and s2 (name the set), n (its size) and regs of the :func:`keyed` rows."""
+    arrow_rows(rows.sparkSession)
+    kind = rows.schema["row"].dataType["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             _, bounds, ids, low = _sketched(list(b["text"]), width)
             n = np.diff(bounds)
             regs = compressed(low).astype("<u2")
-            yield pd.DataFrame(
-                {"doc_id": b["doc_id"], "row_key": b["row_key"], "sid": ids, "n": n, "regs": [r.tobytes() if k else b"" for r, k in zip(regs, n)]}
-            )
+            yield b.drop(columns="text").assign(s1=ids[:, 0], s2=ids[:, 1], n=n, regs=[r.tobytes() if k else b"" for r, k in zip(regs, n)])
 
-    return docs.select("doc_id", _row_key().alias("row_key"), text_or_empty().alias("text")).mapInPandas(
-        sketch, f"doc_id {kind}, row_key long, sid long, n long, regs binary"
+    return rows.select("row.doc_id", "k1", "k2", text_or_empty("row.text").alias("text")).mapInPandas(
+        sketch, f"doc_id {kind}, k1 long, k2 long, s1 long, s2 long, n long, regs binary"
     )
 
 
-def _row_key() -> Column:
-    return F.xxhash64("doc_id", text_or_empty())
-
-
-def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(sid, shingles) of the nodes ``wanted`` (sid, doc_id), computed anew from the documents."""
-    w = wanted.select(F.col("sid").alias("w_sid"), F.col("doc_id").alias("w_id"))
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
-    chosen = texts.join(w, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("w_sid", "text")
+def shingle_sets(rows: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(node, shingles) of the rows ``wanted`` (node, k1, k2), computed anew from the documents."""
+    chosen = rows.select("k1", "k2", text_or_empty("row.text").alias("text")).join(wanted, ["k1", "k2"]).select("node", "text")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            values, bounds, ids, _ = _sketched(list(b["text"]), width)
-            wanted_ids = b["w_sid"].to_numpy()
-            same = np.flatnonzero(ids == wanted_ids)
-            yield pd.DataFrame({"sid": wanted_ids[same], "shingles": [values[bounds[k] : bounds[k + 1]].tobytes() for k in same]})
-
-    return chosen.mapInPandas(sets, "sid long, shingles binary").dropDuplicates(["sid"])
+            values, bounds, _, _ = _sketched(list(b["text"]), width)
+            yield pd.DataFrame({"node": b["node"], "shingles": [values[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:])]})
+
+    # A fully repeated row gives its set as often as it stands there.
+    return chosen.mapInPandas(sets, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def judged(rows: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """doc_id, k1, k2, n, name (the component's smallest doc_id) and stays (is it the one row to keep?) of the :func:`keyed` rows."""
+    found = materialize(sketches(rows, width), "near-sketches")
+    # One of the rows of a set stands for all of them; node ids are given once and written.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("k1"), F.col("k2"))).alias("one")
+    nodes = found.filter("n > 0").groupBy("s1", "s2").agg(least, F.min("n").alias("n"), F.min("regs").alias("regs"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "one", "n", "regs"), "near-nodes")
+    same = neardup.clusters(
+        nodes.select("node", "n", "regs"),
+        lambda wanted: shingle_sets(rows, nodes.join(wanted, "node").select("node", "one.k1", "one.k2"), width),
+        BANDS, 2 * ROWS, REGISTERS, estimate, "<u2", percent,
+    )
+    named = nodes.select("node", "s1", "s2", "one").join(same, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    first = named.groupBy("c").agg(F.min("one").alias("first"))
+    by_set = named.join(first, "c").select("s1", "s2", "first")
+    out = found.drop("regs").join(by_set, ["s1", "s2"], "left")
+    stays = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
+    out = materialize(out.select("doc_id", "k1", "k2", "n", F.col("first.doc_id").alias("name"), stays.alias("stays")), "near-judged")
+    release(found, nodes, same)
+    return out
 
 
 def duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, set_id, row_key."""
-    rows = materialize(sketches(docs, width), "near-sketches")
-    nodes = materialize(
-        rows.filter("n > 0")
-        .groupBy("sid")
-        .agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("regs").alias("regs")),
-        "near-nodes",
-    )
-    members = materialize(neardup.groups(nodes, BANDS, 2 * ROWS, REGISTERS, estimate, "<u2", percent), "near-groups")
-    wanted = nodes.join(members.select(F.col("node").alias("sid")), "sid").select("sid", "doc_id")
-    edges = neardup.linked(members, nodes, shingle_sets(docs, wanted, width), percent)
-    found = components(materialize(edges, "near-links"))
-    named = rows.select("doc_id", "row_key", "sid", "n").join(found.withColumnRenamed("node", "sid"), "sid", "left")
-    named = named.withColumn("c", F.coalesce("component", "sid"))
-    names = named.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("name"))
-    out = named.join(names, "c", "left")
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    found = judged(keyed(docs.select("doc_id", "text")), percent, width)
     component = F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id"))
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
-        F.col("sid").alias("set_id"),
-        "row_key",
-    )
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents without all but one of each near-duplicate component, columns unchanged.
 
-    Of rows that repeat id and text one stays. Rows are told apart by id and text, not by id alone.
+    The row with the smallest doc_id stays (nulls last, then the smallest hash of the whole row), once
+    if it is fully repeated. Documents without words repeat nothing and all stay.
     """
-    verdicts = materialize(duplicates(docs.select("doc_id", "text"), percent).select("row_key", "kept"), "near-verdicts")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _row_key().alias("row_key"))
-    gone = verdicts.filter(~F.col("kept")).select("row_key").distinct()
-    stays = rows.join(gone, "row_key", "left_anti")
-    repeated = verdicts.groupBy("row_key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count()
-    return (stays.dropDuplicates(["row_key"]) if repeated else stays).select("row.*")
+    rows = keyed(docs)
+    found = judged(rows, percent)
+    gone = found.filter("n > 0 AND NOT stays").select("k1", "k2").distinct()
+    kept = rows.join(gone, ["k1", "k2"], "left_anti")
+    twice = found.filter("stays").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k1", "k2")
+    if twice.limit(1).count():
+        kept = kept.join(twice, ["k1", "k2"], "left_anti").unionAll(kept.join(twice, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    return kept.select("row.*")

@@ -1,12 +1,19 @@
 """Near duplicates of shingle sets: banding, leaders, exact verification in blocks, components.
 
-Both near-duplicate operators feed this with their own sketches. Items of equal sets are one
-node from the start. Candidates are nodes that share a band. In a band's bucket a leader is
-compared with all the others by estimate: those near it join its group, those very near it need
-no further leader, the rest choose the next one; a few left over are compared with each other. A
-linked pair ends in one group: when one of the two leaves the pool the leader is within the
-distance bound of the other as well. Groups are then verified exactly, all pairs, in blocks of
-bounded size, each of which returns a spanning forest of its links, never the pairs.
+Both near-duplicate operators feed this with their own sketches. Items of equal sets (128 bits
+tell sets apart) are one node from the start. Candidates are nodes that share a band.
+
+1. In a band's bucket a leader is compared with all the others by estimate: those near it join its
+   star, those very near it need no further leader, the rest choose the next one. A linked pair
+   ends in one star: when one of the two leaves the pool the leader is within the distance bound
+   of the other as well. After the first round what is left of a bucket usually fits into a task,
+   which goes on with all of its leaders there; larger rests take further rounds.
+2. A star's sets are compared exactly with its leader's and with each other in blocks of bounded
+   size, which return a spanning forest of their links, never the pairs.
+3. Members of a star of several blocks that their block does not link to the leader meet the
+   star's other blocks too. Those linked to the leader need not: they are connected. So a hot
+   star costs its size times the blocks of its stragglers, not its square.
+4. Components of the verified links.
 """
 
 from __future__ import annotations
@@ -19,22 +26,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import materialize
+from .common import materialize, release
 from .components import components
 
-#: Items, and shingles, of one verification block, and the leaders' rounds.
+#: Items, and shingles, of one verification block, and bucket members that one task takes on.
 BLOCK, BLOCK_SHINGLES = 1024, 400_000
-ROUNDS = 3
+IN_TASK = 2048
 #: Similarity to a leader from which a node needs no further leader.
-LEAVES = 0.55
+LEAVES = 0.7
 
 
 def sketch(windows: np.ndarray, owner: np.ndarray, items: int, registers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sets and MinHash registers of all items of a batch at once.
 
     ``windows`` are shingle hashes, ``owner`` the item of each. Returns the distinct hashes sorted
-    within items, where each item's begin (items + 1 bounds), a 64-bit id of each set, and the
-    registers: the smallest value of each of ``registers`` buckets (one-permutation MinHash; empty
+    within items, where each item's begin (items + 1 bounds), a 128-bit id of each set (two columns),
+    and the registers: the smallest value of each of ``registers`` buckets (one-permutation MinHash; empty
     buckets borrow from others by a rule that is the same for all items). Empty sets have id 0.
     """
     order = np.lexsort((windows, owner))
@@ -44,11 +51,12 @@ def sketch(windows: np.ndarray, owner: np.ndarray, items: int, registers: int) -
     x, who = x[new], who[new]
     n = np.bincount(who, minlength=items)
     bounds = np.concatenate([[0], np.cumsum(n)])
-    place = (np.arange(len(x)) - bounds[who] + 1).astype(np.uint64)
-    totals = np.zeros(items + 1, np.uint64)
-    np.cumsum(np.concatenate([[np.uint64(0)], hashing.mix(x + hashing.mix(place))]), out=(sums := np.zeros(len(x) + 1, np.uint64)))
-    totals = sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64)
-    ids = np.where(n > 0, hashing.mix(totals).view(np.int64), 0)
+    ids = np.zeros((items, 2), np.int64)
+    for k, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(hashing.mix(x ^ np.uint64(salt)), out=sums[1:])
+        totals = sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64)
+        ids[:, k] = np.where(n > 0, hashing.mix(totals).view(np.int64), 0)
     value = (x * np.uint64(0xD1342543DE82EF95)) ^ np.uint64(0xA0761D6478BD642F)
     value = (value ^ (value >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     value ^= value >> np.uint64(32)
@@ -92,54 +100,83 @@ def band_keys(bands: int, width: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(bands)])
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, estimate: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: str) -> DataFrame:
-    """pairs (a, b) plus est and n, the size of the smaller set."""
-    one = nodes.select(F.col("sid").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"))
-    two = nodes.select(F.col("sid").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"))
-    width = np.dtype(dtype)
-
-    @F.pandas_udf("double")
-    def est(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(ra), width).reshape(len(ra), -1)
-        y = np.frombuffer(b"".join(rb), width).reshape(len(rb), -1)
-        return pd.Series(estimate(x, y, na.to_numpy(), nb.to_numpy()))
-
-    joined = pairs.join(one, "a").join(two, "b")
-    return joined.select("a", "b", F.least("na", "nb").alias("n"), est("ra", "rb", "na", "nb").alias("est"))
-
-
-def groups(nodes: DataFrame, bands: int, width: int, registers: int, estimate, dtype: str, percent: int) -> DataFrame:
-    """(node, component): groups that hold every linked pair of the nodes (sid, n, regs)."""
-    spread = F.sqrt(0.25 / F.least(F.lit(registers), F.col("n")).cast("double"))
-    # Who leaves the pool is LEAVES like the leader; a link away from that is at least that less
-    # the link distance. Estimates get room for their standard errors.
-    low = F.lit(LEAVES - (1 - percent / 100)) - 2.5 * spread
-    high = F.least(F.lit(LEAVES) + 2 * spread, F.lit(0.97))
-    rows = nodes.select("sid", F.explode(band_keys(bands, width)).alias("key"))
-    crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    pool = materialize(rows.join(crowded, "key"), "near-pool")
-    edges = []
-    for k in range(ROUNDS):
-        leaders = pool.groupBy("key").agg(
-            F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), F.col("sid").alias("leader"))).alias("l"), F.count(F.lit(1)).alias("c")
-        ).filter("c > 1").select("key", F.col("l.leader").alias("leader"))
-        met = materialize(pool.join(leaders, "key").filter("sid <> leader"), "near-met")
-        pairs = met.select(F.col("sid").alias("a"), F.col("leader").alias("b")).distinct()
-        seen = materialize(_estimated(pairs, nodes, estimate, dtype).select("a", "b", (F.col("est") >= low).alias("near"), (F.col("est") >= high).alias("very")), "near-seen")
-        edges.append(seen.filter("near").select("a", "b"))
-        done = seen.filter("very").select(F.col("a").alias("sid"), F.col("b").alias("leader"))
-        left = met.join(done, ["sid", "leader"], "left_anti").select("key", "sid")
-        pool = materialize(left, "near-pool")
-        sizes = pool.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-        if not sizes.limit(1).count():
+def _leaders(keys: np.ndarray, nodes: np.ndarray, regs: np.ndarray, n: np.ndarray, estimate, low: np.ndarray, high: np.ndarray, direct: np.ndarray):
+    """Star edges (member, leader) of whole buckets: each bucket's first node by a hash leads, again and again."""
+    order = np.lexsort((hashing.mix(nodes.astype(np.uint64)), keys))
+    bounds = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1], [True]]))
+    most = len(low) - 1
+    for s, e in zip(bounds[:-1], bounds[1:]):
+        left = order[s:e]
+        while len(left) > 1:
+            head, rest = left[0], left[1:]
+            est = estimate(regs[rest], regs[head][None], n[rest], np.full(len(rest), n[head]))
+            small = np.minimum(n[rest], n[head]).clip(1, most)
+            very = est >= high[small]
+            near = rest[est >= (low if very.any() else direct)[small]]
+            if len(near):
+                yield nodes[near], np.full(len(near), nodes[head])
+            left = rest[~very]
+
+
+def stars(nodes: DataFrame, bands: int, width: int, registers: int, estimate: Callable, dtype: str, percent: int) -> DataFrame:
+    """(a, b): members and leaders of stars that hold every linked pair of the nodes (node, n, regs)."""
+    share = percent / 100
+    # Estimates get room for their standard errors, by the size of the smaller set.
+    usable = np.minimum(np.arange(registers + 1).clip(1), registers)
+    spread = lambda p: np.sqrt(p * (1 - p) / usable)
+    reach = LEAVES - (1 - share)
+    low, high = reach - 3 * spread(reach), np.minimum(LEAVES + 2 * spread(LEAVES), 0.97)
+    direct = share - 4 * spread(share)
+    kind = np.dtype(dtype)
+
+    @F.pandas_udf("struct<near:boolean,very:boolean,direct:boolean>")
+    def judged(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.DataFrame:
+        x, y = (np.frombuffer(b"".join(r), kind).reshape(len(r), -1) for r in (ra, rb))
+        est = estimate(x, y, na.to_numpy(), nb.to_numpy())
+        small = np.minimum(na, nb).clip(1, registers).to_numpy()
+        return pd.DataFrame({"near": est >= low[small], "very": est >= high[small], "direct": est >= direct[small]})
+
+    one = nodes.select(F.col("node").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"))
+    two = nodes.select(F.col("node").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"))
+    pool = nodes.select(F.col("node").alias("a"), F.explode(band_keys(bands, width)).alias("key"))
+    held, edges, k = [], [], 0
+    while True:
+        order = F.xxhash64("a", F.lit(k))
+        heads = pool.groupBy("key").agg(F.min_by("a", order).alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "b")
+        met = materialize(pool.join(heads, "key").filter("a <> b").select("key", "a", "b"), "near-met")
+        pairs = met.select("a", "b").distinct().join(one, "a").join(two, "b")
+        seen = materialize(pairs.select("a", "b", judged("ra", "rb", "na", "nb").alias("j")).select("a", "b", "j.*").filter("near OR direct"), "near-seen")
+        held += [met, seen]
+        # Without a member that leaves the pool a star only serves links to its leader.
+        very = seen.filter("very").select("a", "b")
+        edges += [
+            seen.filter("direct").select("a", "b"),
+            seen.filter("near AND NOT direct").join(very.select("b").distinct(), "b", "left_semi").select("a", "b"),
+        ]
+        left = met.join(very, ["a", "b"], "left_anti").select("key", "a")
+        left = materialize(left.join(left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "key"), "near-left")
+        held.append(left)
+        most, rows = left.agg(F.coalesce(F.max("c"), F.lit(0)), F.count(F.lit(1))).first()
+        if rows:
+            bins = max(1, -(-rows // IN_TASK))
+            small = left.filter(F.col("c") <= IN_TASK).join(one, "a").withColumn("bin", F.pmod("key", F.lit(bins)))
+
+            def led(b: pd.DataFrame) -> pd.DataFrame:
+                regs = np.frombuffer(b"".join(b["ra"]), kind).reshape(len(b), -1)
+                found = list(_leaders(b["key"].to_numpy(), b["a"].to_numpy(), regs, b["na"].to_numpy(), estimate, low, high, direct))
+                none = [np.zeros(0, np.int64)]
+                return pd.DataFrame({"a": np.concatenate([f[0] for f in found] or none), "b": np.concatenate([f[1] for f in found] or none)})
+
+            edges.append(small.groupBy("bin").applyInPandas(led, "a long, b long"))
+        if most <= IN_TASK:
             break
-    # What is left in a bucket stays together: its pairs are all verified, none is written out.
-    stars = pool.groupBy("key").agg(F.min("sid").alias("b"))
-    edges.append(pool.join(stars, "key").select(F.col("sid").alias("a"), "b"))
+        pool, k = left.filter(F.col("c") > IN_TASK).select("a", "key"), k + 1
     every = edges[0]
     for e in edges[1:]:
         every = every.unionAll(e)
-    return components(every)
+    out = materialize(every.distinct(), "near-stars")
+    release(*held)
+    return out
 
 
 def forest(sets: list[np.ndarray], percent: int, split: int | None = None) -> list[tuple[int, int]]:
@@ -189,49 +226,74 @@ def forest(sets: list[np.ndarray], percent: int, split: int | None = None) -> li
     return out
 
 
-def linked(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified edges (a, b) among ``members`` (node, component), whose ``sets`` are (sid, shingles).
+def linked(edges: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) within the stars ``edges``; ``sets`` are (node, shingles).
 
-    Small groups share bins; a large one is cut into blocks by hash, and each pair of its blocks is
-    a unit of its own. Units hold a bounded number of items and, on average, of shingles.
+    Small stars share bins. A large one is cut into blocks by hash, each with the leader.
     """
-    mine = members.select(F.col("node").alias("sid"), "component").join(nodes.select("sid", "n"), "sid")
-    sizes = mine.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    members = edges.unionAll(edges.select(F.col("b").alias("a"), "b").distinct()).join(nodes.select(F.col("node").alias("a"), "n"), "a")
+    sizes = members.groupBy("b").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
-    sized = materialize(mine.join(sizes, "component").select("sid", "n", "component", blocks.alias("blocks")), "near-members")
-    small = sized.filter("blocks = 1").agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    bins = max(1, -(-small["c"] // BLOCK), -(-small["n"] // BLOCK_SHINGLES))
-    own = F.pmod(F.xxhash64("sid"), "blocks")
-    placed = sized.select(
-        "sid",
-        "component",
-        F.explode(
-            F.when(
-                F.col("blocks") == 1,
-                F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("u"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))),
-            ).otherwise(
-                F.transform(
-                    F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-                    lambda k: F.struct(F.col("component").alias("u"), F.least(own, k).alias("i"), F.greatest(own, k).alias("j")),
-                )
-            )
-        ).alias("unit"),
-        own.alias("own"),
-    )
-    rows = placed.join(sets, "sid").select("sid", "component", "own", "unit.u", "unit.i", "unit.j", "shingles")
-
-    def verify(b: pd.DataFrame) -> pd.DataFrame:
-        edges: list[tuple[int, int]] = []
-        if b["i"].iloc[0] < 0:
-            parts = [(g, None) for _, g in b.sort_values("sid").groupby("component", sort=False)]
-        else:
-            i, j = b["i"].iloc[0], b["j"].iloc[0]
-            b = b.assign(second=b["own"] != i).sort_values(["second", "sid"])
-            parts = [(b, None if i == j else int((~b["second"]).sum()))]
-        for g, split in parts:
-            ids = g["sid"].to_numpy()
-            found = forest([np.frombuffer(x, np.uint64) for x in g["shingles"]], percent, split)
-            edges += [(ids[x], ids[y]) for x, y in found]
-        return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
-
-    return rows.groupBy("u", "i", "j").applyInPandas(verify, "a long, b long")
+    placed = materialize(members.join(sizes.select("b", blocks.alias("blocks")), "b"), "near-members")
+    c, n, most = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("blocks"), F.lit(1))).first()
+    bins = max(1, -(-c // BLOCK), -(-n // BLOCK_SHINGLES))
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    own = F.pmod(F.xxhash64("a", F.lit(1)), "blocks")
+    # The leader goes to every block; the unit of small stars is a bin.
+    rows = placed.withColumn("block", F.explode(F.when(F.col("a") == F.col("b"), everywhere).otherwise(F.array(own))))
+    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("b"), F.lit(bins))).otherwise(F.xxhash64("b", "block")).alias("unit")
+    rows = rows.select(unit, "a", "b", "block", (F.col("blocks") > 1).alias("split")).join(sets.withColumnRenamed("node", "a"), "a")
+
+    def verify(g: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int, bool]] = []
+        for (leader, _), own in g.sort_values("a").groupby(["b", "block"], sort=False):
+            ids, split = own["a"].to_numpy(), own["split"].iloc[0]
+            found = forest([np.frombuffer(x, np.uint64) for x in own["shingles"]], percent)
+            out += [(ids[y], ids[x], False) for x, y in found]
+            if split:
+                root = np.arange(len(ids))
+                root[[y for _, y in found]] = [x for x, _ in found]
+                alone = root != root[np.flatnonzero(ids == leader)[0]]
+                out += [(v, leader, True) for v in ids[alone]]
+        return pd.DataFrame(out, columns=["a", "b", "straggler"]).astype({"a": np.int64, "b": np.int64, "straggler": bool})
+
+    first = materialize(rows.groupBy("unit").applyInPandas(verify, "a long, b long, straggler boolean"), "near-first")
+    links = first.filter("NOT straggler").select("a", "b")
+    if most > 1:
+        links = links.unionAll(_stragglers(first.filter("straggler").select("a", "b"), placed, sets, percent))
+    out = materialize(links, "near-links")
+    release(placed, first)
+    return out
+
+
+def _stragglers(late: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members (a, b) that their block does not link to the leader and all members of their star."""
+    wide = placed.filter("blocks > 1").select("a", "b", "n", "blocks")
+    mine = late.join(wide, ["a", "b"])
+    sizes = mine.groupBy("b").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    count = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
+    sizes = sizes.select("b", count.alias("late"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    mine = mine.join(sizes, "b").select("a", "b", F.explode(upto("blocks")).alias("i"), F.pmod(F.xxhash64("a", F.lit(2)), "late").alias("j"), F.lit(True).alias("late"))
+    theirs = wide.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a", F.lit(1)), "blocks").alias("i"), F.explode(upto("late")).alias("j"), F.lit(False).alias("late"))
+    rows = mine.unionAll(theirs).join(sets.withColumnRenamed("node", "a"), "a")
+
+    def verify(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["late", "a"])
+        ids = g["a"].to_numpy()
+        found = forest([np.frombuffer(x, np.uint64) for x in g["shingles"]], percent, int((~g["late"]).sum()))
+        found = [(ids[y], ids[x]) for x, y in found if ids[x] != ids[y]]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return rows.groupBy("b", "i", "j").applyInPandas(verify, "a long, b long")
+
+
+def clusters(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], bands: int, width: int, registers: int, estimate: Callable, dtype: str, percent: int) -> DataFrame:
+    """(node, component) of all linked nodes (node, n, regs); ``sets`` gives (node, shingles) of wanted nodes (node)."""
+    found = stars(nodes, bands, width, registers, estimate, dtype, percent)
+    wanted = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).distinct()
+    shingles = materialize(sets(wanted), "near-sets")
+    links = linked(found, nodes, shingles, percent)
+    out = materialize(components(links), "near-components")
+    release(found, shingles, links)
+    return out

@@ -111,5 +111,44 @@ def pack(pieces: DataFrame, n_pieces: int, size: int = SIZE, group: int = GROUP)
             yield flush()
 
     even = pieces.select(*[f"`{n}`" for n in names]).repartition(max(1, -(-n_pieces // group)))
-    order = F.xxhash64("doc_id", "start")
+    # Rows that tie in all columns are alike, so their order does not matter.
+    order = F.xxhash64(*[f"`{n}`" for n in names])
     return even.sortWithinPartitions(order, "doc_id", "start").mapInPandas(packed, schema)
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """One row per sequence of :func:`pack`'s pieces (with ids): sequence_id, n_tokens, doc_ids, starts, lengths and token_ids.
+
+    The lists go by offset; token_ids are little-endian unsigned 32-bit ids without padding. A
+    sequence's pieces are in one partition already and hold no more than its size, so each is
+    put together where it was packed.
+    """
+    kind = dict(packed.dtypes)["doc_id"]
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame()
+        for b in batches:
+            b = pd.concat([held, b], ignore_index=True) if len(held) else b
+            # The last sequence may go on in the next batch.
+            held = b[b["sequence_id"] == b["sequence_id"].iloc[-1]]
+            done = b[b["sequence_id"] != b["sequence_id"].iloc[-1]]
+            if len(done):
+                yield whole(done)
+        if len(held):
+            yield whole(held)
+
+    def whole(b: pd.DataFrame) -> pd.DataFrame:
+        groups = b.groupby("sequence_id", sort=False)
+        return pd.DataFrame(
+            {
+                "sequence_id": list(groups.groups),
+                "n_tokens": groups["length"].sum().to_numpy(),
+                "doc_ids": [list(x) for _, x in groups["doc_id"]],
+                "starts": [list(x) for _, x in groups["start"]],
+                "lengths": [list(x) for _, x in groups["length"]],
+                "token_ids": [b"".join(x) for _, x in groups["ids"]],
+            }
+        )
+
+    ordered = packed.select("doc_id", "start", "length", "ids", "sequence_id", "offset").sortWithinPartitions("sequence_id", "offset")
+    return ordered.mapInPandas(joined, f"sequence_id long, n_tokens long, doc_ids array<{kind}>, starts array<long>, lengths array<long>, token_ids binary")

@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, neardup
-from .common import arrow_rows, materialize, text_or_empty
-from .components import components
+from .common import arrow_rows, materialize, release, text_or_empty
 
 BANDS, ROWS = 14, 3
 REGISTERS = BANDS * ROWS
@@ -80,73 +79,75 @@ def _cut(texts: list[str], min_words: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, the key that names an (id, text) pair, and text."""
+    """doc_id, the keys k1 and k2 that name an (id, text) pair, and text."""
     text = text_or_empty()
-    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
+    return docs.select("doc_id", *_keys(text), text.alias("text"))
+
+
+def _keys(text) -> tuple:
+    return F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(text, F.lit(7), "doc_id").alias("k2")
 
 
 def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
     return (x == y).mean(1)
 
 
-def sketches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """key, doc_id, paragraph (its first line), last_line, sid, n and regs (42 registers of 32 bits) of each paragraph."""
-    arrow_rows(docs.sparkSession)
-    kind = dict(docs.dtypes)["doc_id"]
+def sketches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, k1, k2, paragraph (its first line), last_line, s1, s2, n and regs (42 registers of 16 bits) of each paragraph."""
+    arrow_rows(rows.sparkSession)
+    kind = dict(rows.dtypes)["doc_id"]
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x, owner, of_text, lines, ends = _cut(list(b["text"]), min_words)
             _, bounds, ids, low = neardup.sketch(x, owner, len(lines), REGISTERS)
-            out = b[["doc_id", "key"]].iloc[of_text].reset_index(drop=True)
-            regs = (low >> np.uint64(32)).astype("<u4")
-            yield out.assign(paragraph=lines, last_line=ends, sid=ids, n=np.diff(bounds), regs=[r.tobytes() for r in regs])
+            out = b[["doc_id", "k1", "k2"]].iloc[of_text].reset_index(drop=True)
+            regs = (low >> np.uint64(48)).astype("<u2")
+            yield out.assign(paragraph=lines, last_line=ends, s1=ids[:, 0], s2=ids[:, 1], n=np.diff(bounds), regs=[r.tobytes() for r in regs])
 
-    return _keyed(docs).mapInPandas(sketch, f"doc_id {kind}, key long, paragraph int, last_line int, sid long, n long, regs binary")
+    return rows.mapInPandas(sketch, f"doc_id {kind}, k1 long, k2 long, paragraph int, last_line int, s1 long, s2 long, n int, regs binary")
 
 
-def paragraph_sets(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(sid, shingles) of the paragraphs ``wanted`` (sid, key, paragraph), cut anew from the documents."""
-    places = wanted.groupBy("key").agg(F.collect_list("paragraph").alias("places"))
-    chosen = _keyed(docs).join(places, "key").dropDuplicates(["key"]).select("text", "places")
+def paragraph_sets(rows: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(node, shingles) of the paragraphs ``wanted`` (node, k1, k2, paragraph), cut anew from the documents."""
+    # One document's own paragraphs are gathered here: no more than its text holds.
+    places = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("paragraph", "node")).alias("places"))
+    chosen = rows.join(places, ["k1", "k2"]).select("text", F.map_from_entries("places").alias("places"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x, owner, of_text, lines, _ = _cut(list(b["text"]), min_words)
-            values, bounds, ids, _ = neardup.sketch(x, owner, len(lines), REGISTERS)
-            places = [set(p) for p in b["places"]]
-            chosen_rows = [k for k, (t, line) in enumerate(zip(of_text, lines)) if line in places[t]]
-            yield pd.DataFrame(
-                {"sid": ids[chosen_rows], "shingles": [values[bounds[k] : bounds[k + 1]].tobytes() for k in chosen_rows]}
-            )
-
-    return chosen.mapInPandas(sets, "sid long, shingles binary").dropDuplicates(["sid"])
-
-
-def removals(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, removed): the lines that each document loses, for those that lose any."""
-    found = materialize(sketches(docs, min_words), "paragraphs")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("paragraph"), F.col("key")).alias("place")
-    nodes = materialize(
-        found.groupBy("sid").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.min("regs").alias("regs")), "paragraph-nodes"
-    )
-    members = materialize(
-        neardup.groups(nodes.select("sid", "n", "regs"), BANDS, 4 * ROWS, REGISTERS, estimate, "<u4", percent), "paragraph-groups"
-    )
-    wanted = nodes.join(members.select(F.col("node").alias("sid")), "sid").select(
-        "sid", F.col("first.key").alias("key"), F.col("first.paragraph").alias("paragraph")
-    )
-    edges = neardup.linked(members, nodes, paragraph_sets(docs, wanted, min_words), percent)
-    same = components(materialize(edges, "paragraph-links")).withColumnRenamed("node", "sid")
-    clustered = nodes.select("sid", "first").join(same, "sid", "left").withColumn("c", F.coalesce("component", "sid"))
+            values, bounds, _, _ = neardup.sketch(x, owner, len(lines), REGISTERS)
+            places = [dict(p) for p in b["places"]]
+            found = [(places[t][line], values[bounds[k] : bounds[k + 1]].tobytes()) for k, (t, line) in enumerate(zip(of_text, lines)) if line in places[t]]
+            yield pd.DataFrame(found, columns=["node", "shingles"]).astype({"node": np.int64})
+
+    # A repeated row gives its sets as often as it stands there.
+    return chosen.mapInPandas(sets, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def removals(rows: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+    """(k1, k2, removed): the lines that each document of ``rows`` (doc_id, k1, k2, text) loses, for those that lose any."""
+    found = materialize(sketches(rows, min_words), "paragraphs")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("paragraph"), F.col("k1"), F.col("k2")).alias("place")
+    nodes = found.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("regs").alias("regs"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "*"), "paragraph-nodes")
+    same = neardup.clusters(
+        nodes.select("node", "n", "regs"),
+        lambda wanted: paragraph_sets(rows, nodes.join(wanted, "node").select("node", "first.k1", "first.k2", "first.paragraph"), min_words),
+        BANDS, 2 * ROWS, REGISTERS, estimate, "<u2", percent,
+    )
+    clustered = nodes.select("node", "s1", "s2", "first", "copies").join(same, "node", "left").filter("copies > 1 OR component IS NOT NULL")
+    clustered = clustered.withColumn("c", F.coalesce("component", "node"))
     firsts = clustered.groupBy("c").agg(F.min("first").alias("stays"))
-    by_sid = clustered.join(firsts, "c").select("sid", F.col("stays.key").alias("s_key"), F.col("stays.paragraph").alias("s_paragraph"))
-    others = found.select("key", "paragraph", "last_line", "sid").join(by_sid, "sid").filter(
-        (F.col("key") != F.col("s_key")) | (F.col("paragraph") != F.col("s_paragraph"))
+    by_set = clustered.join(firsts, "c").select("s1", "s2", F.col("stays.k1").alias("o1"), F.col("stays.k2").alias("o2"), F.col("stays.paragraph").alias("first"))
+    others = found.select("k1", "k2", "paragraph", "last_line", "s1", "s2").join(by_set, ["s1", "s2"]).filter(
+        (F.col("k1") != F.col("o1")) | (F.col("k2") != F.col("o2")) | (F.col("paragraph") != F.col("first"))
     )
-    # One document's own paragraphs are gathered here: no more than its text holds.
     gone = F.array_distinct(F.flatten(F.collect_list(F.sequence("paragraph", "last_line"))))
-    return materialize(others.groupBy("key").agg(F.array_sort(gone).alias("removed")), "paragraph-removals")
+    out = materialize(others.groupBy("k1", "k2").agg(F.array_sort(gone).alias("removed")), "paragraph-removals")
+    release(found, nodes, same)
+    return out
 
 
 def _windows(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
@@ -168,37 +169,39 @@ def _windows(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return owner[: len(whole)][inside], place[: len(whole)][inside], whole[inside], mark[inside], grams
 
 
-def passages(keyed: DataFrame, width: int = MIN_WORDS) -> DataFrame:
-    """(key, places): where windows of ``width`` words begin that stand in an earlier place as well.
+def passages(texts: DataFrame, width: int = MIN_WORDS) -> DataFrame:
+    """(k1, k2, places): where windows of ``width`` words begin that stand in an earlier place as well.
 
-    ``keyed`` has doc_id, key and text. An earlier place has a lower id, or comes first in one text.
+    ``texts``, a written table, has doc_id, k1, k2 and text. An earlier place has a lower id, or
+    comes first in one text.
     """
-    arrow_rows(keyed.sparkSession)
-    kind = dict(keyed.dtypes)["doc_id"]
+    arrow_rows(texts.sparkSession)
+    kind = dict(texts.dtypes)["doc_id"]
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            owner, place, _, marks, grams = _windows(list(b["text"]), width)
+            owner, place, _, marks, _ = _windows(list(b["text"]), width)
             first = np.flatnonzero(np.append(True, (marks[1:] != marks[:-1]) | (owner[1:] != owner[:-1]))[: len(marks)])
             length = np.diff(np.append(first, len(marks)))
-            # One run of words gives its hash to so many windows at most; more windows, more places.
-            yield pd.DataFrame(
-                {"key": b["key"].to_numpy()[owner[first]], "mark": marks[first].view(np.int64), "place": place[first], "length": length, "n": -(-length // grams)}
-            )
+            yield pd.DataFrame({"k1": b["k1"].to_numpy()[owner[first]], "mark": marks[first].view(np.int64), "place": place[first], "length": length})
 
-    marks = materialize(keyed.select("key", "text").mapInPandas(mark, "key long, mark long, place int, length int, n int"), "passage-marks")
-    repeated = marks.groupBy("mark").agg(F.sum("n").alias("n")).filter("n > 1").select("mark")
-    where = marks.join(repeated, "mark").groupBy("key").agg(F.collect_set(F.struct("place", "length")).alias("runs"))
-    chosen = keyed.join(where, "key").dropDuplicates(["key"]).select("doc_id", "key", "text", F.col("runs.place").alias("place"), F.col("runs.length").alias("length"))
+    marks = materialize(texts.select("k1", "text").mapInPandas(mark, "k1 long, mark long, place int, length int"), "passage-marks")
+    # One run of words gives its hash to so many windows at most; more windows, more places.
+    grams = width - (width + 1) // 2 + 1
+    repeated = marks.groupBy("mark").agg(F.sum(F.ceil(F.col("length") / grams)).alias("n")).filter("n > 1").select("mark")
+    # Half of a text's name will do here: rows of another text cost its windows a look, no more.
+    where = materialize(marks.join(repeated, "mark").select("k1", "place", "length"), "passage-places")
+    runs = where.groupBy("k1").agg(F.collect_set(F.struct("place", "length")).alias("runs"))
+    chosen = texts.join(runs, "k1").dropDuplicates(["k1", "k2"]).select("doc_id", "k1", "k2", "text", F.col("runs.place").alias("place"), F.col("runs.length").alias("length"))
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             owner, place, whole, marks, _ = _windows(list(b["text"]), width)
-            begins = np.searchsorted(owner, np.arange(len(b)))
+            begins = np.searchsorted(owner, np.arange(len(b) + 1))
             keep = np.zeros(len(owner) + 1, np.int64)
             for k, (p, n) in enumerate(zip(b["place"], b["length"])):
-                np.add.at(keep, begins[k] + p, 1)
-                np.add.at(keep, begins[k] + p + n, -1)
+                np.add.at(keep, np.minimum(begins[k] + p, begins[k + 1]), 1)
+                np.add.at(keep, np.minimum(begins[k] + p + n, begins[k + 1]), -1)
             rows = np.flatnonzero(np.cumsum(keep)[:-1] > 0)
             rows = rows[np.lexsort((place[rows], whole[rows], owner[rows]))]
             o, p, w = owner[rows], place[rows], whole[rows]
@@ -206,15 +209,18 @@ def passages(keyed: DataFrame, width: int = MIN_WORDS) -> DataFrame:
             fresh = np.ones(len(rows), bool)
             fresh[1:] = (o[1:] != o[:-1]) | (w[1:] != w[:-1]) | (p[1:] - p[:-1] >= width)
             start = p[fresh][np.cumsum(fresh) - 1]
-            out = b[["doc_id", "key"]].iloc[o].reset_index(drop=True)
+            out = b[["doc_id", "k1", "k2"]].iloc[o].reset_index(drop=True)
             yield out.assign(whole=w.view(np.int64), mark=marks[rows].view(np.int64), place=p, start=start)
 
-    found = materialize(chosen.mapInPandas(expand, f"doc_id {kind}, key long, whole long, mark long, place int, start int"), "passage-windows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("start"), F.col("key")))
+    found = materialize(chosen.mapInPandas(expand, f"doc_id {kind}, k1 long, k2 long, whole long, mark long, place int, start int"), "passage-windows")
+    release(marks, where)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("start"), F.col("k1"), F.col("k2")))
     firsts = found.groupBy("whole", "mark").agg(first.alias("stays"))
-    later = found.join(firsts, ["whole", "mark"]).filter((F.col("key") != F.col("stays.key")) | (F.col("start") != F.col("stays.start")))
+    later = found.join(firsts, ["whole", "mark"]).filter((F.col("k1") != F.col("stays.k1")) | (F.col("k2") != F.col("stays.k2")) | (F.col("start") != F.col("stays.start")))
     # One document's own places: no more than its words.
-    return materialize(later.groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("places")), "passages")
+    out = materialize(later.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("place")).alias("places")), "passages")
+    release(found)
+    return out
 
 
 def without(text: str, places: np.ndarray, width: int) -> tuple[str, int]:
@@ -243,25 +249,27 @@ def without(text: str, places: np.ndarray, width: int) -> tuple[str, int]:
 
 def cut(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents as a struct ``row`` with the text that stays, the list ``removed`` of lines cut whole, and ``n_words_cut`` of other words."""
-    lost = removals(docs.select("doc_id", "text"), percent, min_words)
+    rows = _keyed(docs)
+    lost = removals(rows, percent, min_words)
     lines = F.split("text", "\n")
     stays = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains("removed", k)), "\n")
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(stays).alias("text")
-    left = materialize(_keyed(docs).join(lost, "key", "left").select("doc_id", "key", text), "passage-texts")
+    left = materialize(rows.join(lost, ["k1", "k2"], "left").select("doc_id", "k1", "k2", text), "passage-texts")
     again = passages(left, min_words)
+    release(left)
 
     @F.pandas_udf("text string, n_words_cut long")
     def shorten(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
         done = [(None, 0) if p is None else without(t, p, min_words) for t, p in zip(texts, places)]
         return pd.DataFrame(done, columns=["text", "n_words_cut"])
 
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", text_or_empty()).alias("key"))
-    joined = keyed.join(lost, "key", "left").join(again, "key", "left")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keys(text_or_empty()))
+    joined = keyed.join(lost, ["k1", "k2"], "left").join(again, ["k1", "k2"], "left")
     joined = joined.withColumn("text", F.col("row.text")).withColumn("text", text)
     short = shorten(F.when(F.col("places").isNotNull(), F.col("text")), F.col("places"))
     done = joined.select("row", "removed", "text", short.alias("short"))
     return done.select(
         F.col("row").withField("text", F.coalesce("short.text", "text")).alias("row"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
-        F.col("short.n_words_cut").alias("n_words_cut"),
+        F.coalesce("short.n_words_cut", F.lit(0)).cast("long").alias("n_words_cut"),
     )

@@ -27,8 +27,8 @@ from .common import arrow_rows, text_or_empty
 
 SAMPLE = 2000
 SHARE = 0.5
-#: Lines of a training sequence; longer documents are cut for fitting only.
-SEGMENT = 64
+#: Lines of a training sequence, and of one document in fitting; for fitting only.
+SEGMENT, SAMPLE_LINES = 64, 256
 SYMBOLS = b"#*$%&|<>"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 # Stems of licence and navigation lines.
@@ -105,14 +105,6 @@ def measure(text: str) -> tuple[tuple[int, int, int, int, int], np.ndarray, np.n
     return counts, np.array(rows, np.float64).reshape(-1, len(FEATURES)), np.array(sizes, np.int64)
 
 
-def _padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(x) for x in docs])
-    out = np.zeros((len(docs), lengths.max(initial=0), len(FEATURES)))
-    for k, x in enumerate(docs):
-        out[k, : len(x)] = x
-    return out, lengths
-
-
 def viterbi(docs: list[np.ndarray], weights: np.ndarray, moves: np.ndarray) -> list[np.ndarray]:
     """The best states (1: content) of each document's lines; documents step together."""
     order = np.argsort([-len(x) for x in docs], kind="stable")
@@ -143,48 +135,56 @@ def viterbi(docs: list[np.ndarray], weights: np.ndarray, moves: np.ndarray) -> l
     return out
 
 
-def fit(docs: list[np.ndarray], labels: list[int], steps: int = 300, l2: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transition scores by gradient ascent on the mean log-likelihood."""
+def fit(docs: list[np.ndarray], labels: list[int], steps: int = 300, l2: float = 0.02, still: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transition scores by gradient ascent on the mean log-likelihood, until no weight moves by ``still``."""
     weights, moves = PRIOR.copy(), np.array([[1.0, -1.0], [-1.0, 1.0]])
     if len(set(labels)) < 2:
         return weights, moves
     parts = [(x[s : s + SEGMENT], y) for x, y in zip(docs, labels) for s in range(0, len(x), SEGMENT)]
-    x, lengths = _padded([p for p, _ in parts])
-    y = np.array([v for _, v in parts])
-    n, longest, _ = x.shape
-    inside = np.arange(longest)[None] < lengths[:, None]
+    parts.sort(key=lambda p: -len(p[0]))
+    lengths, y = np.array([len(p) for p, _ in parts]), np.array([v for _, v in parts])
+    # Lines are laid out by position: those at position t are one slice, of the longest parts.
+    live = [int((lengths > t).sum()) for t in range(lengths[0])]
+    at = np.concatenate([[0], np.cumsum(live)])
+    x = np.concatenate([np.array([p[t] for p, _ in parts[:m]]) for t, m in enumerate(live)])
     # Kinds weigh alike, however many documents each has.
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    share = share / np.maximum(lengths, 1)
-    seen_moves = np.zeros((2, 2))
-    for v in (0, 1):
-        seen_moves[v, v] = (share * np.maximum(lengths - 1, 0))[y == v].sum()
+    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) / lengths
+    line_share = np.concatenate([share[:m] for m in live])
+    content = np.concatenate([y[:m] == 1 for m in live])
+    seen_moves = np.diag([(share * (lengths - 1))[y == v].sum() for v in (0, 1)])
     theta = np.concatenate([weights, moves.ravel()])
-    m, v2 = np.zeros_like(theta), np.zeros_like(theta)
+    origin, m1, m2 = theta.copy(), np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        w, a = theta[: len(FEATURES)], theta[len(FEATURES) :].reshape(2, 2)
-        emit = np.zeros((n, longest, 2))
-        emit[:, :, 1] = x @ w
-        alpha, beta = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        alpha[:, 0] = emit[:, 0]
-        for t in range(1, longest):
-            alpha[:, t] = np.logaddexp.reduce(alpha[:, t - 1, :, None] + a, axis=1) + emit[:, t]
-        for t in range(longest - 2, -1, -1):
-            ahead = np.logaddexp.reduce(a[None] + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-            beta[:, t] = np.where(inside[:, t + 1, None], ahead, 0)
-        log_z = np.logaddexp.reduce(alpha[np.arange(n), lengths - 1], axis=1)
-        p1 = np.exp(alpha[:, :, 1] + beta[:, :, 1] - log_z[:, None]) * inside
-        g_w = np.einsum("nt,ntf->f", ((y[:, None] == 1) - p1) * inside * share[:, None], x)
-        pair = alpha[:, :-1, :, None] + a + (emit[:, 1:] + beta[:, 1:])[:, :, None, :] - log_z[:, None, None, None]
-        g_a = seen_moves - (np.exp(np.minimum(pair, 0)) * (inside[:, 1:] * share[:, None])[:, :, None, None]).sum((0, 1))
-        g = np.concatenate([g_w, g_a.ravel()]) - l2 / 100 * (theta - np.concatenate([PRIOR, [1, -1, -1, 1]]))
-        m, v2 = 0.9 * m + 0.1 * g, 0.999 * v2 + 0.001 * g * g
-        theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v2 / (1 - 0.999**step)) + 1e-8)
+        # Forward and backward sums, scaled to 1 at each position.
+        step_by = np.exp(np.clip(theta[len(FEATURES) :], -30, 30)).reshape(2, 2)
+        emit = np.ones((len(x), 2))
+        emit[:, 1] = np.exp(np.clip(x @ theta[: len(FEATURES)], -50, 50))
+        alpha, beta, scale = np.empty_like(emit), np.ones_like(emit), np.empty(len(x))
+        for t, m in enumerate(live):
+            now = emit[at[t] : at[t + 1]] * (alpha[at[t - 1] : at[t - 1] + m] @ step_by if t else 1.0)
+            scale[at[t] : at[t + 1]] = now.sum(1)
+            alpha[at[t] : at[t + 1]] = now / now.sum(1, keepdims=True)
+        pair = np.zeros((2, 2))
+        for t in range(len(live) - 2, -1, -1):
+            m = live[t + 1]
+            ahead = emit[at[t + 1] : at[t + 2]] * beta[at[t + 1] : at[t + 2]] / scale[at[t + 1] : at[t + 2], None]
+            beta[at[t] : at[t] + m] = ahead @ step_by.T
+            pair += step_by * ((alpha[at[t] : at[t] + m] * share[:m, None]).T @ ahead)
+        p1 = alpha[:, 1] * beta[:, 1] / (alpha * beta).sum(1)
+        g = np.concatenate([((content - p1) * line_share) @ x, (seen_moves - pair).ravel()]) - l2 / 100 * (theta - origin)
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
+        move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+        theta = theta + move
+        if np.abs(move).max() < still:
+            break
     return theta[: len(FEATURES)], theta[len(FEATURES) :].reshape(2, 2)
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on the ``sample`` labelled documents whose ids hash lowest: that many at most reach the driver."""
+def fit_on_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> tuple[np.ndarray, np.ndarray]:
+    """Fit on the ``sample`` labelled documents whose ids hash lowest, in one task; only the weights reach the driver.
+
+    Of a longer document's lines, runs of ``SEGMENT`` at even distances are used, ``lines`` in all.
+    """
     chosen = (
         labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
         .dropna()
@@ -195,16 +195,30 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
     arrow_rows(docs.sparkSession)
 
+    def spread(x: np.ndarray) -> np.ndarray:
+        if len(x) <= lines:
+            return x
+        starts = np.linspace(0, len(x) - SEGMENT, max(1, lines // SEGMENT)).astype(int)
+        return np.concatenate([x[s : s + SEGMENT] for s in starts])
+
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = [measure(t)[1] for t in b["text"]]
+            x = [spread(measure(t)[1]) for t in b["text"]]
             yield b[["doc_id", "quality"]].assign(x=[v.astype("<f8").tobytes() for v in x])
 
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [r for b in batches for r in zip(b["x"], b["quality"])]
+        pairs = [(np.frombuffer(x, "<f8").reshape(-1, len(FEATURES)), y) for x, y in rows if len(x) and y in (0, 1)]
+        weights, moves = fit([x for x, _ in pairs], [y for _, y in pairs])
+        yield pd.DataFrame({"theta": [np.concatenate([weights, moves.ravel()])]})
+
     kind = dict(docs.dtypes)["doc_id"]
-    rows = texts.mapInPandas(features, f"doc_id {kind}, quality int, x binary").orderBy("doc_id", "x").limit(sample).collect()
-    pairs = [(np.frombuffer(r["x"], "<f8").reshape(-1, len(FEATURES)), r["quality"]) for r in rows]
-    pairs = [(x, y) for x, y in pairs if len(x) and y in (0, 1)]
-    return fit([x for x, _ in pairs], [y for _, y in pairs])
+    rows = texts.mapInPandas(features, f"doc_id {kind}, quality int, x binary").orderBy("doc_id", "x").limit(sample)
+    found = rows.coalesce(1).mapInPandas(fitted, "theta array<double>").collect()
+    if not found:  # no labelled document at all
+        return fit([], [])
+    theta = np.array(found[0]["theta"])
+    return theta[: len(FEATURES)], theta[len(FEATURES) :].reshape(2, 2)
 
 
 def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], share: float = SHARE) -> DataFrame:

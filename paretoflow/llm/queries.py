@@ -51,6 +51,8 @@ def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "removed",
         F.octet_length(F.col("row.text")).cast("long").alias("n_bytes_kept"),
         F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256"),
+        "n_words_cut",
+        "row.text",
     )
 
 

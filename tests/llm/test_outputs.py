@@ -87,6 +87,18 @@ def test_packed_ids_are_those_of_the_tokenizer(spark):
     assert ids[0] == [64, 220, 50256, 275, packing.END_ID]
 
 
+def test_ids_of_long_runs_and_of_a_whole_table(spark):
+    """Runs of a million white-space characters, digits or letters, and all documents of a table."""
+    t, encode = tokens.tokenizer(tokens.vocabulary_path()), tokens.encoder(tokens.vocabulary_path())
+    for text in ["a" + " " * 1_000_000 + "b", "\n" * 1_000_000 + "x", "\u2003\t" * 500_000, "7" * 1_000_000, "ab" * 500_000, "!" * 1_000_000]:
+        assert encode(text) == t.encode(text, add_special_tokens=False).ids
+    got = packing.pieces(spark.createDataFrame([(1, "a" + " " * 1_000_000 + "b")], "doc_id long, text string"))
+    assert got.agg({"length": "sum"}).first()[0] == len(t.encode("a" + " " * 1_000_000 + "b").ids) + 1
+    texts = [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for text, found in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+        assert encode(text) == found.ids
+
+
 def test_packing(docs, none):
     cut = packing.pieces(docs, 64)
     packed = packing.pack(cut, cut.count(), 64, group=50).collect()

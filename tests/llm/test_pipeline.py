@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from paretoflow.llm import tokens
 from tests.llm.conftest import prose
 
 
@@ -26,13 +29,20 @@ def test_stages(spark, tmp_path):
         stage(spark, docs, str(tmp_path)).write.parquet(path)
         columns, docs = docs.columns, spark.read.parquet(path)
         assert n == 4 or docs.columns == columns
-        kept[n] = {x["doc_id"]: x for x in docs.collect()}
+        kept[n] = {i: x for x in docs.collect() for i in (x["doc_ids"] if n == 4 else [x["doc_id"]])}
     assert set(kept[0]) == {i for i, *_ in clean + near + shared}
     assert set(kept[1]) == {i for i, *_ in clean + shared}
     assert sum(passage in x["text"] for x in kept[2].values()) == 1 and passage in kept[2][200]["text"]
     assert all(kept[2][i]["text"] == t for i, t, *_ in clean)
     assert all(x["n_chars"] == len(x["text"]) for x in kept[2].values())
     assert set(kept[4]) == set(kept[3]) and kept[3]
+    encode, texts = tokens.encoder(tokens.vocabulary_path()), {i: x["text"] for i, x in kept[3].items()}
+    for s in docs.collect():
+        ids = np.frombuffer(bytes(s["token_ids"]), "<u4").tolist()
+        assert len(ids) == s["n_tokens"] == sum(s["lengths"]) <= 2048
+        for i, start, length in zip(s["doc_ids"], s["starts"], s["lengths"]):
+            assert ids[:length] == [*encode(texts[i]), 1][start : start + length]
+            ids = ids[length:]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
