@@ -1,17 +1,20 @@
 """Language-model scoring by a log-bilinear model trained with noise-contrastive estimation.
 
-The model factors a token into its class and the token within the class. Classes: the end, the
-most frequent words (a class each), the most frequent word endings (their other words together)
-and the rest. A log-bilinear network predicts the class from the classes of the two tokens before
-it; matrix products for all contexts at once, normalised over all classes, give its
-log-probabilities. Within a class a token has its discounted relative count, and what discounting
-frees is the probability of an unknown word (one symbol of the class), so token probabilities sum
-to 1.
+The network knows a vocabulary of symbols: the end of a text, the most frequent words (those that
+make up at least ``LEAST_SHARE`` of all tokens, up to ``TOP_WORDS``), and for each class of words one
+symbol for its rarer ones. Classes are neighbours in the order of the words' endings. From the
+vectors of the two symbols before a token a log-bilinear network predicts its class, and within the
+class its symbol; batched matrix products normalise over all classes, and over all symbols of the
+class. A rarer word has its discounted share of its class's rare words, and what discounting frees
+is the probability of an unknown word, so token probabilities sum to 1.
 
 What is learnt comes from all training documents: words are counted exactly (chunks of documents
-send their distinct words to blocks, a block adds them up and answers each chunk), and all class
-trigrams are counted. The network is trained in numpy on those counts as weights, in one task,
-whose table CLASSES**3 bounds. Only the classes and the network reach the driver.
+send their distinct words to blocks, a block adds them up and answers each chunk). The network is
+trained in numpy with noise-contrastive estimation, both for classes and for symbols within them:
+every task makes a pass over its own training texts from common parameters, and the tasks'
+parameters are averaged by how often they were used, first over an eighth of the documents, then
+over all. Training grows with the corpus; small ones are gone over several times. Only the symbols'
+counts and the parameters, both bounded by ``TOP_WORDS``, reach the driver.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id hashes as an empty
 string; without training tokens every word is unknown; repeated rows count as often as they
@@ -21,6 +24,7 @@ are ignored.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,18 +37,18 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, materialize, text_or_empty
 
-#: Classes with their kinds: start (context only), end, frequent words, frequent endings, rest.
-CLASSES, TOP_WORDS, TOP_ENDINGS = 128, 64, 61
+#: Symbols: words of their own at most, the least share of all tokens that makes one, and classes of words.
+TOP_WORDS, LEAST_SHARE, CLASSES = 3072, 2e-6, 56
 START, END = 0, 1
 #: The end token: no word holds white space.
 END_TOKEN = b"\n"
 ENDING = 3
 DISCOUNT = 0.75
-DIMENSIONS, NOISE, STEPS, BATCH, SEED = 24, 16, 2000, 2048, 11
+DIMENSIONS, CLASS_NOISE, NOISE, BATCH, RATE, SEED = 20, 16, 8, 8192, 0.12, 11
+#: Tokens that a training pass sees at least, by repeats (16 at most) if the corpus has fewer.
+LEAST_TOKENS = 1_500_000
 CHUNK_BYTES = 6_000_000
 BLOCK_BYTES = 12_000_000
-#: Trigram counts travel in so many ranges.
-RANGES = 32
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -57,85 +61,174 @@ def tokens(raw: bytes) -> list[bytes]:
 
 
 @dataclass
-class Classes:
-    """Class of each frequent word and ending, and the size of each class."""
+class Symbols:
+    """The network's vocabulary. Class 0 is the end; the symbols of a class are neighbours, its rare one last."""
 
     words: dict[bytes, int]
-    endings: dict[bytes, int]
-    #: Tokens and distinct words of each class.
-    total: np.ndarray
-    distinct: np.ndarray
+    #: Reversed endings at which the classes from 2 on begin; class 1 begins at the empty one.
+    bounds: list[bytes]
+    #: First symbol of each class, and one past the last.
+    starts: np.ndarray
+    #: Training count of each symbol; of rare symbols, their tokens and distinct words.
+    counts: np.ndarray
+    rare_total: np.ndarray
+    rare_distinct: np.ndarray
     train_tokens: int
     train_distinct: int
 
-    def of(self, token: bytes) -> int:
-        found = self.words.get(token)
-        return found if found is not None else self.endings.get(token[-ENDING:], CLASSES - 1)
+    @property
+    def size(self) -> int:
+        return int(self.starts[-1])
+
+    def class_of_ending(self, ending: bytes) -> int:
+        return bisect.bisect_right(self.bounds, ending[::-1]) + 1
+
+    def classes(self) -> np.ndarray:
+        """Class of each symbol; the start, which is never predicted, counts to the end's."""
+        out = np.zeros(self.size, np.int64)
+        out[self.starts[1] :] = np.repeat(np.arange(1, len(self.starts) - 1), np.diff(self.starts[1:]))
+        return out
+
+    def ids(self, own: list[bytes], seen: dict[bytes, int]) -> np.ndarray:
+        """Symbol of each token; ``seen`` keeps the rare symbols of endings."""
+        words, out = self.words, []
+        for w in own:
+            s = words.get(w)
+            if s is None:
+                e = w[-ENDING:]
+                s = seen.get(e)
+                if s is None:
+                    s = seen[e] = int(self.starts[self.class_of_ending(e) + 1]) - 1
+            out.append(s)
+        return np.array(out, np.int64)
+
+    def cells(self, ids: np.ndarray) -> np.ndarray:
+        """(symbol two before, symbol before, symbol) of each token as one number."""
+        padded = np.concatenate([[START, START], ids])
+        return (padded[:-2] * self.size + padded[1:-1]) * self.size + ids
+
+    def split(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return cells // self.size**2, cells // self.size % self.size, cells % self.size
 
 
-@dataclass
 class Network:
-    context: np.ndarray
-    far: np.ndarray
-    near: np.ndarray
-    target: np.ndarray
-    bias: np.ndarray
-
-    def table(self) -> np.ndarray:
-        """log10 P(class | two classes before), for all contexts: batched matrix products."""
-        predicted = (self.context @ self.far)[:, None, :] + (self.context @ self.near)[None, :, :]
-        scores = predicted.reshape(-1, self.target.shape[1]) @ self.target.T + self.bias
-        scores[:, START] = -np.inf
-        scores -= scores.max(1, keepdims=True)
-        scores -= np.log(np.exp(scores).sum(1, keepdims=True))
-        return (scores / np.log(10)).reshape(CLASSES, CLASSES, CLASSES)
-
-
-def train(counts: np.ndarray) -> Network:
-    """Noise-contrastive estimation on trigram counts [far, near, target]."""
-    rng = np.random.default_rng(SEED)
-    shape = (CLASSES, DIMENSIONS)
-    names = ("context", "far", "near", "target", "bias")
-    eye = np.eye(DIMENSIONS)
-    p = dict(zip(names, (rng.normal(0, 0.1, shape), eye * 0.5, eye * 1.0, rng.normal(0, 0.1, shape), np.zeros(CLASSES))))
-    unigram = counts.sum((0, 1)).astype(np.float64)
-    unigram[START] = 0
-    noise = unigram + 1.0
-    noise[START] = 0
-    noise /= noise.sum()
-    p["bias"] = np.log(np.maximum(noise, 1e-12))
-    cells = np.flatnonzero(counts)
-    if not len(cells):
-        return Network(*(p[k] for k in names))
-    upto = np.cumsum(counts.ravel()[cells].astype(np.float64))
-    noise_upto = np.cumsum(noise)
-    shift = np.log(NOISE * np.maximum(noise, 1e-12))
-    p = {k: x.astype(np.float32) for k, x in p.items()}
-    shift = shift.astype(np.float32)
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    rows = np.arange(BATCH)
-    which = np.arange(CLASSES)
-    for step in range(1, STEPS + 1):
-        drawn = cells[np.minimum(np.searchsorted(upto, rng.random(BATCH) * upto[-1], side="right"), len(cells) - 1)]
-        c2, c1, t = drawn // CLASSES**2, drawn // CLASSES % CLASSES, drawn % CLASSES
-        other = np.minimum(np.searchsorted(noise_upto, rng.random((BATCH, NOISE)), side="right"), CLASSES - 1)
-        r2, r1 = p["context"][c2], p["context"][c1]
-        predicted = r2 @ p["far"] + r1 @ p["near"]
-        truth = 1 / (1 + np.exp(-(predicted @ p["target"].T + p["bias"] - shift)))
-        drawn_noise = np.bincount((rows[:, None] * CLASSES + other).ravel(), minlength=BATCH * CLASSES)
-        g = -drawn_noise.reshape(BATCH, CLASSES).astype(np.float32) * truth
-        g[rows, t] += 1 - truth[rows, t]
-        g /= BATCH
-        back = g @ p["target"]
-        g_context = (which[:, None] == c2).astype(np.float32) @ (back @ p["far"].T)
-        g_context += (which[:, None] == c1).astype(np.float32) @ (back @ p["near"].T)
-        grads = {"context": g_context, "far": r2.T @ back, "near": r1.T @ back, "target": g.T @ predicted, "bias": g.sum(0)}
-        rate = 0.03 * min(1.0, 2 * (1 - (step - 1) / STEPS))
-        for k in names:
-            m[k] = 0.9 * m[k] + 0.1 * grads[k]
-            v[k] = 0.999 * v[k] + 0.001 * grads[k] ** 2
-            p[k] = p[k] + rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return Network(*(p[k].astype(np.float64) for k in names))
+    """Parameters as rows of one table: context vectors, symbols and classes with a bias last, and the two matrices."""
+
+    def __init__(self, known: Symbols, table: np.ndarray | None = None) -> None:
+        self.known, n, c, d = known, known.size, len(known.starts) - 1, DIMENSIONS
+        self.at = np.cumsum([0, n, n, c, d, d])
+        self.class_of = known.classes()
+        within = np.maximum(known.counts, 0.1)
+        mass = np.bincount(self.class_of, within, minlength=c)
+        self.class_share = np.maximum(mass / mass.sum(), 1e-9)
+        self.share = within / mass[self.class_of]
+        self.class_noise, self.noise = (CLASS_NOISE * self.class_share).astype(np.float32), (NOISE * self.share).astype(np.float32)
+        if table is None:
+            rng = np.random.default_rng(SEED)
+            table = np.zeros((self.at[-1], d + 1), np.float32)
+            table[: self.at[3], :d] = rng.normal(0, 0.1, (self.at[3], d))
+            table[self.at[1] : self.at[2], d] = np.log(self.share)
+            table[self.at[2] : self.at[3], d] = np.log(self.class_share)
+            table[self.at[3] : self.at[4], :d] = np.eye(d) * 0.5
+            table[self.at[4] : self.at[5], :d] = np.eye(d)
+        self.table = table
+        self.squares = np.full(len(table), 1e-6, np.float32)
+        self.used = np.zeros(len(table), np.float32)
+
+    def part(self, k: int) -> np.ndarray:
+        return self.table[self.at[k] : self.at[k + 1]]
+
+    def _add(self, rows: np.ndarray | slice, gradient: np.ndarray) -> None:
+        """Adagrad with one learning rate for each row of the table."""
+        self.squares[rows] += (gradient * gradient).mean(1)
+        self.table[rows] += RATE * gradient / np.sqrt(self.squares[rows])[:, None]
+
+    def learn(self, cells: np.ndarray, weights: np.ndarray) -> None:
+        """One step of noise-contrastive estimation on a batch of cells that occurred ``weights`` times.
+
+        The expectation over noise, drawn by share of all tokens for classes and by share of the class
+        for symbols, is taken exactly: products with all classes, and with all symbols of a class.
+        """
+        far, near, target = self.known.split(cells)
+        order = np.argsort(target)
+        far, near, target = far[order], near[order], target[order]
+        w = (weights[order] / weights.mean()).astype(np.float32)[:, None]
+        context, symbols, classes = self.part(0), self.part(1), self.part(2)
+        f, n, d = self.part(3)[:, :DIMENSIONS], self.part(4)[:, :DIMENSIONS], DIMENSIONS
+        r2, r1 = context[far, :d], context[near, :d]
+        one = np.ones((len(cells), d + 1), np.float32)
+        one[:, :d] = r2 @ f + r1 @ n
+        own = self.class_of[target]
+        g = _contrast(one, classes, own, self.class_noise, w)
+        back, of_classes = g @ classes[:, :d], g.T @ one
+        of_symbols = np.zeros_like(symbols)
+        # Targets are in order, so the cells of a class are neighbours.
+        for k, (s, e) in enumerate(zip(*np.searchsorted(own, [range(len(classes)), range(1, len(classes) + 1)]))):
+            first, end = self.known.starts[k], self.known.starts[k + 1]
+            if s < e and end - first > 1:
+                g = _contrast(one[s:e], symbols[first:end], target[s:e] - first, self.noise[first:end], w[s:e])
+                back[s:e] += g @ symbols[first:end, :d]
+                of_symbols[first:end] = g.T @ one[s:e]
+        wide = lambda x: np.concatenate([x, np.zeros((len(x), 1), np.float32)], 1)
+        self._add(slice(self.at[1], self.at[5]), np.concatenate([of_symbols, of_classes, wide(r2.T @ back), wide(r1.T @ back)]))
+        rows = np.concatenate([far, near])
+        order = np.argsort(rows, kind="stable")
+        first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        self._add(rows[order[first]], wide(np.add.reduceat(np.concatenate([back @ f.T, back @ n.T])[order], first)))
+        self.used[: self.at[1]] += np.bincount(rows, np.concatenate([weights, weights]), minlength=self.at[1])
+        self.used[self.at[1] : self.at[2]] += np.bincount(target, weights, minlength=self.at[1])
+        self.used[self.at[2] :] += float(weights.sum())
+
+    def study(self, cells: np.ndarray, repeats: int, rng: np.random.Generator) -> None:
+        """All cells of some texts in random order, ``repeats`` times; equal cells count together."""
+        distinct, counts = np.unique(cells, return_counts=True)
+        for _ in range(repeats):
+            order = rng.permutation(len(distinct))
+            for s in range(0, len(order), BATCH):
+                self.learn(distinct[order[s : s + BATCH]], counts[order[s : s + BATCH]].astype(np.float64))
+
+    def log10(self, cells: np.ndarray) -> np.ndarray:
+        """log10 P(symbol | two symbols before) of each cell, normalised over all classes and all symbols of the class."""
+        distinct, inverse = np.unique(cells, return_inverse=True)
+        far, near, target = self.known.split(distinct)
+        d, symbols, classes = DIMENSIONS, self.part(1), self.part(2)
+        a, b = self.part(0)[:, :d] @ self.part(3)[:, :d], self.part(0)[:, :d] @ self.part(4)[:, :d]
+        out = np.empty(len(distinct), np.float64)
+        for s in range(0, len(distinct), 16384):
+            part = slice(s, s + 16384)
+            predicted = a[far[part]] + b[near[part]]
+            own, t = self.class_of[target[part]], target[part]
+            score = _log_share(predicted @ classes[:, :d].T + classes[:, d], own)
+            for k in np.unique(own):
+                first, end = self.known.starts[k], self.known.starts[k + 1]
+                if end - first > 1:
+                    mine = np.flatnonzero(own == k)
+                    score[mine] += _log_share(predicted[mine] @ symbols[first:end, :d].T + symbols[first:end, d], t[mine] - first)
+            out[part] = score
+        return out[inverse.ravel()] / np.log(10)
+
+
+def _contrast(x: np.ndarray, vectors: np.ndarray, chosen: np.ndarray, noise: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Gradient of the noise-contrastive objective by the scores of ``vectors``: truth is told from ``noise``."""
+    truth = x @ vectors.T
+    truth -= np.log(noise)
+    np.clip(truth, -30, 30, out=truth)
+    np.negative(truth, out=truth)
+    np.exp(truth, out=truth)
+    truth += 1
+    np.reciprocal(truth, out=truth)
+    g = truth * -noise
+    rows = np.arange(len(x))
+    g[rows, chosen] += 1 - truth[rows, chosen]
+    g *= weights
+    return g
+
+
+def _log_share(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    np.clip(scores, -60, 60, out=scores)
+    own = scores[np.arange(len(scores)), chosen].astype(np.float64)
+    np.exp(scores, out=scores)
+    return own - np.log(scores @ np.ones(scores.shape[1], np.float32))
 
 
 def _dealt(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -143,7 +236,8 @@ def _dealt(docs: DataFrame) -> tuple[DataFrame, int]:
     text = text_or_empty()
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     chunks = max(1, -(-total // CHUNK_BYTES))
-    chunk = F.pmod(F.xxhash64("doc_id", text), F.lit(chunks)).alias("chunk")
+    # Rows are dealt one by one, so copies of one document spread as all others do.
+    chunk = F.pmod(F.xxhash64("doc_id", text, F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(chunks)).alias("chunk")
     rows = docs.select("doc_id", text.cast("binary").alias("raw"), held_out().alias("held_out"), chunk)
     return rows.repartition(chunks, "chunk"), max(1, -(-total // BLOCK_BYTES))
 
@@ -152,9 +246,12 @@ def vocabulary(dealt: DataFrame, blocks: int) -> DataFrame:
     """Counts of all training words, by block, in one table of three kinds of rows.
 
     kind 0: for a chunk, its distinct words (``data``, joined by line ends) and their counts in all
-    training documents (``counts``). kind 1: a block's most frequent words. kind 2: a block's
-    endings, with ``n`` tokens and ``distinct`` words; the empty ending holds the end token.
+    training documents (``counts``). kind 1: a block's most frequent words, of which there are more than
+    its part of the most frequent ones of all. kind 2: a block's endings, with ``n`` tokens and
+    ``distinct`` words; the empty ending holds the end token.
     """
+    # Words are dealt by hash: a block with so many of the most frequent words does not occur.
+    most = min(TOP_WORDS, 8 * TOP_WORDS // blocks + 64)
 
     def words(b: pd.DataFrame) -> pd.DataFrame:
         trained, others = Counter(), set()
@@ -178,7 +275,7 @@ def vocabulary(dealt: DataFrame, blocks: int) -> DataFrame:
                 if c:
                     total[w] += c
         rows = [(0, chunk, data, np.array([total[w] for w in own], "<i8").tobytes(), 0, 0) for chunk, data, own in zip(b["chunk"], b["data"], parts)]
-        best = sorted(((w, c) for w, c in total.items() if w != END_TOKEN), key=lambda x: (-x[1], x[0]))[:TOP_WORDS]
+        best = sorted(((w, c) for w, c in total.items() if w != END_TOKEN), key=lambda x: (-x[1], x[0]))[:most]
         rows += [(1, 0, w, b"", c, 1) for w, c in best]
         n, distinct = Counter(), Counter()
         for w, c in total.items():
@@ -194,127 +291,116 @@ def vocabulary(dealt: DataFrame, blocks: int) -> DataFrame:
     )
 
 
-def classes(table: DataFrame) -> Classes:
-    """Choose the classes; TOP_WORDS + TOP_ENDINGS rows and three sums reach the driver."""
-    top = table.filter("kind = 1").orderBy(F.col("n").desc(), "data").limit(TOP_WORDS).collect()
-    by_ending = materialize(table.filter("kind = 2").groupBy("data").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")), "score-endings")
-    n, distinct = by_ending.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    ends = by_ending.filter(F.octet_length("data") == 0).collect()
-    endings = by_ending.filter(F.octet_length("data") > 0).orderBy(F.col("n").desc(), "data").limit(TOP_ENDINGS).collect()
-    out = Classes({END_TOKEN: END}, {}, np.zeros(CLASSES), np.zeros(CLASSES), n, distinct)
-    rest = CLASSES - 1
-    out.total[rest], out.distinct[rest] = n, distinct
-    for row in ends:
-        out.total[END], out.distinct[END] = row["n"], 1
-    for k, row in enumerate(endings):
-        c = out.endings[bytes(row["data"])] = END + 1 + TOP_WORDS + k
-        out.total[c], out.distinct[c] = row["n"], row["distinct"]
-    out.total[rest] -= out.total[:rest].sum()
-    out.distinct[rest] -= out.distinct[:rest].sum()
-    for k, row in enumerate(top):
-        word = bytes(row["data"])
-        old, c = out.of(word), END + 1 + k
-        out.total[c], out.distinct[c] = row["n"], 1
-        out.total[old] -= row["n"]
-        out.distinct[old] -= 1
-        out.words[word] = c
-    return out
-
-
-def _class_ids(own: list[bytes], words: dict[bytes, int], endings: dict[bytes, int]) -> np.ndarray:
-    rest = CLASSES - 1
-    return np.array([words[w] if w in words else endings.get(w[-ENDING:], rest) for w in own], np.int64)
-
-
-def _contexts(ids: np.ndarray) -> np.ndarray:
-    """Cell number (far, near, target) of each token."""
-    padded = np.concatenate([[START, START], ids])
-    return (padded[:-2] * CLASSES + padded[1:-1]) * CLASSES + ids
-
-
-def trigrams(docs: DataFrame, known: Classes) -> DataFrame:
-    """Class trigram counts of all training documents: RANGES rows (range, counts), CLASSES**3 counts."""
+def symbols(table: DataFrame) -> Symbols:
+    """Choose symbols and classes; at most TOP_WORDS words and CLASSES sums reach the driver."""
+    endings = materialize(table.filter("kind = 2").groupBy("data").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")), "score-endings")
+    n, distinct = endings.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    top = table.filter((F.col("kind") == 1) & (F.col("n") >= LEAST_SHARE * n)).orderBy(F.col("n").desc(), "data").limit(TOP_WORDS).collect()
+    named = sorted((bytes(r["data"])[-ENDING:][::-1], bytes(r["data"]), r["n"]) for r in top)
+    # As many words to each class; an ending is not divided.
+    cuts = sorted({named[k * len(named) // CLASSES][0] for k in range(1, CLASSES)} - {named[0][0]}) if named else []
+    groups: list[list[tuple[bytes, int]]] = [[] for _ in range(len(cuts) + 1)]
+    for ending, word, count in named:
+        groups[bisect.bisect_right(cuts, ending)].append((word, count))
+    starts = np.cumsum([END, 1, *(len(g) + 1 for g in groups)])
+    words, counts = {END_TOKEN: END}, np.zeros(starts[-1])
+    rare_total, rare_distinct = np.zeros(len(groups) + 1), np.zeros(len(groups) + 1)
+    for k, g in enumerate(groups, 1):
+        for j, (word, count) in enumerate(g):
+            words[word] = int(starts[k]) + j
+            counts[starts[k] + j] = count
+        rare_total[k] -= sum(c for _, c in g)
+        rare_distinct[k] -= len(g)
+    @F.pandas_udf("int")
+    def placed(data: pd.Series) -> pd.Series:
+        return data.map(lambda e: bisect.bisect_right(cuts, e[::-1]) + 1 if e else 0)
+
+    sums = endings.groupBy(placed("data").alias("class")).agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct"))
+    for row in sums.collect():
+        if row["class"] == 0:
+            counts[END] = row["n"]
+        else:
+            rare_total[row["class"]] += row["n"]
+            rare_distinct[row["class"]] += row["distinct"]
+    counts[starts[2:] - 1] = rare_total[1:]
+    return Symbols(words, cuts, starts, counts, rare_total, rare_distinct, n, distinct)
+
+
+def _pass(docs: DataFrame, known: Symbols, network: Network, repeats: int) -> Network:
+    """Every task learns from its texts, beginning with ``network``; the average of their parameters by use."""
     arrow_rows(docs.sparkSession)
-    words, endings, cells = known.words, known.endings, CLASSES**3
-    width = -(-cells // RANGES)
+    begin, slices = network.table, 16
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(cells, np.int64)
+    def study(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, rng, seen = Network(known, begin.copy()), np.random.default_rng(SEED), {}
         for b in batches:
-            found = [_contexts(_class_ids(tokens(t.encode("utf-8", "surrogatepass")), words, endings)) for t in b["text"]]
+            found = [known.cells(known.ids(tokens(t.encode("utf-8", "surrogatepass")), seen)) for t in b["text"]]
             if found:
-                where, n = np.unique(np.concatenate(found), return_counts=True)
-                total[where] += n
-        where = np.flatnonzero(total)
-        for k in range(RANGES):
-            own = where[np.searchsorted(where, k * width) : np.searchsorted(where, (k + 1) * width)]
-            if len(own):
-                yield pd.DataFrame({"range": [k], "cells": [own.astype("<u4").tobytes()], "counts": [total[own].astype("<i8").tobytes()]})
-
-    def summed(b: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, np.int64)
-        low = b["range"].iloc[0] * width
-        for where, n in zip(b["cells"], b["counts"]):
-            total[np.frombuffer(where, "<u4") - low] += np.frombuffer(n, "<i8")
-        return pd.DataFrame({"range": [b["range"].iloc[0]], "counts": [total.tobytes()]})
-
-    texts = docs.filter(~held_out()).select(text_or_empty().alias("text"))
-    parts = texts.mapInPandas(counted, "range int, cells binary, counts binary").groupBy("range")
-    return parts.applyInPandas(summed, "range int, counts binary")
-
-
-def fitted(counts: DataFrame) -> Network:
-    """Train in one task, on a table whose size CLASSES bounds; only the network reaches the driver."""
-    width = -(-(CLASSES**3) // RANGES)
-
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros(width * RANGES, np.int64)
-        for b in batches:
-            for k, n in zip(b["range"], b["counts"]):
-                out[k * width : (k + 1) * width] = np.frombuffer(n, np.int64)
-        network = train(out[: CLASSES**3].reshape((CLASSES,) * 3))
-        names = list(vars(network))
-        yield pd.DataFrame({"name": names, "data": [getattr(network, n).tobytes() for n in names], "width": [np.atleast_2d(getattr(network, n)).shape[1] for n in names]})
-
-    rows = counts.repartition(1).mapInPandas(learn, "name string, data binary, width int").collect()
-    if not rows:  # no training text at all
-        return train(np.zeros((CLASSES,) * 3, np.int64))
-    found = {r["name"]: np.frombuffer(r["data"], np.float64).reshape(-1, r["width"]) for r in rows}
-    return Network(**(found | {"bias": found["bias"].ravel()}))
+                own.study(np.concatenate(found), repeats, rng)
+        if own.used.any():
+            for k in range(slices):
+                used = own.used[k::slices].astype("<f8")
+                yield pd.DataFrame({"slice": [k], "used": [used.tobytes()], "data": [(own.table[k::slices] * used[:, None]).astype("<f8").tobytes()]})
+
+    def add(b: pd.DataFrame) -> pd.DataFrame:
+        used = sum(np.frombuffer(x, "<f8") for x in b["used"])
+        data = sum(np.frombuffer(x, "<f8").reshape(len(used), -1) for x in b["data"])
+        average = np.where(used[:, None] > 0, data / np.maximum(used, 1e-9)[:, None], np.nan)
+        return pd.DataFrame({"slice": [b["slice"].iloc[0]], "data": [average.astype("<f4").tobytes()]})
+
+    parts = docs.select(text_or_empty().alias("text")).mapInPandas(study, "slice int, used binary, data binary").groupBy("slice")
+    table = begin.copy()
+    for row in parts.applyInPandas(add, "slice int, data binary").collect():
+        average = np.frombuffer(row["data"], "<f4").reshape(-1, table.shape[1])
+        k = row["slice"]
+        table[k::slices] = np.where(np.isnan(average), table[k::slices], average)
+    return Network(known, table)
+
+
+def trained(docs: DataFrame, known: Symbols) -> Network:
+    """The network after a pass over an eighth of the training documents and one over all of them."""
+    repeats = int(np.clip(LEAST_TOKENS // max(1, known.train_tokens), 1, 16))
+    training = docs.filter(~held_out())
+    some = training.filter(F.pmod(F.xxhash64("doc_id", text_or_empty()), F.lit(8)) == 0)
+    first = _pass(some, known, Network(known), repeats)
+    return _pass(training, known, first, repeats)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
     dealt, blocks = _dealt(docs)
     table = materialize(vocabulary(dealt, blocks), "score-vocabulary")
-    known = classes(table)
-    network = fitted(trigrams(docs, known))
+    known = symbols(table)
+    learnt = trained(docs, known).table
     kind = dict(docs.dtypes)["doc_id"]
     base_total = known.train_tokens + known.train_distinct + 1
-    words, endings = known.words, known.endings
-    own_class = END + 1 + TOP_WORDS
 
     def scored(b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        by_context = network.table().ravel()
+        network, class_of, seen = Network(known, learnt), known.classes(), {}
         counts: dict[bytes, int] = {}
         for data, n in zip(answers["data"], answers["counts"]):
             counts.update(zip(data.split(b" "), np.frombuffer(n, "<i8").tolist()))
-        total, distinct = known.total, known.distinct
+        own = [tokens(raw) for raw in b["raw"]]
+        c = np.array([counts[w] for t in own for w in t], np.int64)
+        ids = [known.ids(t, seen) for t in own]
+        sizes = np.array([len(t) for t in own], np.int64)
+        every = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        total, distinct = known.rare_total[class_of[every]], known.rare_distinct[class_of[every]]
         with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.log10(np.maximum(c - DISCOUNT, 1e-9) / total)
             unknown = np.where(total > 0, np.log10(DISCOUNT * distinct / total), 0.0)
-            log_total = np.log10(total)
-            rows = []
-            for raw in b["raw"]:
-                own = tokens(raw)
-                c = np.array([counts[w] for w in own], np.int64)
-                ids = _class_ids(own, words, endings)
-                inside = np.where(c > 0, np.log10(np.maximum(c - DISCOUNT, 1e-9)) - log_total[ids], unknown[ids])
-                inside[(ids < own_class) & (ids > START)] = 0.0
-                base = np.log10((c + 1) / base_total).sum()
-                rows.append((len(own), int((c > 0).sum()), float(base), float((by_context[_contexts(ids)] + inside).sum())))
-        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score"])
-        out.insert(0, "doc_id", b["doc_id"].to_numpy() if len(b) else [])
-        return out.assign(held_out=b["held_out"].to_numpy() if len(b) else [], train_tokens=known.train_tokens)
+        rare = every == known.starts[class_of[every] + 1] - 1
+        inside = np.where(rare & (every > END), np.where(c > 0, share, unknown), 0.0)
+        model = network.log10(np.concatenate([known.cells(i) for i in ids])) + inside if len(every) else inside
+        base = np.log10((c + 1) / base_total)
+        ends = np.cumsum(sizes)
+        sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])
+        return pd.DataFrame(
+            {
+                "doc_id": b["doc_id"].to_numpy() if len(b) else [], "n_tokens": sizes, "n_known": sums((c > 0).astype(np.int64)), "base_score": sums(base), "score": sums(model),
+                "held_out": b["held_out"].to_numpy() if len(b) else [], "train_tokens": known.train_tokens,
+            }
+        )
 
     replies = table.filter("kind = 0").select("chunk", "data", "counts")
     result = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(

@@ -218,17 +218,56 @@ def test_scoring(docs, none):
     assert scoring.score(none).count() == 0
 
 
+def small_symbols():
+    """Two words in one class, three in another, and rare words in both."""
+    words = {b"\n": 1, b"aa": 2, b"ba": 3, b"xo": 5, b"yo": 6, b"zo": 7}
+    counts = np.array([0, 40, 50, 60, 10, 70, 80, 90, 20], float)
+    return scoring.Symbols(words, [b"o"], np.array([1, 2, 5, 9]), counts, np.array([0.0, 10, 20]), np.array([0.0, 3, 4]), 420, 13)
+
+
 def test_network_is_normalised_and_learns():
-    rng = np.random.default_rng(2)
-    counts = np.zeros((scoring.CLASSES,) * 3, np.int64)
-    # The class before last decides the next one.
-    for far in range(5):
-        counts[far, rng.integers(0, 9, 200), far + 2] += 50
-        counts[far, rng.integers(0, 9, 20), rng.integers(1, 9, 20)] += 1
-    table = scoring.train(counts).table()
-    assert np.allclose((10**table).sum(2), 1)
-    right = np.array([table[far, 3, far + 2] for far in range(5)])
-    assert (10**right > 0.5).all()
+    known = small_symbols()
+    assert known.ids([b"aa", b"qqa", b"yo", b"wo", b"\n"], {}).tolist() == [2, 4, 6, 8, 1]
+    rng, network = np.random.default_rng(2), scoring.Network(known)
+    n = known.size
+    # The symbol before last decides the next one, across classes and within them.
+    after = {2: 5, 3: 6, 5: 2, 6: 3, 7: 1}
+    far, near = rng.choice(list(after), 4000), rng.choice([2, 3, 5, 6, 7], 4000)
+    cells = (far * n + near) * n + np.array([after[f] for f in far])
+    network.study(cells, 30, rng)
+    every = np.array([(f * n + m) * n + t for f in range(n) for m in range(n) for t in range(1, n)])
+    assert np.allclose((10 ** network.log10(every)).reshape(n * n, n - 1).sum(1), 1, atol=1e-5)
+    assert (10 ** network.log10(np.array([(f * n + 3) * n + t for f, t in after.items()])) > 0.5).all()
+
+
+def test_word_probabilities_sum_to_one(spark):
+    """Each word of a small vocabulary, and one unknown word of each class, after one and the same text."""
+    data = [(k, " ".join(f"w{j % (k + 2)}{'aeiou'[j % 5]}" for j in range(60))) for k in range(30)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    dealt, blocks = scoring._dealt(docs)
+    table = scoring.vocabulary(dealt, blocks)
+    known = scoring.symbols(table)
+    counts = Counter(w for k, t in data if zlib.crc32(str(k).encode()) % 7 != 2 for w in scoring.tokens(t.encode()))
+    assert known.train_tokens == sum(counts.values()) and known.train_distinct == len(counts)
+    assert known.counts.sum() == known.train_tokens and set(known.words) <= set(counts)
+    network, n = scoring.Network(known), known.size
+    own = known.classes()
+    total = 0.0
+    for word, c in counts.items():
+        s = int(known.ids([word], {})[0])
+        p = 10 ** network.log10(np.array([(0 * n + 2) * n + s]))[0]
+        total += p if word in known.words else p * (c - scoring.DISCOUNT) / known.rare_total[own[s]]
+    for k in range(1, len(known.starts) - 1):
+        p = 10 ** network.log10(np.array([(0 * n + 2) * n + known.starts[k + 1] - 1]))[0]
+        total += p * (scoring.DISCOUNT * known.rare_distinct[k] / known.rare_total[k] if known.rare_total[k] else 1.0)
+    assert abs(total - 1) < 1e-4
+
+
+def test_held_out_words_of_a_whole_table(spark):
+    """The network is better than its start, which knows classes and shares but no context (-3.59 a token)."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    total = scoring.score(docs).filter("held_out").agg({"score": "sum", "n_tokens": "sum"}).first()
+    assert total["sum(score)"] / total["sum(n_tokens)"] > -3.3
 
 
 def test_scores_beat_the_base_on_held_out_text(spark):
