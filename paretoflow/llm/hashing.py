@@ -21,8 +21,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: A 64-bit value for each byte.
+#: 64-bit values for each byte, of two independent hashes.
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_OTHER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 @functools.lru_cache(maxsize=2)
@@ -37,10 +38,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(1 << max(16, n.bit_length()))
 
 
-def prefix(raw: np.ndarray) -> np.ndarray:
-    """Running polynomial sums of a text's bytes: what :func:`spans` needs."""
+def prefix(raw: np.ndarray, other: bool = False) -> np.ndarray:
+    """Running polynomial sums of a text's bytes, or the other hash's: what :func:`spans` needs."""
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTES[raw] * powers(len(raw))[0][: len(raw)], out=out[1:])
+    np.cumsum((_OTHER if other else _BYTES)[raw] * powers(len(raw))[0][: len(raw)], out=out[1:])
     return out
 
 

@@ -19,8 +19,9 @@ and the bytes that any such string covers are removed.
 
 Copies are one text from the start, however many there are; a copied text of ``length`` bytes or
 more is removed as a whole. Within a chunk equal values are combined before any shuffle, so a string
-that all texts share costs one value per chunk. Values are 64-bit polynomial hashes of byte strings. The documents'
-texts are shuffled to chunks once and read four times.
+that all texts share costs one value per chunk. Names are 64-bit polynomial hashes of byte strings, which
+may let a suffix through for nothing; what decides on a removal are 96 bits of two such hashes. The
+documents' texts are shuffled to chunks once and read four times.
 
 Defined cases: a null or empty text has 0 bytes and loses none; texts shorter than ``length``
 lose none; copies and repeated rows repeat each other and lose everything from ``length`` bytes
@@ -123,15 +124,25 @@ class Layout:
             np.add.at(change, np.clip(last + 1, 0, n), -1)
         return np.flatnonzero(np.cumsum(change[:-1]) > 0)
 
-    def windows(self, sums: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return hashing.spans(sums, starts, starts + self.length)
+    def windows(self, raw: bytes, sums: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """What tells strings of ``length`` bytes apart: 64 bits and 32 more."""
+        out = np.empty(len(starts), WIDE)
+        out["a"] = hashing.spans(sums, starts, starts + self.length)
+        if len(starts):
+            out["b"] = hashing.spans(hashing.prefix(np.frombuffer(raw, np.uint8), True), starts, starts + self.length) >> np.uint64(32)
+        return out
 
     def deal(self, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct values in order, whether each occurred twice, and where each block begins."""
-        distinct, counts = np.unique(np.concatenate(values) if values else np.zeros(0, np.uint64), return_counts=True)
+        every = np.concatenate(values) if values else np.zeros(0, np.uint64)
+        every = every[_order(every)]
+        new = np.ones(len(every), bool)
+        new[1:] = every[1:] != every[:-1]
+        distinct = every[new]
+        twice = np.diff(np.append(np.flatnonzero(new), len(every))) > 1
         edges = np.array([(k << 64) // self.blocks for k in range(1, self.blocks)], np.uint64)
-        bounds = np.concatenate([[0], np.searchsorted(distinct, edges), [len(distinct)]])
-        return distinct, counts > 1, bounds
+        bounds = np.concatenate([[0], np.searchsorted(_first(distinct), edges), [len(distinct)]])
+        return distinct, twice, bounds
 
     def packed(self, chunk: int, values: list[np.ndarray]) -> pd.DataFrame:
         """One row for each block that gets values of this chunk."""
@@ -154,32 +165,60 @@ class Layout:
         return distinct[keep]
 
 
+#: A value that decides on a removal.
+WIDE = np.dtype([("a", "<u8"), ("b", "<u4")])
+
+
+def _first(values: np.ndarray) -> np.ndarray:
+    """The leading 64 bits, by which values are dealt and sorted."""
+    return values["a"] if values.dtype == WIDE else values
+
+
+def _order(values: np.ndarray) -> np.ndarray:
+    return np.lexsort((values["b"], values["a"])) if values.dtype == WIDE else np.argsort(values, kind="stable")
+
+
 def _pack(ordered: np.ndarray) -> bytes:
-    """Differences of sorted values, byte plane by byte plane: high planes are zero and compress."""
-    steps = np.diff(ordered, prepend=np.uint64(0)).astype("<u8")
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Differences of sorted values, byte plane by byte plane: high planes are zero and compress. Further bits follow as they are."""
+    steps = np.diff(_first(ordered), prepend=np.uint64(0)).astype("<u8")
+    planes = steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return planes + (ordered["b"].tobytes() if ordered.dtype == WIDE else b"")
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8")[:, 0]
-    return np.cumsum(steps, dtype=np.uint64)
+def _unpack(data: bytes, wide: bool) -> np.ndarray:
+    n = len(data) // (12 if wide else 8)
+    steps = np.frombuffer(data, np.uint8, 8 * n).reshape(8, -1).T.copy().view("<u8")[:, 0]
+    values = np.cumsum(steps, dtype=np.uint64)
+    if not wide:
+        return values
+    out = np.empty(n, WIDE)
+    out["a"], out["b"] = values, np.frombuffer(data, "<u4", n, 8 * n)
+    return out
 
 
 def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are among the ordered distinct ones."""
     if not len(ordered):
         return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
-    return ordered[at] == values
+    keys, last = _first(ordered), len(ordered) - 1
+    at = np.searchsorted(keys, _first(values))
+    found = ordered[np.minimum(at, last)] == values
+    # Values whose leading bits agree stand side by side; more than one is rare.
+    k = 1
+    while len(left := np.flatnonzero(~found & (keys[np.minimum(at + k, last)] == _first(values)) & (at + k <= last))):
+        found[left] = ordered[at[left] + k] == values[left]
+        k += 1
+    return found
 
 
 def _resolved(packed: DataFrame, kind: int) -> DataFrame:
-    """Sort one block at a time; per chunk and block, which of its values occur twice anywhere."""
+    """Sort one block at a time; per chunk and block, which of its values occur twice anywhere. Kind 2 has wide values."""
 
     def block(b: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack(x) for x in b["data"]]
+        parts = [_unpack(x, kind == 2) for x in b["data"]]
         twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(b["twice"], parts)]).astype(bool)
         values = np.concatenate(parts)
-        order = np.argsort(values, kind="stable")
+        order = _order(values)
         same = values[order][1:] == values[order][:-1]
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
@@ -212,9 +251,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256: the cut without carrying the bytes on."""
-    whole = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.sha2(F.lit(b""), 256)}
-    return _per_document(docs, length, ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"], _digest, whole)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes as text, cut characters replaced."""
+    whole = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.sha2(F.lit(b""), 256), "text": F.lit("")}
+    return _per_document(docs, length, ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "text string"], _digest, whole)
 
 
 def _kept(raw: bytes, runs: np.ndarray) -> bytes:
@@ -230,7 +269,8 @@ def _whole(raw: bytes, runs: np.ndarray) -> tuple:
 
 
 def _digest(raw: bytes, runs: np.ndarray) -> tuple:
-    return len(raw), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(_kept(raw, runs)).hexdigest()
+    kept = _kept(raw, runs)
+    return len(raw), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")
 
 
 def _first_seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,13 +329,13 @@ def _per_document(docs: DataFrame, length: int, columns: list[str], output, whol
         found = reached(b, answers)
         marked = layout.marked([x for f in found if f for x in (f[2], f[4])], _answers(answers, 1))
         out = []
-        for f in found:
+        for raw, f in zip(b["raw"], found):
             if f:
                 sums, right, r, left, lv = f
                 starts = layout.starts(sums, right[_within(r, marked)], left[_within(lv, marked)])
-                out.append((starts, layout.windows(sums, starts)))
+                out.append((starts, layout.windows(raw, sums, starts)))
             else:
-                out.append((np.zeros(0, np.int64), np.zeros(0, np.uint64)))
+                out.append((np.zeros(0, np.int64), np.zeros(0, WIDE)))
         return out
 
     def suffixes(b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:

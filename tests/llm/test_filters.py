@@ -171,13 +171,28 @@ def test_repeats(docs, none, length):
             if seen[b[i : i + length]] > 1:
                 mark[i + 1 : i + 1 + length] = True
         kept = bytes(c for c, m in zip(b, mark[1:-1]) if not m)
-        expected[(doc, len(b), int(mark.sum()), int((np.diff(mark.astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest())] += 1
+        expected[(doc, len(b), int(mark.sum()), int((np.diff(mark.astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"))] += 1
     assert Counter(map(tuple, repeats.repeat_digests(docs, length).collect())) == expected
     assert repeats.repeat_digests(none, length).count() == 0
     whole = {r["doc_id"]: r for r in repeats.cut_repeats(docs, length).collect()}
     assert hashlib.sha256(bytes(whole[14]["kept"])).hexdigest() in {k[4] for k in expected if k[0] == 14}
 
 
+def test_values_with_equal_leading_bits_stay_apart():
+    """What decides on a removal has 96 bits: equal first 64 are not enough."""
+    rng = np.random.default_rng(4)
+    values = np.empty(400, repeats.WIDE)
+    values["a"], values["b"] = rng.integers(0, 20, 400), rng.integers(0, 30, 400)
+    pairs = [tuple(v) for v in values.tolist()]
+    layout = repeats.Layout(400, 3)
+    distinct, twice, bounds = layout.deal([values[:150], values[150:]])
+    assert [tuple(v) for v in distinct.tolist()] == sorted(set(pairs)) and bounds[-1] == len(distinct)
+    assert twice.tolist() == [pairs.count(p) > 1 for p in sorted(set(pairs))]
+    assert (repeats._unpack(repeats._pack(distinct), True) == distinct).all()
+    some = distinct[::3]
+    assert repeats._within(values, some).tolist() == [p in set(map(tuple, some.tolist())) for p in pairs]
+
+
 @pytest.mark.parametrize("q", [2, 3, 5, 7, 11, 13, 17])
 def test_difference_cover(q):
     v, d = repeats.difference_cover(q)
