@@ -21,7 +21,7 @@ Copies are one text from the start, however many there are; a copied text of ``l
 more is removed as a whole. Within a chunk equal values are combined before any shuffle, so a string
 that all texts share costs one value per chunk. Names are 64-bit polynomial hashes of byte strings, which
 may let a suffix through for nothing; what decides on a removal are 96 bits of two such hashes. The
-documents' texts are shuffled to chunks once and read four times.
+documents' texts are dealt to chunks for each of the four steps, whose answers are written.
 
 Defined cases: a null or empty text has 0 bytes and loses none; texts shorter than ``length``
 lose none; copies and repeated rows repeat each other and lose everything from ``length`` bytes
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import arrow_rows, text_or_empty
+from .common import arrow_rows, materialize, text_or_empty
 
 LENGTH = 400
 #: Text bytes of a chunk of documents and of the share of a block, on average.
@@ -175,7 +175,13 @@ def _first(values: np.ndarray) -> np.ndarray:
 
 
 def _order(values: np.ndarray) -> np.ndarray:
-    return np.lexsort((values["b"], values["a"])) if values.dtype == WIDE else np.argsort(values, kind="stable")
+    order = np.argsort(_first(values), kind="stable")
+    if values.dtype == WIDE:
+        a, b = values["a"][order], values["b"][order]
+        # Strings whose leading bits agree but not the others are rare: then all is sorted by both.
+        if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+            order = np.lexsort((values["b"], values["a"]))
+    return order
 
 
 def _pack(ordered: np.ndarray) -> bytes:
@@ -300,7 +306,8 @@ def _per_document(docs: DataFrame, length: int, columns: list[str], output, whol
         b = distinct(b)
         return layout.packed(b["chunk"].iloc[0], [layout.names(layout.sums(raw))[1] for raw in b["raw"]])
 
-    names = _resolved(dealt.groupBy("chunk").applyInPandas(sample, packed), 0)
+    # Each answer is written, so the values that led to it need no room any more.
+    names = materialize(_resolved(dealt.groupBy("chunk").applyInPandas(sample, packed), 0), "repeat-names")
 
     def reached(b: pd.DataFrame, answers: pd.DataFrame) -> list[tuple | None]:
         """For each text with marked sample positions, its sums and their longer names."""
@@ -322,7 +329,7 @@ def _per_document(docs: DataFrame, length: int, columns: list[str], output, whol
         b = distinct(b)
         return layout.packed(b["chunk"].iloc[0], [x for f in reached(b, answers) if f for x in (f[2], f[4])])
 
-    longer = _resolved(dealt.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInPandas(extended, packed), 1)
+    longer = materialize(_resolved(dealt.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInPandas(extended, packed), 1), "repeat-ranks")
 
     def candidates(b: pd.DataFrame, answers: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
         """Candidate starts and their values, for each text."""
@@ -345,7 +352,7 @@ def _per_document(docs: DataFrame, length: int, columns: list[str], output, whol
         return layout.packed(b["chunk"].iloc[0], [w for _, w in candidates(b, answers)])
 
     both = names.unionAll(longer)
-    windows = _resolved(dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(suffixes, packed), 2)
+    windows = materialize(_resolved(dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(suffixes, packed), 2), "repeat-suffixes")
 
     def cut(b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         b = distinct(b)
