@@ -1,17 +1,24 @@
-"""A small safe formula language, compiled to Spark Columns.
+"""A small safe formula language, translated to Spark Columns.
 
 Numbers, paths (``signals.x``, ``workload.x``, ``metadata.a.b``), ``+ - * / % ^``, comparisons
-inside ``if`` and the functions of ``FUNCTIONS``. A formula never runs code: it becomes a Catalyst
-expression. A missing input or an arithmetic error makes the result null; only ``coalesce`` may
-meet missing values.
+inside ``if`` and the functions of ``FUNCTIONS``. Texts are read by Python's own expression parser
+(``^`` stands for its power); only the kinds of nodes below are translated, all others are refused,
+so a formula never runs code: it becomes a Catalyst expression.
+
+Numbers: inputs and steps are doubles, a result has 15 significant digits (0.1 + 0.2 is 0.3, and
+the test ``0.1 + 0.2 == 0.3`` holds). A missing input or an arithmetic error (division by zero,
+0^0, the root of a negative number, a result beyond the range of doubles) makes the result null,
+never infinite. Only ``coalesce`` may meet missing values, and of ``if`` only the branch taken.
 """
 
 from __future__ import annotations
 
+import ast
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,9 +30,11 @@ FUNCTIONS = {
     "abs": (1, 1), "min": (1, None), "max": (1, None), "mean": (1, None), "clamp": (3, 3), "sqrt": (1, 1), "log": (1, 1),
     "exp": (1, 1), "floor": (1, 1), "ceil": (1, 1), "round": (1, 2), "coalesce": (1, None), "if": (3, 3),
 }
-TOKEN = re.compile(r"\s*(?:(\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)|([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)|(==|!=|<=|>=|[-+*/%^<>(),]))")
-BINDING = {"+": 20, "-": 20, "*": 30, "/": 30, "%": 30, "^": 50}
-COMPARISONS = ("==", "!=", "<", "<=", ">", ">=")
+_IF = "_if"
+_CHARACTERS = re.compile(r"[A-Za-z0-9_.,()+\-*/%^<>=!\s]*")
+#: What Python would read and the language does not know.
+_FOREIGN = re.compile(r"\*\*|//|<<|>>|->|:=|\d_|0[xXoObB]|[^=!<>]=[^=]|\b_")
+_NUMBER = re.compile(r"[\d.]+(?:[eE][+-]?\d+)?")
 
 
 class FormulaError(ValueError):
@@ -33,218 +42,197 @@ class FormulaError(ValueError):
 
 
 @dataclass(frozen=True)
-class Node:
-    kind: str  # number, path, call, compare, or an operator
-    value: str
-    args: tuple[Node, ...] = ()
+class Formula:
+    """A checked formula."""
+
+    text: str
+    tree: ast.expr
 
     def paths(self) -> frozenset[str]:
         """All paths written in the formula, in lazy branches too."""
-        own = {self.value} if self.kind == "path" else set()
-        return frozenset(own.union(*(a.paths() for a in self.args)))
-
-
-class _Reader:
-    def __init__(self, text: str) -> None:
-        if len(text) > MAX_CHARS:
-            raise FormulaError("formula is too long")
-        self.tokens: list[tuple[str, str]] = []
-        at = 0
-        text = text.strip()
-        while at < len(text):
-            m = TOKEN.match(text, at)
-            if not m:
-                raise FormulaError("formula has an unknown character")
-            kind = ("number", "name", "sign")[next(k for k in range(3) if m[k + 1] is not None)]
-            self.tokens.append((kind, m[m.lastindex]))
-            at = m.end()
-        self.at = self.nodes = 0
-
-    def peek(self) -> tuple[str, str]:
-        return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
-
-    def take(self, value: str | None = None) -> tuple[str, str]:
-        token = self.peek()
-        if token[0] == "end" or value is not None and token[1] != value:
-            raise FormulaError("formula ends early or has a sign out of place")
-        self.at += 1
-        return token
-
-    def node(self, kind: str, value: str, *args: Node) -> Node:
-        self.nodes += 1
-        if self.nodes > MAX_NODES:
-            raise FormulaError("formula has too many parts")
-        return Node(kind, value, args)
-
-    def expression(self, binding: int = 0, depth: int = 0) -> Node:
-        if depth > MAX_DEPTH:
-            raise FormulaError("formula is nested too deeply")
-        left = self.prefix(depth)
-        while self.peek()[0] == "sign" and BINDING.get(self.peek()[1], 0) > binding:
-            sign = self.take()[1]
-            # A power binds to the right.
-            right = self.expression(BINDING[sign] - (sign == "^"), depth + 1)
-            left = self.node("binary", sign, left, right)
-        return left
-
-    def prefix(self, depth: int) -> Node:
-        kind, value = self.take()
-        if kind == "number":
-            if len(value) > MAX_LITERAL:
-                raise FormulaError("number is too long")
-            return self.node("number", value)
-        if value in ("+", "-") and kind == "sign":
-            return self.node("unary", value, self.expression(40, depth + 1))
-        if value == "(" and kind == "sign":
-            inside = self.expression(0, depth + 1)
-            self.take(")")
-            return inside
-        if kind == "name" and self.peek() == ("sign", "("):
-            return self.call(value, depth)
-        if kind == "name" and value.split(".")[0] in ROOTS and "." in value:
-            return self.node("path", value)
-        raise FormulaError("formula names no known path or function")
-
-    def call(self, name: str, depth: int) -> Node:
-        if name not in FUNCTIONS:
-            raise FormulaError("formula calls an unknown function")
-        self.take("(")
-        args = [self.condition(depth + 1) if name == "if" else self.expression(0, depth + 1)]
-        while self.peek() == ("sign", ","):
-            self.take()
-            args.append(self.expression(0, depth + 1))
-        self.take(")")
-        least, most = FUNCTIONS[name]
-        if len(args) < least or most is not None and len(args) > most:
+        return frozenset(_paths(self.tree))
+
+
+def _path(node: ast.AST) -> str | None:
+    """``signals.x`` of an attribute chain that begins at one of the roots."""
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    if parts and isinstance(node, ast.Name) and node.id in ROOTS:
+        return ".".join([node.id, *reversed(parts)])
+    return None
+
+
+def _paths(node: ast.AST) -> Iterator[str]:
+    if path := _path(node):
+        yield path
+        return
+    for below in ast.iter_child_nodes(node):
+        yield from _paths(below)
+
+
+def _name(call: ast.Call) -> str:
+    name = call.func.id if isinstance(call.func, ast.Name) else ""
+    return "if" if name == _IF else name
+
+
+def _check(node: ast.expr, depth: int, condition: bool = False) -> int:
+    """Number of nodes; FormulaError for anything that is not part of the language."""
+    if depth > MAX_DEPTH:
+        raise FormulaError("formula is nested too deeply")
+    below = lambda *nodes: 1 + sum(_check(n, depth + 1) for n in nodes)
+    if isinstance(node, ast.Compare):
+        if not condition or len(node.ops) != 1 or not isinstance(node.ops[0], (ast.Eq, ast.NotEq, ast.Lt, ast.LtE, ast.Gt, ast.GtE)):
+            raise FormulaError("only if() takes a comparison, and one")
+        return below(node.left, node.comparators[0])
+    if condition:
+        raise FormulaError("if() needs a comparison")
+    if isinstance(node, ast.Constant) and type(node.value) in (int, float):
+        return 1
+    if _path(node):
+        return 1
+    if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
+        return below(node.operand)
+    if isinstance(node, ast.BinOp) and isinstance(node.op, (ast.Add, ast.Sub, ast.Mult, ast.Div, ast.Mod, ast.Pow)):
+        # A chain of signs nests to the left without being deep.
+        return 1 + _check(node.left, depth) + _check(node.right, depth + 1)
+    if isinstance(node, ast.Call) and not node.keywords and _name(node) in FUNCTIONS:
+        least, most = FUNCTIONS[_name(node)]
+        if len(node.args) < least or most is not None and len(node.args) > most:
             raise FormulaError("function has a wrong number of arguments")
-        return self.node("call", name, *args)
-
-    def condition(self, depth: int) -> Node:
-        left = self.expression(0, depth)
-        if self.peek()[1] not in COMPARISONS:
-            raise FormulaError("if needs a comparison")
-        return self.node("compare", self.take()[1], left, self.expression(0, depth))
-
-
-def parse(text: str) -> Node:
-    """The formula's tree, or FormulaError."""
-    reader = _Reader(text)
-    tree = reader.expression()
-    if reader.peek()[0] != "end":
-        raise FormulaError("formula goes on after its end")
-    return tree
-
-
-def _whole_power(base: Column, n: int) -> Column:
-    if abs(n) > MAX_EXPONENT:
-        raise FormulaError("exponent is too large")
-    return F.pow(base, F.lit(float(n)))
+        if _name(node) == "round" and len(node.args) > 1 and _whole(node.args[1], MAX_PLACES) is None:
+            raise FormulaError("places must be a small whole number")
+        if _name(node) == "if":
+            return _check(node.args[0], depth + 1, True) + below(*node.args[1:])
+        return below(*node.args)
+    raise FormulaError("formula names no known path, sign or function")
+
+
+def _whole(node: ast.expr, most: int) -> int | None:
+    """A written whole number."""
+    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+        inner = _whole(node.operand, most)
+        return None if inner is None else -inner
+    value = node.value if isinstance(node, ast.Constant) else None
+    return int(value) if type(value) in (int, float) and float(value).is_integer() and abs(value) <= most else None
+
+
+def parse(text: str) -> Formula:
+    """The checked formula, or FormulaError."""
+    if len(text) > MAX_CHARS:
+        raise FormulaError("formula is too long")
+    if not _CHARACTERS.fullmatch(text) or _FOREIGN.search(text):
+        raise FormulaError("formula has an unknown character or sign")
+    if any(len(n) > MAX_LITERAL for n in _NUMBER.findall(text)):
+        raise FormulaError("number is too long")
+    if max(accumulate(map({"(": 1, ")": -1}.get, re.sub(r"[^()]", "", text))), default=0) > MAX_DEPTH:
+        raise FormulaError("formula is nested too deeply")
+    readable = re.sub(r"\bif(?=\s*\()", _IF, " ".join(text.split())).replace("^", "**")
+    readable = re.sub(r"(?<![\w.])0+(?=\d)", "", readable)
+    try:
+        tree = ast.parse(readable, mode="eval").body
+        nodes = _check(tree, 0)
+    except (SyntaxError, MemoryError, RecursionError) as error:
+        raise FormulaError("text is no formula") from error
+    if nodes > MAX_NODES:
+        raise FormulaError("formula has too many parts")
+    return Formula(text, tree)
+
+
+def _finite(value: Column) -> Column:
+    """Null for an infinity."""
+    return F.nullif(F.nullif(value, F.lit(float("inf"))), F.lit(float("-inf")))
+
+
+def fifteen_digits(value: Column) -> Column:
+    """The double nearest to a double's 15 significant digits."""
+    return F.format_string("%.14e", value).try_cast("double")
+
+
+def _power(base: Column, exponent: Column) -> Column:
+    allowed = (F.abs(exponent) <= MAX_EXPONENT) & (exponent == F.floor(exponent)) & ((exponent != 0) | (base != 0))
+    return F.when(allowed, _finite(F.pow(base, exponent)))
+
+
+def _rounded(x: Column, places: int) -> Column:
+    """Half to even. What is too large for the decimal has no digit at the place that is rounded."""
+    scale = min(max(places + 3, 12), 37)
+    return F.coalesce(F.bround(x.try_cast(f"decimal(38,{scale})"), places).cast("double"), x)
+
+
+def _built(node: ast.expr, lookup: Callable[[str], Column]) -> Column:
+    build = lambda n: _built(n, lookup)
+    if isinstance(node, ast.Constant):
+        return F.lit(float(node.value))
+    if path := _path(node):
+        return lookup(path).cast("double")
+    if isinstance(node, ast.UnaryOp):
+        return -build(node.operand) if isinstance(node.op, ast.USub) else build(node.operand)
+    if isinstance(node, ast.Compare):
+        x, y = fifteen_digits(build(node.left)), fifteen_digits(build(node.comparators[0]))
+        kind = type(node.ops[0])
+        return {ast.Eq: x == y, ast.NotEq: x != y, ast.Lt: x < y, ast.LtE: x <= y, ast.Gt: x > y, ast.GtE: x >= y}[kind]
+    if isinstance(node, ast.BinOp):
+        x, y, kind = build(node.left), build(node.right), type(node.op)
+        if kind is ast.Pow:
+            return _power(x, y)
+        if kind is ast.Mod:
+            return F.try_mod(x, y)
+        return _finite(F.try_divide(x, y) if kind is ast.Div else {ast.Add: x + y, ast.Sub: x - y, ast.Mult: x * y}[kind])
+    return _called(_name(node), node.args, build)
+
+
+def _called(name: str, nodes: list[ast.expr], build: Callable[[ast.expr], Column]) -> Column:
+    args = [build(a) for a in nodes]
+    x = args[0]
+    if name == "if":
+        return F.when(x.isNotNull(), F.when(x, args[1]).otherwise(args[2]))
+    if name == "coalesce":
+        return F.coalesce(*args)
+    all_there = reduce(lambda a, b: a & b, [a.isNotNull() for a in args])
+    if name in ("min", "max"):
+        # least and greatest skip nulls; a missing argument must not be skipped.
+        pick = x if len(args) == 1 else (F.least if name == "min" else F.greatest)(*args)
+        return F.when(all_there, pick)
+    if name == "mean":
+        return _finite(reduce(lambda a, b: a + b, args)) / F.lit(float(len(args)))
+    if name == "clamp":
+        return F.when(all_there & (args[1] <= args[2]), F.greatest(args[1], F.least(x, args[2])))
+    if name == "round":
+        return _rounded(x, _whole(nodes[1], MAX_PLACES) if len(nodes) > 1 else 0)
+    if name == "sqrt":
+        return F.when(x >= 0, F.sqrt(x))
+    if name == "log":
+        return F.when(x > 0, F.log(x))
+    if name == "exp":
+        return F.when(F.abs(x) <= MAX_EXP, _finite(F.exp(x)))
+    if name == "abs":
+        return F.abs(x)
+    # Whole numbers beyond 2^53 are whole already; a bigint would not hold them.
+    return F.when(F.abs(x) >= 2.0**53, x).otherwise((F.floor if name == "floor" else F.ceil)(x).cast("double"))
 
 
 def compile_formula(text: str, lookup: Callable[[str], Column]) -> Column:
     """A double Column; ``lookup`` gives the Column of a path."""
-
-    def literal(node: Node) -> int | None:
-        if node.kind == "unary" and (inner := literal(node.args[0])) is not None:
-            return -inner if node.value == "-" else inner
-        if node.kind == "binary" and node.value == "^":
-            base, power = map(literal, node.args)
-            small = base is not None and power is not None and abs(base) <= MAX_EXPONENT and 0 <= power <= 10
-            return base**power if small else None
-        return int(float(node.value)) if node.kind == "number" and float(node.value).is_integer() else None
-
-    def build(node: Node) -> Column:
-        if node.kind == "number":
-            return F.lit(float(node.value))
-        if node.kind == "path":
-            return lookup(node.value).cast("double")
-        if node.kind == "unary":
-            return -build(node.args[0]) if node.value == "-" else build(node.args[0])
-        if node.kind == "binary":
-            return binary(node)
-        if node.kind == "compare":
-            x, y = map(build, node.args)
-            return {"==": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[node.value]
-        return call(node)
-
-    def binary(node: Node) -> Column:
-        if node.value == "^":
-            n = literal(node.args[1])
-            if n is None:
-                raise FormulaError("exponent must be a whole number")
-            return _whole_power(build(node.args[0]), n)
-        x, y = map(build, node.args)
-        if node.value == "/":
-            return F.try_divide(x, y)
-        if node.value == "%":
-            return F.try_mod(x, y)
-        return {"+": x + y, "-": x - y, "*": x * y}[node.value]
-
-    def call(node: Node) -> Column:
-        args = [build(a) for a in node.args]
-        all_there = reduce(lambda a, b: a & b, [a.isNotNull() for a in args])
-        x = args[0]
-        if node.value == "if":
-            return F.when(x.isNotNull(), F.when(x, args[1]).otherwise(args[2]))
-        if node.value == "coalesce":
-            return F.coalesce(*args)
-        if node.value in ("min", "max"):
-            # least and greatest skip nulls; a missing argument must not be skipped.
-            pick = x if len(args) == 1 else (F.least if node.value == "min" else F.greatest)(*args)
-            return F.when(all_there, pick)
-        if node.value == "mean":
-            return reduce(lambda a, b: a + b, args) / F.lit(float(len(args)))
-        if node.value == "clamp":
-            return F.when(all_there & (args[1] <= args[2]), F.greatest(args[1], F.least(x, args[2])))
-        if node.value == "round":
-            places = literal(node.args[1]) if len(args) > 1 else 0
-            if places is None or abs(places) > MAX_PLACES:
-                raise FormulaError("places must be a small whole number")
-            return F.bround(x.cast("decimal(38,12)"), places).cast("double")
-        if node.value == "sqrt":
-            return F.when(x >= 0, F.sqrt(x))
-        if node.value == "log":
-            return F.when(x > 0, F.log(x))
-        if node.value == "exp":
-            return F.when(F.abs(x) <= MAX_EXP, F.exp(x))
-        return {"abs": F.abs, "floor": F.floor, "ceil": F.ceil}[node.value](x).cast("double")
-
-    return build(parse(text))
+    return fifteen_digits(_built(parse(text).tree, lookup))
 
 
 def used_paths(text: str, lookup: Callable[[str], Column]) -> Column:
     """The paths that a row's evaluation really reads: lazy branches count only if taken."""
 
-    def walk(node: Node) -> Column:
-        empty = F.array().cast("array<string>")
-        if node.kind == "path":
-            return F.array(F.lit(node.value))
-        if node.kind == "call" and node.value == "coalesce":
+    def walk(node: ast.expr) -> Column:
+        if path := _path(node):
+            return F.array(F.lit(path))
+        if isinstance(node, ast.Call) and _name(node) == "coalesce":
             out = walk(node.args[-1])
             for a in reversed(node.args[:-1]):
-                value = compile_node(a)
-                out = F.when(value.isNotNull(), walk(a)).otherwise(F.array_union(walk(a), out))
+                out = F.when(_built(a, lookup).isNotNull(), walk(a)).otherwise(F.array_union(walk(a), out))
             return out
-        if node.kind == "call" and node.value == "if":
-            test = compile_node(node.args[0])
-            return F.array_union(walk(node.args[0]), F.when(test, walk(node.args[1])).otherwise(walk(node.args[2])))
-        return reduce(F.array_union, [walk(a) for a in node.args], empty)
-
-    def compile_node(node: Node) -> Column:
-        if node.kind == "compare":
-            return compile_formula(f"if({unparse(node)}, 1, 0)", lookup) == 1
-        return compile_formula(unparse(node), lookup)
-
-    return F.array_sort(walk(parse(text)))
-
-
-def unparse(node: Node) -> str:
-    if node.kind in ("number", "path"):
-        return node.value
-    if node.kind == "unary":
-        return f"({node.value}{unparse(node.args[0])})"
-    if node.kind == "compare":
-        return f"{unparse(node.args[0])} {node.value} {unparse(node.args[1])}"
-    if node.kind == "binary":
-        return f"({unparse(node.args[0])} {node.value} {unparse(node.args[1])})"
-    return f"{node.value}({', '.join(map(unparse, node.args))})"
+        if isinstance(node, ast.Call) and _name(node) == "if":
+            test, yes, no = node.args
+            return F.array_union(walk(test), F.when(_built(test, lookup), walk(yes)).otherwise(walk(no)))
+        below = [n for n in ast.iter_child_nodes(node) if isinstance(n, ast.expr) and not isinstance(n, ast.Name)]
+        return reduce(F.array_union, [walk(n) for n in below], F.array().cast("array<string>"))
+
+    return F.array_sort(walk(parse(text).tree))

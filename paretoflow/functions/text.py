@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: control, bidirectional-override and non-character code points refused in texts.
-FORBIDDEN = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F‪-‮⁦-⁩￾￿]"
+# Fixed value: control, direction-mark and non-character code points refused in texts.
+FORBIDDEN = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\u061C\u200E\u200F\u202A-\u202E\u2066-\u2069\uFFFE\uFFFF]"
 
 
 def spreadsheet_safe(value: Column) -> Column:
-    """Quote cells that a spreadsheet would run as a formula."""
-    return F.when(F.ltrim(value).rlike(r"^[=+\-@]"), F.concat(F.lit("'"), value)).otherwise(value)
+    """Quote cells that a spreadsheet would run as a formula, white space of any kind before the sign or not."""
+    return F.when(value.rlike(r"(?U)^[\s\x1C-\x1F]*[=+\-@]"), F.concat(F.lit("'"), value)).otherwise(value)
 
 
 def has_forbidden_text(value: Column) -> Column:
@@ -40,6 +42,78 @@ def is_safe_path(path: Column) -> Column:
 
 
 def content_hash(columns: list[Column]) -> Column:
-    """SHA-256 of the columns' texts; nulls differ from empty texts."""
-    parts = [F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")) for c in columns]
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+    """SHA-256 of the columns' texts, each with its length before it; nulls differ from empty texts."""
+    texts = [c.cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("null")) for t in texts]
+    return F.sha2(F.concat_ws(",", *parts), 256)
+
+
+def domain_hash(domain: str, columns: list[Column]) -> Column:
+    """A content hash that no equal content of another domain shares."""
+    return content_hash([F.lit(domain), *columns])
+
+
+def set_hash(columns: list[Column]) -> Column:
+    """An aggregate: the same for the same rows in any order. One group's hashes meet in one list."""
+    return F.sha2(F.array_join(F.array_sort(F.collect_list(content_hash(columns))), ","), 256)
+
+
+def canonical_json(columns: dict[str, Column]) -> Column:
+    """JSON text of one object: keys by code point, no spaces, null fields kept, numbers as given texts of decimals."""
+    fields = [columns[k].alias(k) for k in sorted(columns)]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def decimal_text(value: Column) -> Column:
+    """Fixed-point text of a text that is a finite decimal, not negative and at most 128 characters long; else null."""
+    plain = F.trim(value).rlike(r"^\+?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    number = F.when(plain & (F.char_length(value) <= 128), value).try_cast("decimal(38,18)")
+    return canonical_number(number)
+
+
+def decimal_input(value: Column) -> Column:
+    """A decimal of a text of at most 1024 characters; null for booleans' texts, infinities and what is no number."""
+    number = F.trim(value).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    return F.when(number & (F.char_length(value) <= 1024), value).try_cast("decimal(38,18)")
+
+
+def is_rfc3339(value: Column) -> Column:
+    """A timestamp text with a date, a time and a zone, that exists in the calendar."""
+    shape = value.rlike(r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d{1,9})?([Zz]|[+-]\d{2}:\d{2})$")
+    return F.coalesce(shape & F.upper(value).try_cast("timestamp").isNotNull(), F.lit(False))
+
+
+def fixed_point(value: Column) -> Column:
+    """How a decimal is shown: no exponent, no trailing zeros, ``0`` for any zero."""
+    return F.when(value == 0, F.lit("0")).otherwise(canonical_number(value))
+
+
+def shown(value: Column) -> Column:
+    """A cell's text on one line; nothing for null."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    for sign, written in (("\r", r"\r"), ("\n", r"\n"), ("\t", r"\t")):
+        text = F.replace(text, F.lit(sign), F.lit(written))
+    return text
+
+
+def escaped_markup(value: Column) -> Column:
+    """A cell's text inside XML or HTML."""
+    text = shown(value)
+    for sign, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(sign), F.lit(written))
+    return text
+
+
+def opaque_id(value: Column, key: bytes, prefix: str, domain: str) -> Column:
+    """Keyed HMAC-SHA-256 name of a value, separated by domain, from built-in functions."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ p for b in block) for p in (0x36, 0x5C))
+    message = F.concat(F.lit(domain.encode() + b"\0"), value.cast("binary"))
+    first = F.unhex(F.sha2(F.concat(F.lit(inner), message), 256))
+    return F.concat(F.lit(prefix), F.sha2(F.concat(F.lit(outer), first), 256))
+
+
+def local_offering_id(hardware: Column, model: Column, format_: Column, quantization: Column, runtime: Column, identity: list[Column]) -> Column:
+    """Readable id of a model on own hardware; 16 digits of its identity's hash tell configurations apart."""
+    short = F.substring(content_hash(identity), 1, 16)
+    return F.concat(F.lit("local/"), hardware, F.lit("/"), model, F.lit("@"), F.concat_ws("-", format_, quantization, runtime, short))

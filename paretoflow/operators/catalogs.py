@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import mean_complete
+from ..functions.text import content_hash
 
 
 class CatalogError(ValueError):
@@ -153,17 +154,75 @@ def arg_max_capacity(records: DataFrame, key: str, passed: str, size: str, at: s
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Last writer wins."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """Last writer wins: partial maxima meet before the shuffle, no window is sorted."""
+    return df.groupBy(key).agg(F.max_by(F.struct("*"), order).alias("_r")).select("_r.*")
 
 
-def combined_basis(basis: Column | str) -> Column:
-    """Cost bases of a group: unknown absorbs, then estimated, then reported; all included stays so."""
-    seen = F.collect_set(basis)
+def combined_basis(basis: Column | str, amount: Column | str | None = None) -> Column:
+    """Cost basis of a group. Unknown if any is, or an amount is missing; else included if all are;
+    provider_reported if all are; estimated if each is one of the two last; any other mix is unknown.
+    """
+    b = F.col(basis) if isinstance(basis, str) else basis
+    n = F.count(F.lit(1))
+    all_of = lambda *kinds: F.count_if(b.isin(*kinds)) == n
+    known = F.lit(True)
+    if amount is not None:
+        known = F.count(F.col(amount) if isinstance(amount, str) else amount) == n
     return (
-        F.when((F.size(seen) == 0) | F.array_contains(seen, "unknown"), "unknown")
-        .when(F.array_contains(seen, "estimated"), "estimated")
-        .when(F.array_contains(seen, "reported"), "reported")
-        .otherwise("included")
+        F.when(~known | (n == 0), "unknown")
+        .when(all_of("included"), "included")
+        .when(all_of("provider_reported"), "provider_reported")
+        .when(all_of("provider_reported", "estimated"), "estimated")
+        .otherwise("unknown")
     )
+
+
+# Which origins a reported and an estimated cost may have.
+REPORTED_SOURCES, ESTIMATED_SOURCES = ("provider_cost_api", "provider_generation_api"), ("provider_models_api", "official_docs_snapshot", "user_override", "custom_contract")
+
+
+def cost_meter(status: Column, source: Column, estimated: Column, actual: Column) -> tuple[Column, Column, Column]:
+    """(basis, amount, problem) of one cost row; a problem says that its fields contradict each other."""
+    none = lambda c: c.isNull() | (c == 0)
+    sourceless = source.isNull() | (source == "none")
+    unknown, is_ = status.isNull() | (status == "unknown"), lambda s: F.coalesce(status == s, F.lit(False))
+    problem = (
+        F.when(unknown, F.when(~sourceless | ~none(estimated) | ~none(actual), "unknown_with_values"))
+        .when(source.isNull(), "source_missing")
+        .when(is_("actual"), F.when(~source.isin(*REPORTED_SOURCES) | actual.isNull(), "actual_without_report"))
+        .when(is_("estimated"), F.when(~source.isin(*ESTIMATED_SOURCES) | estimated.isNull() | ~none(actual), "estimate_contradicted"))
+        .when(is_("included"), F.when((source != "none") | ~none(estimated) | ~none(actual), "included_with_cost"))
+        .otherwise("unknown_status")
+    )
+    basis = F.when(unknown, "unknown").when(is_("actual"), "provider_reported").when(is_("estimated"), "estimated").when(is_("included"), "included")
+    amount = F.when(is_("actual"), actual).when(is_("estimated"), estimated).when(is_("included"), F.lit(0))
+    return F.when(problem.isNull(), basis), F.when(problem.isNull(), amount), problem
+
+
+def merge_leaves(leaves: DataFrame, keys: Sequence[str] = ("offering_id", "path"), value: str = "value") -> DataFrame:
+    """Metadata of several catalogs, as rows of (offering, path of a leaf, value): equal leaves become one,
+    ``conflict`` marks a path with different values, or one that is a leaf here and a branch there.
+    """
+    merged = leaves.groupBy(*keys).agg(F.count(F.lit(1)).alias("sources"), F.min(value).alias(value), (F.min(value) != F.max(value)).alias("conflict"))
+    *outer, path = keys
+    # All paths above a leaf; as many rows as the path has parts.
+    parts = F.split(path, r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "."))
+    branches = merged.filter(F.size(parts) > 1).select(*outer, F.explode(above).alias(path)).distinct().withColumn("_branch", F.lit(True))
+    found = merged.join(branches, [*outer, path], "left")
+    return found.withColumn("conflict", F.coalesce("conflict", F.lit(False)) | F.col("_branch").isNotNull()).drop("_branch")
+
+
+def union_sources(sources: Sequence[DataFrame], key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(distinct descriptors with their hash, ids with more than one descriptor)."""
+    rows = sources[0]
+    for s in sources[1:]:
+        rows = rows.unionByName(s)
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    distinct = rows.filter(F.col(key).isNotNull()).withColumn("hash", content_hash(columns)).dropDuplicates(["hash"])
+    return distinct, distinct.groupBy(key).count().filter("count > 1").select(key)
+
+
+def superset_missing(earlier: DataFrame, current: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What an earlier publication holds and the current one does not: must be empty before it is replaced."""
+    return missing_coverage(earlier, current, keys)

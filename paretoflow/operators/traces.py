@@ -50,28 +50,60 @@ def scope() -> Column:
     return F.coalesce("observation_unit", F.lit("request"))
 
 
+#: Fixed value: meters that only a model call can fill.
+TOKENS = (
+    "input_uncached_tokens", "input_cache_read_tokens", "input_cache_write_tokens", "input_cache_write_5m_tokens",
+    "input_cache_write_1h_tokens", "input_total_tokens", "output_tokens", "reasoning_tokens", "output_total_tokens",
+)
+#: Fixed value: the largest count that every JSON reader holds exactly.
+MAX_COUNT = 2**53 - 1
+
+
 def row_problem() -> Column:
-    """The first rule that a row breaks, or null."""
-    texts = [F.col(c) for c in TEXTS]
-    meters = [F.col(c) for c in (*METERS, *COSTS, *LATENCIES)]
-    known = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in PROVENANCE[:4]])
-    both = lambda total, *parts: F.col(total) < reduce(lambda a, b: a + b, [F.coalesce(F.col(p), F.lit(0)) for p in parts])
+    """The first rule that a row breaks, or null. Absent columns count as unknown only if the frame has them as nulls."""
+    c = F.col
+    some = lambda conditions: reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in conditions])
+    zero = lambda name: F.coalesce(c(name), F.lit(0))
+    total = lambda *names: reduce(lambda a, b: a + b, [zero(n) for n in names])
+    known = lambda *names: reduce(lambda a, b: a & b, [c(n).isNotNull() for n in names])
+    producer = reduce(lambda a, b: a + b, [c(n).isNotNull().cast("int") for n in PROVENANCE[:5]])
+    used = some([c(n) != 0 for n in TOKENS])
+    generic, tiers = "input_cache_write_tokens", ("input_cache_write_5m_tokens", "input_cache_write_1h_tokens")
+    read = ("input_uncached_tokens", "input_cache_read_tokens")
+    input_parts = total(*read, generic, *tiers)
+    whole_input = known("input_total_tokens", *read) & (known(generic) | known(*tiers))
     checks = [
-        (reduce(lambda a, b: a | b, [c.isNull() | (F.trim(c) == "") for c in texts]), "text_missing"),
-        (reduce(lambda a, b: a | b, [has_forbidden_text(c) for c in texts]), "forbidden_text"),
+        (some([c(n).isNull() | (F.trim(c(n)) == "") for n in TEXTS]), "text_missing"),
+        (some([has_forbidden_text(c(n)) for n in (*TEXTS, "observation_unit", *PROVENANCE)]), "forbidden_text"),
         (~scope().isin(*SCOPES), "unknown_scope"),
-        (F.col("timestamp").isNull(), "timestamp_missing"),
-        (F.col("work_unit_success").isNull() | ~F.col("work_unit_success").between(0, 1), "success_out_of_range"),
-        (reduce(lambda a, b: a | b, [F.coalesce(c < 0, F.lit(False)) for c in meters]), "negative_meter"),
-        ((F.col("model_request_count") < 0) | (F.col("attempt_count") < 1), "count_out_of_range"),
-        (~known.isin(0, 4), "partial_provenance"),
-        (both("input_total_tokens", "input_uncached_tokens", "input_cache_read_tokens"), "input_total_below_parts"),
-        (both("output_total_tokens", "output_tokens", "reasoning_tokens"), "output_total_below_parts"),
-        ((scope() == "work_unit") & F.col("attempt_count").isNull(), "attempt_count_missing"),
-    ]
+        (c("timestamp").isNull(), "timestamp_missing"),
+        (c("work_unit_success").isNull() | ~c("work_unit_success").between(0, 1), "success_out_of_range"),
+        (some([c(n) < 0 for n in (*METERS, *COSTS, *LATENCIES)]), "negative_meter"),
+        (some([~c(n).between(0, MAX_COUNT) for n in ("model_request_count", "attempt_count")]), "count_out_of_range"),
+        ((scope() == "request") & (c("model_request_count") != 1), "request_counts_requests"),
+        ((scope() != "work_unit") & c("attempt_count").isNotNull(), "attempts_outside_work_unit"),
+        ((scope() != "request") & (c("ttft_ms").isNotNull() | c("output_tokens_per_second").isNotNull()), "timing_outside_request"),
+        (~producer.isin(0, 5), "partial_provenance"),
+        (c("collector_id").isNull() != c("collector_version").isNull(), "partial_collector"),
+        (c("collector_id").isNotNull() & c("adapter_id").isNull(), "collector_without_producer"),
+        (c("upstream_commit").isNotNull() & ~c("upstream_commit").rlike("^[0-9a-f]{40}$"), "commit_malformed"),
+        ((c("model_request_count") == 0) & used, "tokens_without_requests"),
+        ((c("attempt_count") == 0) & (used | (zero("model_request_count") > 0)), "use_without_attempts"),
+        (c(generic).isNotNull() & (c(tiers[0]).isNotNull() | c(tiers[1]).isNotNull()), "two_cache_write_forms"),
+        (c("input_total_tokens") < input_parts, "input_total_below_parts"),
+        (whole_input & (c("input_total_tokens") != input_parts), "input_total_differs"),
+        (c("output_total_tokens") < total("output_tokens", "reasoning_tokens"), "output_total_below_parts"),
+        (known("output_total_tokens", "output_tokens", "reasoning_tokens") & (c("output_total_tokens") != total("output_tokens", "reasoning_tokens")), "output_total_differs"),
+    ]
     return F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(why)) for bad, why in checks])
 
 
+def outside_workload(df: DataFrame, workload_id: str, workload_version: str) -> int:
+    """How many rows belong to another workload or version; they must be none before an aggregation."""
+    same = F.col("workload_id").eqNullSafe(workload_id) & F.col("workload_version").eqNullSafe(workload_version)
+    return df.filter(~same).count()
+
+
 def guard_counts(df: DataFrame) -> DataFrame:
     """One row: how many rows or groups break each guard. One pass by rows, three by groups."""
     rows = df.withColumn("_scope", scope())
@@ -121,9 +153,11 @@ def attempt_count() -> Column:
 
 
 def cache_writes() -> Column:
-    """Cache writes are known if every row has the total or both retention tiers."""
+    """Cache writes are known if every row has just one of the two forms: the total, or both retention tiers."""
     total, short, long_ = (F.col(f"input_cache_write{s}_tokens") for s in ("", "_5m", "_1h"))
-    value = F.coalesce(total, short + long_)
+    generic = total.isNotNull() & short.isNull() & long_.isNull()
+    tiers = total.isNull() & short.isNotNull() & long_.isNotNull()
+    value = F.when(generic, total).when(tiers, short + long_)
     return F.when(F.count(value) == F.count(F.lit(1)), F.sum(value))
 
 
@@ -147,6 +181,7 @@ def offerings(units: DataFrame, meters: Sequence[str] = (*METERS, *COSTS)) -> Da
         sum_complete("request_count").alias("request_count"),
         sum_complete("attempt_count").alias("attempt_count"),
         F.max("observed_at").alias("observed_at"),
+        *([sum_complete("complete_cache_write_tokens").alias("complete_cache_write_tokens")] if "input_cache_write_tokens" in meters else []),
         *[sum_complete(m).alias(m) for m in meters],
     )
 
@@ -166,13 +201,35 @@ def rates(totals: DataFrame, meters: Sequence[str]) -> DataFrame:
     for m in (*meters, "request_count"):
         x = F.col(m).cast("double")
         pairs += [(f"{m}_per_work_unit", F.try_divide(x, units)), (f"{m}_per_success", F.try_divide(x, wins))]
-    if "input_cache_read_tokens" in meters and "input_uncached_tokens" in meters:
-        hits = F.col("input_cache_read_tokens").cast("double")
-        pairs.append(("observed_cache_hit_rate", F.try_divide(hits, hits + F.col("input_uncached_tokens").cast("double"))))
+    if {"input_cache_read_tokens", "input_uncached_tokens", "input_cache_write_tokens"} <= set(meters):
+        # All of the input must be known: uncached, read from the cache, and written to it in either form.
+        hits, fresh, written = (F.col(c).cast("double") for c in ("input_cache_read_tokens", "input_uncached_tokens", "complete_cache_write_tokens"))
+        pairs.append(("observed_cache_hit_rate", F.try_divide(hits, hits + fresh + written)))
     entries = F.array(*[F.struct(F.lit(n).alias("signal"), v.alias("value")) for n, v in pairs])
     return totals.select(*OFFERING, F.explode(entries).alias("e")).select(*OFFERING, "e.signal", "e.value").filter("value IS NOT NULL")
 
 
+# What the quantities of a signal's name are counted in.
+QUANTITY_UNITS = {m: "tokens" for m in METERS if m.endswith("tokens")} | {
+    "request_count": "requests", "attempt_count": "attempts", "cache_storage_token_hours": "token_hours", "tool_calls": "calls",
+    "web_search_calls": "calls", "sandbox_seconds": "seconds",
+} | {c: "USD" for c in COSTS}
+
+
+def unit_of(signal: Column) -> Column:
+    """The unit of an aggregated signal, or null for a name that is none."""
+    quantity = F.regexp_extract(signal, r"^(.*)_per_(work_unit|success)$", 1)
+    per = F.regexp_extract(signal, r"^(.*)_per_(work_unit|success)$", 2)
+    table = F.create_map(*[F.lit(x) for pair in QUANTITY_UNITS.items() for x in pair])
+    return (
+        F.when(signal.isin("success_rate", "observed_cache_hit_rate"), "ratio")
+        .when(signal.startswith("ttft_"), "milliseconds")
+        .when(signal == "output_tokens_per_second_p50", "tokens/second")
+        .when(signal.isin("work_unit_count", "successful_work_units"), "work_units")
+        .when(per != "", F.concat(F.try_element_at(table, quantity), F.lit("/"), per))
+    )
+
+
 def provenance(df: DataFrame) -> DataFrame:
     """Distinct producers, in order, missing parts first."""
     return df.select(*PROVENANCE).distinct().orderBy(*[F.asc_nulls_first(c) for c in PROVENANCE])

@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame
 def drained(stream: DataFrame, label: str) -> DataFrame:
     """All rows that the stream emits for its present input, in append mode.
 
-    Output and progress lie in the folder that the cluster shares (``spark.checkpoint.dir``); only
-    where none is named, as in local tests, in a temporary one.
+    Output and progress lie in the folder that the cluster shares (``spark.checkpoint.dir``), until
+    the application ends; only on a local master that names none, as in tests, in a temporary one.
     """
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="paretoflow-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="paretoflow-")
     root = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.format("parquet")
@@ -25,4 +29,6 @@ def drained(stream: DataFrame, label: str) -> DataFrame:
         .start(f"{root}/rows")
     )
     query.awaitTermination()
+    target = spark._jvm.org.apache.hadoop.fs.Path(root)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")

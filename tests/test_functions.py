@@ -1,5 +1,8 @@
 """Formulas, exact numbers and texts."""
 
+import hashlib
+import hmac
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,14 +22,17 @@ def value(spark, expression, **paths):
         ("sqrt(-1)", None), ("sqrt(9)", 3), ("log(exp(2))", 2), ("floor(-1.5)", -2), ("ceil(-1.5)", -1), ("round(2.5)", 2),
         ("round(3.5)", 4), ("round(0.125, 2)", 0.12), ("abs(-3)", 3), ("if(1 < 2, 3, 4)", 3), ("coalesce(signals.gone, 5)", 5),
         ("max(1, signals.gone)", None), ("1 + signals.gone", None), ("if(signals.gone > 1, 1, 2)", None), ("10 - 2 - 3", 5),
+        ("0^-1", None), ("0^0", None), ("1e308*10", None), ("exp(2000)", None), ("round(1e30)", 1e30), ("2^signals.gone", None), ("2^0.5", None), ("0.1+0.2", 0.3),
+        ("if(0.1 + 0.2 == 0.3, 1, 2)", 1), ("1e308 * 10 - 1e308 * 10", None), ("floor(1e30)", 1e30), ("007 + 1", 8), ("round(1234.5, -2)", 1200), ("round(1e-20, 25)", 1e-20),
     ],
 )
 def test_formula_values(spark, expression, expected):
     got = value(spark, expression)
     assert got is None if expected is None else got == pytest.approx(expected)
+    assert expression != "0.1+0.2" or got == 0.3
 
 
-@pytest.mark.parametrize("bad", ["", "1 +", "f(1)", "import os", "signals", "other.x", "1 2", "(1", "if(1, 2, 3)", "2^signals.x", "a" * 5000, "(" * 200 + "1" + ")" * 200, "round(1, signals.x)", "min()"])
+@pytest.mark.parametrize("bad", ["", "1 +", "f(1)", "import os", "signals", "other.x", "1 2", "(1", "if(1, 2, 3)", "2 ** 3", "1 if 2 else 3", "signals.x[0]", "1_0", "0x1", "1 < 2", "if(1 < 2 < 3, 1, 2)", "__import__(1)", "a" * 5000, "(" * 200 + "1" + ")" * 200, "round(1, signals.x)", "min()"])
 def test_formulas_that_are_refused(spark, bad):
     with pytest.raises(formula.FormulaError):
         value(spark, bad)
@@ -67,7 +73,7 @@ def test_medians_softmax_brier_close(spark):
 
 
 def test_texts(spark):
-    rows = [("=1+1", "'=1+1"), (" @x", "' @x"), ("plain", "plain"), ("-", "'-"), (None, None)]
+    rows = [("=1+1", "'=1+1"), (" @x", "' @x"), ("plain", "plain"), ("-", "'-"), (None, None), ("\t=cmd", "'\t=cmd"), ("\u00a0\n@x", "'\u00a0\n@x")]
     got = spark.createDataFrame(rows, "x string, y string").select(text.spreadsheet_safe(F.col("x")).alias("c"), "y").collect()
     assert all(r["c"] == r["y"] for r in got)
     urls = {"https://a.b/c": True, "http://a.b/": False, "https://u@a.b/": False, "https://a.b/?q": False, "https://a.b/#f": False}
@@ -78,3 +84,9 @@ def test_texts(spark):
     assert all(r["c"] == r["ok"] for r in got)
     one = spark.range(1).select(text.canonical_number(F.lit("1.500").cast("decimal(9,3)")), text.canonical_number(F.lit("100").cast("decimal(9,0)")), text.provider_of(F.lit("a/b")), text.provider_of(F.lit("b")), text.has_forbidden_text(F.lit("a\x07")), text.has_forbidden_text(F.lit("ok"))).first()
     assert tuple(one) == ("1.5", "100", "a", "unknown", True, False)
+    marks = spark.createDataFrame([(c,) for c in "\u061c\u200e\u200f\u202e\u2066\ufffe\x7f"], "x string").select(text.has_forbidden_text(F.col("x")).alias("c")).collect()
+    assert all(r["c"] for r in marks)
+    pair = spark.createDataFrame([("a\x1fvb", "c"), ("a", "b\x1fvc"), ("a,1:b", None), ("a", "1:b")], "x string, y string").select(text.content_hash([F.col("x"), F.col("y")]).alias("h")).collect()
+    assert len({r["h"] for r in pair}) == 4
+    got = spark.range(1).select(text.opaque_id(F.lit("s"), b"k", "p-", "d")).first()[0]
+    assert got == "p-" + hmac.new(b"k", b"d\0s", hashlib.sha256).hexdigest()

@@ -52,9 +52,9 @@ def test_prices_ledgers_results(spark):
     assert {r["offering_id"]: r["reason"] for r in imports.with_prices(o, m, p).collect()} == {"a": None, "b": "tiered_price", "c": "price_missing"}
     assert spark.range(1).select(imports.cost_per_turn(*(F.lit(x) for x in (1.0, 2.0, 500_000, 250_000)))).first()[0] == 1.0
     s = spark.createDataFrame([("s", 3, 4), ("t", 3, 4), ("u", 1, 1)], "session_id string, input_tokens int, output_tokens int")
-    ledger = spark.createDataFrame([("s", "r", 1, 2, 0.5, "reported"), ("s", "r", 2, 2, 0.5, "included"), ("t", "r", 3, 5, 1.0, "unknown"), ("t", "q", 0, 0, None, "unknown")], "session_id string, route string, input_tokens int, output_tokens int, cost double, basis string")
+    ledger = spark.createDataFrame([("s", "r", 1, 2, 0.5, "provider_reported"), ("s", "r", 2, 2, 0.5, "estimated"), ("t", "r", 3, 5, 1.0, "unknown"), ("t", "q", 0, 0, None, "unknown")], "session_id string, route string, input_tokens int, output_tokens int, cost double, basis string")
     got = {r["session_id"]: (r["cost"], r["basis"], r["reasons"]) for r in imports.ledger_sessions(s, ledger).collect()}
-    assert got["s"] == (1.0, "reported", []) and got["t"][2] == ["several_routes", "output_differs"] and got["u"][2][0] == "no_ledger"
+    assert got["s"] == (1.0, "estimated", []) and got["t"][2] == ["several_routes", "output_differs"] and got["u"][2][0] == "no_ledger"
     usage = "map<string,struct<cost:double,input:bigint,output:bigint>>"
     msgs = spark.createDataFrame([(1, 1.0, {"m": (1.0, 1, 1)}), (2, 2.0, {"m": (1.0, 1, 1)}), (3, 2.0, {"m": (1.0, 1, 1), "k": (1.0, 1, 1)})], f"id int, total_cost double, model_usage {usage}")
     assert {r["id"]: r["reason"] for r in imports.single_model_results(msgs).collect()} == {1: None, 2: "cost_differs", 3: "several_models"}

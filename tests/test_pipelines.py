@@ -1,6 +1,8 @@
 """Traces, catalogs, estimates, sources, sinks, policies and streams on small literal cases."""
 
 import json
+import random
+import statistics
 from datetime import datetime, timezone
 from decimal import Decimal
 
@@ -26,24 +28,39 @@ def frame(spark, *rows):
     return spark.createDataFrame([{f.name: r.get(f.name) for f in traces.SCHEMA} for r in rows], traces.SCHEMA)
 
 
-THREE = (
-    trace(),
-    trace(request_id="r2", input_uncached_tokens=Decimal(150), ttft_ms=Decimal(200), other_cost_usd=Decimal("0.05")),
-    trace(request_id="r3", work_unit_id="u2", attempt_id="a2", work_unit_success=Decimal(0), ttft_ms=Decimal(300)),
-)
-
-
-def test_traces_to_rates(spark):
-    df = frame(spark, *THREE)
+def some_rows(seed, n=60):
+    """Random requests of four work units; one unit fails."""
+    r = random.Random(seed)
+    units = [f"unit-{k}" for k in range(4)]
+    return [
+        trace(
+            request_id=f"q{k}", work_unit_id=(u := r.choice(units)), attempt_id=f"{u}-{r.randrange(2)}", work_unit_success=Decimal(int(u != "unit-2")),
+            input_uncached_tokens=Decimal(r.randrange(900)), input_cache_read_tokens=Decimal(r.randrange(50)), input_cache_write_tokens=Decimal(r.randrange(9)),
+            other_cost_usd=Decimal(r.randrange(1000)) / 1000, ttft_ms=Decimal(r.randrange(5000)) if r.random() < 0.7 else None,
+        )
+        for k in range(n)
+    ]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_traces_to_rates(spark, seed):
+    rows = some_rows(seed)
+    df = frame(spark, *rows)
     traces.check(df)
-    meters = ["input_uncached_tokens", "input_cache_read_tokens", "other_cost_usd", "tool_calls"]
-    totals = traces.offerings(traces.work_units(df, meters), meters)
-    got = {r["signal"]: r["value"] for r in traces.rates(totals, meters).collect()}
-    assert got["success_rate"] == 0.5 and got["request_count_per_success"] == 3 and got["input_uncached_tokens_per_success"] == 350
-    assert got["input_cache_read_tokens_per_success"] == 1500 and got["other_cost_usd_per_success"] == pytest.approx(0.25)
-    assert got["observed_cache_hit_rate"] == pytest.approx(1500 / 1850) and "tool_calls_per_success" not in got
+    meters = ["input_uncached_tokens", "input_cache_read_tokens", "input_cache_write_tokens", "other_cost_usd", "tool_calls"]
+    got = {r["signal"]: r["value"] for r in traces.rates(traces.offerings(traces.work_units(df, meters), meters), meters).collect()}
+    units = {r["work_unit_id"] for r in rows}
+    wins = len(units - {"unit-2"})
+    total = {m: float(sum(r[m] for r in rows)) for m in meters[:4]}
+    for m in meters[:4]:
+        assert got[f"{m}_per_work_unit"] == pytest.approx(total[m] / len(units)) and got[f"{m}_per_success"] == pytest.approx(total[m] / wins)
+    assert got["success_rate"] == pytest.approx(wins / len(units)) and got["request_count_per_success"] == pytest.approx(len(rows) / wins)
+    parts = [total[m] for m in meters[:3]]
+    assert got["observed_cache_hit_rate"] == pytest.approx(parts[1] / sum(parts)) and "tool_calls_per_success" not in got
+    seen = sorted(float(r["ttft_ms"]) for r in rows if r["ttft_ms"] is not None)
     p = traces.latency(df).first()
-    assert (float(p["ttft_ms_p50"]), p["samples"]) == (200, 3)
+    assert p["samples"] == len(seen) and float(p["ttft_ms_p50"]) == pytest.approx(statistics.median(seen))
+    assert traces.outside_workload(df, "w", "1") == 0 and traces.outside_workload(df, "w", "2") == len(rows)
 
 
 def test_unknown_meter_and_zero_success(spark):
@@ -56,7 +73,7 @@ def test_unknown_meter_and_zero_success(spark):
 def test_scopes_and_cache_writes(spark):
     df = frame(
         spark,
-        trace(observation_unit="work_unit", attempt_count=3, model_request_count=7, input_cache_write_5m_tokens=Decimal(1), input_cache_write_1h_tokens=Decimal(2)),
+        trace(observation_unit="work_unit", attempt_count=3, model_request_count=7, input_cache_write_5m_tokens=Decimal(1), input_cache_write_1h_tokens=Decimal(2), ttft_ms=None),
         trace(work_unit_id="u2", request_id="r2", observation_unit="attempt", input_cache_write_tokens=Decimal(5)),
     )
     got = {r["work_unit_id"]: r for r in traces.work_units(df).collect()}
@@ -71,8 +88,12 @@ def test_scopes_and_cache_writes(spark):
         ("invalid_rows", [trace(other_cost_usd=Decimal(-1))]),
         ("invalid_rows", [trace(observation_unit="page")]),
         ("multi_offering", [trace(), trace(request_id="r2", offering_id="p")]),
-        ("mixed_scope", [trace(), trace(request_id="r2", observation_unit="attempt")]),
-        ("duplicate_attempts", [trace(observation_unit="attempt"), trace(request_id="r2", observation_unit="attempt")]),
+        ("invalid_rows", [trace(input_cache_write_tokens=Decimal(1), input_cache_write_1h_tokens=Decimal(1))]),
+        ("invalid_rows", [trace(input_total_tokens=Decimal(700), input_cache_write_tokens=Decimal(1))]),
+        ("invalid_rows", [trace(observation_unit="attempt")]),
+        ("invalid_rows", [trace(adapter_id="a")]),
+        ("mixed_scope", [trace(), trace(request_id="r2", observation_unit="attempt", ttft_ms=None)]),
+        ("duplicate_attempts", [trace(observation_unit="attempt", ttft_ms=None), trace(request_id="r2", observation_unit="attempt", ttft_ms=None)]),
         ("inconsistent_outcome", [trace(), trace(request_id="r2", work_unit_success=Decimal(0))]),
         ("duplicate_requests", [trace(), trace(work_unit_id="u2")]),
     ],
@@ -125,8 +146,13 @@ def test_views_portfolio_capacity_basis(spark):
     assert got == {"a": (True, 3), "b": (False, 9)}
     recs = spark.createDataFrame([("k", True, 5, 1, 1), ("k", True, 9, 1, 2), ("k", False, 99, 1, 3), ("j", False, 4, 1, 4)], "key string, passed boolean, size int, at int, id int")
     assert {r["key"]: r["id"] for r in catalogs.arg_max_capacity(recs, "key", "passed", "size", "at", "id").collect()} == {"k": 2, "j": 4}
-    bases = spark.createDataFrame([("a", "included"), ("a", "reported"), ("b", "unknown"), ("b", "included"), ("c", "included")], "k string, basis string")
-    assert {r["k"]: r["b"] for r in bases.groupBy("k").agg(catalogs.combined_basis("basis").alias("b")).collect()} == {"a": "reported", "b": "unknown", "c": "included"}
+    groups = {
+        ("included", "included"): "included", ("provider_reported",): "provider_reported", ("provider_reported", "estimated"): "estimated", ("estimated",): "estimated",
+        ("included", "provider_reported"): "unknown", ("included", "estimated"): "unknown", ("unknown", "included"): "unknown", ("provider_reported", None): "unknown",
+    }
+    rows = [(k, b, 1.0) for k, g in enumerate(groups) for b in g] + [(99, "included", None)]
+    bases = spark.createDataFrame(rows, "k int, basis string, amount double").groupBy("k").agg(catalogs.combined_basis("basis", "amount").alias("b"))
+    assert {r["k"]: r["b"] for r in bases.collect()} == dict(enumerate(groups.values())) | {99: "unknown"}
 
 
 def test_estimates(spark):
@@ -184,7 +210,7 @@ def test_policy_over_a_catalog_file(spark, tmp_path):
 
 
 def test_trace_files(spark, tmp_path):
-    frame(spark, *THREE).write.parquet(f"{tmp_path}/t.parquet")
+    frame(spark, *some_rows(3, 3)).write.parquet(f"{tmp_path}/t.parquet")
     assert files.read_traces(spark, f"{tmp_path}/t.parquet").count() == 3
     (tmp_path / "t.jsonl").write_text(json.dumps({"workload_id": "w", "other_cost_usd": "0.25", "timestamp": "2024-01-01T00:00:00Z"}) + "\n")
     assert files.read_traces(spark, f"{tmp_path}/t.jsonl").first()["other_cost_usd"] == Decimal("0.25")
