@@ -47,6 +47,8 @@ DISCOUNT = 0.75
 DIMENSIONS, CLASS_NOISE, NOISE, BATCH, RATE, SEED = 20, 16, 8, 8192, 0.12, 11
 #: Tokens that a training pass sees at least, by repeats (16 at most) if the corpus has fewer.
 LEAST_TOKENS = 1_500_000
+#: Words whose symbols a task remembers.
+REMEMBERED = 500_000
 CHUNK_BYTES = 6_000_000
 BLOCK_BYTES = 12_000_000
 
@@ -90,16 +92,15 @@ class Symbols:
         return out
 
     def ids(self, own: list[bytes], seen: dict[bytes, int]) -> np.ndarray:
-        """Symbol of each token; ``seen`` keeps the rare symbols of endings."""
-        words, out = self.words, []
-        for w in own:
-            s = words.get(w)
-            if s is None:
-                e = w[-ENDING:]
-                s = seen.get(e)
+        """Symbol of each token; ``seen`` remembers symbols of words between calls and begins anew when it is full."""
+        if not seen or len(seen) > REMEMBERED:
+            seen.clear()
+            seen.update(self.words)
+        out = list(map(seen.get, own))
+        if None in out:
+            for k, s in enumerate(out):
                 if s is None:
-                    s = seen[e] = int(self.starts[self.class_of_ending(e) + 1]) - 1
-            out.append(s)
+                    out[k] = seen[own[k]] = int(self.starts[self.class_of_ending(own[k][-ENDING:]) + 1]) - 1
         return np.array(out, np.int64)
 
     def cells(self, ids: np.ndarray) -> np.ndarray:
@@ -381,7 +382,7 @@ def score(docs: DataFrame) -> DataFrame:
         for data, n in zip(answers["data"], answers["counts"]):
             counts.update(zip(data.split(b" "), np.frombuffer(n, "<i8").tolist()))
         own = [tokens(raw) for raw in b["raw"]]
-        c = np.array([counts[w] for t in own for w in t], np.int64)
+        c = np.array([n for t in own for n in map(counts.__getitem__, t)], np.int64)
         ids = [known.ids(t, seen) for t in own]
         sizes = np.array([len(t) for t in own], np.int64)
         every = np.concatenate(ids) if ids else np.zeros(0, np.int64)
