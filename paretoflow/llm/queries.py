@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hyperminhash, mixing, packing, paragraphs, quality, repeats, scoring, telephony, training_order
+from . import audit, chat, hyperminhash, mixing, packing, paragraphs, quality, repeats, scoring, telephony, toxicity, training_order, whitening
 from .common import materialize, read
 
 
@@ -90,6 +90,20 @@ def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("row.doc_id", toxicity.held_out("row.doc_id").alias("held_out"), "score", "predicted")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.sql(
         "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), "
@@ -119,6 +133,36 @@ FROM c GROUP BY conv_id
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+m AS (SELECT doc_id, part, (len(words) < 200) AS A, (100 * len(list_distinct(words)) < 50 * len(words)) AS B,
+  (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t)) AS C, regexp_matches(t, '[#$%&*|]') AS D,
+  coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS E FROM w),
+l AS (SELECT doc_id, coalesce(max(CAST(quality = 1 AS INT)), 0) AS good, coalesce(max(CAST(toxic = 1 AS INT)), 0) AS bad FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+  CASE WHEN A THEN 'A' ELSE '' END || CASE WHEN B THEN 'B' ELSE '' END || CASE WHEN C THEN 'C' ELSE '' END
+  || CASE WHEN D THEN 'D' ELSE '' END || CASE WHEN E THEN 'E' ELSE '' END AS fails FROM m LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a JOIN x b ON b.x <> a.x JOIN x c ON c.x NOT IN (a.x, b.x)
+  JOIN x d ON d.x NOT IN (a.x, b.x, c.x) JOIN x e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+steps AS (SELECT o, s, substr(o, s, 1) AS f, substr(o, 1, s - 1) AS before FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS s)),
+hit AS (SELECT c.*, o, s, f, contains(fails, f) AS failing,
+  len(list_intersect(string_split(before, ''), string_split(fails, ''))) > 0 AND before <> '' AND fails <> '' AS gone FROM c, steps),
+r AS (SELECT part, o AS filter_order, CAST(s AS INT) AS step, f,
+  CAST(sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN NOT gone AND failing THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN gone AND failing THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN fails = f THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN NOT gone AND failing THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN NOT gone AND failing THEN bad ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM hit GROUP BY part, o, s, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+"""
+
+
 def _op4_sql(passes: int = 4) -> str:
     key = "md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')))"
     ctes = [
@@ -168,8 +212,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_training_order": op8_training_order,
         "op9_repeats": op9_repeats,
         "op10_quality_lines": op10_quality_lines,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_toxicity": op12_toxicity,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": _op4_sql(), "op7_chat_format": OP7_SQL}
+    return {"op4_mix_sources": _op4_sql(), "op7_chat_format": OP7_SQL, "op11_filter_audit": OP11_SQL}
