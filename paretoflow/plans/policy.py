@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 from decimal import Decimal, InvalidOperation
 from typing import Any
 
@@ -11,7 +11,7 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import formula
+from ..functions import canonical, formula
 from ..operators import admission, frontier
 from ..operators.oracles import Oracles
 
@@ -173,6 +173,33 @@ def load(text: str) -> Project:
     )
 
 
+def policy_hash(project: Project, frontier_id: str) -> str:
+    """The identity of what one frontier's evaluation depends on: its definition, the metrics it names and the workload.
+
+    What is as if it were not written (empty limits, the default tiers of evidence) does not count, so
+    adding an optional key to the format changes no identity.
+    """
+    if frontier_id not in project.frontiers:
+        raise PolicyError("unknown frontier")
+    f = project.frontiers[frontier_id]
+
+    def plain(value: Any) -> Any:
+        if isinstance(value, Mapping):
+            return {str(k): plain(v) for k, v in value.items() if v not in (None, (), {}, [])}
+        if isinstance(value, (list, tuple, set, frozenset)):
+            return [plain(v) for v in value]
+        return Decimal(str(value)) if isinstance(value, float) else value
+
+    names = [a[0] for a in f.axes] + f.gates()
+    metrics = {n: plain(asdict(project.metrics[n])) for n in names}
+    default = plain(list(admission.Requirements().tiers))
+    for m in metrics.values():
+        if m.get("requirements", {}).get("tiers") == default:
+            del m["requirements"]["tiers"]
+    whole = {"frontier_id": frontier_id, "frontier": plain(asdict(f)), "metrics": metrics, "workload": plain(project.workload), "workload_key": plain(project.workload_key)}
+    return canonical.value_hash(whole)
+
+
 def check_catalog(project: Project, f: Frontier, catalog: DataFrame) -> None:
     """The catalog's workload is the project's, each source id has one descriptor, and aged sources exist."""
     if project.workload_key is not None:

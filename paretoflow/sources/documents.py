@@ -3,13 +3,21 @@
 Each kind has its schema; a field of the wrong type fails the read, and so does a document without
 what its kind requires. Decimals arrive as text and stay text in nested fields; the functions that
 explode a document cast them. A folder of documents is read as one table, a row for each.
+
+Snapshots, selections, views and publications carry the SHA-256 of their own canonical JSON without that
+field. :func:`read_verified` checks it on the text as written, unknown fields included, and refuses a
+document that was changed; :func:`sealed` names documents that are built from columns. A format that gained
+optional fields keeps older identities by leaving unused ones out; ``IDENTITIES`` lists each kind's rules,
+today's first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import canonical
 from .files import EXACT, OFFERING_KEY, SOURCE
 
 # The shapes of the document formats.
@@ -55,6 +63,18 @@ REQUIRED = {
     "portfolio_policy": ("portfolio_id", "components", "required_component_ids"), "portfolio_derivation": ("snapshot_id", "generated_at", "valid_until", "candidates"),
 }
 
+# What a document's identity leaves out, by kind and rule.
+_TIERS = {f"{at}.evidence_tiers": '["measured"]' for at in ("members[].axes{}", "evaluated[].axes{}", "axis_evidence.candidates[].axes{}")}
+_BILLING = {f"{at}.offering.billing_mode": "null" for at in ("members[]", "evaluated[]", "axis_evidence.candidates[]")}
+_UNUSED = {"axis_evidence": "null", "public_release_blocked": "false"}
+_OWN = {"snapshot_id": None}
+IDENTITIES: dict[str, tuple[str, tuple[canonical.Drop, ...]]] = {
+    "frontier": ("snapshot_id", ({**_OWN, **_TIERS, **_BILLING, **_UNUSED}, {**_OWN, **_TIERS, **_UNUSED}, _OWN, {**_OWN, **_UNUSED})),
+    "selection": ("snapshot_id", ({**_OWN, "default.offering.billing_mode": "null", "fallbacks[].offering.billing_mode": "null"},)),
+    "publication": ("publication_id", ({"publication_id": None},)),
+    "model_view": ("view_id", ({"view_id": None},)),
+}
+
 
 class DocumentError(ValueError):
     """A document is not of its kind."""
@@ -72,6 +92,79 @@ def read_document(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return found.filter(F.when(absent, F.raise_error(F.lit(f"a {kind} document lacks a required field"))).otherwise(F.lit(True)).cast("boolean"))
 
 
+def verified_by(text: Column, kind: str) -> Column:
+    """The number of the rule under which a JSON text carries its own hash; null for none: it was changed, or is no document."""
+    own, rules = IDENTITIES[kind]
+    named = F.get_json_object(text, f"$.{own}")
+    place = F.array_position(canonical.text_hashes(text, rules), named)
+    return F.when(place > 0, (place - 1).cast("int"))
+
+
+def read_verified(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The documents of a kind that carries its own hash; one that was changed fails the read, by its file's name."""
+    if kind not in IDENTITIES:
+        raise DocumentError("this kind of document has no hash of its own")
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    refused = F.raise_error(F.concat(F.lit(f"{kind} document does not carry its own hash: "), F.col("file")))
+    checked = files.select(F.when(verified_by(F.col("value"), kind).isNull(), refused).otherwise(F.col("value")).alias("value"))
+    found = checked.select(F.from_json("value", KINDS[kind], {"mode": "FAILFAST"}).alias("d")).select("d.*")
+    absent = F.greatest(*[F.col(f"`{c}`").isNull() for c in REQUIRED[kind]], F.lit(False))
+    return found.filter(F.when(absent, F.raise_error(F.lit(f"a {kind} document lacks a required field"))).otherwise(F.lit(True)).cast("boolean"))
+
+
+def identity(documents: DataFrame, kind: str, rule: int = 0) -> Column:
+    """The hash that documents held in columns carry, under one rule of their kind."""
+    columns = {f.name: f.dataType for f in documents.schema.fields}
+    return canonical.json_hash(canonical.canonical_json(F.struct(*columns), canonical.row_kind(columns), IDENTITIES[kind][1][rule]))
+
+
+def sealed(documents: DataFrame, kind: str, rule: int = 0) -> DataFrame:
+    """The documents with their hash in the field for it, and their canonical text in ``text``."""
+    own = IDENTITIES[kind][0]
+    named = documents.drop(own).withColumn(own, identity(documents.drop(own), kind, rule))
+    whole = canonical.canonical_json(F.struct(*named.columns), named.schema)
+    return named.withColumn("text", whole)
+
+
+def _part(documents: DataFrame, *columns: str) -> Column:
+    kinds = {c: documents.schema[c].dataType for c in columns}
+    return canonical.canonical_json(F.struct(*columns), canonical.row_kind(kinds))
+
+
+def axis_hash(frontiers: DataFrame) -> Column:
+    """What makes two snapshots comparable: workload, order, uncertainty and axes."""
+    return canonical.json_hash(_part(frontiers, "axes", "order_by", "uncertainty", "workload"))
+
+
+def view_hash(frontiers: DataFrame) -> Column:
+    """What a reader of a frontier sees: members in order, each with its offering, the values on every axis, and metadata."""
+    member = frontiers.schema["members"].dataType.elementType
+    drop = {"billing_mode": "null"}
+    seen = [c for c in ("value", "lower", "upper") if c in member["axes"].dataType.valueType.names]
+    value_kind = T.StructType([member["axes"].dataType.valueType[c] for c in seen])
+
+    def one(m: Column) -> Column:
+        def on_axis(a: Column) -> Column:
+            estimate = F.try_element_at(m["axes"], a["metric"])
+            values = canonical.canonical_json(F.struct(*[estimate[c].alias(c) for c in seen]), value_kind)
+            return F.concat(F.lit("["), canonical.canonical_json(a["metric"], T.StringType()), F.lit(","), values, F.lit("]"))
+
+        axes = F.concat(F.lit("["), F.array_join(F.transform("axes", on_axis), ","), F.lit("]"))
+        parts = (canonical.canonical_json(m["offering"], member["offering"].dataType, drop), axes, canonical.canonical_json(m["metadata"], member["metadata"].dataType))
+        return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+
+    return canonical.json_hash(F.concat(F.lit("["), F.array_join(F.transform("members", one), ","), F.lit("]")))
+
+
+def catalog_hash(catalogs: DataFrame) -> Column:
+    """The hash of catalogs in one row each, ``offerings`` in any order."""
+    columns = {f.name: f.dataType for f in catalogs.schema.fields}
+    name = lambda x: x["offering"]["offering_id"]
+    ordered = F.array_sort("offerings", lambda a, b: F.when(name(a) < name(b), -1).when(name(a) > name(b), 1).otherwise(0)).alias("offerings")
+    row = F.struct(*[ordered if c == "offerings" else F.col(f"`{c}`") for c in columns])
+    return canonical.json_hash(canonical.canonical_json(row, canonical.row_kind(columns), {"offerings[].offering.billing_mode": "null"}))
+
+
 def frontier_points(frontiers: DataFrame) -> DataFrame:
     """snapshot_id, offering_id, metric, value, lower, upper, member and rank of every evaluated point."""
     ranked = frontiers.select("snapshot_id", F.posexplode("members").alias("rank", "m")).select(
