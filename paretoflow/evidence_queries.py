@@ -9,7 +9,7 @@ from .functions import formula, text
 from .operators import catalogs, estimates, evidence, history, local, traces
 from .plans import policy
 from .plans.tables import MONEY, OFFERINGS, offerings, table
-from .queries import query
+from .queries import PLAIN, query
 from .sources import imports, sinks
 
 NOW = "1998-08-01 00:00:00"
@@ -105,17 +105,18 @@ def policy_evaluate_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT c_custkey, abs(c_acctbal) AS size, round(CASE WHEN abs(c_acctbal) <= 709 THEN ln(exp(c_acctbal)) END, 6) AS grown, floor(c_acctbal) AS down, ceil(c_acctbal) AS up,
-  least(c_acctbal, 100, c_nationkey) AS least_of, round_even(c_acctbal, 0) AS whole, CASE WHEN c_nationkey <> 0 THEN round(1 / CAST(c_nationkey AS DOUBLE), 9) END AS inverse,
-  CASE WHEN c_acctbal > 0 THEN c_acctbal END AS lazy, coalesce(c_acctbal, 1) AS filled, CASE WHEN c_nationkey <> 0 THEN 1.0 END AS unit, -c_acctbal + 0.5 AS mirrored FROM customer"""
+    f"""WITH c AS (SELECT c_custkey, c_nationkey, CAST(c_acctbal AS DECIMAL(18,2)) AS b FROM customer)
+SELECT c_custkey, {PLAIN.format("abs(b)")} AS size, round(CASE WHEN abs(b) <= 2300 THEN b END, 6) AS grown, {PLAIN.format("floor(b)")} AS down, {PLAIN.format("ceil(b)")} AS up,
+  {PLAIN.format("least(b, 100, c_nationkey)")} AS least_of, {PLAIN.format("round_even(b, 0)")} AS whole, CASE WHEN c_nationkey <> 0 THEN round(1 / CAST(c_nationkey AS DOUBLE), 9) END AS inverse,
+  {PLAIN.format("CASE WHEN b > 0 THEN b END")} AS lazy, {PLAIN.format("b")} AS filled, {PLAIN.format("CASE WHEN c_nationkey <> 0 THEN 1 END")} AS unit, {PLAIN.format("-b + 0.5")} AS mirrored FROM c"""
 )
 def formula_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = {"signals.balance": F.col("c_acctbal"), "signals.nation": F.col("c_nationkey")}
-    f = lambda x: formula.compile_formula(x, lambda p: known.get(p, F.lit(None)))
+    known = {"signals.balance": F.col("c_acctbal").cast(MONEY), "signals.nation": F.col("c_nationkey")}
+    f = lambda x: formula.exact(x, lambda p: known.get(p, F.lit(None)))
     return table(spark, sf_dir, "customer").select(
-        "c_custkey", f("abs(signals.balance)").alias("size"), F.round(f("if(abs(signals.balance) <= 709, log(exp(signals.balance)), exp(2000))"), 6).alias("grown"),
+        "c_custkey", f("abs(signals.balance)").alias("size"), F.round(f("if(abs(signals.balance) <= 2300, log(exp(signals.balance)), exp(2301))").cast("double"), 6).alias("grown"),
         f("floor(signals.balance)").alias("down"), f("ceil(signals.balance)").alias("up"), f("min(signals.balance, 100, signals.nation)").alias("least_of"),
-        f("round(signals.balance)").alias("whole"), F.round(f("signals.nation ^ -1"), 9).alias("inverse"), f("if(signals.balance > 0, signals.balance, signals.none)").alias("lazy"),
+        f("round(signals.balance)").alias("whole"), F.round(f("signals.nation ^ -1").cast("double"), 9).alias("inverse"), f("if(signals.balance > 0, signals.balance, signals.none)").alias("lazy"),
         f("coalesce(signals.none, signals.balance, 1)").alias("filled"), f("signals.nation ^ 0").alias("unit"), f("+(-signals.balance) + 0.5").alias("mirrored"),
     )
 

@@ -1,30 +1,42 @@
-"""A small safe formula language, translated to Spark Columns.
+"""A small safe formula language over Spark Columns.
 
 Numbers, paths (``signals.x``, ``workload.x``, ``metadata.a.b``), ``+ - * / % ^``, comparisons
 inside ``if`` and the functions of ``FUNCTIONS``. Texts are read by Python's own expression parser
 (``^`` stands for its power); only the kinds of nodes below are translated, all others are refused,
 so a formula never runs code: it becomes a Catalyst expression.
 
-Numbers: inputs and steps are doubles, a result has 15 significant digits (0.1 + 0.2 is 0.3, and
-the test ``0.1 + 0.2 == 0.3`` holds). A missing input or an arithmetic error (division by zero,
-0^0, the root of a negative number, a result beyond the range of doubles) makes the result null,
-never infinite. Only ``coalesce`` may meet missing values, and of ``if`` only the branch taken.
+Two ways to evaluate one:
+
+* :func:`exact`: decimals of 34 digits, rounded half to even after each step. Inputs are taken as they are written
+  (a double by its shortest digits), results are fixed-point texts, so nothing is lost on the way to a
+  decimal column. Batches of rows go through the tree once, as lists.
+* :func:`approximate`: doubles inside Catalyst expressions, for sums over many rows where 15 digits will do.
+
+A missing input or an arithmetic error (division by zero, 0^0, the root of a negative number, a result
+out of bounds) makes the result null, never infinite. Only ``coalesce`` may meet missing values, and of
+``if`` only the branch taken counts.
 """
 
 from __future__ import annotations
 
 import ast
+import operator
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from decimal import ROUND_CEILING, ROUND_FLOOR, Context, Decimal, DivisionByZero, InvalidOperation, Overflow, localcontext
 from functools import reduce
 from itertools import accumulate
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The language's limits.
 MAX_CHARS, MAX_DEPTH, MAX_NODES, MAX_LITERAL, MAX_EXPONENT, MAX_EXP, MAX_PLACES = 4096, 128, 2048, 128, 1000, 2300, 1000
+DIGITS, MAX_MAGNITUDE, MAX_SHOWN = 34, 1000, 4096
 ROOTS = ("signals", "workload", "metadata")
 FUNCTIONS = {
     "abs": (1, 1), "min": (1, None), "max": (1, None), "mean": (1, None), "clamp": (3, 3), "sqrt": (1, 1), "log": (1, 1),
@@ -47,6 +59,8 @@ class Formula:
 
     text: str
     tree: ast.expr
+    #: The text that Python read; literals are taken from it.
+    read: str = ""
 
     def paths(self) -> frozenset[str]:
         """All paths written in the formula, in lazy branches too."""
@@ -101,7 +115,7 @@ def _check(node: ast.expr, depth: int, condition: bool = False) -> int:
         least, most = FUNCTIONS[_name(node)]
         if len(node.args) < least or most is not None and len(node.args) > most:
             raise FormulaError("function has a wrong number of arguments")
-        if _name(node) == "round" and len(node.args) > 1 and _whole(node.args[1], MAX_PLACES) is None:
+        if _name(node) == "round" and len(node.args) > 1 and _literal(node.args[1]) and _whole(node.args[1], MAX_PLACES) is None:
             raise FormulaError("places must be a small whole number")
         if _name(node) == "if":
             return _check(node.args[0], depth + 1, True) + below(*node.args[1:])
@@ -109,6 +123,10 @@ def _check(node: ast.expr, depth: int, condition: bool = False) -> int:
     raise FormulaError("formula names no known path, sign or function")
 
 
+def _literal(node: ast.expr) -> bool:
+    return isinstance(node, ast.Constant) or isinstance(node, ast.UnaryOp) and _literal(node.operand)
+
+
 def _whole(node: ast.expr, most: int) -> int | None:
     """A written whole number."""
     if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
@@ -137,7 +155,7 @@ def parse(text: str) -> Formula:
         raise FormulaError("text is no formula") from error
     if nodes > MAX_NODES:
         raise FormulaError("formula has too many parts")
-    return Formula(text, tree)
+    return Formula(text, tree, readable)
 
 
 def _finite(value: Column) -> Column:
@@ -145,11 +163,6 @@ def _finite(value: Column) -> Column:
     return F.nullif(F.nullif(value, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
-def fifteen_digits(value: Column) -> Column:
-    """The double nearest to a double's 15 significant digits."""
-    return F.format_string("%.14e", value).try_cast("double")
-
-
 def _power(base: Column, exponent: Column) -> Column:
     allowed = (F.abs(exponent) <= MAX_EXPONENT) & (exponent == F.floor(exponent)) & ((exponent != 0) | (base != 0))
     return F.when(allowed, _finite(F.pow(base, exponent)))
@@ -170,7 +183,7 @@ def _built(node: ast.expr, lookup: Callable[[str], Column]) -> Column:
     if isinstance(node, ast.UnaryOp):
         return -build(node.operand) if isinstance(node.op, ast.USub) else build(node.operand)
     if isinstance(node, ast.Compare):
-        x, y = fifteen_digits(build(node.left)), fifteen_digits(build(node.comparators[0]))
+        x, y = build(node.left), build(node.comparators[0])
         kind = type(node.ops[0])
         return {ast.Eq: x == y, ast.NotEq: x != y, ast.Lt: x < y, ast.LtE: x <= y, ast.Gt: x > y, ast.GtE: x >= y}[kind]
     if isinstance(node, ast.BinOp):
@@ -200,7 +213,10 @@ def _called(name: str, nodes: list[ast.expr], build: Callable[[ast.expr], Column
     if name == "clamp":
         return F.when(all_there & (args[1] <= args[2]), F.greatest(args[1], F.least(x, args[2])))
     if name == "round":
-        return _rounded(x, _whole(nodes[1], MAX_PLACES) if len(nodes) > 1 else 0)
+        places = _whole(nodes[1], MAX_PLACES) if len(nodes) > 1 else 0
+        if places is None:
+            raise FormulaError("doubles are rounded to a written number of places")
+        return _rounded(x, places)
     if name == "sqrt":
         return F.when(x >= 0, F.sqrt(x))
     if name == "log":
@@ -213,26 +229,175 @@ def _called(name: str, nodes: list[ast.expr], build: Callable[[ast.expr], Column
     return F.when(F.abs(x) >= 2.0**53, x).otherwise((F.floor if name == "floor" else F.ceil)(x).cast("double"))
 
 
-def compile_formula(text: str, lookup: Callable[[str], Column]) -> Column:
-    """A double Column; ``lookup`` gives the Column of a path."""
-    return fifteen_digits(_built(parse(text).tree, lookup))
+def approximate(text: str, lookup: Callable[[str], Column]) -> Column:
+    """A double Column of doubles; ``lookup`` gives the Column of a path."""
+    return _built(parse(text).tree, lookup)
+
 
+# Exact decimals over batches of rows. A value is a decimal, NaN after an error, or None where it is missing.
 
-def used_paths(text: str, lookup: Callable[[str], Column]) -> Column:
-    """The paths that a row's evaluation really reads: lazy branches count only if taken."""
+_NAN = Decimal("NaN")
+_SIGNS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Mod: operator.mod}
+_TESTS = {ast.Eq: operator.eq, ast.NotEq: operator.ne, ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge}
+#: Errors that end an evaluation; they are collected instead of raised.
+_ERRORS = (InvalidOperation, DivisionByZero, Overflow)
 
-    def walk(node: ast.expr) -> Column:
+
+def _number(value: Any) -> Decimal | None:
+    if value is None or type(value) is Decimal:
+        return value
+    text = repr(value) if isinstance(value, float) else str(value)
+    if isinstance(value, bool) or len(text) > MAX_LITERAL:
+        return _NAN
+    try:
+        found = Decimal(text)
+    except InvalidOperation:
+        return _NAN
+    exponent = found.as_tuple().exponent
+    return found if isinstance(exponent, int) and abs(exponent) <= MAX_EXPONENT else _NAN
+
+
+class _Batch:
+    """One evaluation of a tree for some rows: every node once, lazy branches for the rows that take them."""
+
+    def __init__(self, formula: Formula, columns: dict[str, Sequence[Any]], n: int):
+        self.formula, self.columns, self.n = formula, {k: [_number(v) for v in c] for k, c in columns.items()}, n
+        self.bit = {path: 1 << k for k, path in enumerate(sorted(columns))}
+        self.read = [0] * n
+        self.context = Context(prec=DIGITS, traps=[])
+
+    def evaluate(self) -> list[Decimal | None]:
+        with localcontext(self.context) as self.context:
+            return self.of(self.formula.tree, range(self.n))
+
+    def there(self, node: ast.expr, rows: Sequence[int]) -> list[Decimal]:
+        """Values of a node that must not be missing."""
+        found = self.of(node, rows)
+        return [_NAN if v is None else v for v in found] if None in found else found
+
+    def checked(self, values: list[Decimal]) -> list[Decimal]:
+        """Infinities that an error left become errors themselves."""
+        flags = self.context.flags
+        if flags[Overflow] or flags[DivisionByZero]:
+            values = [v if v.is_finite() else _NAN for v in values]
+        self.context.clear_flags()
+        return values
+
+    def of(self, node: ast.expr, rows: Sequence[int]) -> list[Decimal | None]:
+        if isinstance(node, ast.Constant):
+            return [Decimal(ast.get_source_segment(self.formula.read, node))] * len(rows)
         if path := _path(node):
-            return F.array(F.lit(path))
-        if isinstance(node, ast.Call) and _name(node) == "coalesce":
-            out = walk(node.args[-1])
-            for a in reversed(node.args[:-1]):
-                out = F.when(_built(a, lookup).isNotNull(), walk(a)).otherwise(F.array_union(walk(a), out))
-            return out
-        if isinstance(node, ast.Call) and _name(node) == "if":
-            test, yes, no = node.args
-            return F.array_union(walk(test), F.when(_built(test, lookup), walk(yes)).otherwise(walk(no)))
-        below = [n for n in ast.iter_child_nodes(node) if isinstance(n, ast.expr) and not isinstance(n, ast.Name)]
-        return reduce(F.array_union, [walk(n) for n in below], F.array().cast("array<string>"))
-
-    return F.array_sort(walk(parse(text).tree))
+            bit, read, column = self.bit[path], self.read, self.columns[path]
+            for r in rows:
+                read[r] |= bit
+            return [column[r] for r in rows] if len(rows) < self.n else column
+        if isinstance(node, ast.UnaryOp):
+            found = self.there(node.operand, rows)
+            return [-v for v in found] if isinstance(node.op, ast.USub) else found
+        if isinstance(node, ast.BinOp):
+            x, y = self.there(node.left, rows), self.there(node.right, rows)
+            if isinstance(node.op, ast.Pow):
+                return self.checked([a ** int(b) if b.is_finite() and abs(b) <= MAX_EXPONENT and b == b.to_integral_value() else _NAN for a, b in zip(x, y)])
+            return self.checked(list(map(_SIGNS[type(node.op)], x, y)))
+        name = _name(node)
+        if name == "coalesce":
+            return self.first_there(node.args, rows)
+        if name == "if":
+            return self.chosen(node.args, rows)
+        return self.checked(self.called(name, [self.there(a, rows) for a in node.args]))
+
+    def first_there(self, nodes: list[ast.expr], rows: Sequence[int]) -> list[Decimal | None]:
+        out: list[Decimal | None] = [None] * len(rows)
+        left = list(range(len(rows)))
+        for node in nodes:
+            if not left:
+                break
+            for k, v in zip(left, self.of(node, [rows[k] for k in left])):
+                out[k] = v
+            left = [k for k in left if out[k] is None]
+        return out
+
+    def chosen(self, nodes: list[ast.expr], rows: Sequence[int]) -> list[Decimal | None]:
+        test, yes, no = nodes
+        x, y = self.there(test.left, rows), self.there(test.comparators[0], rows)
+        holds = _TESTS[type(test.ops[0])]
+        said = [None if a.is_nan() or b.is_nan() else holds(a, b) for a, b in zip(x, y)]
+        out: list[Decimal | None] = [_NAN] * len(rows)
+        for node, side in ((yes, True), (no, False)):
+            taken = [k for k, v in enumerate(said) if v is side]
+            for k, v in zip(taken, self.of(node, [rows[k] for k in taken]) if taken else ()):
+                out[k] = v
+        return out
+
+    def called(self, name: str, args: list[list[Decimal]]) -> list[Decimal]:
+        x = args[0]
+        if name in ("sqrt", "log", "exp"):
+            if name == "exp":
+                return [v.exp() if abs(v) <= MAX_EXP else _NAN for v in x]
+            return [v.sqrt() if name == "sqrt" else v.ln() for v in x]
+        if name == "abs":
+            return [abs(v) for v in x]
+        if name in ("floor", "ceil"):
+            return [v.to_integral_value(rounding=ROUND_FLOOR if name == "floor" else ROUND_CEILING) for v in x]
+        if name == "round":
+            places = args[1] if len(args) > 1 else [Decimal(0)] * len(x)
+            fine = lambda p: p.is_finite() and p == p.to_integral_value() and abs(p) <= MAX_PLACES
+            return [v.quantize(Decimal(1).scaleb(-int(p))) if fine(p) else _NAN for v, p in zip(x, places)]
+        whole = [None if any(v.is_nan() for v in t) else t for t in zip(*args)]
+        if name == "clamp":
+            return [_NAN if t is None or t[1] > t[2] else max(t[1], min(t[0], t[2])) for t in whole]
+        if name == "mean":
+            return [_NAN if t is None else sum(t, Decimal(0)) / len(t) for t in whole]
+        pick = min if name == "min" else max
+        return [_NAN if t is None else pick(t) for t in whole]
+
+
+def _shown(value: Decimal | None) -> str | None:
+    """Fixed-point text of a result within bounds."""
+    if value is None or not value.is_finite() or abs(value.adjusted()) > MAX_MAGNITUDE:
+        return None
+    text = format(value, "f")
+    if "." in text:
+        text = text.rstrip("0").rstrip(".")
+    return None if len(text) > MAX_SHOWN else "0" if text == "-0" else text
+
+
+def evaluate(text: str, columns: dict[str, Sequence[Any]], n: int) -> list[tuple[str | None, tuple[str, ...]]]:
+    """Result and the paths that were read, of ``n`` rows given as columns by path."""
+    batch = _Batch(parse(text), columns, n)
+    names: dict[int, tuple[str, ...]] = {}
+
+    def paths(bits: int) -> tuple[str, ...]:
+        if bits not in names:
+            names[bits] = tuple(p for p in sorted(columns) if bits & batch.bit[p])
+        return names[bits]
+
+    return [(_shown(v), paths(b)) for v, b in zip(batch.evaluate(), batch.read)]
+
+
+def exact(text: str, lookup: Callable[[str], Column]) -> Column:
+    """A fixed-point text of the exact result; cast it to the decimal that is wanted."""
+    return _exact(text, lookup, False)
+
+
+def exact_with_paths(text: str, lookup: Callable[[str], Column]) -> Column:
+    """``value`` as of :func:`exact`, and ``used``: the paths that a row's evaluation really read, sorted."""
+    return _exact(text, lookup, True)
+
+
+def _exact(text: str, lookup: Callable[[str], Column], with_paths: bool) -> Column:
+    names = sorted(parse(text).paths())
+    kind: T.DataType = T.StringType()
+    if with_paths:
+        kind = T.StructType([T.StructField("value", T.StringType()), T.StructField("used", T.ArrayType(T.StringType()))])
+
+    @F.arrow_udf(kind)
+    def evaluated(*arrays: pa.Array) -> pa.Array:
+        found = evaluate(text, {p: a.to_pylist() for p, a in zip(names, arrays)}, len(arrays[0]))
+        values = pa.array([v for v, _ in found], pa.string())
+        if not with_paths:
+            return values
+        return pa.StructArray.from_arrays([values, pa.array([u for _, u in found], pa.list_(pa.string()))], ["value", "used"])
+
+    # A formula without paths still needs to know its rows.
+    return evaluated(*([lookup(p) for p in names] or [F.lit(0)]))

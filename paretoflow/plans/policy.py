@@ -216,8 +216,8 @@ def check_catalog(project: Project, f: Frontier, catalog: DataFrame) -> None:
         raise PolicyError("an age limit names a source that the catalog does not have")
 
 
-def _metric(project: Project, f: Frontier, name: str, now: Column, oracles: Oracles) -> tuple[dict[str, Column], Column]:
-    """Value, lower and upper bound of a metric over a row's ``signals`` map, and, over these columns, its first failing reason."""
+def _metric(project: Project, f: Frontier, name: str, now: Column, oracles: Oracles) -> tuple[dict[str, Column], dict[str, Column], Column]:
+    """Of a metric over a row's ``signals`` map: its formula, then value, lower and upper bound, and over these its first failing reason."""
     m = project.metrics[name]
     need = replace(m.requirements, allow_unknown_age=m.requirements.allow_unknown_age or f.allow_unknown_age)
     ages = F.create_map(*[x for s, h in f.max_source_age_hours.items() for x in (F.lit(s), F.lit(float(h)))]) if f.max_source_age_hours else None
@@ -234,11 +234,12 @@ def _metric(project: Project, f: Frontier, name: str, now: Column, oracles: Orac
             return F.try_element_at("signals", F.lit(rest))["value"]
         if root == "workload":
             return F.lit(project.workload.get(rest))
-        return F.try_element_at("metadata", F.lit(rest)).try_cast("double")
+        return F.try_element_at("metadata", F.lit(rest))
 
     if m.expression is not None:
+        first = {f"_formula_{name}": formula.exact_with_paths(m.expression, lookup)}
         values = {
-            name: formula.compile_formula(m.expression, lookup).try_cast("decimal(38,12)"), f"_used_{name}": formula.used_paths(m.expression, lookup),
+            name: F.col(f"_formula_{name}")["value"].try_cast("decimal(38,12)"), f"_used_{name}": F.col(f"_formula_{name}")["used"],
             f"{name}_lower": F.lit(None).cast("decimal(38,12)"), f"{name}_upper": F.lit(None).cast("decimal(38,12)"),
         }
         # Only what the evaluation read counts; a missing branch of coalesce is read as missing.
@@ -249,7 +250,7 @@ def _metric(project: Project, f: Frontier, name: str, now: Column, oracles: Orac
         reasons += [F.when(o["evidence_tier"] == "estimated", because("formula_over_estimate")) for o in seen.values()]
         if f.robust:
             reasons.append(because("formula_without_bounds"))
-        return values, F.coalesce(*reasons)
+        return first, values, F.coalesce(*reasons)
     if m.oracle is not None:
         offering = F.struct("offering_id", "provider", "region", "capabilities")
         o = oracles.evaluate(*m.oracle.split("@"), offering, F.col("signals"), F.col("metadata"))
@@ -260,7 +261,7 @@ def _metric(project: Project, f: Frontier, name: str, now: Column, oracles: Orac
     reasons = [missing, F.when(~o["unit"].eqNullSafe(m.unit), because("unit_mismatch")), admitted(o), F.when(o["value"].isNull(), because("no_value"))]
     if f.robust:
         reasons.append(F.when(o["lower"].isNull() | o["upper"].isNull(), because("bounds_missing")))
-    return {f"{name}{end}": o[c].cast("decimal(38,12)") for end, c in (("", "value"), ("_lower", "lower"), ("_upper", "upper"))}, F.coalesce(*reasons)
+    return {}, {f"{name}{end}": o[c].cast("decimal(38,12)") for end, c in (("", "value"), ("_lower", "lower"), ("_upper", "upper"))}, F.coalesce(*reasons)
 
 
 def evaluate(project: Project, frontier_id: str, catalog: DataFrame, generated_at: str, oracles: Oracles | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -295,12 +296,12 @@ def measured(project: Project, f: Frontier, catalog: DataFrame, generated_at: st
         F.map_from_entries(F.collect_list(F.struct("signal", observation))).alias("signals"), F.any_value("metadata").alias("metadata")
     )
     names, gates = [a[0] for a in f.axes], f.gates()
-    values, reasons = {}, {}
+    first, values, reasons = {}, {}, {}
     for n in [*names, *gates]:
-        found, reasons[f"_why_{n}"] = _metric(project, f, n, now, oracles or Oracles())
-        values |= found
+        formulas, found, reasons[f"_why_{n}"] = _metric(project, f, n, now, oracles or Oracles())
+        first, values = first | formulas, values | found
     # Values first: a formula is evaluated once, however many reasons look at it.
-    rows = wide.withColumns(values).withColumns(reasons)
+    rows = wide.withColumns(first).withColumns(values).withColumns(reasons)
     why = lambda some: F.array_compact(F.array(*[F.col(f"_why_{n}") for n in some])) if some else F.array().cast("array<string>")
     eligible = admission.eligibility(F.col("provider"), F.col("region"), F.col("capabilities"), f.providers, f.regions, f.capabilities)
     point = lambda n: (F.col(n), F.col(n), F.col(n))
@@ -309,4 +310,4 @@ def measured(project: Project, f: Frontier, catalog: DataFrame, generated_at: st
     limits += [admission.gate_reason(*point(n), None, f.maximum.get(n), False, n) for n in names]
     limits += [admission.gate_reason(*bounds(n), f.minimum_gates.get(n), None, f.robust, f"gate:{n}") for n in gates]
     limits += [admission.gate_reason(*bounds(n), None, f.maximum_gates.get(n), f.robust, f"gate:{n}") for n in gates]
-    return rows.withColumn("reasons", admission.staged(eligible, why(names), why(gates), F.array_compact(F.array(*limits)))).drop(*reasons, *[f"_used_{n}" for n in names + gates])
+    return rows.withColumn("reasons", admission.staged(eligible, why(names), why(gates), F.array_compact(F.array(*limits)))).drop(*reasons, *first, *[f"_used_{n}" for n in names + gates])

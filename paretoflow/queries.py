@@ -606,29 +606,44 @@ _FORMULA = "signals.price * (1 - signals.discount) * (1 + signals.tax) / max(sig
 def formula_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = {"signals.price": "l_extendedprice", "signals.discount": "l_discount", "signals.tax": "l_tax", "signals.quantity": "l_quantity"}
     lookup = lambda p: F.lit(1.0) if p == "workload.unit" else F.col(paths[p])
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum(formula.compile_formula(_FORMULA, lookup)), 2).alias("cost"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum(formula.approximate(_FORMULA, lookup)), 2).alias("cost"))
+
+
+#: Fixed-point text of a number of at most 12 places.
+PLAIN = "rtrim(rtrim(CAST(CAST({} AS DECIMAL(38,12)) AS VARCHAR), '0'), '.')"
+_CENTS = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS HUGEINT)"
+
+
+def _digits34(numerator: str, denominator: str) -> str:
+    """SQL text of the 34 digits, half to even, of a quotient of whole numbers that is at least 1."""
+    return f"""(SELECT rtrim(rtrim(substr(CAST(q AS VARCHAR), 1, d) || '.' || substr(CAST(q AS VARCHAR), d + 1), '0'), '.') FROM (
+    SELECT d, whole + CASE WHEN 2 * rest > den OR (2 * rest = den AND whole % 2 = 1) THEN 1 ELSE 0 END AS q FROM (
+    SELECT d, den, num // den AS whole, num % den AS rest FROM (
+    SELECT length(CAST(a // b AS VARCHAR)) AS d, b AS den, a * CAST('1' || repeat('0', CAST(34 - length(CAST(a // b AS VARCHAR)) AS INT)) AS HUGEINT) AS num FROM (
+    SELECT {numerator} AS a, CAST({denominator} AS HUGEINT) AS b)))))"""
 
 
 @query(
-    """SELECT o_orderkey, round(greatest(1000.0, least(o_totalprice, 300000.0)), 4) AS clamped, round(sqrt(o_totalprice), 6) AS root,
-  CASE WHEN o_custkey % 3 = 0 THEN 1.0 ELSE o_totalprice END AS chosen, round(pow(o_custkey % 10, 3), 6) AS cubed,
-  round((o_totalprice + o_custkey + 2) / 3, 4) AS mean_of_three, round(ln(o_totalprice), 6) AS logged,
-  CASE WHEN o_custkey % 4 <> 0 THEN round(o_totalprice / (o_custkey % 4), 4) END AS divided,
-  CAST(o_custkey % 7 AS DOUBLE) AS remainder FROM orders"""
+    f"""SELECT o_orderkey, {PLAIN.format("greatest(1000, least(CAST(o_totalprice AS DECIMAL(18,2)), 300000))")} AS clamped, round(sqrt(o_totalprice), 6) AS root,
+  {PLAIN.format("CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE CAST(o_totalprice AS DECIMAL(18,2)) END")} AS chosen,
+  CAST((CAST(o_orderkey AS HUGEINT) + 9007199254740993) * (o_custkey % 10) * (o_custkey % 10) AS VARCHAR) AS large,
+  {_digits34(f"{_CENTS} + 100 * o_custkey + 200", "300")} AS mean_of_three, round(ln(o_totalprice), 6) AS logged,
+  CASE WHEN o_custkey % 4 <> 0 THEN {_digits34(_CENTS, "100 * greatest(o_custkey % 4, 1)")} END AS divided,
+  {PLAIN.format("CAST(o_totalprice AS DECIMAL(18,2)) % 7")} AS remainder FROM orders"""
 )
 def formula_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lookup = {"signals.total": F.col("o_totalprice"), "signals.customer": F.col("o_custkey"), "metadata.gap": F.lit(None)}.__getitem__
-    f = lambda t, places: F.round(formula.compile_formula(t, lookup), places)
+    paths = {"signals.total": F.col("o_totalprice").cast(MONEY), "signals.customer": F.col("o_custkey"), "signals.order": F.col("o_orderkey"), "metadata.gap": F.lit(None)}
+    f = lambda t: formula.exact(t, paths.__getitem__)
     return table(spark, sf_dir, "orders").select(
         "o_orderkey",
-        f("clamp(signals.total, 1000, 300000)", 4).alias("clamped"),
-        f("sqrt(signals.total)", 6).alias("root"),
-        f("if(signals.customer % 3 == 0, 1, coalesce(metadata.gap, signals.total))", 9).alias("chosen"),
-        f("(signals.customer % 10)^3", 6).alias("cubed"),
-        f("mean(signals.total, signals.customer, 2)", 4).alias("mean_of_three"),
-        f("log(signals.total)", 6).alias("logged"),
-        f("signals.total / (signals.customer % 4)", 4).alias("divided"),
-        f("signals.customer % 7", 0).alias("remainder"),
+        f("clamp(signals.total, 1000, 300000)").alias("clamped"),
+        F.round(f("sqrt(signals.total)").cast("double"), 6).alias("root"),
+        f("if(signals.customer % 3 == 0, 1, coalesce(metadata.gap, signals.total))").alias("chosen"),
+        f("(signals.order + 9007199254740993) * (signals.customer % 10)^2").alias("large"),
+        f("mean(signals.total, signals.customer, 2)").alias("mean_of_three"),
+        F.round(f("log(signals.total)").cast("double"), 6).alias("logged"),
+        f("signals.total / (signals.customer % 4)").alias("divided"),
+        f("signals.total % 7").alias("remainder"),
     )
 
 
