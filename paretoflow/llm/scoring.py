@@ -8,13 +8,15 @@ class its symbol; batched matrix products normalise over all classes, and over a
 class. A rarer word has its discounted share of its class's rare words, and what discounting frees
 is the probability of an unknown word, so token probabilities sum to 1.
 
-What is learnt comes from all training documents: words are counted exactly (chunks of documents
-send their distinct words to blocks, a block adds them up and answers each chunk). The network is
-trained in numpy with noise-contrastive estimation, both for classes and for symbols within them:
-every task makes a pass over its own training texts from common parameters, and the tasks'
-parameters are averaged by how often they were used, first over an eighth of the documents, then
-over all. Training grows with the corpus; small ones are gone over several times. Only the symbols'
-counts and the parameters, both bounded by ``TOP_WORDS``, reach the driver.
+Documents are dealt once into chunks of ``CHUNK_BYTES`` by a hash of their id and text, and written by chunk; how
+the input is split or how many tasks run changes neither chunks nor scores (where one row is repeated more than
+``COPIES`` times, its copies are spread by row number instead). What is learnt comes from all training documents:
+words are counted exactly (chunks send their distinct words to blocks, a block adds them up and answers each
+chunk). The network is trained in numpy with noise-contrastive estimation, both for classes and for symbols
+within them: every chunk is learnt from common parameters, and the chunks' parameters are averaged by how often
+they were used, in rounds over a 64th, three 64ths, twelve and the rest of the chunks, so that many chunks begin where
+few have led. Training grows with the corpus; small ones are gone over several times. Only the symbols' counts and the
+parameters, both bounded by ``TOP_WORDS``, reach the driver.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id hashes as an empty
 string; without training tokens every word is unknown; repeated rows count as often as they
@@ -50,6 +52,10 @@ LEAST_TOKENS = 1_500_000
 #: Words whose symbols a task remembers.
 REMEMBERED = 500_000
 CHUNK_BYTES = 6_000_000
+#: Rounds of training, by a chunk's number modulo 64: first and last.
+ROUNDS = ((0, 0), (1, 3), (4, 15), (16, 63))
+#: Copies of one row that may lie in one chunk.
+COPIES = 1000
 BLOCK_BYTES = 12_000_000
 
 
@@ -233,14 +239,37 @@ def _log_share(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 
 def _dealt(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, raw, held_out by chunk, and the number of blocks of the vocabulary."""
+    """doc_id, raw, held_out and chunk, written so that a file holds whole chunks; and the number of blocks of the vocabulary."""
     text = text_or_empty()
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    mark = F.xxhash64(F.col("doc_id").cast("string"), text)
+    seen = docs.select(mark.alias("mark"), F.octet_length(text).alias("bytes")).groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    total, most = seen.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     chunks = max(1, -(-total // CHUNK_BYTES))
-    # Rows are dealt one by one, so copies of one document spread as all others do.
-    chunk = F.pmod(F.xxhash64("doc_id", text, F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(chunks)).alias("chunk")
-    rows = docs.select("doc_id", text.cast("binary").alias("raw"), held_out().alias("held_out"), chunk)
-    return rows.repartition(chunks, "chunk"), max(1, -(-total // BLOCK_BYTES))
+    rows = docs.select("doc_id", text.cast("binary").alias("raw"), held_out().alias("held_out"), mark.alias("mark"))
+    place = F.col("mark")
+    if most > COPIES:
+        rows = rows.join(seen.filter(F.col("n") > COPIES).select("mark", "n"), "mark", "left")
+        place = F.when(F.col("n").isNotNull(), F.xxhash64("mark", F.spark_partition_id(), F.monotonically_increasing_id())).otherwise(place)
+    # The mark is used up by the chunk; its other bits order the rows of a chunk.
+    placed = rows.withColumn("chunk", F.pmod(F.xxhash64(place), F.lit(chunks)))
+    by_chunk = placed.repartition(chunks, "chunk").sortWithinPartitions("chunk", "mark")
+    return materialize(by_chunk.select("doc_id", "raw", "held_out", "chunk"), "score-dealt"), max(1, -(-total // BLOCK_BYTES))
+
+
+def _by_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The chunks of a task; the rows of each are neighbours."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        while len(b):
+            chunk = b["chunk"].iloc[0]
+            own = b[b["chunk"] == chunk]
+            if held and held[-1]["chunk"].iloc[0] != chunk:
+                yield pd.concat(held)
+                held = []
+            held.append(own)
+            b = b.iloc[len(own) :]
+    if held:
+        yield pd.concat(held)
 
 
 def vocabulary(dealt: DataFrame, blocks: int) -> DataFrame:
@@ -286,7 +315,12 @@ def vocabulary(dealt: DataFrame, blocks: int) -> DataFrame:
         rows += [(2, 0, e, b"", c, distinct[e]) for e, c in n.items()]
         return pd.DataFrame(rows, columns=["kind", "chunk", "data", "counts", "n", "distinct"])
 
-    packed = dealt.groupBy("chunk").applyInPandas(words, "block int, chunk long, data binary, counts binary")
+    def packed_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _by_chunk(batches):
+            yield words(b)
+
+    arrow_rows(dealt.sparkSession)
+    packed = dealt.mapInPandas(packed_words, "block int, chunk long, data binary, counts binary")
     return packed.groupBy("block").applyInPandas(
         added, "kind int, chunk long, data binary, counts binary, n long, distinct long"
     )
@@ -327,44 +361,53 @@ def symbols(table: DataFrame) -> Symbols:
     return Symbols(words, cuts, starts, counts, rare_total, rare_distinct, n, distinct)
 
 
-def _pass(docs: DataFrame, known: Symbols, network: Network, repeats: int) -> Network:
-    """Every task learns from its texts, beginning with ``network``; the average of their parameters by use."""
-    arrow_rows(docs.sparkSession)
-    begin, slices = network.table, 16
+def _round(chunks: DataFrame, known: Symbols, network: Network, repeats: int) -> Network:
+    """Every chunk is learnt beginning with ``network``; the average of their parameters, and of their steps' scales, by use."""
+    begin, squares, slices, groups = network.table, network.squares, 16, 64
 
     def study(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, rng, seen = Network(known, begin.copy()), np.random.default_rng(SEED), {}
-        for b in batches:
-            found = [known.cells(known.ids(tokens(t.encode("utf-8", "surrogatepass")), seen)) for t in b["text"]]
-            if found:
-                own.study(np.concatenate(found), repeats, rng)
-        if own.used.any():
+        seen: dict[bytes, int] = {}
+        total, uses, first = np.zeros((len(begin), begin.shape[1] + 1)), np.zeros(len(begin)), None
+        for b in _by_chunk(batches):
+            first = int(b["chunk"].iloc[0]) if first is None else first
+            own = Network(known, begin.copy())
+            own.squares = squares.copy()
+            cells = [known.cells(known.ids(tokens(raw), seen)) for raw in b["raw"]]
+            own.study(np.concatenate(cells), repeats, np.random.default_rng(SEED))
+            total += np.column_stack([own.table, own.squares]) * own.used[:, None].astype(np.float64)
+            uses += own.used
+        if first is not None:
             for k in range(slices):
-                used = own.used[k::slices].astype("<f8")
-                yield pd.DataFrame({"slice": [k], "used": [used.tobytes()], "data": [(own.table[k::slices] * used[:, None]).astype("<f8").tobytes()]})
+                yield pd.DataFrame({"slice": [k], "part": [first % groups], "used": [uses[k::slices].tobytes()], "data": [total[k::slices].tobytes()]})
 
     def add(b: pd.DataFrame) -> pd.DataFrame:
         used = sum(np.frombuffer(x, "<f8") for x in b["used"])
-        data = sum(np.frombuffer(x, "<f8").reshape(len(used), -1) for x in b["data"])
-        average = np.where(used[:, None] > 0, data / np.maximum(used, 1e-9)[:, None], np.nan)
-        return pd.DataFrame({"slice": [b["slice"].iloc[0]], "data": [average.astype("<f4").tobytes()]})
-
-    parts = docs.select(text_or_empty().alias("text")).mapInPandas(study, "slice int, used binary, data binary").groupBy("slice")
-    table = begin.copy()
-    for row in parts.applyInPandas(add, "slice int, data binary").collect():
-        average = np.frombuffer(row["data"], "<f4").reshape(-1, table.shape[1])
-        k = row["slice"]
-        table[k::slices] = np.where(np.isnan(average), table[k::slices], average)
-    return Network(known, table)
+        data = sum(np.frombuffer(x, "<f8") for x in b["data"])
+        return pd.DataFrame({"slice": [b["slice"].iloc[0]], "part": [0], "used": [used.tobytes()], "data": [data.tobytes()]})
+
+    kinds = "slice int, part int, used binary, data binary"
+    # Tasks' sums meet in 64 groups of each slice, and these in one.
+    sums = chunks.mapInPandas(study, kinds).groupBy("slice", "part").applyInPandas(add, kinds).groupBy("slice").applyInPandas(add, kinds)
+    out = Network(known, begin.copy())
+    out.squares = squares.copy()
+    for row in sums.collect():
+        k, used = row["slice"], np.frombuffer(row["used"], "<f8")
+        data = np.frombuffer(row["data"], "<f8").reshape(len(used), -1)
+        known_rows = used > 0
+        average = data[known_rows] / used[known_rows, None]
+        at = np.arange(k, len(begin), slices)[known_rows]
+        out.table[at], out.squares[at] = average[:, :-1], average[:, -1]
+    return out
 
 
-def trained(docs: DataFrame, known: Symbols) -> Network:
-    """The network after a pass over an eighth of the training documents and one over all of them."""
+def trained(dealt: DataFrame, known: Symbols) -> Network:
+    """The network after all rounds over the training documents."""
     repeats = int(np.clip(LEAST_TOKENS // max(1, known.train_tokens), 1, 16))
-    training = docs.filter(~held_out())
-    some = training.filter(F.pmod(F.xxhash64("doc_id", text_or_empty()), F.lit(8)) == 0)
-    first = _pass(some, known, Network(known), repeats)
-    return _pass(training, known, first, repeats)
+    arrow_rows(dealt.sparkSession)
+    network, training = Network(known), dealt.filter("NOT held_out").select("chunk", "raw")
+    for first, last in ROUNDS:
+        network = _round(training.filter((F.col("chunk") % 64).between(first, last)), known, network, repeats)
+    return network
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -372,7 +415,7 @@ def score(docs: DataFrame) -> DataFrame:
     dealt, blocks = _dealt(docs)
     table = materialize(vocabulary(dealt, blocks), "score-vocabulary")
     known = symbols(table)
-    learnt = trained(docs, known).table
+    learnt = trained(dealt, known).table
     kind = dict(docs.dtypes)["doc_id"]
     base_total = known.train_tokens + known.train_distinct + 1
 

@@ -277,3 +277,46 @@ def test_scores_beat_the_base_on_held_out_text(spark):
     data = [(k, " ".join(rng.choice((a, b)[k % 2], 120))) for k in range(300)]
     found = scoring.score(spark.createDataFrame(data, "doc_id long, text string")).filter("held_out").collect()
     assert len(found) > 20 and sum(r["score"] - r["base_score"] for r in found) > 0.1 * sum(r["n_tokens"] for r in found)
+
+
+def test_scores_do_not_depend_on_splits(spark, monkeypatch):
+    """Many chunks; other splits, other tasks, other order: the same scores."""
+    monkeypatch.setattr(scoring, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 20000)
+    data = [(k, prose(300 + k, 40 + k % 50)) for k in range(240)] + [(7, prose(307, 47))] * 3
+    found = []
+    for parts, shuffles, size in ((1, "3", "64k"), (11, "7", "128m")):
+        monkeypatch.setattr(scoring, "COPIES", 2 if parts == 1 else 1000)
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        df = spark.createDataFrame(data[::-1] if parts > 1 else data, "doc_id long, text string").repartition(parts)
+        found.append(sorted((r["doc_id"], r["score"], r["base_score"], r["n_known"]) for r in scoring.score(df).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(found[0]) == 243 and [x[0] for x in found[0]] == [x[0] for x in found[1]]
+    once = [[x for x in f if x[0] != 7] for f in found]
+    assert [x[3] for x in once[0]] == [x[3] for x in once[1]] and [x[2] for x in once[0]] == pytest.approx([x[2] for x in once[1]])
+    # Only where the copies of the repeated row lie differs.
+    assert np.abs(np.array([x[1] for x in once[0]]) - np.array([x[1] for x in once[1]])).max() < 0.06 * max(abs(x[1]) for x in once[0])
+
+
+def test_equal_deals_give_equal_scores(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "CHUNK_BYTES", 3000)
+    data = [(k, prose(300 + k, 40 + k % 50)) for k in range(160)]
+    found = []
+    for parts, shuffles in ((2, "2"), (9, "5")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        df = spark.createDataFrame(data, "doc_id long, text string").repartition(parts)
+        found.append([r["score"] for r in scoring.score(df).orderBy("doc_id").collect()])
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == pytest.approx(found[1], abs=1e-6)
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, " \n" * 500_000 + "end", "a <|endoftext|> b"])
+def test_training_order_of_long_white_space_and_added_tokens(spark, text):
+    encode = tokens.encoder(tokens.vocabulary_path())
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = training_order.sequences(df).orderBy("part").collect()
+    ids = np.concatenate([np.frombuffer(r["ids"], "<u2") for r in rows])
+    want = [*encode(text), training_order.END_ID]
+    assert rows[0]["doc_tokens"] == len(want) and ids[: len(want)].tolist() == want and not ids[len(want) :].any()
