@@ -2,20 +2,36 @@
 
 A candidate table has an id, an optional list of partition columns, and for each axis a value and,
 for robust mode, lower and upper bounds. All results end in a total order by id.
+
+Membership and distance look at no pairs. Whether a point is beaten depends only on the least second value among
+points up to some first value, so both come from running minima, and these from :func:`least_up_to`: values are
+cut into ranges at quantiles, a range keeps its own running minimum, and each range carries one number
+to the later ones. No task holds more than a range of a group, even where nothing dominates anything. Tolerances
+keep that form: "no worse within a relative tolerance of the larger of two" is "a function of one point is at most a
+function of the other", twice.
+
+Lists of dominators are pairs by nature; a grid of quantiles with the best corner of each cell sees to it that
+only cells that can dominate a point meet it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.written import release, written
 
-#: A frontier's points are judged in so many shares before they meet.
-SHARES = 64
+#: Ranges of values at most, and cells of a grid's axis.
+RANGES, CELLS = 1024, 16
+#: So few pairs are looked at one by one: that is one job instead of several rounds, with the same result.
+FEW_PAIRS = 4_000_000
+#: How two ends that are equal as fractions may differ as doubles.
+CLOSE = 1e-14
 
 
 @dataclass(frozen=True)
@@ -67,82 +83,173 @@ def dominates(a: str, b: str, axes: Sequence[Axis], robust: bool = False) -> Col
     return reduce(lambda x, y: x & y, [p[0] for p in pairs]) & reduce(lambda x, y: x | y, [p[1] for p in pairs])
 
 
+def _same(a: str, b: str, columns: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns], F.lit(True))
+
+
+def _coordinate(axis: Axis, pessimistic: bool, robust: bool) -> Column:
+    """A point's value on an axis, turned so that less is better; in robust mode its worst or best bound."""
+    column = axis.value
+    if robust:
+        column = axis.upper if (axis.goal == "min") == pessimistic else axis.lower
+    value = F.col(f"`{column}`")
+    return value if axis.goal == "min" else -value
+
+
+def _range(value: Column, cuts: Column) -> Column:
+    """How many of the sorted ``cuts`` are at most ``value``: every 32nd cut first, then 32 of them."""
+    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(32), F.greatest(F.size(cuts), F.lit(32)), F.lit(32)), lambda k: F.get(cuts, k - 1)), lambda c: c <= value))
+    fine = lambda k: k * 32 + F.size(F.filter(F.slice(cuts, k * 32 + 1, F.lit(32)), lambda c: c <= value))
+    return F.transform(F.array(coarse), fine)[0]
+
+
+def ranged(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
+    """``_range``: the number of the range of ``column`` that a row lies in, of up to ``n`` cut at quantiles.
+
+    By default there are as many as the session has shuffle partitions.
+    """
+    n = n or min(RANGES, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    value = F.col(f"`{column}`").cast("double")
+    # One row of at most ``n`` numbers.
+    cuts = df.agg(F.percentile_approx(value, F.lit([k / n for k in range(1, n)]), 20 * n).alias("_cuts"))
+    distinct = cuts.select(F.coalesce(F.array_distinct("_cuts"), F.array().cast("array<double>")).alias("_cuts"))
+    return df.crossJoin(F.broadcast(distinct)).withColumn("_range", F.coalesce(_range(value, F.col("_cuts")), F.lit(-1))).drop("_cuts")
+
+
+def least_up_to(points: DataFrame, queries: DataFrame, by: Sequence[str]) -> DataFrame:
+    """For each distinct ``_v`` of the queries, the least ``_y`` of its group's points: ``_below`` of those with a smaller ``_v``, ``_upto`` with an equal one too.
+
+    Both tables hold the columns ``by`` and ``_v``. Values of many points are one row before anything is sorted.
+    """
+    kind = points.schema["_y"].dataType
+    both = points.select(*by, "_v", "_y", F.lit(False).alias("_asked")).unionByName(
+        queries.select(*by, "_v", F.lit(None).cast(kind).alias("_y"), F.lit(True).alias("_asked"))
+    )
+    values = ranged(both.groupBy(*by, "_v").agg(F.min("_y").alias("_y"), F.max("_asked").alias("_asked")), "_v")
+    inside = Window.partitionBy(*by, "_range").orderBy("_v")
+    least = lambda end: F.min("_y").over(inside.rowsBetween(Window.unboundedPreceding, end))
+    # One row for each range of a group.
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = values.groupBy(*by, "_range").agg(F.min("_y").alias("_y")).withColumn("_carried", F.min("_y").over(earlier)).drop("_y")
+    own = values.withColumns({"_below": least(-1), "_upto": least(0)}).filter("_asked")
+    met = own.alias("v").join(carried.alias("c"), _same("v", "c", [*by, "_range"]), "left")
+    ends = [F.least(f"v.{c}", "c._carried").alias(c) for c in ("_below", "_upto")]
+    return met.select(*[F.col(f"v.{c}").alias(c) for c in by], F.col("v._v").alias("_v"), *ends)
+
+
+def _asked(rows: DataFrame, points: DataFrame, by: Sequence[str], lookups: Sequence[tuple[str, dict[str, tuple[str, str]]]]) -> DataFrame:
+    """``rows`` with what :func:`least_up_to` finds.
+
+    A lookup is the points' key and, by name of the new column, the rows' threshold and ``_below`` or ``_upto``.
+    """
+    out = rows
+    for key, wanted in lookups:
+        thresholds = list(dict.fromkeys(t for t, _ in wanted.values()))
+        queries = reduce(DataFrame.unionByName, [rows.select(*by, F.col(t).alias("_v")) for t in thresholds])
+        found = least_up_to(points.select(*by, F.col(key).alias("_v"), "_y"), queries, by)
+        for name, (threshold, end) in wanted.items():
+            same = _same("r", "f", by) & (F.col(f"r.{threshold}") == F.col("f._v"))
+            out = out.alias("r").join(found.alias("f"), same, "left").select("r.*", F.col(f"f.{end}").alias(name))
+    return out
+
+
 def dominated_by(df: DataFrame, key: str, axes: Sequence[Axis], robust: bool = False, within: Sequence[str] = ()) -> DataFrame:
     """Every candidate with the sorted list of those that dominate it.
 
-    The list is inherently pairwise; only id and axes enter the join. Membership alone is
-    :func:`members`, which needs no pairs where tolerances are zero.
+    The lists are pairs, and so is the work: of the points of the cells whose best corner is good enough. Membership
+    alone is :func:`members`, which needs no pairs.
     """
-    needed = dict.fromkeys([key, *within, *(c for x in axes for c in (x.value, x.lower, x.upper) if c)])
-    narrow = df.select(*needed)
-    a, b = narrow.alias("a"), narrow.alias("b")
-    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in within], F.lit(True))
-    met = b.join(a, same & (F.col(f"a.{key}") != F.col(f"b.{key}")) & dominates("a", "b", axes, robust), "left")
-    lists = met.groupBy(F.col(f"b.{key}").alias(key)).agg(
-        F.array_sort(F.collect_list(F.col(f"a.{key}"))).alias("dominated_by")
-    )
-    return df.join(lists, key)
+    met = dominating_pairs(df, key, axes, robust, within)
+    lists = met.groupBy(F.col("_target").alias(key)).agg(F.array_sort(F.collect_list("_dominator")).alias("dominated_by"))
+    none = F.array().cast(T.ArrayType(df.schema[key].dataType))
+    return df.join(lists, key, "left").withColumn("dominated_by", F.coalesce("dominated_by", none))
 
 
-def _smaller(value: Column, goal: str) -> Column:
-    return value if goal == "min" else -value
+def dominating_pairs(df: DataFrame, key: str, axes: Sequence[Axis], robust: bool = False, within: Sequence[str] = ()) -> DataFrame:
+    """(_target, _dominator) of all pairs, by way of :func:`candidate_pairs`."""
+    met = candidate_pairs(df, key, axes, robust, within)
+    return met.filter(dominates("a", "b", axes, robust)).select(F.col(f"b.{key}").alias("_target"), F.col(f"a.{key}").alias("_dominator"))
 
 
-def members(df: DataFrame, key: str, axes: Sequence[Axis], robust: bool = False, within: Sequence[str] = ()) -> DataFrame:
-    """The candidates that nothing dominates.
+def candidate_pairs(df: DataFrame, key: str, axes: Sequence[Axis], robust: bool = False, within: Sequence[str] = ()) -> DataFrame:
+    """Pairs of rows ``a`` and ``b`` that meet: those of b with all of a's cell, if the cell's best corner is no worse than b."""
+    within = list(within)
+    needed = dict.fromkeys([key, *within, *(c for x in axes for c in (x.value, x.lower, x.upper) if c)])
+    narrow = df.select(*needed)
+    cells, names = narrow, []
+    for k, x in enumerate(axes):
+        spot = f"_spot{k}"
+        cells = ranged(cells.withColumn(spot, _coordinate(x, True, robust)), spot, CELLS).withColumnRenamed("_range", f"_cell{k}")
+        names.append(f"_cell{k}")
+    cell = F.struct(*names).alias("_cell")
+    a = cells.select(*needed, cell)
+    corners = cells.groupBy(*within, cell).agg(*[F.min(f"_spot{k}").alias(f"_best{k}") for k in range(len(axes))])
+    b = narrow.withColumns({f"_spot{k}": _coordinate(x, False, robust) for k, x in enumerate(axes)})
+    good = [relation(F.col(f"c._best{k}"), F.col(f"b._spot{k}"), replace(x, goal="min")) for k, x in enumerate(axes)]
+    near = reduce(lambda x, y: x & y, [g[0] for g in good]) & reduce(lambda x, y: x | y, [g[1] for g in good])
+    if any(float(x.epsilon_relative) >= 1 for x in axes):
+        near = F.lit(True)  # a tolerance beyond the value itself: a better corner need not be better
+    # CELLS cells to an axis: without groups a bound that is broadcast.
+    corners = corners if within else F.broadcast(corners)
+    asked = b.alias("b").join(corners.alias("c"), _same("b", "c", within) & near).select(*[F.col(f"b.{c}") for c in needed], F.col("c._cell"))
+    same = (F.col("a._cell") == F.col("b._cell")) & _same("a", "b", within) & (F.col(f"a.{key}") != F.col(f"b.{key}"))
+    return asked.alias("b").join(a.alias("a"), same)
 
-    Zero tolerance: a window over distinct first-axis values, best second value so far, so no pairs
-    are formed. With a tolerance, dominance is not transitive and every pair counts: an anti join.
-    """
-    if not all(x.exact for x in axes):
-        a, b = df.alias("a"), df.alias("b")
-        same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in within], F.lit(True))
-        return b.join(a, same & (F.col(f"a.{key}") != F.col(f"b.{key}")) & dominates("a", "b", axes, robust), "left_anti")
+
+def members(df: DataFrame, key: str, axes: Sequence[Axis], robust: bool = False, within: Sequence[str] = ()) -> DataFrame:
+    """The candidates that nothing dominates; no pairs are formed unless a relative tolerance is 1 or more."""
+    within = list(within)
+    if any(float(x.epsilon_relative) >= 1 for x in axes):
+        beaten = dominating_pairs(df, key, axes, robust, within).select(F.col("_target").alias(key)).distinct()
+        return df.join(beaten, key, "left_anti")
     x, y = axes
+    kind = "double" if isinstance(df.schema[x.value].dataType, (T.DoubleType, T.FloatType)) else "decimal(38,12)"
+    allowed, share = F.lit(x.epsilon_absolute).cast("decimal(18,9)"), F.lit(x.epsilon_relative).cast("decimal(9,6)")
+    part = lambda c: share * F.abs(c)
     # Dominators stand at their pessimistic corner, targets at their optimistic one.
-    corners = df.select(
-        *within,
-        _smaller(F.col(x.upper if x.goal == "min" else x.lower) if robust else F.col(x.value), x.goal).alias("_x"),
-        _smaller(F.col(y.upper if y.goal == "min" else y.lower) if robust else F.col(y.value), y.goal).alias("_y"),
-    )
-    tx = _smaller(F.col(x.lower if x.goal == "min" else x.upper) if robust else F.col(x.value), x.goal)
-    ty = _smaller(F.col(y.lower if y.goal == "min" else y.upper) if robust else F.col(y.value), y.goal)
-    # First every share of the points on its own, in parallel; what is left meets in one window.
-    share = F.pmod(F.xxhash64("_x", "_y"), F.lit(SHARES)).alias("_share")
-    targets = df.select(*within, tx.alias("_x"), ty.alias("_y")).distinct()
-    local = staircase(corners.select("*", share), [*within, "_share"])
-    left = unbeaten(local, targets.select("*", share), [*within, "_share"])
-    good = unbeaten(staircase(local.drop("_share"), list(within)), left.drop("_share"), list(within))
-    named = df.withColumn("_x", tx).withColumn("_y", ty)
-    return named.join(good, [*within, "_x", "_y"], "left_semi").drop("_x", "_y")
-
-
-def staircase(points: DataFrame, by: list[str]) -> DataFrame:
-    """Points at which the least second value improves as the first grows."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    best = points.groupBy(*by, "_x").agg(F.min("_y").alias("_y"))
-    before = F.min("_y").over(w.orderBy("_x").rowsBetween(Window.unboundedPreceding, -1))
-    return best.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_y") < F.col("_before"))).drop("_before")
-
-
-def unbeaten(steps: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
-    """Targets that no step dominates."""
-    both = steps.withColumn("_target", F.lit(0)).unionByName(targets.withColumn("_target", F.lit(1)))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    step = F.when(F.col("_target") == 0, F.col("_y"))
-    # Targets come before the step of their own first value, so the frame holds smaller ones only.
-    below = F.min(step).over(w.orderBy("_x", F.col("_target").desc()).rowsBetween(Window.unboundedPreceding, -1))
-    at = F.min(step).over(Window.partitionBy(*by, "_x"))
-    judged = both.withColumn("_below", below).withColumn("_at", at).filter("_target = 1")
-    beaten = F.coalesce(F.col("_below") <= F.col("_y"), F.lit(False)) | F.coalesce(F.col("_at") < F.col("_y"), F.lit(False))
-    return judged.filter(~beaten).drop("_below", "_at", "_target")
+    px, py, tx, ty = (_coordinate(a, worst, robust) for worst in (True, False) for a in (x, y))
+    points, least = df.select(*within, px.alias("_x"), py.alias("_y")), replace(y, goal="min")
+
+    def unbeaten(rows: DataFrame) -> DataFrame:
+        worse = F.coalesce(relation(F.col("_better"), F.col("_ty"), least)[0], F.lit(False))
+        return rows.filter(~(worse | F.coalesce(relation(F.col("_equal"), F.col("_ty"), least)[1], F.lit(False))))
+
+    if x.exact:
+        points = points.select(*within, F.col("_x").cast(kind).alias("_v"), "_y")
+        rows = df.withColumns({"_reach": tx.cast(kind), "_ty": ty})
+        found = least_up_to(points, rows.select(*within, F.col("_reach").alias("_v")), within)
+        same = _same("r", "f", within) & (F.col("r._reach") == F.col("f._v"))
+        met = rows.alias("r").join(found.alias("f"), same, "left").select("r.*", F.col("f._below").alias("_better"), F.col("f._upto").alias("_equal"))
+        return unbeaten(met).select(*[F.col(f"`{c}`") for c in df.columns])
+    # Better: x + r|x| of one below x - t of the other, and x below x - r|x| - t. No worse: x - r|x| up to x + t, or x up to x + r|x| + t.
+    at = F.col("_x")
+    targets = df.select(*within, tx.alias("_x"), ty.alias("_ty")).distinct()
+    points = points.select(*within, "_y", *[c.cast(kind).alias(n) for n, c in {"_at": at, "_up": at + part(at), "_down": at - part(at)}.items()])
+    rows = targets.select(
+        *within, "_x", "_ty",
+        *[c.cast(kind).alias(n) for n, c in {"_b1": at - allowed, "_b2": at - part(at) - allowed, "_e1": at + allowed, "_e2": at + part(at) + allowed}.items()],
+    )
+    lookups = [
+        ("_up", {"_better1": ("_b1", "_below")}), ("_at", {"_better2": ("_b2", "_below"), "_equal2": ("_e2", "_upto")}), ("_down", {"_equal1": ("_e1", "_upto")}),
+    ]
+    rows = _asked(rows, points, within, lookups)
+    both = F.col("_better1").isNotNull() & F.col("_better2").isNotNull()
+    rows = rows.withColumn("_better", F.when(both, F.greatest("_better1", "_better2"))).withColumn("_equal", F.least("_equal1", "_equal2"))
+    good = unbeaten(rows).select(*within, "_x", "_ty")
+    named = df.withColumn("_x", tx).withColumn("_ty", ty).alias("d")
+    return named.join(good.alias("g"), _same("d", "g", [*within, "_x", "_ty"]), "left_semi").drop("_x", "_ty")
 
 
 def ranked(df: DataFrame, key: str, order: Sequence[Axis], within: Sequence[str] = ()) -> DataFrame:
-    """Members with their place: axes in order of preference, then id."""
-    w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    """Members with their place: axes in order of preference, then id. Ranges are ranked apart, after counts of those before."""
     keys = [F.col(x.value).asc() if x.goal == "min" else F.col(x.value).desc() for x in order]
-    return df.withColumn("rank", F.row_number().over(w.orderBy(*keys, F.col(key).asc())))
+    within, names = list(within), df.columns
+    rows = ranged(df.withColumn("_v", _coordinate(order[0], True, False)), "_v")
+    inside = Window.partitionBy(*within, "_range").orderBy(*keys, F.col(key).asc())
+    earlier = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*within, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    numbered = rows.withColumn("_place", F.row_number().over(inside)).alias("r").join(before.alias("e"), _same("r", "e", [*within, "_range"]))
+    return numbered.select(*[F.col(f"r.`{c}`") for c in names], (F.col("r._place") + F.col("e._before")).cast("int").alias("rank"))
 
 
 def select_top(df: DataFrame, key: str, order: Sequence[Axis], count: int, provider: str | None = None, max_per_provider: int | None = None) -> DataFrame:
@@ -156,6 +263,17 @@ def select_top(df: DataFrame, key: str, order: Sequence[Axis], count: int, provi
     return top.withColumn("place", F.row_number().over(Window.orderBy(*keys, F.col(key).asc())))
 
 
+def _gaps(axes: Sequence[Axis], left: Sequence[Column], right: Sequence[Column]) -> tuple[list[Column], list[Column]]:
+    """Relative shortfall and advantage of points ``left`` against ``right`` on each axis, less the absolute tolerance; less is better."""
+    behind, ahead = [], []
+    for x, a, b in zip(axes, left, right):
+        scale, allowed = F.greatest(F.abs(a), F.abs(b)).cast("double"), F.lit(x.epsilon_absolute).cast("decimal(18,9)")
+        part = lambda gap: F.when(scale > 0, gap.cast("double") / scale).otherwise(0.0)  # noqa: B023, E731
+        behind.append(part(a - b - allowed))
+        ahead.append(part(b - a - allowed))
+    return behind, ahead
+
+
 def proximity(df: DataFrame, key: str, axes: Sequence[Axis], robust: bool = False) -> DataFrame:
     """Smallest relative tolerance at which each candidate stops being dominated (0 if none dominates at 0).
 
@@ -163,25 +281,67 @@ def proximity(df: DataFrame, key: str, axes: Sequence[Axis], robust: bool = Fals
     its largest relative shortfall, once it counts as no worse on all axes, up to its largest
     relative advantage, when it is strictly better on none; both less the absolute tolerance, and on
     robust bounds where asked. The intervals connected to 0 are followed to the first gap. An axis'
-    own relative tolerance plays no part. Pairs are inherent; only the id and bounds of each enter the sweep.
+    own relative tolerance plays no part.
+
+    Following them needs no pairs: the points that have entered at some tolerance are those up to a first and a
+    second value, the best of them on one axis exits last, and it is a running minimum. So the tolerance of all
+    candidates grows in rounds, until none grows; a candidate of which values have both signs may pass 1, where
+    relative gaps are not monotone, and is then followed through its pairs.
     """
-    narrow = df.select(key, *dict.fromkeys(c for x in axes for c in (x.value, x.lower, x.upper) if c))
-    a, b = narrow.alias("a"), narrow.alias("b")
-    enters, exits = [F.lit(0.0)], [F.lit(0.0)]
-    for x in axes:
-        left, right = x.bound("a", "a", True, robust), x.bound("b", "b", False, robust)
-        scale = F.greatest(F.abs(left), F.abs(right)).cast("double")
-        advantage, allowed = right - left if x.goal == "min" else left - right, F.lit(x.epsilon_absolute).cast("decimal(18,9)")
-        for found, gap in ((enters, -advantage - allowed), (exits, advantage - allowed)):
-            found.append(F.when(scale > 0, gap.cast("double") / scale).otherwise(0.0))
-    enter, leave = F.greatest(*enters), F.greatest(*exits)
-    pairs = b.join(a, (F.col(f"a.{key}") != F.col(f"b.{key}")) & (enter < leave)).select(
-        F.col(f"b.{key}").alias(key), enter.alias("_enter"), leave.alias("_exit")
-    )
-    before = Window.partitionBy(key).orderBy("_enter").rowsBetween(Window.unboundedPreceding, -1)
+    x, y = axes
+    px, py, tx, ty = (_coordinate(a, worst, robust) for worst in (True, False) for a in (x, y))
+    usable = F.lit(True)
+    for c in (px, py, tx, ty):
+        usable = usable & c.isNotNull()
+    points = written(df.filter(usable).select(px.alias("_px"), py.alias("_py")).distinct(), "proximity-points")
+    targets = df.filter(usable).select(tx.alias("_tx"), ty.alias("_ty")).distinct().withColumns({"_eps": F.lit(0.0), "_open": F.lit(True)})
+    now, n = written(targets, "proximity"), points.count()
+    # What passed 1 is followed pair by pair, and so are the last few.
+    while (left := now.filter("_open AND _eps < 1").count()) * n > FEW_PAIRS:
+        grown = _grown(now.filter("_open AND _eps < 1"), points, axes)
+        then = written(now.filter("NOT _open OR _eps >= 1").unionByName(grown), "proximity")
+        release(now)
+        now = then
+    found = now
+    if left or now.filter("_open").limit(1).count():
+        found = now.filter("NOT _open").unionByName(_followed(now.filter("_open"), points, axes))
+    named = df.withColumn("_tx", tx).withColumn("_ty", ty)
+    return named.join(found.select("_tx", "_ty", F.col("_eps").alias("epsilon")), ["_tx", "_ty"], "left").withColumn("epsilon", F.coalesce("epsilon", F.lit(0.0))).drop("_tx", "_ty")
+
+
+def _grown(rows: DataFrame, points: DataFrame, axes: Sequence[Axis]) -> DataFrame:
+    """One round: the last exit of the points that have entered at ``_eps``; rows that do not grow are closed."""
+    for name, axis in zip(("x", "y"), axes):
+        at, allowed, eps = F.col(f"_t{name}").cast("double"), F.lit(axis.epsilon_absolute).cast("double"), F.col("_eps")
+        # Up to here a point is no worse: the larger of the two values is its own, or the row's.
+        edge = at + allowed
+        own = F.when(edge >= 0, edge / (1 - eps)).otherwise(edge / (1 + eps))
+        reach = F.greatest(own, edge + eps * F.abs(at))
+        rows = rows.withColumn(f"_r{name}", reach + F.abs(reach) * CLOSE)
+    # The best on one axis of those that have entered on the other.
+    base = rows
+    for name, other in (("x", "y"), ("y", "x")):
+        side = points.select(F.col(f"_p{other}").cast("double").alias("_v"), F.col(f"_p{name}").alias("_y"))
+        found = least_up_to(side, base.select(F.col(f"_r{other}").alias("_v")), [])
+        rows = rows.alias("r").join(found.alias("f"), F.col(f"r._r{other}") == F.col("f._v"), "left").select("r.*", F.col("f._upto").alias(f"_best{name}"))
+    exits = []
+    for name, axis in zip(("x", "y"), axes):
+        best = F.col(f"_best{name}")
+        gap = _gaps([axis], [best], [F.col(f"_t{name}")])[1][0]
+        exits.append(F.when(best.isNotNull() & (best.cast("double") <= F.col(f"_r{name}")), gap))
+    last = F.coalesce(F.greatest(*exits), F.lit(0.0))
+    more = last > F.col("_eps") + CLOSE
+    return rows.select("_tx", "_ty", F.when(more, last).otherwise(F.greatest(F.col("_eps"), F.when(last > F.col("_eps"), last))).alias("_eps"), more.alias("_open"))
+
+
+def _followed(rows: DataFrame, points: DataFrame, axes: Sequence[Axis]) -> DataFrame:
+    """The end of the intervals that are connected to 0, by all pairs of ``rows`` and points."""
+    behind, ahead = _gaps(axes, (F.col("_px"), F.col("_py")), (F.col("_tx"), F.col("_ty")))
+    enter, leave = F.greatest(F.lit(0.0), *behind), F.greatest(F.lit(0.0), *ahead)
+    pairs = rows.select("_tx", "_ty").join(points, enter < leave, "left").select("_tx", "_ty", enter.alias("_enter"), leave.alias("_exit"))
+    before = Window.partitionBy("_tx", "_ty").orderBy("_enter").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("_exit").over(before), F.lit(0.0))
-    # Ends that are equal as fractions may differ in the last bits.
-    gap = F.when(F.col("_enter") - reached > 1e-14, F.col("_enter"))
-    swept = pairs.withColumn("_gap", gap).withColumn("_gap", F.min("_gap").over(Window.partitionBy(key)))
-    worst = swept.filter(F.col("_gap").isNull() | (F.col("_enter") < F.col("_gap"))).groupBy(key).agg(F.max("_exit").alias("epsilon"))
-    return df.join(worst, key, "left").withColumn("epsilon", F.coalesce("epsilon", F.lit(0.0)))
+    swept = pairs.withColumn("_gap", F.when(F.col("_enter") - reached > CLOSE, F.col("_enter")))
+    swept = swept.withColumn("_gap", F.min("_gap").over(Window.partitionBy("_tx", "_ty")))
+    last = F.max(F.when(F.col("_gap").isNull() | (F.col("_enter") < F.col("_gap")), F.col("_exit")))
+    return swept.groupBy("_tx", "_ty").agg(F.coalesce(last, F.lit(0.0)).alias("_eps")).withColumn("_open", F.lit(False))
