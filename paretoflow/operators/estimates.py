@@ -50,7 +50,7 @@ def bootstrap(strata: DataFrame, keys: Sequence[str], sums: Sequence[str], unit:
     # Fixed value: the distribution function of Poisson(1) up to 7.
     upto = (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759, 0.999989751)
     each = strata.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", unit), F.lit(1 << 30)).cast("double")) / float(1 << 30)
+    u = draw(F.lit(1 << 30), F.lit(seed), F.col("draw"), F.col(unit)).cast("double") / float(1 << 30)
     times = sum((F.when(u >= p, 1).otherwise(0) for p in upto), F.lit(0))
     return each.withColumn("_t", times).groupBy(*keys, "draw").agg(*[F.sum(F.col(s) * F.col("_t")).alias(s) for s in sums])
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canonical, formula
+from ..functions.written import written
 from ..operators import admission, frontier
 from ..operators.oracles import Oracles
 
@@ -279,7 +280,9 @@ def evaluate(project: Project, frontier_id: str, catalog: DataFrame, generated_a
     judged = measured(project, f, catalog, generated_at, oracles)
     kept = [c for n in names for c in (n, f"{n}_lower", f"{n}_upper")]
     shown = F.map_filter("metadata", lambda k, _: k.isin(list(f.metadata_fields))).alias("metadata")
-    accepted, rejected = admission.split(judged.select("offering_id", "provider", *kept, shown, "reasons"))
+    # The inventory is written once: members, dominators and rejected ones all read it.
+    inventory = written(judged.select("offering_id", "provider", *kept, shown, "reasons"), "policy-inventory")
+    accepted, rejected = admission.split(inventory)
     axes = [frontier.Axis(n, goal, absolute, relative, f"{n}_lower", f"{n}_upper") for n, goal, absolute, relative in f.axes]
     order = sorted(axes, key=lambda a: a.value != (f.order_by or names[0]))
     evaluated = frontier.dominated_by(accepted, "offering_id", axes, f.robust)

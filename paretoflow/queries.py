@@ -571,11 +571,6 @@ def conditional_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimates.conditional_ratios(rows, ["lang"], {"clean_of_good": (~toxic, good), "long_of_toxic": (F.col("n_chars") > 1000, toxic)})
 
 
-@query("SELECT source, sum(n_chars % 17) AS errors, CAST(sum(n_chars) AS BIGINT) AS words, round(CAST(sum(n_chars % 17) AS DOUBLE) / nullif(CAST(sum(n_chars) AS DOUBLE), 0), 6) AS rate FROM documents GROUP BY source")
-def corpus_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return estimates.corpus_error_rate(table(spark, sf_dir, "documents"), ["source"], F.col("n_chars") % 17, F.col("n_chars"))
-
-
 @query(
     """WITH p AS (SELECT user_id, event_type <> 'error' AND value > 10 AS on_, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
 g AS (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS k FROM p WHERE on_)
@@ -586,12 +581,20 @@ def pause_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimates.islands(events, ["user_id"], ["ts", "event_id"], (F.col("event_type") != "error") & (F.col("value") > 10))
 
 
-@query()
+_POISSON = (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759, 0.999989751)
+
+
+@query(
+    f"""WITH u AS (SELECT toxic, quality, d.draw, (CAST('0x' || substr(md5('7:' || d.draw || ':' || doc_id), 1, 8) AS BIGINT) % {1 << 30}) / {1 << 30}.0 AS u FROM labels, range(200) d(draw)),
+t AS (SELECT toxic, draw, quality, {' + '.join(f'CASE WHEN u >= {p} THEN 1 ELSE 0 END' for p in _POISSON)} AS times FROM u),
+s AS (SELECT toxic, draw, CAST(sum(quality * times) AS DOUBLE) / nullif(sum(times), 0) AS rate FROM t GROUP BY ALL)
+SELECT toxic, round(quantile_cont(rate, 0.025), 9) AS low, round(quantile_cont(rate, 0.975), 9) AS high, count(*) AS draws FROM s GROUP BY toxic"""
+)
 def bootstrap_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").withColumn("one", F.lit(1))
     found = estimates.bootstrap(rows, ["toxic"], ["quality", "one"], "doc_id", draws=200, seed=7)
     rate = F.try_divide(F.col("quality").cast("double"), F.col("one").cast("double"))
-    return found.groupBy("toxic").agg(F.percentile(rate, 0.025).alias("low"), F.percentile(rate, 0.975).alias("high"), F.count(F.lit(1)).alias("draws"))
+    return found.groupBy("toxic").agg(F.round(F.percentile(rate, 0.025), 9).alias("low"), F.round(F.percentile(rate, 0.975), 9).alias("high"), F.count(F.lit(1)).alias("draws"))
 
 
 # Formulas and functions
@@ -648,10 +651,10 @@ def formula_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH b AS (SELECT o_custkey % 500 AS k, CASE WHEN o_orderstatus = 'P' THEN 'unknown' WHEN o_custkey % 5 = 0 THEN 'included' WHEN o_custkey % 5 = 1 AND o_orderpriority LIKE '1%' THEN 'estimated'
+    """WITH b AS (SELECT o_orderkey // 2 AS k, CASE WHEN o_orderstatus = 'P' THEN 'unknown' WHEN o_custkey % 5 = 0 THEN 'included' WHEN o_custkey % 5 = 1 AND o_orderpriority LIKE '1%' THEN 'estimated'
     WHEN o_custkey % 5 = 2 AND o_orderpriority LIKE '2%' THEN 'included' ELSE 'provider_reported' END AS basis, o_custkey % 7 <> 0 AS priced FROM orders),
 g AS (SELECT k, list_sort(list(DISTINCT basis)) AS seen, bool_and(priced) AS priced FROM b GROUP BY k)
-SELECT k AS o_custkey, CASE WHEN list_contains(seen, 'unknown') OR NOT priced THEN 'unknown' WHEN seen = ['included'] THEN 'included' WHEN seen = ['provider_reported'] THEN 'provider_reported'
+SELECT k AS pair, CASE WHEN list_contains(seen, 'unknown') OR NOT priced THEN 'unknown' WHEN seen = ['included'] THEN 'included' WHEN seen = ['provider_reported'] THEN 'provider_reported'
   WHEN NOT list_contains(seen, 'included') THEN 'estimated' ELSE 'unknown' END AS basis FROM g"""
 )
 def cost_basis_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -661,7 +664,7 @@ def cost_basis_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((k % 5 == 2) & p.startswith("2"), "included").otherwise("provider_reported")
     )
     amount = F.when(k % 7 != 0, F.col("o_totalprice"))
-    return table(spark, sf_dir, "orders").groupBy((k % 500).alias("o_custkey")).agg(catalogs.combined_basis(basis, amount).alias("basis"))
+    return table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 2).cast("long").alias("pair")).agg(catalogs.combined_basis(basis, amount).alias("basis"))
 
 
 @query(
