@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import ranged, same
+
 METER, MONEY = "decimal(38,9)", "decimal(38,12)"
 #: 97.5 % point of the standard normal distribution.
 Z95 = 1.959963984540054
@@ -36,31 +38,38 @@ def quantile_type7(
     """Exact linear-interpolation quantiles per group, in decimals.
 
     One row per group with a column for each entry of ``probabilities`` (name: decimal text) and
-    ``samples``. Nulls are skipped. Only the order statistics next to a quantile leave the window.
+    ``samples``. Nulls are skipped. Equal values are counted together, and counts by range of values say which range
+    holds an order statistic; only these ranges are sorted, so no task sorts a group, however large.
     """
-    w = Window.partitionBy(*keys)
-    ranked = df.filter(F.col(value).isNotNull()).select(
-        *keys,
-        F.col(value).cast(scale).alias("_x"),
-        (F.row_number().over(w.orderBy(F.col(value).cast(scale))) - 1).alias("_i"),
-        F.count(F.lit(1)).over(w).alias("_n"),
-    )
-    aggregates = [F.max("_n").alias("samples")]
+    keys = list(keys)
+    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast(scale).alias("_x"))
+    values = ranged(known.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")), "_x")
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = F.coalesce(F.sum("_c").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = values.groupBy(*keys, "_range").agg(F.sum("_c").alias("_c")).withColumn("_before", before).withColumn("_n", F.sum("_c").over(group))
+    places = {}
     for name, p in probabilities.items():
         at = F.lit(p).cast("decimal(9,6)") * (F.col("_n") - 1)
-        low = F.floor(at)
-        fraction = (at - low).cast("decimal(9,6)")
-        aggregates += [
-            F.max(F.when(F.col("_i") == low, F.col("_x"))).alias(f"_{name}_lo"),
-            F.max(F.when(F.col("_i") == F.least(low + 1, F.col("_n") - 1), F.col("_x"))).alias(f"_{name}_hi"),
-            F.max(fraction).alias(f"_{name}_f"),
-        ]
-    found = ranked.groupBy(*keys).agg(*aggregates)
-    values = [
+        low = F.floor(at).cast("long")
+        places[name] = (low, F.least(low + 1, F.col("_n") - 1), (at - low).cast("decimal(9,6)"))
+    asked = F.array(*[c for low, high, _ in places.values() for c in (low, high)])
+    wanted = counts.filter(F.exists(asked, lambda i: (i >= F.col("_before")) & (i < F.col("_before") + F.col("_c")))).drop("_c")
+    inside = values.alias("v").join(wanted.alias("w"), same("v", "w", [*keys, "_range"])).select(
+        *[F.col(f"v.{k}").alias(k) for k in keys], F.col("v._range").alias("_range"), "v._x", "v._c", "w._before", "w._n"
+    )
+    upto = Window.partitionBy(*keys, "_range").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = inside.withColumn("_end", F.col("_before") + F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
+    aggregates = [F.max("_n").alias("samples")]
+    for name, (low, high, fraction) in places.items():
+        for end, i in (("lo", low), ("hi", high)):
+            aggregates.append(F.max(F.when((F.col("_start") <= i) & (i < F.col("_end")), F.col("_x"))).alias(f"_{name}_{end}"))
+        aggregates.append(F.max(fraction).alias(f"_{name}_f"))
+    found = placed.groupBy(*keys).agg(*aggregates)
+    interpolated = [
         (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_f")).cast(scale).alias(n)
         for n in probabilities
     ]
-    return found.select(*keys, *values, "samples")
+    return found.select(*keys, *interpolated, "samples")
 
 
 def median_clamped(values: Column) -> Column:

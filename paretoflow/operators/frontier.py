@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ranges import ranged
+from ..functions.ranges import same as _same
 from ..functions.written import release, written
 
-#: Ranges of values at most, and cells of a grid's axis.
-RANGES, CELLS = 1024, 16
+#: Cells of a grid's axis.
+CELLS = 16
 #: So few pairs are looked at one by one: that is one job instead of several rounds, with the same result.
 FEW_PAIRS = 4_000_000
 #: How two ends that are equal as fractions may differ as doubles.
@@ -83,10 +85,6 @@ def dominates(a: str, b: str, axes: Sequence[Axis], robust: bool = False) -> Col
     return reduce(lambda x, y: x & y, [p[0] for p in pairs]) & reduce(lambda x, y: x | y, [p[1] for p in pairs])
 
 
-def _same(a: str, b: str, columns: Sequence[str]) -> Column:
-    return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns], F.lit(True))
-
-
 def _coordinate(axis: Axis, pessimistic: bool, robust: bool) -> Column:
     """A point's value on an axis, turned so that less is better; in robust mode its worst or best bound."""
     column = axis.value
@@ -96,26 +94,6 @@ def _coordinate(axis: Axis, pessimistic: bool, robust: bool) -> Column:
     return value if axis.goal == "min" else -value
 
 
-def _range(value: Column, cuts: Column) -> Column:
-    """How many of the sorted ``cuts`` are at most ``value``: every 32nd cut first, then 32 of them."""
-    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(32), F.greatest(F.size(cuts), F.lit(32)), F.lit(32)), lambda k: F.get(cuts, k - 1)), lambda c: c <= value))
-    fine = lambda k: k * 32 + F.size(F.filter(F.slice(cuts, k * 32 + 1, F.lit(32)), lambda c: c <= value))
-    return F.transform(F.array(coarse), fine)[0]
-
-
-def ranged(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
-    """``_range``: the number of the range of ``column`` that a row lies in, of up to ``n`` cut at quantiles.
-
-    By default there are as many as the session has shuffle partitions.
-    """
-    n = n or min(RANGES, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    value = F.col(f"`{column}`").cast("double")
-    # One row of at most ``n`` numbers.
-    cuts = df.agg(F.percentile_approx(value, F.lit([k / n for k in range(1, n)]), 20 * n).alias("_cuts"))
-    distinct = cuts.select(F.coalesce(F.array_distinct("_cuts"), F.array().cast("array<double>")).alias("_cuts"))
-    return df.crossJoin(F.broadcast(distinct)).withColumn("_range", F.coalesce(_range(value, F.col("_cuts")), F.lit(-1))).drop("_cuts")
-
-
 def least_up_to(points: DataFrame, queries: DataFrame, by: Sequence[str]) -> DataFrame:
     """For each distinct ``_v`` of the queries, the least ``_y`` of its group's points: ``_below`` of those with a smaller ``_v``, ``_upto`` with an equal one too.
 

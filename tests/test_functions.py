@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import random
 from decimal import Context, Decimal, localcontext
 
 import pytest
@@ -96,6 +97,39 @@ def test_complete_sums_and_quantiles(spark):
     assert q == {"a": (3.0, pytest.approx(9.1), 4), "b": (3.0, 3.0, 1)}
 
 
+def test_quantiles_of_groups_that_lie_in_many_ranges(spark):
+    """One hot group, ties, a null group, negative values, single rows: the same as sorting each group."""
+    r = random.Random(9)
+    rows = [("hot", Decimal(r.randint(-5000, 5000)) / 8) for _ in range(3000)] + [(None, Decimal(k % 3)) for k in range(50)]
+    rows += [(f"g{k % 17}", Decimal(r.randint(0, 20))) for k in range(120)] + [("one", Decimal(7)), ("none", None), ("tied", Decimal(1)), ("tied", Decimal(1))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    names = {"least": "0", "p05": "0.05", "p50": "0.5", "p95": "0.95", "most": "1"}
+    try:
+        found = numeric.quantile_type7(spark.createDataFrame(rows, "g string, x decimal(18,4)").repartition(5), ["g"], "x", names).collect()
+        whole = numeric.quantile_type7(spark.createDataFrame(rows, "g string, x decimal(18,4)"), [], "x", {"p50": "0.5"}).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+    def type7(xs, p):
+        at = Decimal(p) * (len(xs) - 1)
+        low = int(at)
+        return xs[low] + (xs[min(low + 1, len(xs) - 1)] - xs[low]) * (at - low)
+
+    groups = {}
+    for g, x in rows:
+        if x is not None:
+            groups.setdefault(g, []).append(x)
+    assert {q["g"] for q in found} == set(groups)
+    for q in found:
+        xs = sorted(groups[q["g"]])
+        assert q["samples"] == len(xs)
+        for name, p in names.items():
+            assert q[name] == pytest.approx(type7(xs, p), abs=Decimal("1e-8")), (q["g"], name)
+    every = sorted(x for _, x in rows if x is not None)
+    assert [q["p50"] for q in whole] == [type7(every, "0.5")] and whole[0]["samples"] == len(every)
+
+
 def test_intervals_and_recovery(spark):
     row = spark.range(1).select(*numeric.wilson(F.lit(8), F.lit(10)), *numeric.wilson(F.lit(0), F.lit(10)), *numeric.wilson(F.lit(10), F.lit(10))).first()
     assert row[0] == pytest.approx(49.0162, abs=1e-3) and row[1] == pytest.approx(94.3318, abs=1e-3) and row[2] == 0 and row[5] == 100
