@@ -13,7 +13,7 @@ from .operators.frontier import Axis
 from .plans.tables import MONEY, OFFERINGS, TRACES, offerings, table
 from .plans.tables import traces as trace_rows
 from .sources import imports
-from .streaming import run
+from .streaming import monotonic, run
 from .streaming import traces as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -847,3 +847,23 @@ def streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = run.drained(streams.deduplicated(rows, "1 day"), "streaming-dedup")
     before = table(spark, sf_dir, "events").groupBy(offering).agg(F.count(F.lit(1)).alias("rows_in"))
     return kept.groupBy("offering_id").agg(F.count(F.lit(1)).alias("requests")).join(before, "offering_id")
+
+
+_STEP = """SELECT k, moment, digest, CASE WHEN moment < (SELECT kept FROM kept x WHERE x.k = b.k) THEN 'rolled_back' WHEN moment = (SELECT kept FROM kept x WHERE x.k = b.k)
+  THEN CASE WHEN digest = (SELECT held FROM kept x WHERE x.k = b.k) THEN 'repeated' ELSE 'equivocal' END WHEN i = 1 THEN 'accepted' WHEN digest = least_digest THEN 'repeated' ELSE 'equivocal' END AS verdict FROM b"""
+
+
+@query(
+    f"""WITH u AS (SELECT o_custkey AS k, date_trunc('quarter', o_orderdate) AS moment, o_orderpriority AS digest, o_orderkey % 3 = 0 AS late FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY k, moment, late ORDER BY digest) AS i, min(digest) OVER (PARTITION BY k, moment, late) AS least_digest FROM u),
+kept AS (SELECT k, max(moment) AS kept, arg_max(least_digest, moment) AS held FROM n WHERE NOT late GROUP BY k), b AS (SELECT * FROM n WHERE late),
+v AS (SELECT k, moment, digest, CASE WHEN i = 1 THEN 'accepted' WHEN digest = least_digest THEN 'repeated' ELSE 'equivocal' END AS verdict FROM n WHERE NOT late UNION ALL {_STEP})
+SELECT CAST(k AS VARCHAR) AS customer, verdict, count(*) AS updates, max(moment) AS newest, min(digest) AS least_content FROM v GROUP BY ALL"""
+)
+def monotonic_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as updates of their customers; every third one arrives in a second micro-batch, late or not."""
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.select(F.col("o_custkey").cast("string").alias("customer"), F.date_trunc("quarter", "o_orderdate").cast("timestamp").alias("at"), F.col("o_orderpriority").alias("content"), "o_orderkey")
+    late = F.col("o_orderkey") % 3 == 0
+    told = run.drained_in_steps([rows.filter(~late), rows.filter(late)], lambda s: monotonic.followed(s, "customer", "at", "content"), "monotonic-updates")
+    return told.groupBy("customer", "verdict").agg(F.count(F.lit(1)).alias("updates"), F.max("at").alias("newest"), F.min("content").alias("least_content"))

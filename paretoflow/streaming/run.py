@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from ..functions.written import shared_folder
 
 
 def drained(stream: DataFrame, label: str) -> DataFrame:
@@ -14,21 +16,32 @@ def drained(stream: DataFrame, label: str) -> DataFrame:
     Output and progress lie in the folder that the cluster shares (``spark.checkpoint.dir``), until
     the application ends; only on a local master that names none, as in tests, in a temporary one.
     """
-    spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="paretoflow-")
-    root = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .option("checkpointLocation", f"{root}/progress")
-        .start(f"{root}/rows")
-    )
-    query.awaitTermination()
+    root = f"{shared_folder(stream.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _drain(stream, root)
+    return _emitted(stream, root)
+
+
+def drained_in_steps(steps: Sequence[DataFrame], follow: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """All rows that ``follow`` emits when the rows of ``steps`` arrive one after another, each as one micro-batch.
+
+    State and progress are those of one query that is stopped and started again between the steps.
+    """
+    spark = steps[0].sparkSession
+    root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    for step in steps:
+        step.write.mode("append").parquet(f"{root}/source")
+        stream = follow(spark.readStream.schema(steps[0].schema).parquet(f"{root}/source"))
+        _drain(stream, root)
+    return _emitted(stream, root)
+
+
+def _drain(stream: DataFrame, root: str) -> None:
+    started = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+    started.option("checkpointLocation", f"{root}/progress").start(f"{root}/rows").awaitTermination()
+
+
+def _emitted(stream: DataFrame, root: str) -> DataFrame:
+    spark: SparkSession = stream.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(root)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
