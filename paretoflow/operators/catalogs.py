@@ -226,3 +226,20 @@ def union_sources(sources: Sequence[DataFrame], key: str = "id") -> tuple[DataFr
 def superset_missing(earlier: DataFrame, current: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What an earlier publication holds and the current one does not: must be empty before it is replaced."""
     return missing_coverage(earlier, current, keys)
+
+
+def exact_environments(rows: DataFrame, required: DataFrame, model: str, environment: str, policy: str) -> DataFrame:
+    """How each model's set of environments stands to a policy's: ``exact``, ``too_few``, ``too_many`` or ``different``.
+
+    rows: ``model`` and ``environment``; required: ``policy`` and ``environment``, each any number of times. A model
+    and a policy that share no environment are no row. Sets are compared by three counts: those of the
+    model, of the policy, and of both; no set is gathered. Null environments are none.
+    """
+    held = rows.select(model, environment).filter(F.col(environment).isNotNull()).distinct()
+    asked = required.select(policy, environment).filter(F.col(environment).isNotNull()).distinct()
+    own = held.groupBy(model).agg(F.count(F.lit(1)).alias("held"))
+    sizes = asked.groupBy(policy).agg(F.count(F.lit(1)).alias("required"))
+    both = held.join(asked, environment).groupBy(policy, model).agg(F.count(F.lit(1)).alias("shared"))
+    all_held, nothing_else = F.col("shared") == F.col("required"), F.col("shared") == F.col("held")
+    verdict = F.when(all_held & nothing_else, "exact").when(nothing_else, "too_few").when(all_held, "too_many").otherwise("different")
+    return both.join(own, model).join(sizes, policy).select(policy, model, "held", "required", "shared", verdict.alias("verdict"))

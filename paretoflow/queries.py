@@ -867,3 +867,20 @@ def monotonic_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.col("o_orderkey") % 3 == 0
     told = run.drained_in_steps([rows.filter(~late), rows.filter(late)], lambda s: monotonic.followed(s, "customer", "at", "content"), "monotonic-updates")
     return told.groupBy("customer", "verdict").agg(F.count(F.lit(1)).alias("updates"), F.max("at").alias("newest"), F.min("content").alias("least_content"))
+
+
+@query(
+    """WITH h AS (SELECT DISTINCT o_custkey AS model, o_orderpriority AS env FROM orders), r AS (SELECT DISTINCT o_orderstatus AS policy, o_orderpriority AS env FROM orders
+  WHERE o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_orderpriority < '4') OR (o_orderstatus = 'P' AND o_orderpriority >= '3')),
+s AS (SELECT model, list_sort(list(env)) AS held FROM h GROUP BY model), p AS (SELECT policy, list_sort(list(env)) AS required FROM r GROUP BY policy)
+SELECT policy, model, len(held) AS held, len(required) AS required, len(list_intersect(held, required)) AS shared,
+  CASE WHEN held = required THEN 'exact' WHEN list_has_all(required, held) THEN 'too_few' WHEN list_has_all(held, required) THEN 'too_many' ELSE 'different' END AS verdict
+FROM s, p WHERE len(list_intersect(held, required)) > 0"""
+)
+def exact_environments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as models that ran in the priorities of their orders, held against three policies."""
+    orders = table(spark, sf_dir, "orders")
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    rows = orders.select(F.col("o_custkey").alias("model"), priority.alias("env"))
+    asked = (status == "F") | ((status == "O") & (priority < "4")) | ((status == "P") & (priority >= "3"))
+    return catalogs.exact_environments(rows, orders.filter(asked).select(status.alias("policy"), priority.alias("env")), "model", "env", "policy")

@@ -265,3 +265,11 @@ def test_streams(spark, tmp_path):
     up = spark.createDataFrame([("s", 1, "a"), ("s", 2, "b"), ("s", 2, "c"), ("t", 1, "x")], "selection_id string, generated_at int, digest string")
     got = {r["selection_id"]: (r["generated_at"], r["equivocated"]) for r in streams.newest(up).collect()}
     assert got == {"s": (2, True), "t": (1, False)}
+
+
+def test_exact_environments(spark):
+    sets = {"all": "abc", "few": "a", "more": "abcd", "other": "ad", "apart": "x", "none": ""}
+    rows = spark.createDataFrame([(m, e) for m, v in sets.items() for e in (v or [None])] + [("all", "a")], "m string, e string")
+    required = spark.createDataFrame([("p", e) for e in "abca"] + [("q", "x"), ("q", None)], "p string, e string")
+    found = {(r["p"], r["m"]): r["verdict"] for r in catalogs.exact_environments(rows, required, "m", "e", "p").collect()}
+    assert found == {("p", "all"): "exact", ("p", "few"): "too_few", ("p", "more"): "too_many", ("p", "other"): "different", ("q", "apart"): "exact"}
