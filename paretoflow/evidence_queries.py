@@ -389,7 +389,7 @@ _STAMPS = "CASE p_size % 5 WHEN 0 THEN '2024-02-30T00:00:00Z' WHEN 1 THEN '2024-
 
 @query(
     f"""SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN '1000' WHEN 2 THEN rtrim(rtrim({_GUARDED}, '0'), '.') WHEN 6 THEN '0.5' END AS plain,
-  CASE p_size % 8 WHEN 0 THEN 1000.0 WHEN 1 THEN -5.0 WHEN 2 THEN round(p_retailprice, 2) WHEN 6 THEN 0.5 END AS number, p_size % 5 IN (1, 4) AS stamped FROM part"""
+  CASE p_size % 8 WHEN 0 THEN 1000.0 WHEN 1 THEN -5.0 WHEN 2 THEN round(p_retailprice, 2) WHEN 5 THEN 1e200 WHEN 6 THEN 0.5 END AS number, p_size % 5 IN (1, 4) AS stamped FROM part"""
 )
 def text_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, k = table(spark, sf_dir, "part"), F.col("p_size") % 8

@@ -64,17 +64,43 @@ def canonical_json(columns: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
+#: Digits, places and magnitude of a decimal at most.
+MAX_DIGITS = 1024
+_DECIMAL = r"([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,5})?$"
+
+
+def _unfolded(number: Column) -> Column:
+    """Fixed-point text of a decimal's text, digit by digit: no cast, so no digit is lost. Null beyond ``MAX_DIGITS``."""
+    lower = F.lower(F.trim(number))
+    sign = F.when(lower.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    mantissa = F.ltrim(F.substring_index(lower, "e", 1), F.lit("+-"))
+    exponent = F.when(lower.contains("e"), F.substring_index(lower, "e", -1)).otherwise(F.lit("0")).try_cast("int")
+    whole = F.substring_index(mantissa, ".", 1)
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    # Leading zeros move the point, trailing ones do not.
+    plain = F.ltrim(digits, F.lit("0"))
+    point = F.char_length(whole) + exponent - (F.char_length(digits) - F.char_length(plain))
+    kept = F.rtrim(plain, F.lit("0"))
+    n = F.char_length(kept)
+    text = (
+        F.when(n == 0, F.lit("0")).when(point <= 0, F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -point), kept))
+        .when(point >= n, F.concat(sign, F.rpad(kept, F.greatest(n, point), F.lit("0"))))
+        .otherwise(F.concat(sign, F.left(kept, point), F.lit("."), F.substr(kept, point + 1)))
+    )
+    return F.when((n == 0) | ((n <= MAX_DIGITS) & (n - point <= MAX_DIGITS) & (F.abs(point - 1) <= MAX_DIGITS)), text)
+
+
 def decimal_text(value: Column) -> Column:
     """Fixed-point text of a text that is a finite decimal, not negative and at most 128 characters long; else null."""
-    plain = F.trim(value).rlike(r"^\+?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
-    number = F.when(plain & (F.char_length(value) <= 128), value).try_cast("decimal(38,18)")
-    return canonical_number(number)
+    plain = F.trim(value).rlike(r"^(\+?" + _DECIMAL + r"|-[0.]+([eE]|$))")
+    number = F.when(plain & F.trim(value).rlike(r"^[+-]?" + _DECIMAL) & (F.char_length(value) <= 128), value)
+    return _unfolded(number)
 
 
 def decimal_input(value: Column) -> Column:
-    """A decimal of a text of at most 1024 characters; null for booleans' texts, infinities and what is no number."""
-    number = F.trim(value).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
-    return F.when(number & (F.char_length(value) <= 1024), value).try_cast("decimal(38,18)")
+    """Fixed-point text of a text of at most 1024 characters; null for booleans' texts, infinities and what is no number."""
+    number = F.trim(value).rlike(r"^[+-]?" + _DECIMAL)
+    return _unfolded(F.when(number & (F.char_length(value) <= 1024), value))
 
 
 def is_rfc3339(value: Column) -> Column:

@@ -166,3 +166,34 @@ def test_texts(spark):
     assert len({r["h"] for r in pair}) == 4
     got = spark.range(1).select(text.opaque_id(F.lit("s"), b"k", "p-", "d")).first()[0]
     assert got == "p-" + hmac.new(b"k", b"d\0s", hashlib.sha256).hexdigest()
+
+
+def test_decimal_texts_lose_no_digit(spark):
+    r = random.Random(6)
+    texts = ["1e-19", "1e20", "0." + "1234567890" * 10, "123456789012345678901234567890.5", "-0", "-0.00", "-1", "+1.50", ".5", "5.", "00012.3400", "0e5", "1e1024", "1e1026", "1e-1024", "1e-1025", "1e99999", "1e999999", "x", "", "1_0", "NaN", "Infinity", "true", " 7 ", "1" * 129, None]
+    for _ in range(300):
+        digits = "".join(r.choice("0123456789") for _ in range(r.randint(1, 40)))
+        at = r.randint(0, len(digits))
+        texts.append(r.choice(["", "-", "+"]) + digits[:at] + "." + digits[at:] + r.choice(["", f"e{r.randint(-60, 60)}", f"E+{r.randint(0, 9)}"]))
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    found = {x["k"]: (x["a"], x["b"]) for x in rows.select("k", text.decimal_text(F.col("t")).alias("a"), text.decimal_input(F.col("t")).alias("b")).collect()}
+
+    def plain(t, most):
+        try:
+            d = None if t is None or len(t) > most or "_" in t else Decimal(t.strip())
+        except ArithmeticError:
+            return None
+        if d is None or not d.is_finite():
+            return None
+        if d == 0:
+            return "0"
+        if abs(d.adjusted()) > 1024:
+            return None
+        shown = format(d, "f")
+        shown = shown.rstrip("0").rstrip(".") if "." in shown else shown
+        return None if len(shown.partition(".")[2]) > 1024 else shown
+
+    for k, t in enumerate(texts):
+        want = plain(t, 1024)
+        assert found[k][1] == want, t
+        assert found[k][0] == (plain(t, 128) if want is not None and not want.startswith("-") else None), t
