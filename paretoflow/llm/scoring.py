@@ -197,21 +197,33 @@ class Network:
     def log10(self, cells: np.ndarray) -> np.ndarray:
         """log10 P(symbol | two symbols before) of each cell, normalised over all classes and all symbols of the class."""
         distinct, inverse = np.unique(cells, return_inverse=True)
-        far, near, target = self.known.split(distinct)
         d, symbols, classes = DIMENSIONS, self.part(1), self.part(2)
         a, b = self.part(0)[:, :d] @ self.part(3)[:, :d], self.part(0)[:, :d] @ self.part(4)[:, :d]
+        context, target = np.divmod(distinct, self.known.size)
+        # Cells are in order, so those of a context are neighbours: classes are normalised once for each.
+        begins = np.flatnonzero(np.diff(context, prepend=-1))
+        ends = np.append(begins[1:], len(distinct))
+        far, near = np.divmod(context[begins], self.known.size)
         out = np.empty(len(distinct), np.float64)
-        for s in range(0, len(distinct), 16384):
+        for s in range(0, len(begins), 16384):
             part = slice(s, s + 16384)
             predicted = a[far[part]] + b[near[part]]
-            own, t = self.class_of[target[part]], target[part]
-            score = _log_share(predicted @ classes[:, :d].T + classes[:, d], own)
-            for k in np.unique(own):
+            cells_here = slice(begins[s], ends[min(s + 16384, len(ends)) - 1])
+            of = np.repeat(np.arange(len(predicted)), ends[part] - begins[part])
+            t = target[cells_here]
+            own = self.class_of[t]
+            scores = np.clip(predicted @ classes[:, :d].T + classes[:, d], -60, 60)
+            score = scores[of, own].astype(np.float64)
+            np.exp(scores, out=scores)
+            score -= np.log(scores @ np.ones(scores.shape[1], np.float32))[of]
+            order = np.argsort(own, kind="stable")
+            bounds = np.searchsorted(own[order], np.arange(len(classes) + 1))
+            for k in range(len(classes)):
                 first, end = self.known.starts[k], self.known.starts[k + 1]
-                if end - first > 1:
-                    mine = np.flatnonzero(own == k)
-                    score[mine] += _log_share(predicted[mine] @ symbols[first:end, :d].T + symbols[first:end, d], t[mine] - first)
-            out[part] = score
+                if end - first > 1 and bounds[k] < bounds[k + 1]:
+                    mine = order[bounds[k] : bounds[k + 1]]
+                    score[mine] += _log_share(predicted[of[mine]] @ symbols[first:end, :d].T + symbols[first:end, d], t[mine] - first)
+            out[cells_here] = score
         return out[inverse.ravel()] / np.log(10)
 
 
