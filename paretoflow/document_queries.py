@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import canonical
 from .plans.tables import MONEY, table
 from .queries import query
-from .sources import documents
+from .sources import documents, imports, rules
 
 _ODD = 'a "quoted"\tvalue \\ é'
 
@@ -117,3 +117,69 @@ def canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(', "balance": '), F.col("c_acctbal").cast(MONEY).cast("string"), F.lit("0e0, \"dropped\": "), value, F.lit("}"),
     )
     return table(spark, sf_dir, "customer").select("c_custkey", canonical.canonical_text(text, {"dropped": None}).alias("canonical"))
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n, CAST(s_acctbal AS DECIMAL(18,2)) AS bal, n_name,
+  CASE WHEN s_suppkey % 3 = 0 THEN CASE WHEN s_suppkey % 12 = 0 THEN s_suppkey ELSE s_suppkey + 1 END END AS beaten,
+  CASE WHEN s_suppkey % 10 = 0 THEN CASE WHEN s_suppkey % 30 = 0 THEN s_suppkey ELSE s_suppkey + 2 END END AS gone FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT n_name AS frontier_id, count(*) AS n_evaluated, concat_ws(',', CASE WHEN bool_or(bal < -900) THEN 'axis_bounds' END, CASE WHEN bool_or(k % 40 = 7) THEN 'axis_units' END,
+  CASE WHEN bool_or(beaten IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s t WHERE t.n = s.n AND t.k = s.beaten)) THEN 'dominators_evaluated' END,
+  CASE WHEN bool_or(k % 33 = 0) THEN 'members_are_undominated' END, CASE WHEN bool_or(k % 25 = 4 AND (k % 3 <> 0 OR k % 33 = 0)) THEN 'members_as_evaluated' END,
+  CASE WHEN bool_or(beaten = k) THEN 'no_self_dominance' END, CASE WHEN n % 6 = 0 THEN 'order_is_axis' END,
+  CASE WHEN bool_or(EXISTS (SELECT 1 FROM s t WHERE t.n = s.n AND t.k = s.gone)) THEN 'rejected_not_evaluated' END) AS broken FROM s GROUP BY n_name, n"""
+)
+def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frontier documents of nations, read from their JSON, with what breaks their coherence."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    k = F.col("s_suppkey")
+    name = lambda c: F.lpad(c.cast("string"), 9, "0")
+    beaten = F.when(k % 3 == 0, F.array(name(F.when(k % 12 == 0, k).otherwise(k + 1)))).otherwise(F.array().cast("array<string>"))
+    cost = F.struct(F.col("s_acctbal").cast(MONEY).cast("string").alias("value"), F.when(k % 40 == 7, "eur").otherwise("usd").alias("unit"), F.lit("-900").alias("lower"))
+    quality = F.struct(k.cast("string").alias("value"), F.lit("points").alias("unit"), F.lit(None).cast("string").alias("lower"))
+
+    def entry(label):
+        return F.struct(
+            F.struct(name(k).alias("offering_id")).alias("offering"), F.create_map(F.lit("cost"), cost, F.lit("quality"), quality).alias("axes"),
+            F.create_map(F.lit("name"), label).alias("metadata"), beaten.alias("dominated_by"),
+        )
+
+    axis = lambda m, g, u: F.struct(F.lit(m).alias("metric"), F.lit(g).alias("goal"), F.lit(u).alias("unit"))
+    member = (k % 3 != 0) | (k % 33 == 0)
+    gone = F.when(k % 10 == 0, F.struct(name(F.when(k % 30 == 0, k).otherwise(k + 2)).alias("offering_id")))
+    grouped = s.join(n, s.s_nationkey == n.n_nationkey).groupBy("n_name", "n_nationkey").agg(
+        F.collect_list(entry(F.col("s_name"))).alias("evaluated"), F.collect_list(gone).alias("rejected"),
+        F.collect_list(F.when(member, entry(F.when(k % 25 == 4, F.lit("other")).otherwise(F.col("s_name"))))).alias("members"),
+    )
+    whole = F.struct(
+        F.col("n_name").alias("frontier_id"), F.when(F.col("n_nationkey") % 6 == 0, "latency").otherwise("cost").alias("order_by"),
+        F.array(axis("cost", "min", "usd"), axis("quality", "max", "points")).alias("axes"), "evaluated", "rejected", "members",
+    )
+    found = rules.parsed(grouped.select(F.to_json(whole).alias("text")), "frontier")
+    return found.select("frontier_id", F.size("evaluated").cast("long").alias("n_evaluated"), F.array_join(rules.document_failures("frontier"), ",").alias("broken"))
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey AS entry, l_linenumber % 2 AS task, count(*) AS n, avg(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END) AS rate,
+  max(CASE WHEN l_quantity >= 49 THEN 1 ELSE 0 END) AS noted, count(DISTINCT (l_linenumber, l_returnflag = 'N')) < count(*) AS twice FROM lineitem GROUP BY ALL),
+e AS (SELECT entry, count(*) AS tasks, 100 * avg(rate) AS accuracy, min(n) = 2 AND max(n) = 2 AS whole, max(noted) AS noted, bool_or(twice) AS twice FROM r GROUP BY entry),
+f AS (SELECT *, concat_ws(',', CASE WHEN entry % 7 = 0 THEN '$.agent minLength' END, CASE WHEN entry % 11 = 0 THEN '$.reported maximum' END,
+  CASE WHEN twice THEN '$.trials uniqueItems' END, CASE WHEN entry % 13 = 0 THEN '$.url format' END, CASE WHEN noted = 1 THEN '$.verified additionalProperties' END) AS failures, accuracy + CASE WHEN entry % 3 = 0 THEN 9 ELSE 0 END AS told FROM e)
+SELECT entry, failures,
+  CASE WHEN failures = '' THEN tasks END AS tasks, CASE WHEN failures = '' THEN round(accuracy, 6) END AS accuracy,
+  CASE WHEN failures <> '' THEN 'refused' WHEN NOT whole THEN 'trials_missing' WHEN abs(accuracy - least(told, 100)) > 0.05 THEN 'accuracy_differs' ELSE 'valid' END AS verdict FROM f"""
+)
+def terminal_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as submissions in JSON, some of which break the contract in one way or several."""
+    li = table(spark, sf_dir, "lineitem")
+    trial = F.struct((F.col("l_linenumber") % 2).cast("string").alias("task"), F.col("l_linenumber").alias("trial"), (F.col("l_returnflag") == "N").alias("passed"))
+    rates = li.groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("task")).agg(F.avg((F.col("l_returnflag") == "N").cast("double")).alias("rate"), F.collect_list(trial).alias("trials"), F.max(F.col("l_quantity") >= 49).alias("noted"))
+    key = F.col("l_orderkey")
+    told = F.when(key % 11 == 0, 101.0).otherwise(F.least(100 * F.avg("rate") + F.when(key % 3 == 0, 9.0).otherwise(0.0), F.lit(100.0)))
+    orders = rates.groupBy("l_orderkey").agg(F.flatten(F.collect_list("trials")).alias("trials"), F.max("noted").alias("noted"), told.alias("reported"))
+    whole = F.struct(
+        F.when(key % 7 == 0, "").otherwise("a").alias("agent"), F.lit("m").alias("model"), F.when(key % 13 == 0, "nowhere").otherwise("https://example.org/run").alias("url"),
+        "reported", "trials", F.when(F.col("noted"), True).alias("verified"),
+    )
+    found = imports.terminal_submissions(orders.select(key.alias("entry"), F.to_json(whole).alias("text")), 2)
+    return found.select("entry", F.array_join("failures", ",").alias("failures"), "tasks", F.round("accuracy", 6).alias("accuracy"), "verdict")

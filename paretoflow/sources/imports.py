@@ -16,6 +16,7 @@ from ..functions.text import opaque_id
 from ..operators.admission import reasons
 from ..operators.catalogs import combined_basis, cost_meter
 from ..operators.traces import SCHEMA
+from .rules import json_failures
 
 
 def coding_leaderboard(rows: DataFrame, expected_cases: int) -> DataFrame:
@@ -419,6 +420,23 @@ def agent_benchmark(tasks: DataFrame, keys: list[str], binary: bool = True) -> D
     return found.withColumn("verdict", verdict).join(wall, keys, "left").select(*shown)
 
 
+#: What a submission to a terminal benchmark must look like.
+SUBMISSION = {
+    "type": "object", "additionalProperties": False, "required": ["agent", "model", "reported", "trials"],
+    "properties": {
+        "agent": {"type": "string", "minLength": 1, "maxLength": 256}, "model": {"type": "string", "minLength": 1, "maxLength": 256},
+        "url": {"type": "string", "format": "uri"}, "reported": {"type": "number", "minimum": 0, "maximum": 100},
+        "trials": {
+            "type": "array", "minItems": 1, "uniqueItems": True,
+            "items": {
+                "type": "object", "additionalProperties": False, "required": ["task", "trial", "passed"],
+                "properties": {"task": {"type": "string", "minLength": 1}, "trial": {"type": "integer", "minimum": 1}, "passed": {"type": "boolean"}},
+            },
+        },
+    },
+}
+
+
 def terminal_leaderboard(rows: DataFrame, trials: int) -> DataFrame:
     """Entries of a terminal benchmark with accuracy recomputed from its trials, its standard error and a verdict.
 
@@ -433,6 +451,19 @@ def terminal_leaderboard(rows: DataFrame, trials: int) -> DataFrame:
     return found.select("entry", "agent", "model", "tasks", "accuracy", "standard_error", verdict.alias("verdict"))
 
 
+def terminal_submissions(texts: DataFrame, trials: int) -> DataFrame:
+    """Entries (entry, text) of a terminal benchmark as JSON: those that break the contract are refused with every
+    broken rule, the others judged by :func:`terminal_leaderboard`.
+    """
+    judged = texts.select("entry", "text", json_failures(F.col("text"), SUBMISSION).alias("failures"))
+    shape = "agent string, model string, reported double, trials array<struct<task:string,trial:bigint,passed:boolean>>"
+    whole = judged.filter(F.size("failures") == 0).select("entry", F.from_json("text", shape).alias("s"))
+    rows = whole.select("entry", "s.agent", "s.model", "s.reported", F.explode("s.trials").alias("t")).select("*", "t.*").drop("t")
+    found = terminal_leaderboard(rows, trials)
+    shown = judged.select("entry", "failures").join(found, "entry", "left")
+    return shown.withColumn("verdict", F.coalesce("verdict", F.lit("refused")))
+
+
 # Benchmark files of local runtimes.
 
 
