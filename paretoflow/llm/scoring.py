@@ -31,6 +31,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -102,17 +103,18 @@ class Symbols:
         if not seen or len(seen) > REMEMBERED:
             seen.clear()
             seen.update(self.words)
-        out = list(map(seen.get, own))
-        if None in out:
-            for k, s in enumerate(out):
-                if s is None:
-                    out[k] = seen[own[k]] = int(self.starts[self.class_of_ending(own[k][-ENDING:]) + 1]) - 1
-        return np.array(out, np.int64)
-
-    def cells(self, ids: np.ndarray) -> np.ndarray:
-        """(symbol two before, symbol before, symbol) of each token as one number."""
-        padded = np.concatenate([[START, START], ids])
-        return (padded[:-2] * self.size + padded[1:-1]) * self.size + ids
+        for w in set(own).difference(seen):
+            seen[w] = int(self.starts[self.class_of_ending(w[-ENDING:]) + 1]) - 1
+        return np.fromiter(map(seen.__getitem__, own), np.int64, len(own))
+
+    def cells(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(symbol two before, symbol before, symbol) of each token as one number; texts of ``sizes`` tokens, one at least, follow each other."""
+        begins = np.cumsum(sizes) - sizes
+        near, far = np.full(len(ids), START, np.int64), np.full(len(ids), START, np.int64)
+        near[1:], far[2:] = ids[:-1], ids[:-2]
+        near[begins] = far[begins] = START
+        far[begins[sizes > 1] + 1] = START
+        return (far * self.size + near) * self.size + ids
 
     def split(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return cells // self.size**2, cells // self.size % self.size, cells % self.size
@@ -384,8 +386,9 @@ def _round(chunks: DataFrame, known: Symbols, network: Network, repeats: int) ->
             first = int(b["chunk"].iloc[0]) if first is None else first
             own = Network(known, begin.copy())
             own.squares = squares.copy()
-            cells = [known.cells(known.ids(tokens(raw), seen)) for raw in b["raw"]]
-            own.study(np.concatenate(cells), repeats, np.random.default_rng(SEED))
+            texts = [tokens(raw) for raw in b["raw"]]
+            ids = known.ids(list(chain.from_iterable(texts)), seen)
+            own.study(known.cells(ids, np.array([len(t) for t in texts])), repeats, np.random.default_rng(SEED))
             total += np.column_stack([own.table, own.squares]) * own.used[:, None].astype(np.float64)
             uses += own.used
         if first is not None:
@@ -432,28 +435,29 @@ def score(docs: DataFrame) -> DataFrame:
     base_total = known.train_tokens + known.train_distinct + 1
 
     def scored(b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        network, class_of, seen = Network(known, learnt), known.classes(), {}
-        counts: dict[bytes, int] = {}
-        for data, n in zip(answers["data"], answers["counts"]):
-            counts.update(zip(data.split(b" "), np.frombuffer(n, "<i8").tolist()))
+        network, class_of = Network(known, learnt), known.classes()
+        # What hangs on a word alone is computed once for each distinct word of the chunk.
+        words = [w for data in answers["data"] for w in data.split(b" ")]
+        place = dict(zip(words, range(len(words))))
+        c = np.frombuffer(b"".join(answers["counts"]), "<i8")
+        of_word = known.ids(words, {})
         own = [tokens(raw) for raw in b["raw"]]
-        c = np.array([n for t in own for n in map(counts.__getitem__, t)], np.int64)
-        ids = [known.ids(t, seen) for t in own]
         sizes = np.array([len(t) for t in own], np.int64)
-        every = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        total, distinct = known.rare_total[class_of[every]], known.rare_distinct[class_of[every]]
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(own)), np.int64, int(sizes.sum()))
+        every, classes = of_word[at], class_of[of_word]
+        total, distinct = known.rare_total[classes], known.rare_distinct[classes]
         with np.errstate(divide="ignore", invalid="ignore"):
             share = np.log10(np.maximum(c - DISCOUNT, 1e-9) / total)
             unknown = np.where(total > 0, np.log10(DISCOUNT * distinct / total), 0.0)
-        rare = every == known.starts[class_of[every] + 1] - 1
-        inside = np.where(rare & (every > END), np.where(c > 0, share, unknown), 0.0)
-        model = network.log10(np.concatenate([known.cells(i) for i in ids])) + inside if len(every) else inside
-        base = np.log10((c + 1) / base_total)
+        rare = of_word == known.starts[classes + 1] - 1
+        inside = np.where(rare & (of_word > END), np.where(c > 0, share, unknown), 0.0)[at]
+        model = network.log10(known.cells(every, sizes)) + inside if len(every) else inside
+        base = np.log10((c + 1) / base_total)[at]
         ends = np.cumsum(sizes)
         sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])
         return pd.DataFrame(
             {
-                "doc_id": b["doc_id"].to_numpy() if len(b) else [], "n_tokens": sizes, "n_known": sums((c > 0).astype(np.int64)), "base_score": sums(base), "score": sums(model),
+                "doc_id": b["doc_id"].to_numpy() if len(b) else [], "n_tokens": sizes, "n_known": sums((c > 0).astype(np.int64)[at]), "base_score": sums(base), "score": sums(model),
                 "held_out": b["held_out"].to_numpy() if len(b) else [], "train_tokens": known.train_tokens,
             }
         )
