@@ -3,22 +3,22 @@
 Both near-duplicate operators feed this with their own sketches. Items of equal sets (128 bits
 tell sets apart) are one node from the start. Candidates are nodes that share a band.
 
-1. In a band's bucket a leader is compared with all the others by estimate: those near it join its
-   star, those very near it need no further leader, the rest choose the next one. A linked pair
-   ends in one star: when one of the two leaves the pool the leader is within the distance bound
-   of the other as well. After the first round what is left of a bucket usually fits into a task,
-   which goes on with all of its leaders there; larger rests take further rounds.
-2. A star's sets are compared exactly with its leader's and with each other in blocks of bounded
-   size, which return a spanning forest of their links, never the pairs.
-3. Members of a star of several blocks that their block does not link to the leader meet the
-   star's other blocks too. Those linked to the leader need not: they are connected. So a hot
-   star costs its size times the blocks of its stragglers, not its square.
+1. The members of a band's bucket are compared by estimate inside one task, which returns a spanning
+   forest of the pairs near enough to be linked, never the pairs. A bucket too large for a task is cut
+   into blocks, each with the bucket's head; members whose block does not connect them to the head
+   meet the other blocks too. Components of all forests are the groups: each node is in one group,
+   however many buckets and bands it shares with the others.
+2. A group's sets are compared exactly with its leader's and with each other in blocks of bounded
+   size, which return a spanning forest of their links.
+3. Members of a group of several blocks that their block does not link to the leader meet the
+   group's other blocks too. Those linked to the leader need not: they are connected. So a hot
+   group costs its size times the blocks of its stragglers, not its square.
 4. Components of the verified links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,8 +32,8 @@ from .components import components
 #: Items, and shingles, of one verification block, and bucket members that one task takes on.
 BLOCK, BLOCK_SHINGLES = 1024, 400_000
 IN_TASK = 2048
-#: Similarity to a leader from which a node needs no further leader.
-LEAVES = 0.7
+#: Buckets up to this size have all their pairs estimated at once.
+FEW = 4
 
 
 def sketch(windows: np.ndarray, owner: np.ndarray, items: int, registers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,85 +100,108 @@ def band_keys(bands: int, width: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(bands)])
 
 
-def _leaders(keys: np.ndarray, nodes: np.ndarray, regs: np.ndarray, n: np.ndarray, estimate, low: np.ndarray, high: np.ndarray, direct: np.ndarray):
-    """Star edges (member, leader) of whole buckets: each bucket's first node by a hash leads, again and again."""
-    order = np.lexsort((hashing.mix(nodes.astype(np.uint64)), keys))
-    bounds = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1], [True]]))
-    most = len(low) - 1
-    for s, e in zip(bounds[:-1], bounds[1:]):
-        left = order[s:e]
-        while len(left) > 1:
-            head, rest = left[0], left[1:]
-            est = estimate(regs[rest], regs[head][None], n[rest], np.full(len(rest), n[head]))
-            small = np.minimum(n[rest], n[head]).clip(1, most)
-            very = est >= high[small]
-            near = rest[est >= (low if very.any() else direct)[small]]
-            if len(near):
-                yield nodes[near], np.full(len(near), nodes[head])
-            left = rest[~very]
+def _spanning(close: Callable, items: int, split: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest, as pairs of index arrays, of the graph that ``close(one, others)`` tells.
+
+    With ``split``, only pairs of one item before and one from ``split`` on are looked at.
+    """
+    out, left = [], np.arange(items)
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            one = front.pop()
+            near = np.zeros(len(left), bool)
+            asked = np.arange(len(left)) if split is None else np.flatnonzero((left < split) != (one < split))
+            near[asked] = close(one, left[asked])
+            if near.any():
+                out.append((left[near], np.full(int(near.sum()), one)))
+                front += left[near].tolist()
+                left = left[~near]
+    return out
+
+
+def _near(keys: np.ndarray, close: Callable) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Near pairs of whole buckets, by place in the order of the sorted ``keys``: (begin, end, pairs); those of all small buckets first."""
+    bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    sizes = np.diff(bounds)
+    few = np.repeat(sizes <= FEW, sizes)
+    pairs = []
+    for step in range(1, min(FEW, len(keys))):
+        x = np.flatnonzero(few[step:] & (keys[step:] == keys[:-step]))
+        x = x[close(x, x + step)] if len(x) else x
+        pairs.append((x + step, x))
+    yield 0, 0, pairs
+    for s, e in zip(bounds[:-1][sizes > FEW].tolist(), bounds[1:][sizes > FEW].tolist()):
+        yield s, e, [(s + x, s + y) for x, y in _spanning(lambda one, others: close(s + others, np.full(len(others), s + one)), e - s)]
 
 
 def stars(nodes: DataFrame, bands: int, width: int, registers: int, estimate: Callable, dtype: str, percent: int) -> DataFrame:
-    """(a, b): members and leaders of stars that hold every linked pair of the nodes (node, n, regs)."""
+    """(a, b): members and leaders of groups that hold every linked pair of the nodes (node, n, regs); a node is in one group."""
     share = percent / 100
-    # Estimates get room for their standard errors, by the size of the smaller set.
+    # Estimates get room for four standard errors, by the size of the smaller set.
     usable = np.minimum(np.arange(registers + 1).clip(1), registers)
-    spread = lambda p: np.sqrt(p * (1 - p) / usable)
-    reach = LEAVES - (1 - share)
-    low, high = reach - 3 * spread(reach), np.minimum(LEAVES + 2 * spread(LEAVES), 0.97)
-    direct = share - 4 * spread(share)
+    direct = share - 4 * np.sqrt(share * (1 - share) / usable)
     kind = np.dtype(dtype)
 
-    @F.pandas_udf("struct<near:boolean,very:boolean,direct:boolean>")
-    def judged(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.DataFrame:
-        x, y = (np.frombuffer(b"".join(r), kind).reshape(len(r), -1) for r in (ra, rb))
-        est = estimate(x, y, na.to_numpy(), nb.to_numpy())
-        small = np.minimum(na, nb).clip(1, registers).to_numpy()
-        return pd.DataFrame({"near": est >= low[small], "very": est >= high[small], "direct": est >= direct[small]})
+    def told(g: pd.DataFrame) -> Callable:
+        regs, n = np.frombuffer(b"".join(g["regs"]), kind).reshape(len(g), -1), g["n"].to_numpy()
+
+        def close(x, y):
+            small = np.minimum(n[x], n[y]).clip(1, registers)
+            return estimate(regs[x], regs[y], n[x], n[y]) >= direct[small]
+
+        return close
 
-    one = nodes.select(F.col("node").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"))
-    two = nodes.select(F.col("node").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"))
     pool = nodes.select(F.col("node").alias("a"), F.explode(band_keys(bands, width)).alias("key"))
-    held, edges, k = [], [], 0
-    while True:
-        order = F.xxhash64("a", F.lit(k))
-        heads = pool.groupBy("key").agg(F.min_by("a", order).alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "b")
-        met = materialize(pool.join(heads, "key").filter("a <> b").select("key", "a", "b"), "near-met")
-        pairs = met.select("a", "b").distinct().join(one, "a").join(two, "b")
-        seen = materialize(pairs.select("a", "b", judged("ra", "rb", "na", "nb").alias("j")).select("a", "b", "j.*").filter("near OR direct"), "near-seen")
-        held += [met, seen]
-        # Without a member that leaves the pool a star only serves links to its leader.
-        very = seen.filter("very").select("a", "b")
-        edges += [
-            seen.filter("direct").select("a", "b"),
-            seen.filter("near AND NOT direct").join(very.select("b").distinct(), "b", "left_semi").select("a", "b"),
-        ]
-        left = met.join(very, ["a", "b"], "left_anti").select("key", "a")
-        left = materialize(left.join(left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "key"), "near-left")
-        held.append(left)
-        most, rows = left.agg(F.coalesce(F.max("c"), F.lit(0)), F.count(F.lit(1))).first()
-        if rows:
-            bins = max(1, -(-rows // IN_TASK))
-            small = left.filter(F.col("c") <= IN_TASK).join(one, "a").withColumn("bin", F.pmod("key", F.lit(bins)))
-
-            def led(b: pd.DataFrame) -> pd.DataFrame:
-                regs = np.frombuffer(b"".join(b["ra"]), kind).reshape(len(b), -1)
-                found = list(_leaders(b["key"].to_numpy(), b["a"].to_numpy(), regs, b["na"].to_numpy(), estimate, low, high, direct))
-                none = [np.zeros(0, np.int64)]
-                return pd.DataFrame({"a": np.concatenate([f[0] for f in found] or none), "b": np.concatenate([f[1] for f in found] or none)})
-
-            edges.append(small.groupBy("bin").applyInPandas(led, "a long, b long"))
-        if most <= IN_TASK:
-            break
-        pool, k = left.filter(F.col("c") > IN_TASK).select("a", "key"), k + 1
-    every = edges[0]
-    for e in edges[1:]:
-        every = every.unionAll(e)
-    out = materialize(every.distinct(), "near-stars")
-    release(*held)
+    shared = pool.groupBy("key").agg(F.min("a").alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met = pool.join(shared, "key").select("a", "key", "head", F.ceil(F.col("c") / IN_TASK).cast("long").alias("blocks"))
+    met = materialize(met, "near-met")
+    c, most = met.agg(F.count(F.lit(1)), F.coalesce(F.max("blocks"), F.lit(1))).first()
+    bins = max(1, -(-c // IN_TASK))
+    rows = _blocks(met, F.col("a") == F.col("head")).withColumn("split", F.col("blocks") > 1)
+    unit = F.when(F.col("split"), F.xxhash64("key", "block")).otherwise(F.pmod("key", F.lit(bins))).alias("unit")
+    rows = rows.select(unit, "a", "key", "head", "split").join(nodes.withColumnRenamed("node", "a"), "a")
+
+    def near(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["key", "a"], ignore_index=True)
+        ids, head, split, keys = (g[c].to_numpy() for c in ("a", "head", "split", "key"))
+        out = []
+        for s, e, pairs in _near(keys, told(g)):
+            out += [pd.DataFrame({"a": ids[x], "b": ids[y], "late": False}) for x, y in pairs]
+            if e and split[s]:
+                root = np.arange(e - s)
+                for x, y in pairs:
+                    root[x - s] = root[y[0] - s]
+                alone = root != root[np.flatnonzero(ids[s:e] == head[s])[0]]
+                out.append(pd.DataFrame({"a": ids[s:e][alone], "b": keys[s:e][alone], "late": True}))
+        return pd.concat(out, ignore_index=True)
+
+    first = materialize(rows.groupBy("unit").applyInPandas(near, "a long, b long, late boolean"), "near-pairs")
+    pairs = first.filter("NOT late").select("a", "b")
+    if most > 1:
+
+        def across(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values(["late", "a"], ignore_index=True)
+            ids, close = g["a"].to_numpy(), told(g)
+            found = _spanning(lambda one, others: close(others, np.full(len(others), one)), len(g), int((~g["late"]).sum()))
+            none = np.zeros(0, np.int64)
+            return pd.DataFrame({"a": np.concatenate([none, *(ids[x] for x, _ in found)]), "b": np.concatenate([none, *(ids[y] for _, y in found)])})
+
+        late = first.filter("late").select("a", "b")
+        placed = met.select("a", F.col("key").alias("b"), F.lit(0).alias("n"), "blocks")
+        pairs = pairs.unionAll(_stragglers(late, placed, nodes, across).filter("a <> b"))
+    grouped = components(pairs).filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    out = materialize(grouped, "near-stars")
+    release(met, first)
     return out
 
 
+def _blocks(rows: DataFrame, leads: Column) -> DataFrame:
+    """Each row with its ``block`` of ``blocks``; one that leads goes to every block."""
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    return rows.withColumn("block", F.explode(F.when(leads, everywhere).otherwise(F.array(F.pmod(F.xxhash64("a", F.lit(1)), "blocks")))))
+
+
 def forest(sets: list[np.ndarray], percent: int, split: int | None = None) -> list[tuple[int, int]]:
     """Edges that connect just the linked sets: 100 * intersection >= percent * union.
 
@@ -237,10 +260,8 @@ def linked(edges: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
     placed = materialize(members.join(sizes.select("b", blocks.alias("blocks")), "b"), "near-members")
     c, n, most = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("blocks"), F.lit(1))).first()
     bins = max(1, -(-c // BLOCK), -(-n // BLOCK_SHINGLES))
-    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    own = F.pmod(F.xxhash64("a", F.lit(1)), "blocks")
     # The leader goes to every block; the unit of small stars is a bin.
-    rows = placed.withColumn("block", F.explode(F.when(F.col("a") == F.col("b"), everywhere).otherwise(F.array(own))))
+    rows = _blocks(placed, F.col("a") == F.col("b"))
     unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("b"), F.lit(bins))).otherwise(F.xxhash64("b", "block")).alias("unit")
     rows = rows.select(unit, "a", "b", "block", (F.col("blocks") > 1).alias("split")).join(sets.withColumnRenamed("node", "a"), "a")
 
@@ -260,14 +281,25 @@ def linked(edges: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
     first = materialize(rows.groupBy("unit").applyInPandas(verify, "a long, b long, straggler boolean"), "near-first")
     links = first.filter("NOT straggler").select("a", "b")
     if most > 1:
-        links = links.unionAll(_stragglers(first.filter("straggler").select("a", "b"), placed, sets, percent))
+
+        def across(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values(["late", "a"])
+            ids = g["a"].to_numpy()
+            found = forest([np.frombuffer(x, np.uint64) for x in g["shingles"]], percent, int((~g["late"]).sum()))
+            found = [(ids[y], ids[x]) for x, y in found if ids[x] != ids[y]]
+            return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+        links = links.unionAll(_stragglers(first.filter("straggler").select("a", "b"), placed, sets, across))
     out = materialize(links, "near-links")
     release(placed, first)
     return out
 
 
-def _stragglers(late: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members (a, b) that their block does not link to the leader and all members of their star."""
+def _stragglers(late: DataFrame, placed: DataFrame, items: DataFrame, across: Callable) -> DataFrame:
+    """Links that ``across`` finds between members (a, b) that their block does not link to the leader and all members of their group.
+
+    ``items`` has what it compares for each node; the rows of members that are not ``late`` go with those that are.
+    """
     wide = placed.filter("blocks > 1").select("a", "b", "n", "blocks")
     mine = late.join(wide, ["a", "b"])
     sizes = mine.groupBy("b").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
@@ -276,16 +308,8 @@ def _stragglers(late: DataFrame, placed: DataFrame, sets: DataFrame, percent: in
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     mine = mine.join(sizes, "b").select("a", "b", F.explode(upto("blocks")).alias("i"), F.pmod(F.xxhash64("a", F.lit(2)), "late").alias("j"), F.lit(True).alias("late"))
     theirs = wide.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a", F.lit(1)), "blocks").alias("i"), F.explode(upto("late")).alias("j"), F.lit(False).alias("late"))
-    rows = mine.unionAll(theirs).join(sets.withColumnRenamed("node", "a"), "a")
-
-    def verify(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["late", "a"])
-        ids = g["a"].to_numpy()
-        found = forest([np.frombuffer(x, np.uint64) for x in g["shingles"]], percent, int((~g["late"]).sum()))
-        found = [(ids[y], ids[x]) for x, y in found if ids[x] != ids[y]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
-
-    return rows.groupBy("b", "i", "j").applyInPandas(verify, "a long, b long")
+    rows = mine.unionAll(theirs).join(items.withColumnRenamed("node", "a"), "a")
+    return rows.groupBy("b", "i", "j").applyInPandas(across, "a long, b long")
 
 
 def clusters(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], bands: int, width: int, registers: int, estimate: Callable, dtype: str, percent: int) -> DataFrame:

@@ -81,6 +81,30 @@ def test_hot_group_of_near_copies(spark):
     assert [found[k] for k in range(150)] == label
 
 
+@pytest.mark.parametrize("in_task", [neardup.IN_TASK, 16])
+def test_a_node_of_a_hot_group_is_in_one_group(spark, monkeypatch, in_task):
+    """Candidates are no more rows than nodes, whole buckets in a task or in blocks, and hold all links."""
+    monkeypatch.setattr(neardup, "IN_TASK", in_task)
+    monkeypatch.setattr(neardup, "BLOCK", in_task)
+    base, texts = prose(21, 90).split(), []
+    for k in range(160):
+        w = list(base)
+        for j in range(k % 5):
+            w[(k * 29 + j * 23) % len(w)] = f"edit{k}x{j}"
+        texts.append(" ".join(w))
+    data = spark.createDataFrame([(k, t, k, k) for k, t in enumerate(texts)], "doc_id long, text string, k1 long, k2 long")
+    nodes = paragraphs.sketches(data).select(F.col("doc_id").alias("node"), "n", "regs").localCheckpoint()
+    found = neardup.stars(nodes, paragraphs.BANDS, 2 * paragraphs.ROWS, paragraphs.REGISTERS, paragraphs.estimate, "<u2", 80).collect()
+    assert max(Counter(r["a"] for r in found).values()) == 1
+    group = {r["b"]: r["b"] for r in found} | {r["a"]: r["b"] for r in found}
+    sets = [shingles(t) for t in texts]
+    linked = [(i, j) for i in range(160) for j in range(i) if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(linked) > 1000 and all(group[i] == group[j] for i, j in linked)
+    label = classes(sets, 85)
+    kept = {r["doc_id"]: r["component_id"] for r in hyperminhash.duplicates(data.select("doc_id", "text")).collect()}
+    assert [kept[k] for k in range(160)] == label
+
+
 def test_estimate_is_close_and_corrected():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
