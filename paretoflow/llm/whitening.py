@@ -72,10 +72,10 @@ def _added(fit: DataFrame, block: Callable[[np.ndarray], np.ndarray], shape: tup
             cells = np.arange(total.size, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.ravel().astype(np.float64))], ["cell", "value"])
 
-    cells = fit.mapInArrow(partial, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+    # As columns in one job: a local iterator runs one for each shuffle partition.
+    cells = fit.mapInArrow(partial, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
     out = np.zeros(shape)
-    for r in cells.toLocalIterator():
-        out.flat[r["cell"]] = r["value"]
+    out.flat[cells["cell"].to_numpy()] = cells["value"].to_numpy()
     return out
 
 
@@ -135,7 +135,7 @@ def whiten(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> D
     found = found.filter(F.size("x") == d)
     fit = materialize(found.select("x").distinct(), "whitening-fit")
     totals = fit.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
-    total = sorted((r["j"], r["s"], r["n"]) for r in totals.toLocalIterator())
+    total = sorted((r["j"], r["s"], r["n"]) for r in totals.collect())
     n = total[0][2] if total else 0
     model = components(fit, n, np.array([s for _, s, _ in total], np.int64)) if n else Model(0, np.zeros(0), np.zeros((0, 0)), np.zeros(0), 0.0)
     fields = [

@@ -87,3 +87,19 @@ def test_large_deviations_are_null_and_exact_below(spark):
     x = [math.floor(Fraction(float(np.float32(v))) * 64) + 1000000 for v in (3e10, 0.0, 1e3)]
     exact = [(3 * a - sum(x)) ** 2 for a in x]
     assert [got[k + 1] for k in range(3)] == [e if e < 9.2e18 else None for e in exact]
+
+
+def test_jobs_do_not_grow_with_shuffle_partitions(spark):
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    data = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors(60, 30))], SCHEMA)
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("whitening-jobs", "")
+        whitening.whiten(data)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("whitening-jobs")) < 64
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
