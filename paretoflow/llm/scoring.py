@@ -28,16 +28,17 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import hashing
 from .common import arrow_rows, materialize, text_or_empty
 
 #: Symbols: words of their own at most, the least share of all tokens that makes one, and classes of words.
@@ -50,8 +51,6 @@ DISCOUNT = 0.75
 DIMENSIONS, CLASS_NOISE, NOISE, BATCH, RATE, SEED = 20, 16, 8, 8192, 0.12, 11
 #: Tokens that a training pass sees at least, by repeats (16 at most) if the corpus has fewer.
 LEAST_TOKENS = 1_500_000
-#: Words whose symbols a task remembers.
-REMEMBERED = 500_000
 CHUNK_BYTES = 6_000_000
 #: Rounds of training, by a chunk's number modulo 64: first and last.
 ROUNDS = ((0, 0), (1, 3), (4, 15), (16, 63))
@@ -69,6 +68,50 @@ def tokens(raw: bytes) -> list[bytes]:
     return [*raw.lower().split(), END_TOKEN]
 
 
+def _runs(b: np.ndarray, inside: np.ndarray) -> pa.Array:
+    """The runs of the bytes marked ``inside``; the first and the last byte are not."""
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    offsets = np.zeros(len(edges) // 2 + 1, np.int64)
+    np.cumsum(edges[1::2] - edges[::2], out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(b[inside])])
+
+
+def _distinct(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words, and the place among them of each word."""
+    found = words.dictionary_encode()
+    return found.dictionary, found.indices.to_numpy()
+
+
+def encoded(raws: Iterable[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The :func:`tokens` of texts that follow each other: distinct ones, the place among them of each, and each text's number."""
+    raws = list(raws)
+    b = np.frombuffer(b" ".join([b"", *(x for raw in raws for x in (raw, END_TOKEN)), b""]).lower(), np.uint8)
+    inside = ~hashing.SPACE[b]
+    ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 3) - 1
+    inside[ends] = True
+    # A token begins where a marked byte follows an unmarked one.
+    begins = np.flatnonzero(inside[1:] > inside[:-1]) + 1
+    distinct, at = _distinct(_runs(b, inside))
+    return distinct, at, np.diff(np.searchsorted(begins, ends), prepend=-1)
+
+
+def _joined(data: Iterable[bytes]) -> pa.Array:
+    """The words of texts in which single blanks part them."""
+    b = np.frombuffer(b" ".join([b"", *data, b""]), np.uint8)
+    return _runs(b, b != 32)
+
+
+def _endings(words: pa.Array) -> np.ndarray:
+    """A number for the last ``ENDING`` bytes of each word, in the order of the reversed endings."""
+    out = np.zeros(len(words), np.int64)
+    if len(words):
+        offsets, data = np.frombuffer(words.buffers()[1], np.int64)[words.offset :][: len(words) + 1], np.frombuffer(words.buffers()[2], np.uint8)
+        for j in range(1, ENDING + 1):
+            at = offsets[1:] - j
+            out = out * 257 + np.where(at >= offsets[:-1], data[np.maximum(at, 0)].astype(np.int64) + 1, 0)
+    return out
+
+
 @dataclass
 class Symbols:
     """The network's vocabulary. Class 0 is the end; the symbols of a class are neighbours, its rare one last."""
@@ -89,23 +132,23 @@ class Symbols:
     def size(self) -> int:
         return int(self.starts[-1])
 
-    def class_of_ending(self, ending: bytes) -> int:
-        return bisect.bisect_right(self.bounds, ending[::-1]) + 1
-
     def classes(self) -> np.ndarray:
         """Class of each symbol; the start, which is never predicted, counts to the end's."""
         out = np.zeros(self.size, np.int64)
         out[self.starts[1] :] = np.repeat(np.arange(1, len(self.starts) - 1), np.diff(self.starts[1:]))
         return out
 
-    def ids(self, own: list[bytes], seen: dict[bytes, int]) -> np.ndarray:
-        """Symbol of each token; ``seen`` remembers symbols of words between calls and begins anew when it is full."""
-        if not seen or len(seen) > REMEMBERED:
-            seen.clear()
-            seen.update(self.words)
-        for w in set(own).difference(seen):
-            seen[w] = int(self.starts[self.class_of_ending(w[-ENDING:]) + 1]) - 1
-        return np.fromiter(map(seen.__getitem__, own), np.int64, len(own))
+    def ids(self, own: pa.Array | list[bytes], seen: dict) -> np.ndarray:
+        """Symbol of each word; ``seen`` keeps the tables that words are looked up in between calls."""
+        own = own if isinstance(own, pa.Array) else pa.array(own, pa.large_binary())
+        if not seen:
+            seen["words"], seen["symbols"] = pa.array(list(self.words), pa.large_binary()), np.array(list(self.words.values()), np.int64)
+            seen["bounds"] = _endings(pa.array([x[::-1] for x in self.bounds], pa.large_binary()))
+        out = self.starts[np.searchsorted(seen["bounds"], _endings(own), side="right") + 2] - 1
+        place = pc.index_in(own, value_set=seen["words"]).fill_null(-1).to_numpy()
+        named = place >= 0
+        out[named] = seen["symbols"][place[named]]
+        return out
 
     def cells(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """(symbol two before, symbol before, symbol) of each token as one number; texts of ``sizes`` tokens, one at least, follow each other."""
@@ -126,7 +169,8 @@ class Network:
     def __init__(self, known: Symbols, table: np.ndarray | None = None) -> None:
         self.known, n, c, d = known, known.size, len(known.starts) - 1, DIMENSIONS
         self.at = np.cumsum([0, n, n, c, d, d])
-        self.class_of = known.classes()
+        #: Small numbers are sorted by their digits.
+        self.class_of, self.small = known.classes(), np.min_scalar_type(n)
         within = np.maximum(known.counts, 0.1)
         mass = np.bincount(self.class_of, within, minlength=c)
         self.class_share = np.maximum(mass / mass.sum(), 1e-9)
@@ -149,7 +193,7 @@ class Network:
 
     def _add(self, rows: np.ndarray | slice, gradient: np.ndarray) -> None:
         """Adagrad with one learning rate for each row of the table."""
-        self.squares[rows] += (gradient * gradient).mean(1)
+        self.squares[rows] += np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
         self.table[rows] += RATE * gradient / np.sqrt(self.squares[rows])[:, None]
 
     def learn(self, cells: np.ndarray, weights: np.ndarray) -> None:
@@ -159,29 +203,42 @@ class Network:
         for symbols, is taken exactly: products with all classes, and with all symbols of a class.
         """
         far, near, target = self.known.split(cells)
-        order = np.argsort(target)
+        order = np.argsort(target.astype(self.small), kind="stable")
         far, near, target = far[order], near[order], target[order]
         w = (weights[order] / weights.mean()).astype(np.float32)[:, None]
         context, symbols, classes = self.part(0), self.part(1), self.part(2)
         f, n, d = self.part(3)[:, :DIMENSIONS], self.part(4)[:, :DIMENSIONS], DIMENSIONS
-        r2, r1 = context[far, :d], context[near, :d]
+        r2, r1 = context[far][:, :d], context[near][:, :d]
         one = np.ones((len(cells), d + 1), np.float32)
         one[:, :d] = r2 @ f + r1 @ n
-        own = self.class_of[target]
-        g = _contrast(one, classes, own, self.class_noise, w)
-        back, of_classes = g @ classes[:, :d], g.T @ one
-        of_symbols = np.zeros_like(symbols)
-        # Targets are in order, so the cells of a class are neighbours.
-        for k, (s, e) in enumerate(zip(*np.searchsorted(own, [range(len(classes)), range(1, len(classes) + 1)]))):
-            first, end = self.known.starts[k], self.known.starts[k + 1]
-            if s < e and end - first > 1:
-                g = _contrast(one[s:e], symbols[first:end], target[s:e] - first, self.noise[first:end], w[s:e])
-                back[s:e] += g @ symbols[first:end, :d]
-                of_symbols[first:end] = g.T @ one[s:e]
+        weighted, own, each = one * w, self.class_of[target], np.arange(len(cells))
+        from_noise = _from_noise(classes, self.class_noise)
+        g = one @ from_noise.T
+        _contrast(g.ravel(), each * len(classes) + own, self.class_noise[own])
+        back, of_classes = g @ (classes[:, :d] * -self.class_noise[:, None]), g.T @ weighted * -self.class_noise[:, None]
+        of_symbols, scaled, from_noise = np.zeros_like(symbols), symbols[:, :d] * -self.noise[:, None], _from_noise(symbols, self.noise)
+        # Targets are in order, so the cells of a class are neighbours; their scores lie one class after the other.
+        sizes = np.diff(self.known.starts)
+        bounds = np.searchsorted(own, np.arange(len(classes) + 1))
+        begins = np.concatenate([[0], np.cumsum(np.diff(bounds) * sizes)])
+        scores = np.zeros(begins[-1], np.float32)
+        parts = [
+            (slice(s, e), slice(first, first + size), scores[at : at + (e - s) * size].reshape(e - s, size))
+            for s, e, first, size, at in zip(bounds[:-1].tolist(), bounds[1:].tolist(), self.known.starts[:-1].tolist(), sizes.tolist(), begins.tolist())
+            if s < e and size > 1
+        ]
+        for mine, of, g in parts:
+            np.matmul(one[mine], from_noise[of].T, out=g)
+        _contrast(scores, begins[own] + (each - bounds[own]) * sizes[own] + target - self.known.starts[own], self.noise[target])
+        for mine, of, g in parts:
+            back[mine] += g @ scaled[of]
+            of_symbols[of] = g.T @ weighted[mine]
+        of_symbols *= -self.noise[:, None]
+        back *= w
         wide = lambda x: np.concatenate([x, np.zeros((len(x), 1), np.float32)], 1)
         self._add(slice(self.at[1], self.at[5]), np.concatenate([of_symbols, of_classes, wide(r2.T @ back), wide(r1.T @ back)]))
         rows = np.concatenate([far, near])
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(self.small), kind="stable")
         first = np.flatnonzero(np.diff(rows[order], prepend=-1))
         self._add(rows[order[first]], wide(np.add.reduceat(np.concatenate([back @ f.T, back @ n.T])[order], first)))
         self.used[: self.at[1]] += np.bincount(rows, np.concatenate([weights, weights]), minlength=self.at[1])
@@ -229,20 +286,24 @@ class Network:
         return out[inverse.ravel()] / np.log(10)
 
 
-def _contrast(x: np.ndarray, vectors: np.ndarray, chosen: np.ndarray, noise: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Gradient of the noise-contrastive objective by the scores of ``vectors``: truth is told from ``noise``."""
-    truth = x @ vectors.T
-    truth -= np.log(noise)
-    np.clip(truth, -30, 30, out=truth)
-    np.negative(truth, out=truth)
-    np.exp(truth, out=truth)
-    truth += 1
-    np.reciprocal(truth, out=truth)
-    g = truth * -noise
-    rows = np.arange(len(x))
-    g[rows, chosen] += 1 - truth[rows, chosen]
-    g *= weights
-    return g
+def _from_noise(vectors: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Vectors whose products are the log odds of ``noise`` against truth."""
+    out = -vectors
+    out[:, -1] += np.log(noise)
+    return out
+
+
+def _contrast(odds: np.ndarray, chosen: np.ndarray, noise: np.ndarray) -> None:
+    """Gradient of the noise-contrastive objective by scores, in place of the log odds of noise against truth.
+
+    It is left divided by minus the noise of each score's symbol; ``chosen`` are the places of the targets, and ``noise`` theirs.
+    """
+    with np.errstate(over="ignore"):
+        np.exp(odds, out=odds)
+    odds += 1
+    np.reciprocal(odds, out=odds)
+    truth = odds[chosen]
+    odds[chosen] = truth - (1 - truth) / noise
 
 
 def _log_share(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -298,35 +359,38 @@ def vocabulary(dealt: DataFrame, blocks: int) -> DataFrame:
     most = min(TOP_WORDS, 8 * TOP_WORDS // blocks + 64)
 
     def words(b: pd.DataFrame) -> pd.DataFrame:
-        trained, others = Counter(), set()
-        for raw, out in zip(b["raw"], b["held_out"]):
-            others.update(tokens(raw)) if out else trained.update(tokens(raw))
-        held: list[list[bytes]] = [[] for _ in range(blocks)]
-        for w in sorted(others | trained.keys()):
-            held[zlib.crc32(w) % blocks].append(w)
+        distinct, at, sizes = encoded(b["raw"])
+        trained = np.bincount(at[np.repeat(~b["held_out"].to_numpy(bool), sizes)], minlength=len(distinct))
+        order = pc.array_sort_indices(distinct).to_numpy()
+        own = np.array(distinct.take(pa.array(order)).to_pylist(), object)
+        block = np.fromiter(map(zlib.crc32, own), np.int64, len(own)) % blocks
+        of_block = np.argsort(block, kind="stable")
+        own, trained, present = own[of_block], trained[order][of_block].astype("<i8"), np.unique(block)
+        bounds = np.searchsorted(block[of_block], np.append(present, blocks))
         rows = [
-            (k, b["chunk"].iloc[0], b" ".join(own), np.array([trained[w] for w in own], "<i8").tobytes())
-            for k, own in enumerate(held)
-            if own
+            (k, b["chunk"].iloc[0], b" ".join(own[s:e]), trained[s:e].tobytes())
+            for k, s, e in zip(present.tolist(), bounds[:-1], bounds[1:])
         ]
         return pd.DataFrame(rows, columns=["block", "chunk", "data", "counts"])
 
     def added(b: pd.DataFrame) -> pd.DataFrame:
-        parts = [x.split(b" ") for x in b["data"]]
-        total: Counter = Counter()
-        for own, n in zip(parts, b["counts"]):
-            for w, c in zip(own, np.frombuffer(n, "<i8").tolist()):
-                if c:
-                    total[w] += c
-        rows = [(0, chunk, data, np.array([total[w] for w in own], "<i8").tobytes(), 0, 0) for chunk, data, own in zip(b["chunk"], b["data"], parts)]
-        best = sorted(((w, c) for w, c in total.items() if w != END_TOKEN), key=lambda x: (-x[1], x[0]))[:most]
-        rows += [(1, 0, w, b"", c, 1) for w, c in best]
-        n, distinct = Counter(), Counter()
-        for w, c in total.items():
-            ending = b"" if w == END_TOKEN else w[-ENDING:]
-            n[ending] += c
-            distinct[ending] += 1
-        rows += [(2, 0, e, b"", c, distinct[e]) for e, c in n.items()]
+        distinct, at = _distinct(_joined(b["data"]))
+        counts = np.frombuffer(b"".join(b["counts"]), "<i8")
+        total = np.zeros(len(distinct), "<i8")
+        np.add.at(total, at, counts)
+        answers, ends = total[at], np.cumsum([len(n) // 8 for n in b["counts"]])
+        rows = [(0, chunk, data, x.tobytes(), 0, 0) for chunk, data, x in zip(b["chunk"], b["data"], np.split(answers, ends[:-1]))]
+        # Words at least as frequent as the last of the most frequent ones, which may be the end token; ties go by the word.
+        trained = np.flatnonzero(total)
+        least = np.partition(total[trained], -most - 1)[-most - 1] if len(trained) > most else 1
+        often = np.flatnonzero(total >= least)
+        best = sorted(zip((-total[often]).tolist(), distinct.take(pa.array(often)).to_pylist()))
+        rows += [(1, 0, w, b"", -c, 1) for c, w in [x for x in best if x[1] != END_TOKEN][:most]]
+        _, first, of = np.unique(_endings(distinct)[trained], return_index=True, return_inverse=True)
+        n = np.zeros(len(first), "<i8")
+        np.add.at(n, of, total[trained])
+        named = [b"" if w == END_TOKEN else w[-ENDING:] for w in distinct.take(pa.array(trained[first])).to_pylist()]
+        rows += [(2, 0, e, b"", c, d) for e, c, d in zip(named, n.tolist(), np.bincount(of, minlength=len(first)).tolist())]
         return pd.DataFrame(rows, columns=["kind", "chunk", "data", "counts", "n", "distinct"])
 
     def packed_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -380,15 +444,14 @@ def _round(chunks: DataFrame, known: Symbols, network: Network, repeats: int) ->
     begin, squares, slices, groups = network.table, network.squares, 16, 64
 
     def study(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[bytes, int] = {}
+        seen: dict = {}
         total, uses, first = np.zeros((len(begin), begin.shape[1] + 1)), np.zeros(len(begin)), None
         for b in _by_chunk(batches):
             first = int(b["chunk"].iloc[0]) if first is None else first
             own = Network(known, begin.copy())
             own.squares = squares.copy()
-            texts = [tokens(raw) for raw in b["raw"]]
-            ids = known.ids(list(chain.from_iterable(texts)), seen)
-            own.study(known.cells(ids, np.array([len(t) for t in texts])), repeats, np.random.default_rng(SEED))
+            distinct, at, sizes = encoded(b["raw"])
+            own.study(known.cells(known.ids(distinct, seen)[at], sizes), repeats, np.random.default_rng(SEED))
             total += np.column_stack([own.table, own.squares]) * own.used[:, None].astype(np.float64)
             uses += own.used
         if first is not None:
@@ -437,13 +500,12 @@ def score(docs: DataFrame) -> DataFrame:
     def scored(b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         network, class_of = Network(known, learnt), known.classes()
         # What hangs on a word alone is computed once for each distinct word of the chunk.
-        words = [w for data in answers["data"] for w in data.split(b" ")]
-        place = dict(zip(words, range(len(words))))
-        c = np.frombuffer(b"".join(answers["counts"]), "<i8")
+        words, at, sizes = encoded(b["raw"])
+        place = pc.index_in(words, value_set=_joined(answers["data"]))
+        if place.null_count:
+            raise ValueError("a word of the chunk has no count")
+        c = np.frombuffer(b"".join(answers["counts"]), "<i8")[place.to_numpy()]
         of_word = known.ids(words, {})
-        own = [tokens(raw) for raw in b["raw"]]
-        sizes = np.array([len(t) for t in own], np.int64)
-        at = np.fromiter(map(place.__getitem__, chain.from_iterable(own)), np.int64, int(sizes.sum()))
         every, classes = of_word[at], class_of[of_word]
         total, distinct = known.rare_total[classes], known.rare_distinct[classes]
         with np.errstate(divide="ignore", invalid="ignore"):

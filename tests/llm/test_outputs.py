@@ -1,5 +1,6 @@
 """Scoring, media, packing, chat and training order: round trips and brute force."""
 
+import cProfile
 import hashlib
 import math
 import zlib
@@ -218,6 +219,28 @@ def test_scoring(docs, none):
     assert scoring.score(none).count() == 0
 
 
+def test_tokens_of_a_chunk_are_looked_up_together():
+    """As texts are cut and words classed one by one, without a call for each word."""
+    texts = [b"", b" \t\n", b"One\x0btwo one", b"\x00 A\x00b \x1c \xc3\x84h\xff", prose(11, 3000).encode(), b"end\n", b"qo o xo yxo"]
+    distinct, at, sizes = scoring.encoded(texts)
+    words = distinct.to_pylist()
+    assert [words[k] for k in at] == [w for t in texts for w in scoring.tokens(t)] and len(set(words)) == len(words)
+    assert sizes.tolist() == [len(scoring.tokens(t)) for t in texts]
+    known = small_symbols()
+    class_of = [1 if w[-scoring.ENDING :][::-1] < b"o" else 2 for w in words]
+    expected = [known.words.get(w, known.starts[k + 1] - 1) for w, k in zip(words, class_of)]
+    assert known.ids(distinct, {}).tolist() == expected
+    assert scoring.encoded([])[2].tolist() == [] and len(scoring.encoded([])[0]) == 0
+
+    def calls(n: int) -> int:
+        profile = cProfile.Profile()
+        some = [b"w%d" % k for k in range(n)]
+        profile.runcall(known.ids, some, {})
+        return sum(x.callcount for x in profile.getstats())
+
+    assert calls(20000) < 2 * calls(20)
+
+
 def small_symbols():
     """Two words in one class, three in another, and rare words in both."""
     words = {b"\n": 1, b"aa": 2, b"ba": 3, b"xo": 5, b"yo": 6, b"zo": 7}
