@@ -85,17 +85,20 @@ def local_signals(records: DataFrame, identity: Sequence[str], uncached: bool =
     return series.unionByName(reuse).unionByName(of_checks).select("offering_id", "signal", "o.*")
 
 
-def memory_summary(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+def memory_summary(samples: DataFrame, keys: Sequence[str], score: Column | None = None) -> DataFrame:
     """Peaks of a memory capture: of each part on its own, and the parts at the moment of the combined peak.
 
     samples: elapsed, host, device, combined (null where the sample is incomplete). Of equal peaks the earliest counts.
+    With a ``score`` (null where the sample is incomplete) the parts are those of the sample that scores highest.
     """
-    peak = F.max_by(F.struct("elapsed", "host", "device", "combined"), F.struct(F.col("combined"), (-F.col("elapsed")).alias("early")))
+    height = F.col("combined") if score is None else score
+    peak = F.max_by(F.struct("elapsed", "host", "device"), F.struct(height.alias("height"), (-F.col("elapsed")).alias("early")))
     complete = F.count("combined")
     found = samples.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("samples"), complete.alias("complete_samples"), F.max("host").alias("peak_host"), F.max("device").alias("peak_device"), F.when(complete > 0, peak).alias("p")
-    )
-    return found.select(*keys, "samples", "complete_samples", "peak_host", "peak_device", F.col("p.combined").alias("peak_combined"), F.col("p.elapsed").alias("at_elapsed"), F.col("p.host").alias("host_at_peak"), F.col("p.device").alias("device_at_peak"))
+        F.count(F.lit(1)).alias("samples"), complete.alias("complete_samples"), F.max("host").alias("peak_host"), F.max("device").alias("peak_device"),
+        F.max("combined").alias("peak_combined"), F.when(complete > 0, peak).alias("p"),
+    )
+    return found.select(*keys, "samples", "complete_samples", "peak_host", "peak_device", "peak_combined", F.col("p.elapsed").alias("at_elapsed"), F.col("p.host").alias("host_at_peak"), F.col("p.device").alias("device_at_peak"))
 
 
 def memory_bundle(repetitions: DataFrame, keys: Sequence[str]) -> DataFrame:

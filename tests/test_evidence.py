@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from paretoflow.operators import catalogs, estimates, evidence, local
 from paretoflow.operators.oracles import OracleError, Oracles
 from paretoflow.plans import policy
@@ -204,3 +205,14 @@ def test_canonical_order_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame(rows, "offering_id string, provider string, tier int")
     order = lambda d: [x["identity"] for x in evidence.canonical_order(d, d.columns).collect()]
     assert order(df.repartition(5)) == order(df.repartition(2)) == sorted(order(df))
+
+
+def test_memory_peak_follows_the_given_score(spark, tmp_path):
+    """Events far apart: the SQL's score weighs a hundredth of value against a million of event ids; without a score the greatest value counts."""
+    rows = [(5, 1, "view", 10.0), (2_000_017, 1, "view", 10.01), (3_000_099, 1, "error", 99.0), (7, 2, "error", 1.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r[0]: tuple(r)[1:] for r in __spark_entry__.queries()["memory_summary"](spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 2, 99.0, 99, 10.01, 5), 2: (1, 0, 1.0, 7, None, None)}
+    samples = spark.createDataFrame([(5, 1, 10.0, 10.0), (2_000_017, 2, 10.01, 10.01), (3_000_000, 3, 10.01, 10.01)], "elapsed long, device long, host double, combined double").withColumn("k", F.lit("a"))
+    found = local.memory_summary(samples, ["k"]).first()
+    assert (found.peak_combined, found.at_elapsed, found.device_at_peak) == (10.01, 2_000_017, 2)
