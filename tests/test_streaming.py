@@ -37,3 +37,17 @@ def test_updates_only_move_forward(spark):
     got = Counter((x["name"], x["at"], x["content"], x["verdict"]) for x in found.collect())
     assert got == told(batches)
     assert {v for n, _, _, v in got if n == "d"} == {"accepted", "rolled_back", "repeated", "equivocal"}
+
+
+def test_keys_are_judged_a_bucket_at_a_time(spark):
+    """Many keys share few calls and states; a null key, an empty one and times below a microsecond's float are kept apart."""
+    r = random.Random(5)
+    far = datetime(2500, 1, 1)
+    names = [None, "", "k", *(f"n{i}" for i in range(300))]
+    row = lambda: (r.choice(names), None if r.random() < 0.05 else far + timedelta(microseconds=r.randint(0, 3)), r.choice(["x", "y", "", None]))
+    batches = [[row() for _ in range(1500)] for _ in range(3)]
+    steps = [spark.createDataFrame(b, SCHEMA).repartition(3) for b in batches]
+    found = run.drained_in_steps(steps, lambda s: monotonic.followed(s, "name", "at", "content", buckets=2), "test-buckets")
+    got = Counter((x["name"], x["at"], x["content"], x["verdict"]) for x in found.collect())
+    marked = [[("0" if n is None else "1" + n, *rest) for n, *rest in b] for b in batches]
+    assert got == Counter({(None if n == "0" else n[1:], *rest): k for (n, *rest), k in told(marked).items()})
