@@ -172,11 +172,17 @@ SELECT entry, failures,
 def terminal_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as submissions in JSON, some of which break the contract in one way or several."""
     li = table(spark, sf_dir, "lineitem")
-    trial = F.struct((F.col("l_linenumber") % 2).cast("string").alias("task"), F.col("l_linenumber").alias("trial"), (F.col("l_returnflag") == "N").alias("passed"))
-    rates = li.groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("task")).agg(F.avg((F.col("l_returnflag") == "N").cast("double")).alias("rate"), F.collect_list(trial).alias("trials"), F.max(F.col("l_quantity") >= 49).alias("noted"))
+    task, passed = F.col("l_linenumber") % 2, F.col("l_returnflag") == "N"
+    trial = F.struct(task.cast("string").alias("task"), F.col("l_linenumber").alias("trial"), passed.alias("passed"))
     key = F.col("l_orderkey")
-    told = F.when(key % 11 == 0, 101.0).otherwise(F.least(100 * F.avg("rate") + F.when(key % 3 == 0, 9.0).otherwise(0.0), F.lit(100.0)))
-    orders = rates.groupBy("l_orderkey").agg(F.flatten(F.collect_list("trials")).alias("trials"), F.max("noted").alias("noted"), told.alias("reported"))
+    # One pass over an order's lines: a task is one of these remainders, or null.
+    tasks = (-1, 0, 1, None)
+    rates = [F.avg(F.when(task.eqNullSafe(F.lit(k)), passed.cast("double"))).alias(f"rate{i}") for i, k in enumerate(tasks)]
+    orders = li.groupBy("l_orderkey").agg(F.collect_list(trial).alias("trials"), F.max(F.col("l_quantity") >= 49).alias("noted"), *rates)
+    found = [F.col(f"rate{i}") for i in range(len(tasks))]
+    rate = F.try_divide(sum((F.coalesce(r, F.lit(0.0)) for r in found[1:]), F.coalesce(found[0], F.lit(0.0))), sum((r.isNotNull().cast("int") for r in found[1:]), found[0].isNotNull().cast("int")))
+    told = F.when(key % 11 == 0, 101.0).otherwise(F.least(100 * rate + F.when(key % 3 == 0, 9.0).otherwise(0.0), F.lit(100.0)))
+    orders = orders.withColumn("reported", told)
     whole = F.struct(
         F.when(key % 7 == 0, "").otherwise("a").alias("agent"), F.lit("m").alias("model"), F.when(key % 13 == 0, "nowhere").otherwise("https://example.org/run").alias("url"),
         "reported", "trials", F.when(F.col("noted"), True).alias("verified"),

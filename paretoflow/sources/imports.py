@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import close, quantile_type7, wilson
 from ..functions.text import opaque_id
+from ..functions.written import written
 from ..operators.admission import reasons
 from ..operators.catalogs import combined_basis, cost_meter
 from ..operators.traces import SCHEMA
@@ -455,9 +456,12 @@ def terminal_submissions(texts: DataFrame, trials: int) -> DataFrame:
     """Entries (entry, text) of a terminal benchmark as JSON: those that break the contract are refused with every
     broken rule, the others judged by :func:`terminal_leaderboard`.
     """
-    judged = texts.select("entry", "text", json_failures(F.col("text"), SUBMISSION).alias("failures"))
     shape = "agent string, model string, reported double, trials array<struct<task:string,trial:bigint,passed:boolean>>"
-    whole = judged.filter(F.size("failures") == 0).select("entry", F.from_json("text", shape).alias("s"))
+    judged = texts.select("entry", "text", json_failures(F.col("text"), SUBMISSION).alias("failures"))
+    # Written once: both the refused and the judged are read from it.
+    judged = written(judged.select("entry", "failures", F.when(F.size("failures") == 0, F.from_json("text", shape)).alias("s")), "submissions")
+    # By entry, as are all groups and the join after it.
+    whole = judged.filter(F.size("failures") == 0).repartition("entry")
     rows = whole.select("entry", "s.agent", "s.model", "s.reported", F.explode("s.trials").alias("t")).select("*", "t.*").drop("t")
     found = terminal_leaderboard(rows, trials)
     shown = judged.select("entry", "failures").join(found, "entry", "left")

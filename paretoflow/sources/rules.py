@@ -1,7 +1,8 @@
 """What rows and documents must keep, as columns that list every rule that is broken.
 
 :func:`json_failures` compiles a JSON Schema of a closed set of keywords into one expression over a JSON
-text: parsed once into a variant, every node is judged where it lies, unknown fields and wrong types too. A
+text: parsed once into a variant, every node is judged where it lies, unknown fields and wrong types too. That is
+interpreted, so plain texts are judged in Python batches by the same rules, and only the others by the variant. A
 failure reads ``$.path keyword``, sorted. A schema that uses another keyword, or contradicts itself, is refused
 when it is compiled, so no rule is skipped in silence.
 
@@ -16,9 +17,14 @@ empty table gives an empty result; numbers beyond 38 digits are compared as doub
 from __future__ import annotations
 
 import json
+import math
 import re
+from collections.abc import Callable
+from decimal import Decimal
+from functools import lru_cache
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,11 +148,239 @@ def _judged(v: Column, shape: Column, schema: Any, at: Column) -> Column:
 
 def json_failures(text: Column, schema: dict) -> Column:
     """Every broken rule of a JSON text, sorted; empty for a text that keeps them all."""
+    exact = variant_failures(text, schema)
+    if '"pattern"' in json.dumps(schema):  # Java's regular expressions
+        return exact
+    written = json.dumps(schema)
+
+    @F.arrow_udf("array<string>")
+    def quick(texts: pa.Array) -> pa.Array:
+        judged = _judge(written)
+        return pa.array([judged(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return F.coalesce(quick(text), exact)
+
+
+def variant_failures(text: Column, schema: dict) -> Column:
+    """:func:`json_failures` as one expression over a variant."""
     parsed = F.try_parse_json(text)
     once = F.transform(F.array(parsed), lambda v: F.when(v.isNull(), F.array(F.lit("$ json"))).otherwise(F.array_sort(_node(v, schema, F.lit("$")))))
     return F.when(text.isNotNull(), F.get(once, F.lit(0)))
 
 
+# The same rules over a batch of texts in Python, which are compiled once for each worker. What it may see otherwise than the
+# variant does is left to that: texts that don't parse, repeat a key or escape by number, long or exponential numbers,
+# numbers within a rounding of a limit, and strings whose form in JSON or as a URI hangs on characters beyond the usual.
+
+
+class _Doubt(Exception):
+    """A text is left to the variant."""
+
+
+#: Nearer than this to a limit, or to an integer, a number's rounding counts.
+NEAR = Decimal("1e-9")
+#: Longer texts and names, and deeper ones, a JSON parser may refuse.
+LONG, NAMES, DEPTH = 10_000_000, 20_000, 500
+
+
+def _integer(written: str) -> int:
+    if len(written) > 18:
+        raise _Doubt
+    return int(written)
+
+
+def _decimal(written: str) -> Decimal:
+    if len(written) > 25 or "e" in written or "E" in written:
+        raise _Doubt
+    return Decimal(written)
+
+
+def _constant(written: str) -> None:
+    raise _Doubt
+
+
+def _object(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise _Doubt
+    return found
+
+
+def _usual(value: Any) -> None:
+    """Doubts names and depths that a JSON parser may refuse."""
+    level, depth = [value], 0
+    while level:
+        depth += 1
+        if depth > DEPTH or any(len(k) > NAMES for x in level if type(x) is dict for k in x):
+            raise _Doubt
+        level = [y for x in level if type(x) in (dict, list) for y in (x.values() if type(x) is dict else x)]
+
+
+_PARSE = json.JSONDecoder(object_pairs_hook=_object, parse_int=_integer, parse_float=_decimal, parse_constant=_constant).decode
+_URI = re.compile(ABSOLUTE, re.ASCII)
+_KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null", int: "integer", Decimal: "number"}
+Judge = Callable[[Any, str, list[str]], None]
+
+
+@lru_cache
+def _judge(written: str) -> Callable[[str | None], list[str] | None]:
+    """The failures of a text, None where that is left to the variant."""
+    node = _rules(json.loads(written))
+
+    def judged(text: str | None) -> list[str] | None:
+        if text is None or "\\u" in text or len(text) > LONG:
+            return None
+        found: list[str] = []
+        try:
+            value = _PARSE(text)
+            if len(text) > NAMES or text.count("[") + text.count("{") > DEPTH:
+                _usual(value)
+            node(value, "$", found)
+        except (_Doubt, ValueError, TypeError, RecursionError):
+            return None
+        return sorted(found) if found else found
+
+    return judged
+
+
+def _unlike(items: list) -> bool:
+    """No two items are equal; keys of objects in any order."""
+    shown = set(map(repr, items))
+    if len(shown) == len(items) and all(type(x) is str for x in items):
+        return True
+    first = list(items[0]) if items and type(items[0]) is dict else None
+    if first is not None and all(type(x) is dict and list(x) == first and _FLAT.issuperset(map(type, x.values())) for x in items):
+        return len(shown) == len(items)
+    return len({json.dumps(x, sort_keys=True) for x in items}) == len(items)
+
+
+_FLAT = {str, int, bool, type(None)}
+
+
+def _sound(schema: dict) -> dict[type, Callable[[Any], bool]]:
+    """By type, a test that only a value passes which breaks nothing: most do, and need no place."""
+    types, tests = set(_checked(schema)), {}
+    if "enum" in schema or "const" in schema:
+        return tests
+    if "boolean" in types:
+        tests[bool] = lambda v: True
+    if "string" in types:
+        least, most = schema.get("minLength", 0), schema.get("maxLength", LONG)
+        if "format" not in schema:
+            tests[str] = lambda v: least <= len(v) <= most
+    if types & {"number", "integer"}:
+        low = max([Decimal(str(schema[k])) for k in ("minimum", "exclusiveMinimum") if k in schema], default=Decimal(-LONG))
+        high = min([Decimal(str(schema[k])) for k in ("maximum", "exclusiveMaximum") if k in schema], default=Decimal(LONG))
+        inner = (math.floor(low) + 1, math.ceil(high) - 1)
+        if low == inner[0] - 1 and "exclusiveMinimum" not in schema:
+            inner = (inner[0] - 1, inner[1])
+        tests[int] = lambda v, a=inner[0], b=inner[1]: a <= v <= b
+        if "number" in types:
+            tests[Decimal] = lambda v, a=low + 1, b=high - 1: a < v < b
+    return tests
+
+
+def _rules(schema: dict) -> Judge:
+    """Appends what a value breaks at a place."""
+    types = set(_checked(schema))
+    tests: dict[str, list[Judge]] = {k: [] for k in KEYWORDS}
+    if "enum" in schema or "const" in schema:
+        allowed = {json.dumps(x, separators=(",", ":"), ensure_ascii=False) for x in schema.get("enum", [schema.get("const")])}
+        broken = " enum" if "enum" in schema else " const"
+
+        def listed(v: Any, at: str, found: list[str]) -> None:
+            if type(v) in (dict, list, Decimal) or type(v) is str and not v.isprintable():
+                raise _Doubt
+            if json.dumps(v, ensure_ascii=False) not in allowed:
+                found.append(at + broken)
+
+        for k in tests:
+            tests[k].append(listed)
+    if "string" in types:
+        least, most = schema.get("minLength"), schema.get("maxLength")
+
+        def string(v: str, at: str, found: list[str]) -> None:
+            if least is not None and len(v) < least:
+                found.append(at + " minLength")
+            if most is not None and len(v) > most:
+                found.append(at + " maxLength")
+
+        def uri(v: str, at: str, found: list[str]) -> None:
+            if not (v.isascii() and v.isprintable()):
+                raise _Doubt
+            if not _URI.search(v):
+                found.append(at + " format")
+
+        tests["string"] += [string] * (least is not None or most is not None) + [uri] * ("format" in schema)
+    if types & {"number", "integer"}:
+        past = {
+            "minimum": lambda a, b: a < b, "maximum": lambda a, b: a > b,
+            "exclusiveMinimum": lambda a, b: a <= b, "exclusiveMaximum": lambda a, b: a >= b,
+        }
+        limits = [(f" {k}", Decimal(str(schema[k])), past[k]) for k in KEYWORDS["number"] & set(schema)]
+
+        def number(v: int | Decimal, at: str, found: list[str]) -> None:
+            for name, limit, is_past in limits:
+                if 0 < abs(v - limit) < NEAR:
+                    raise _Doubt
+                if is_past(v, limit):
+                    found.append(at + name)
+
+        for k in ("number", "integer"):
+            tests[k] += [number] * bool(limits)
+    if "array" in types:
+        few, many, unique = schema.get("minItems"), schema.get("maxItems"), schema.get("uniqueItems")
+        item, quick = (_rules(schema["items"]), _sound(schema["items"])) if "items" in schema else (None, {})
+
+        def array(v: list, at: str, found: list[str]) -> None:
+            if few is not None and len(v) < few:
+                found.append(at + " minItems")
+            if many is not None and len(v) > many:
+                found.append(at + " maxItems")
+            if unique and not _unlike(v):
+                found.append(at + " uniqueItems")
+            if item:
+                for i, x in enumerate(v):
+                    if (ok := quick.get(type(x))) is None or not ok(x):
+                        item(x, f"{at}[{i}]", found)
+
+        tests["array"].append(array)
+    if "object" in types:
+        own = [(name, "." + name, _rules(child), _sound(child).get) for name, child in schema.get("properties", {}).items()]
+        names, required = {n for n, *_ in own}, set(schema.get("required", ()))
+        closed = schema.get("additionalProperties") is False
+
+        def record(v: dict, at: str, found: list[str]) -> None:
+            seen = 0
+            for name, place, child, quick in own:
+                if name in v:
+                    seen += 1
+                    x = v[name]
+                    if (ok := quick(type(x))) is None or not ok(x):
+                        child(x, at + place, found)
+                elif name in required:
+                    found.append(f"{at}{place} required")
+            if closed and seen < len(v):
+                found.extend(f"{at}.{k} additionalProperties" for k in v if k not in names)
+
+        tests["object"].append(record)
+    fits = types | ({"integer"} if "number" in types else set())
+
+    def judged(v: Any, at: str, found: list[str]) -> None:
+        kind = _KINDS[type(v)]
+        if kind == "number" and "number" not in types and "integer" in types:
+            gap = abs(v - round(v))
+            if 0 < gap < NEAR or abs(v) > 10**15:
+                raise _Doubt
+            kind = "number" if gap else "integer"
+        if kind not in fits:
+            found.append(at + " type")
+        for test in tests[kind]:
+            test(v, at, found)
+
+    return judged
+
+
 # Rules between the fields of a document.
 
 

@@ -2,6 +2,7 @@
 
 import copy
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,39 @@ def test_every_broken_keyword_is_named(spark):
     assert rows.limit(0).select(rules.json_failures(F.col("t"), SCHEMA)).collect() == []
 
 
+#: Without a pattern, so that plain texts are judged in batches.
+PLAIN = {**SCHEMA, "properties": {k: {n: x for n, x in v.items() if n != "pattern"} for k, v in SCHEMA["properties"].items()}}
+
+
+def _odd(r, depth=0):
+    """A JSON text of what may be seen in two ways: limits, near and long numbers, nulls, escapes, repeated keys, white space."""
+    scalars = ["null", "true", "false", "0", "-0", "10", "10.0", "10.0000000000001", "1e1", "0.1", "0.10000000000000000001", "9.9999999999999", "5.5", "-1", "123456789012345678901234567890",
+               '"xy"', '"x"', '"xé😀y"', '"\\u0041b"', '"a\\n"', '"p"', '"é"', '"https://a.b/c"', '"https://a b"', '"h:\u2028"', '"\u007f"', "NaN", "01", '"\t"', "\ufeff1"]
+    kind = r.random()
+    if depth > 2 or kind < 0.6:
+        return r.choice(scalars)
+    if kind < 0.75:
+        return "[" + r.choice(["", " "]) + ",".join(_odd(r, depth + 1) for _ in range(r.randint(0, 4))) + "]"
+    return "{" + ",".join(f'"{r.choice(["k", "e", "a", "n", "x.y", "k"])}":{_odd(r, depth + 1)}' for _ in range(r.randint(0, 3))) + "}"
+
+
+def test_batches_and_variants_judge_alike(spark):
+    r, texts = random.Random(4), [t for t, _ in CASES]
+    for _ in range(4000):
+        parts = [f'"{k}": {r.choice([_odd(r), d, d, d])}' for k, d in (("a", '"xy"'), ("n", "3"), ("u", '"s:t"'), ("c", "true"), ("odd name", "1.5"), ("t", '[{"k":1},{"k":2,"e":"p"}]')) if r.random() < 0.85]
+        parts += [f'"t": [{_odd(r)},{_odd(r)}]'] * (r.random() < 0.1) + ['"more": ' + _odd(r)] * (r.random() < 0.1)
+        texts.append("{" + ", ".join(parts) + "}" + r.choice(["", "", "", " ", "\n", " 1", "}"]))
+    texts += [_odd(r) for _ in range(300)] + ['{"a":"xy","n":1,"deep":' + "[" * n + "]" * n + "}" for n in (400, 800, 1100)]
+    judged = rules._judge(json.dumps(PLAIN))
+    told = [judged(t) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    for how in (rules.variant_failures, rules.json_failures):
+        want = {x.i: x.f for x in rows.select("i", how(F.col("t"), PLAIN).alias("f")).collect()}
+        assert [(texts[i], f, want[i]) for i, f in enumerate(told) if f is not None and f != want[i]] == []
+    assert sum(f is not None for f in told) > 1000 and len({tuple(f) for f in told if f}) > 60
+    assert all(rules._judge(json.dumps(imports.SUBMISSION))(t) is not None for t in ['{"agent":"a","model":"m","reported":33.333333333333336,"trials":[{"task":"0","trial":1,"passed":true}]}', "{}"])
+
+
 @pytest.mark.parametrize(
     "schema",
     [{}, {"type": "text"}, {"type": "string", "oneOf": []}, {"type": "string", "minimum": 1}, {"type": "number", "minimum": 2, "maximum": 1}, {"type": "string", "pattern": "("},
